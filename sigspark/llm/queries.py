@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+from .bpe_transducer import op9_bpe_transducer
 from .exact_dedup import OP7_SQL, op7_exact_dedup
+from .language_id import op8_language_id
 from .minhash_dedup import op10_minhash_dedup
+from .mixing import op1_mixing
 
 QUERIES = {
+    "op1_mixing": op1_mixing,
     "op7_exact_dedup": op7_exact_dedup,
+    "op8_language_id": op8_language_id,
+    "op9_bpe_transducer": op9_bpe_transducer,
     "op10_minhash_dedup": op10_minhash_dedup,
 }
 ORACLES = {"op7_exact_dedup": OP7_SQL}
