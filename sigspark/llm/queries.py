@@ -5,11 +5,17 @@ from __future__ import annotations
 from .bpe_transducer import op9_bpe_transducer
 from .exact_dedup import OP7_SQL, op7_exact_dedup
 from .language_id import op8_language_id
+from .license_scan import op4_license_scan
 from .minhash_dedup import op10_minhash_dedup
 from .mixing import op1_mixing
+from .ppm_scoring import op2_ppm_scoring
+from .url_trees import op6_url_trees
 
 QUERIES = {
     "op1_mixing": op1_mixing,
+    "op2_ppm_scoring": op2_ppm_scoring,
+    "op4_license_scan": op4_license_scan,
+    "op6_url_trees": op6_url_trees,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_language_id": op8_language_id,
     "op9_bpe_transducer": op9_bpe_transducer,
