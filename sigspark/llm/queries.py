@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from .bpe_transducer import op9_bpe_transducer
+from .byte_cnn import op3_byte_cnn
+from .cover_tree import OP5_SQL, op5_cover_tree
 from .exact_dedup import OP7_SQL, op7_exact_dedup
 from .language_id import op8_language_id
 from .license_scan import op4_license_scan
@@ -14,11 +16,13 @@ from .url_trees import op6_url_trees
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_ppm_scoring": op2_ppm_scoring,
+    "op3_byte_cnn": op3_byte_cnn,
     "op4_license_scan": op4_license_scan,
+    "op5_cover_tree": op5_cover_tree,
     "op6_url_trees": op6_url_trees,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_language_id": op8_language_id,
     "op9_bpe_transducer": op9_bpe_transducer,
     "op10_minhash_dedup": op10_minhash_dedup,
 }
-ORACLES = {"op7_exact_dedup": OP7_SQL}
+ORACLES = {"op5_cover_tree": OP5_SQL, "op7_exact_dedup": OP7_SQL}
