@@ -1 +1,6 @@
+"""Registered queries over the provided tables, and their SQL."""
 
+from . import catalogue_queries
+
+QUERIES = {**catalogue_queries.QUERIES}
+ORACLES = {**catalogue_queries.ORACLES}
