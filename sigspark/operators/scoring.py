@@ -7,28 +7,14 @@ from collections.abc import Callable, Iterator
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.arrays import softmax, total, unit
 from .metrics import per_class
 
 
 
-def total(values: Column) -> Column:
-    return F.aggregate(values, F.lit(0.0), lambda s, x: s + x)
-
-
-def softmax(logits: Column) -> Column:
-    top = F.array_max(logits)
-    powers = F.transform(logits, lambda x: F.exp(x - top))
-    return F.transform(powers, lambda p: p / total(powers))
-
-
-def unit(values: Column) -> Column:
-    size = F.sqrt(total(F.transform(values, lambda x: x * x)))
-    return F.transform(values, lambda x: x.cast("double") / F.greatest(size, F.lit(1e-12)))
-
-
 def prototypes(vectors: DataFrame, label: str = "label", column: str = "embedding") -> DataFrame:
     """(label, prototype): the mean of unit vectors per class, at unit length. Partial sums by position, then one row per class."""
-    rows = vectors.select(label, F.posexplode(unit(F.transform(column, lambda x: x.cast("double")))).alias("pos", "value"))
+    rows = vectors.select(label, F.posexplode(unit(F.col(column))).alias("pos", "value"))
     means = rows.groupBy(label, "pos").agg(F.avg("value").alias("value"))
     listed = means.groupBy(label).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "value"))), lambda s: s.value).alias("prototype"))
     return listed.withColumn("prototype", unit(F.col("prototype")))
@@ -37,7 +23,7 @@ def prototypes(vectors: DataFrame, label: str = "label", column: str = "embeddin
 def prototype_logits(vectors: DataFrame, protos: DataFrame, temperature: float = 0.1, key: str = "capture_id", column: str = "embedding", label: str = "label") -> DataFrame:
     """Adds logits: cosines with every prototype, in label order, by temperature. All prototypes come in one broadcast row."""
     table = protos.agg(F.transform(F.array_sort(F.collect_list(F.struct(F.col(label), "prototype"))), lambda s: s.prototype).alias("prototypes"))
-    x = unit(F.transform(column, lambda v: v.cast("double")))
+    x = unit(F.col(column))
     dot = lambda p: total(F.zip_with("unit", p, lambda a, b: a * b)) / temperature
     rows = vectors.withColumn("unit", x).crossJoin(F.broadcast(table))
     return rows.withColumn("logits", F.transform("prototypes", dot)).drop("unit", "prototypes")

@@ -7,11 +7,9 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-ZERO = "named_struct('i', 0D, 'q', 0D)"
-
+from ..functions.arrays import let, mean_of
 
-def mean_of(values: Column) -> Column:
-    return F.aggregate(values, F.lit(0.0), lambda s, x: s + x) / F.size(values)
+ZERO = "named_struct('i', 0D, 'q', 0D)"
 
 
 def complex_from_flat(flat: Column) -> Column:
@@ -38,13 +36,18 @@ def cut(iq: Column, start: Column, length: int) -> Column:
     return F.slice(iq, start.cast("int") + 1, length)
 
 
+def sample(i: Column, q: Column) -> Column:
+    return F.struct(i.alias("i"), q.alias("q"))
+
+
 def centred(iq: Column) -> Column:
-    mi, mq = mean_of(F.transform(iq, lambda s: s.i)), mean_of(F.transform(iq, lambda s: s.q))
-    return F.transform(iq, lambda s: F.struct((s.i - mi).alias("i"), (s.q - mq).alias("q")))
+    """Minus the mean of each channel."""
+    means = lambda x: F.struct(mean_of(F.transform(x, lambda s: s.i)).alias("i"), mean_of(F.transform(x, lambda s: s.q)).alias("q"))
+    return let(iq, lambda x: let(means(x), lambda m: F.transform(x, lambda s: sample(s.i - m.i, s.q - m.q))))
 
 
 def scaled(iq: Column, by: Column) -> Column:
-    return F.transform(iq, lambda s: F.struct((s.i / by).alias("i"), (s.q / by).alias("q")))
+    return let(by, lambda d: F.transform(iq, lambda s: sample(s.i / d, s.q / d)))
 
 
 def mean_square(iq: Column) -> Column:
@@ -54,8 +57,7 @@ def mean_square(iq: Column) -> Column:
 
 def normalised(df: DataFrame, column: str = "iq") -> DataFrame:
     """Centres each channel and divides by the root of the mean square over both, plus 1e-8."""
-    df = df.withColumn(column, centred(F.col(column)))
-    return df.withColumn(column, scaled(F.col(column), F.sqrt(mean_square(F.col(column)) + 1e-8)))
+    return df.withColumn(column, let(centred(F.col(column)), lambda c: scaled(c, F.sqrt(mean_square(c) + 1e-8))))
 
 
 def max_abs(iq: Column) -> Column:
@@ -68,18 +70,21 @@ def max_abs_normalised(iq: Column, floor: float = 1e-12) -> Column:
 
 def channel_normalised(iq: Column) -> Column:
     """Each channel by its own largest absolute value; an all-zero channel stays."""
-    ai, aq = (F.array_max(F.transform(iq, lambda s, c=c: F.abs(s[c]))) for c in "iq")
+    top = lambda c: F.array_max(F.transform(iq, lambda s: F.abs(s[c])))
     one = lambda a: F.when(a == 0, 1.0).otherwise(a)
-    return F.transform(iq, lambda s: F.struct((s.i / one(ai)).alias("i"), (s.q / one(aq)).alias("q")))
+    tops = F.struct(one(top("i")).alias("i"), one(top("q")).alias("q"))
+    return let(tops, lambda m: F.transform(iq, lambda s: sample(s.i / m.i, s.q / m.q)))
+
+
+def tiled(iq: Column, length: int) -> Column:
+    return F.transform(F.sequence(F.lit(0), F.lit(length - 1)), lambda k: F.element_at(iq, (k % F.size(iq) + 1).cast("int")))
 
 
 def rms_clipped(iq: Column, length: int, limit: float = 5.0) -> Column:
     """Tiled to ``length``, centred, divided by the RMS of the complex power, clipped."""
-    tiled = F.transform(F.sequence(F.lit(0), F.lit(length - 1)), lambda k: F.element_at(iq, (k % F.size(iq) + 1).cast("int")))
-    c = centred(tiled)
-    rms = F.sqrt(mean_square(c) * 2 + 1e-12)
     clip = lambda x: F.greatest(F.lit(-limit), F.least(F.lit(limit), x))
-    return F.transform(c, lambda s: F.struct(clip(s.i / rms).alias("i"), clip(s.q / rms).alias("q")))
+    rms = lambda c: F.sqrt(mean_square(c) * 2 + 1e-12)
+    return let(centred(tiled(iq, length)), lambda c: let(rms(c), lambda d: F.transform(c, lambda s: sample(clip(s.i / d), clip(s.q / d)))))
 
 
 def with_channel(iq: Column, value) -> Column:
@@ -202,11 +207,10 @@ def progressively_augmented(df: DataFrame, epoch: int, total: int, seed: int, sh
 
 def replay_ready(iq: Column, length: int, amplitude: float = 0.8, silence: int = 0) -> Column:
     """Mean removed, peak set to ``amplitude``, silence on both ends, tiled to ``length``."""
-    c = centred(iq)
-    loud = F.transform(scaled(c, F.array_max(F.transform(c, lambda s: F.hypot(s.i, s.q))) + F.lit(1e-12)), lambda s: F.struct((s.i * amplitude).alias("i"), (s.q * amplitude).alias("q")))
     quiet = F.array_repeat(F.expr(ZERO), silence) if silence else F.expr("cast(array() as array<struct<i: double, q: double>>)")
-    unit = F.concat(quiet, loud, quiet)
-    return F.transform(F.sequence(F.lit(0), F.lit(length - 1)), lambda k: F.element_at(unit, (k % F.size(unit) + 1).cast("int")))
+    peak = lambda c: F.array_max(F.transform(c, lambda s: F.hypot(s.i, s.q))) + F.lit(1e-12)
+    loud = let(centred(iq), lambda c: scaled(c, peak(c) / amplitude))
+    return let(F.concat(quiet, loud, quiet), lambda x: tiled(x, length))
 
 
 def three_tap(samples: DataFrame, passes: int = 1) -> DataFrame:
