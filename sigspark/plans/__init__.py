@@ -1,6 +1,6 @@
 """Registered queries over the provided tables, and their SQL."""
 
-from . import catalogue_queries, signal_queries
+from . import catalogue_queries, kernel_queries, signal_queries
 
-QUERIES = {**catalogue_queries.QUERIES, **signal_queries.QUERIES}
-ORACLES = {**catalogue_queries.ORACLES, **signal_queries.ORACLES}
+QUERIES = {**catalogue_queries.QUERIES, **signal_queries.QUERIES, **kernel_queries.QUERIES}
+ORACLES = {**catalogue_queries.ORACLES, **signal_queries.ORACLES, **kernel_queries.ORACLES}
