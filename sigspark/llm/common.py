@@ -15,11 +15,16 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
 
 
-def shared_folder(spark: SparkSession) -> str:
+#: Paths handed out and not yet removed, by application.
+_HANDED_OUT: dict[str, list[str]] = {}
+
+
+def shared_folder(spark: SparkSession, *, keep: bool = False) -> str:
     """A new path below the folder that driver and executors share.
 
     The cluster names the folder in ``spark.checkpoint.dir``. Only where neither that setting nor a
-    checkpoint folder is there (tests, one machine) a temporary folder is set.
+    checkpoint folder is there (tests, one machine) a temporary folder is set. ``keep``: ``discard_all``
+    leaves it alone.
     """
     sc = spark.sparkContext
     top = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
@@ -27,15 +32,40 @@ def shared_folder(spark: SparkSession) -> str:
         top = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
         sc.setCheckpointDir(top)
         top = sc.getCheckpointDir()
-    return f"{top.rstrip('/')}/tables/{uuid.uuid4().hex}"
+    path = f"{top.rstrip('/')}/tables/{uuid.uuid4().hex}"
+    if not keep:
+        _HANDED_OUT.setdefault(sc.applicationId, []).append(path)
+    return path
 
 
-def materialise(df: DataFrame) -> DataFrame:
+def materialise(df: DataFrame, *, keep: bool = False) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts lineage and survives lost executors."""
     spark = df.sparkSession
-    path = shared_folder(spark)
+    path = shared_folder(spark, keep=keep)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.table_path = path
+    return out
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove materialised tables that no later step reads."""
+    for table in tables:
+        path = table.__dict__.pop("table_path", None)
+        if path:
+            remove(table.sparkSession, path)
+            _HANDED_OUT.get(table.sparkSession.sparkContext.applicationId, []).remove(path)
+
+
+def discard_all(spark: SparkSession) -> None:
+    """Remove all that is still there of earlier operators' tables; their results must have been written."""
+    for path in _HANDED_OUT.pop(spark.sparkContext.applicationId, []):
+        remove(spark, path)
 
 
 def ascii_lower(text: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import discard, materialise
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -35,7 +35,9 @@ def components(edges: DataFrame, *, max_rounds: int = 60) -> DataFrame:
             .unionByName(least.select("u", F.col("m").alias("v")))
         )
         small = small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct()
-        links = materialise(small)
+        small = materialise(small)
+        discard(links, large)
+        links = small
         after = _state(links)
         if after == before:
             break

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, mix64, read_table, text_bytes
+from .common import discard, materialise, mix64, read_table, text_bytes
 from .components import components
 
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
@@ -38,6 +38,13 @@ class Plan:
     rows: int = 4
     bits: int = 512
     sigmas: float = 5.0
+    rounds: int = 1
+
+    @property
+    def sharper(self) -> Plan:
+        """Ten times the samples, for the pairs that no leader has decided; over 4 standard deviations
+        (3e-5) off is rarer than a missed band."""
+        return replace(self, bands=self.bands * 10, bits=self.bits * 8, sigmas=4.0)
 
     @property
     def samples(self) -> int:
@@ -154,16 +161,22 @@ def signatures(docs: DataFrame, plan: Plan) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SIGNATURE)
 
 
-def full_sets(docs: DataFrame, plan: Plan) -> DataFrame:
-    """(doc_id, shingles): whole sets of hashed shingles."""
+def full_sets(docs: DataFrame, ids: DataFrame, plan: Plan) -> DataFrame:
+    """(id, n_shingles, shingles, sharp) of the wanted documents: whole sets of hashed shingles, and sharper sketches."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordHashes()
+        words, (a, b), sharper = WordHashes(), permutations(plan.sharper.samples), plan.sharper
         for batch in batches:
-            sets = [shingle_set(t, plan.width, words).view(np.int64) for t in text_bytes(batch.column(1))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["doc_id", "shingles"])
+            sets = [shingle_set(t, plan.width, words) for t in text_bytes(batch.column(1))]
+            samples = np.stack([min_samples(s, a, b) for s in sets]) if sets else np.empty((0, len(a)), np.uint32)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64())),
+                 list_column(odd_sketches(samples, sharper.bits))],
+                names=["id", "n_shingles", "shingles", "sharp"],
+            )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, shingles array<long>")
+    wanted = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ids.hint("merge"), "doc_id", "left_semi")
+    return wanted.mapInArrow(run, "id long, n_shingles long, shingles array<long>, sharp array<long>")
 
 
 def sketch_bits(x: Column, y: Column, plan: Plan) -> Column:
@@ -178,14 +191,18 @@ def may_link(plan: Plan, x: str, y: str) -> Column:
     return sizes & (sketch_bits(F.col(f"{x}.sketch"), F.col(f"{y}.sketch"), plan) <= plan.most_bits)
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, plan: Plan) -> DataFrame:
-    """The pairs (a, b) whose full sets reach the threshold. Only the texts in pairs are read again."""
-    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    wanted = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ids, "doc_id", "left_semi")
-    sets = materialise(full_sets(wanted, plan).dropDuplicates(["doc_id"]))
+def sifted(pairs: DataFrame, traits: DataFrame, plan: Plan) -> DataFrame:
+    """The pairs (a, b) whose sizes and sketches allow a link."""
+    x = traits.select(F.col("id").alias("a"), F.struct("n_shingles", "sketch").alias("x"))
+    y = traits.select(F.col("id").alias("b"), F.struct("n_shingles", "sketch").alias("y"))
+    return pairs.join(x, "a").join(y, "b").filter(may_link(plan, "x", "y")).select("a", "b")
+
+
+def confirmed(pairs: DataFrame, sets: DataFrame, plan: Plan) -> DataFrame:
+    """The pairs (a, b) whose full sets reach the threshold."""
     both = (
-        pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa")), "a")
-        .join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb")), "b")
+        pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), "a")
+        .join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb")), "b")
     )
     shared = F.size(F.array_intersect("sa", "sb")).cast("long")
     union = F.size("sa") + F.size("sb") - shared
@@ -196,13 +213,14 @@ def near_duplicates(docs: DataFrame, plan: Plan = Plan()) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id, kept.
 
     Documents with the same set are one class, and its smallest id stands for it. In each bucket of a
-    band the smallest id leads: every member is held against it, and members that don't link with
-    their leader are held against the whole bucket. A pair that shares a band is thus decided unless
-    its ends are already connected through the leader; no bucket is cut and none is expanded to all
-    of its pairs. Null, empty or blank texts have an empty set, link with nothing, and are their own
-    component. Texts of under ``width`` words have one shingle. Doc_ids should be unique; rows that
-    repeat an id share one answer, and rows with a null id get a null component and kept = true.
-    An empty table gives no row. Other columns are ignored.
+    band one member leads, and every member of another component is held against it; after some
+    rounds with other leaders, members that are still apart from most of their bucket are held
+    against all of it, by sharper sketches. A pair that shares a band is thus decided unless its ends
+    are already connected: no bucket is cut, and none is expanded to all of its pairs. Null, empty or
+    blank texts have an empty set, link with nothing, and are their own component. Texts of under
+    ``width`` words have one shingle. Doc_ids should be unique; rows that repeat an id share one
+    answer, and rows with a null id get a null component and kept = true. An empty table gives no
+    row. Other columns are ignored.
     """
     sig = materialise(signatures(docs, plan))
     same = ["fp1", "fp2", "n_shingles"]
@@ -213,37 +231,54 @@ def near_duplicates(docs: DataFrame, plan: Plan = Plan()) -> DataFrame:
         .dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("id"), "n_shingles", "bands", "sketch")
     )
     entries = reps.select("id", F.explode("bands").alias("bucket"))
-    leaders = entries.groupBy("bucket").agg(F.min("id").alias("leader"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    members = materialise(entries.join(leaders, "bucket").select("bucket", "leader", "n", "id"))
+    crowds = materialise(entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
+    members = materialise(entries.join(crowds, "bucket").select("bucket", "n", "id"))
     traits = reps.select("id", "n_shingles", "sketch")
-
-    star = members.filter("id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()
-    star = (
-        star.join(traits.select(F.col("id").alias("a"), F.struct("n_shingles", "sketch").alias("x")), "a")
-        .join(traits.select(F.col("id").alias("b"), F.struct("n_shingles", "sketch").alias("y")), "b")
-        .filter(may_link(plan, "x", "y")).select("a", "b")
-    )
-    star = materialise(star)
-    first = materialise(confirmed(star, docs, plan))
-
-    off = (
-        members.filter("n > 2 and id <> leader")
-        .join(first.select(F.col("a").alias("leader"), F.col("b").alias("id")), ["leader", "id"], "left_anti")
+    sets = materialise(full_sets(docs, members.select(F.col("id").alias("doc_id")).distinct(), plan).dropDuplicates(["id"]))
+
+    # The member with most company leads first: in a family of copies that is most often their origin.
+    company = materialise(members.groupBy("id").agg(F.sum("n").alias("company")))
+    labelled = members.join(company, "id").withColumn("component", F.col("id"))
+    links, tried, found = None, None, None
+    for k in range(1 + plan.rounds):
+        if k:
+            labelled = members.join(found, "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("component"))
+            labelled = labelled.withColumn("company", F.xxhash64("id", F.lit(k)))
+        labelled = materialise(labelled)
+        old = [labelled, *([found] if found else [])]
+        best = F.struct("company", -F.col("id"), "component")
+        leads = labelled.groupBy("bucket").agg(F.max(best).alias("lead"), F.min("component").alias("low"), F.max("component").alias("high"))
+        leads = leads.filter("low < high").select("bucket", (-F.col("lead")["col2"]).alias("leader"), F.col("lead.component").alias("lead_component"))
+        leads = materialise(leads)
+        pairs = (
+            labelled.join(leads, "bucket").filter("component <> lead_component")
+            .select(F.least("leader", "id").alias("a"), F.greatest("leader", "id").alias("b")).distinct()
+        )
+        if tried is not None:
+            pairs = pairs.join(tried, ["a", "b"], "left_anti")
+        pairs = materialise(sifted(pairs, traits, plan))
+        right = materialise(confirmed(pairs, sets, plan))
+        tried = pairs if tried is None else tried.unionByName(pairs)
+        links = right if links is None else links.unionByName(right)
+        found = materialise(components(links))
+        discard(leads, *old)
+
+    # What is still apart from most of its bucket is held against all of the bucket, by sharper sketches.
+    apart = materialise(members.join(found, "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("component")))
+    shares = apart.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n"))
+    main = shares.groupBy("bucket").agg(F.max(F.struct("n", "component")).alias("most"), F.count(F.lit(1)).alias("kinds")).filter("kinds > 1")
+    main = materialise(main.select("bucket", F.col("most.component").alias("main")))
+    apart = apart.join(main, "bucket").join(sets.select("id", "n_shingles", "sharp"), "id")
+    apart = materialise(apart.select("bucket", "id", "component", "main", "n_shingles", F.col("sharp").alias("sketch")))
+    x = apart.filter("component <> main").alias("x")
+    y = apart.alias("y")
+    differ = (F.col("x.component") != F.col("y.component")) & ((F.col("y.component") == F.col("y.main")) | (F.col("x.id") < F.col("y.id")))
+    pairs = (
+        x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & differ & may_link(plan.sharper, "x", "y"))
+        .select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
+        .join(tried, ["a", "b"], "left_anti")
     )
-    off = materialise(off.join(traits, "id").select("bucket", "leader", "id", F.struct("n_shingles", "sketch").alias("x")))
-    open_buckets = off.select("bucket").distinct()
-    rest = (
-        members.filter("n > 2 and id <> leader").join(open_buckets, "bucket", "left_semi").join(traits, "id")
-        .select("bucket", F.col("id").alias("other"), F.struct("n_shingles", "sketch").alias("y"))
-    )
-    more = (
-        off.join(rest, (off.bucket == rest.bucket) & (off.id != rest.other) & may_link(plan, "x", "y"))
-        .select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
-        .join(star, ["a", "b"], "left_anti")
-    )
-    second = confirmed(materialise(more), docs, plan)
-
-    links = first.unionByName(second)
+    links = links.unionByName(confirmed(materialise(pairs), sets, plan))
     found = components(links)
     named = classes.join(found, "id", "left").select(*same, F.coalesce("component", "id").alias("component"))
     joined = sig.select("doc_id", *same).join(named, same, "left")
