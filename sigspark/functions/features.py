@@ -243,13 +243,13 @@ def register_feature(name: str, family: Callable[[Shared], dict]) -> None:
     FAMILIES[name] = family
 
 
-def compute(x: np.ndarray, families: tuple[str, ...]) -> dict[str, np.ndarray]:
+def compute(x: np.ndarray, families: tuple[str, ...], kinds: dict[str, Callable[[Shared], dict]]) -> dict[str, np.ndarray]:
     """All features of windows of one length; a family that fails gives no values."""
     shared, out = Shared(x), {}
     for name in families:
         try:
             with np.errstate(all="ignore"):
-                out |= {k: np.asarray(v, float) for k, v in FAMILIES[name](shared).items()}
+                out |= {k: np.asarray(v, float) for k, v in kinds[name](shared).items()}
         except (ValueError, FloatingPointError, IndexError):
             continue
     return out
@@ -257,24 +257,23 @@ def compute(x: np.ndarray, families: tuple[str, ...]) -> dict[str, np.ndarray]:
 
 def feature_names(families: tuple[str, ...]) -> list[str]:
     probe = np.exp(1j * np.arange(64) ** 1.3 / 5)[None].repeat(2, 0)
-    return list(compute(probe, families))
+    return list(compute(probe, families, FAMILIES))
 
 
 def extract_features(windows: DataFrame, families: tuple[str, ...] | None = None, key: str = "capture_id", selected: list[str] | None = None) -> DataFrame:
     """(key, a double column per feature) from (key, iq) rows; no shuffle. Empty windows and undefined values give nulls."""
     families = families or tuple(FAMILIES)
     names = [n for n in feature_names(families) if selected is None or n in selected]
-    kinds = dict(FAMILIES)
+    kinds = {f: FAMILIES[f] for f in families}
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        FAMILIES.update(kinds)
         for frame in frames:
             out = pd.DataFrame(np.nan, index=range(len(frame)), columns=names)
             size = frame["i"].map(lambda v: 0 if v is None else len(v)).to_numpy()
             for n in np.unique(size[size > 1]):
                 at = np.flatnonzero(size == n)
                 x = np.stack(frame["i"].to_numpy()[at]) + 1j * np.stack(frame["q"].to_numpy()[at])
-                got = compute(x, families)
+                got = compute(x, families, kinds)
                 for c in names:
                     if c in got:
                         out.loc[at, c] = np.where(np.isfinite(got[c]), got[c], np.nan)
