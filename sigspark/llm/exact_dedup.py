@@ -14,7 +14,12 @@ from pyspark.sql import functions as F
 
 from .common import LOWER, UPPER, ascii_lower, materialise, read_table, shared_folder
 
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: State on disk, uploaded by its changes, and without space reserved ahead in each of many small stores.
+STATE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+}
 
 
 def sha256_key(text: Column) -> Column:
@@ -40,9 +45,9 @@ def run_to_table(spark: SparkSession, stream: DataFrame, path: str, checkpoint:
     def write(changed: DataFrame, batch: int) -> None:
         changed.write.mode("overwrite").parquet(f"{path}/batch={batch}")
 
-    key = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(key)
-    spark.conf.set(key, ROCKSDB)
+    before = {key: spark.conf.get(key, None) for key in STATE}
+    for key, value in STATE.items():
+        spark.conf.set(key, value)
     try:
         query = (
             keyed_state(stream)
@@ -54,7 +59,8 @@ def run_to_table(spark: SparkSession, stream: DataFrame, path: str, checkpoint:
         )
         query.awaitTermination()
     finally:
-        spark.conf.set(key, before)
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
     schema = keyed_state(spark.createDataFrame([], stream.schema)).schema
     changes = spark.read.schema(schema).parquet(f"{path}/batch=*")
     last = F.struct("group_size", "keep_id", "locator")
@@ -100,36 +106,31 @@ def exact_dedup(
     )
     state = materialise(run_to_table(spark, stream, shared_folder(spark), shared_folder(spark)))
 
-    hits = state.filter("group_size > 1")
-    members = docs.select(text.alias("norm")).withColumn("digest", key(F.col("norm")))
-    doubted = (
-        members.join(hits.select("digest"), "digest", "left_semi")
-        .groupBy("digest").agg(F.min("norm").alias("low"), F.max("norm").alias("high"))
-        .filter("low <> high").select("digest")
-    )
-    doubted = materialise(doubted)
     total = seen.count()
     hot = state.filter(F.col("group_size") * hot_share > F.lit(total))
     cold = state.filter(F.col("group_size") * hot_share <= F.lit(total))
     wanted = ["keep_id", "group_size"]
-    if doubted.isEmpty():
-        sure = seen
-    else:
-        sure = seen.join(doubted, "digest", "left_anti")
     hot_names = hot.select("digest", F.lit(True).alias("is_hot"), *[F.col(c).alias(f"hot_{c}") for c in wanted])
-    marked = sure.join(F.broadcast(hot_names), "digest", "left")
-    found = (
-        marked.filter("is_hot").select("doc_id", "text_sha256", *[F.col(f"hot_{c}").alias(c) for c in wanted])
-        .unionByName(marked.filter("is_hot is null").join(cold, "digest").select("doc_id", "text_sha256", *wanted))
+    marked = seen.select("doc_id", "text_sha256", "digest").join(F.broadcast(hot_names), "digest", "left")
+    found = materialise(
+        marked.filter("is_hot").select("doc_id", "text_sha256", "digest", *[F.col(f"hot_{c}").alias(c) for c in wanted])
+        .unionByName(marked.filter("is_hot is null").join(cold, "digest").select("doc_id", "text_sha256", "digest", *wanted))
+    )
+
+    # Full bytes of the hits: rows meet by their own id, and each digest's texts are reduced before they move.
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("norm")).withColumn("digest", key(F.col("norm")))
+    hits = found.filter("group_size > 1").select(F.col("doc_id").alias("hit_id"), F.col("digest").alias("hit_digest")).distinct()
+    doubted = (
+        texts.join(hits, F.col("doc_id").eqNullSafe(F.col("hit_id")) & (F.col("digest") == F.col("hit_digest")), "left_semi")
+        .groupBy("digest").agg(F.min("norm").alias("low"), F.max("norm").alias("high"))
+        .filter("low <> high").select("digest")
     )
+    doubted = materialise(doubted)
     if not doubted.isEmpty():
-        clash = (
-            docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("norm"))
-            .withColumn("digest", key(F.col("norm"))).join(doubted, "digest", "left_semi")
-        )
+        clash = texts.join(doubted, "digest", "left_semi")
         groups = clash.groupBy("norm").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-        found = found.unionByName(
-            clash.join(groups, "norm").select("doc_id", F.sha2("norm", 256).alias("text_sha256"), *wanted)
+        found = found.join(doubted, "digest", "left_anti").unionByName(
+            clash.join(groups, "norm").select("doc_id", F.sha2("norm", 256).alias("text_sha256"), "digest", *wanted)
         )
     return found.select(
         "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256"
