@@ -1,7 +1,8 @@
 """The corpus pipeline: language ID, exact and near deduplication, mixing, encoding.
 
 Each stage works on all rows that the one before it kept. Between stages, rows are written as
-Parquet to the shared folder and read again.
+Parquet to the shared folder and read again; a stage's result must be written before the next stage
+begins, which first removes the tables that earlier stages worked with.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sigspark.llm.bpe_transducer import default_vocabulary, encode_documents
-from sigspark.llm.common import materialise, read_table
+from sigspark.llm.common import discard_all, materialise, read_table
 from sigspark.llm.exact_dedup import exact_dedup
 from sigspark.llm.language_id import UNKNOWN, identify
 from sigspark.llm.minhash_dedup import near_duplicates
@@ -24,26 +25,31 @@ def only(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without a letter, and null texts, are rejected; texts of every known language go on."""
+    discard_all(spark)
     return only(docs, identify(docs).filter(F.col("lang_pred") != UNKNOWN))
 
 
 def drop_exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts, the largest id stays."""
+    discard_all(spark)
     return only(docs, exact_dedup(docs).filter("kept"))
 
 
 def drop_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates, the smallest id stays."""
+    discard_all(spark)
     return only(docs, near_duplicates(docs).filter("kept"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document stays; those of small sources come up to twice, by the mixture's weights."""
+    discard_all(spark)
     return repeated(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each row, with digests."""
+    discard_all(spark)
     encoded = encode_documents(docs, default_vocabulary())
     return encoded.select("doc_id", "n_tokens", "ids", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
@@ -64,5 +70,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
-            docs = materialise(docs)
+            docs = materialise(docs, keep=True)
     return docs
