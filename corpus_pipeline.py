@@ -19,12 +19,12 @@ from sigspark.llm.mixing import repeated
 
 
 def only(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Rows of ``docs`` whose id is among those of ``wanted``."""
+    """Rows of ``docs`` whose id is among those of ``wanted``. Rows without an id can't be named by a result, and go."""
     return docs.join(wanted.select("doc_id").distinct(), "doc_id", "left_semi").select(*docs.columns)
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without a letter, and null texts, are rejected; texts of every known language go on."""
+    """Texts without a letter, and null texts, are rejected (all are where no row has a language to learn from); the rest go on."""
     discard_all(spark)
     return only(docs, identify(docs).filter(F.col("lang_pred") != UNKNOWN))
 
