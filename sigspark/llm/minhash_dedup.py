@@ -268,13 +268,15 @@ def near_duplicates(docs: DataFrame, plan: Plan = Plan()) -> DataFrame:
     shares = apart.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n"))
     main = shares.groupBy("bucket").agg(F.max(F.struct("n", "component")).alias("most"), F.count(F.lit(1)).alias("kinds")).filter("kinds > 1")
     main = materialise(main.select("bucket", F.col("most.component").alias("main")))
-    apart = apart.join(main, "bucket").join(sets.select("id", "n_shingles", "sharp"), "id")
-    apart = materialise(apart.select("bucket", "id", "component", "main", "n_shingles", F.col("sharp").alias("sketch")))
+    apart = apart.join(main, "bucket").join(sets.select("id", "n_shingles", "sharp"), "id").join(reps.select("id", "bands"), "id")
+    apart = materialise(apart.select("bucket", "id", "component", "main", "n_shingles", F.col("sharp").alias("sketch"), "bands"))
     x = apart.filter("component <> main").alias("x")
     y = apart.alias("y")
     differ = (F.col("x.component") != F.col("y.component")) & ((F.col("y.component") == F.col("y.main")) | (F.col("x.id") < F.col("y.id")))
+    shared = F.filter(F.zip_with("x.bands", "y.bands", lambda a, b: F.when(a == b, a)), lambda v: v.isNotNull())
+    once = F.get(shared, F.lit(0)) == F.col("x.bucket")  # a pair counts in the first bucket that it shares
     pairs = (
-        x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & differ & may_link(plan.sharper, "x", "y"))
+        x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & differ & may_link(plan.sharper, "x", "y") & once)
         .select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
         .join(tried, ["a", "b"], "left_anti")
     )
