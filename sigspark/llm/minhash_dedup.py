@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import discard, materialise, mix64, read_table, text_bytes
+from .common import materialise, mix64, read_table, text_bytes
 from .components import components
 
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
@@ -38,7 +38,7 @@ class Plan:
     rows: int = 4
     bits: int = 512
     sigmas: float = 5.0
-    rounds: int = 1
+    rounds: int = 2
 
     @property
     def sharper(self) -> Plan:
@@ -213,9 +213,9 @@ def near_duplicates(docs: DataFrame, plan: Plan = Plan()) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id, kept.
 
     Documents with the same set are one class, and its smallest id stands for it. In each bucket of a
-    band one member leads, and every member of another component is held against it; after some
-    rounds with other leaders, members that are still apart from most of their bucket are held
-    against all of it, by sharper sketches. A pair that shares a band is thus decided unless its ends
+    band one member leads, and every other is held against it; those that don't link get another
+    leader from among them. Members that are then in another component than most of their bucket are
+    held against all of it, by sharper sketches. A pair that shares a band is thus decided unless its ends
     are already connected: no bucket is cut, and none is expanded to all of its pairs. Null, empty or
     blank texts have an empty set, link with nothing, and are their own component. Texts of under
     ``width`` words have one shingle. Doc_ids should be unique; rows that repeat an id share one
@@ -236,32 +236,26 @@ def near_duplicates(docs: DataFrame, plan: Plan = Plan()) -> DataFrame:
     traits = reps.select("id", "n_shingles", "sketch")
     sets = materialise(full_sets(docs, members.select(F.col("id").alias("doc_id")).distinct(), plan).dropDuplicates(["id"]))
 
-    # The member with most company leads first: in a family of copies that is most often their origin.
+    # The member with most company leads: in a family of copies that is most often their origin. What
+    # doesn't link with its bucket's leader gets the next leader from among its own.
     company = materialise(members.groupBy("id").agg(F.sum("n").alias("company")))
-    labelled = members.join(company, "id").withColumn("component", F.col("id"))
-    links, tried, found = None, None, None
-    for k in range(1 + plan.rounds):
-        if k:
-            labelled = members.join(found, "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("component"))
-            labelled = labelled.withColumn("company", F.xxhash64("id", F.lit(k)))
-        labelled = materialise(labelled)
-        old = [labelled, *([found] if found else [])]
-        best = F.struct("company", -F.col("id"), "component")
-        leads = labelled.groupBy("bucket").agg(F.max(best).alias("lead"), F.min("component").alias("low"), F.max("component").alias("high"))
-        leads = leads.filter("low < high").select("bucket", (-F.col("lead")["col2"]).alias("leader"), F.col("lead.component").alias("lead_component"))
-        leads = materialise(leads)
-        pairs = (
-            labelled.join(leads, "bucket").filter("component <> lead_component")
-            .select(F.least("leader", "id").alias("a"), F.greatest("leader", "id").alias("b")).distinct()
-        )
+    left = materialise(members.join(company, "id").select("bucket", "id", "company"))
+    links, tried = None, None
+    for k in range(plan.rounds):
+        leads = left.groupBy("bucket").agg(F.max(F.struct("company", -F.col("id"))).alias("lead"), F.count(F.lit(1)).alias("n"))
+        leads = materialise(leads.filter("n > 1").select("bucket", (-F.col("lead")["col2"]).alias("leader")))
+        led = left.join(leads, "bucket").filter("id <> leader")
+        pair = [F.least("leader", "id").alias("a"), F.greatest("leader", "id").alias("b")]
+        pairs = led.select(*pair).distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = materialise(sifted(pairs, traits, plan))
         right = materialise(confirmed(pairs, sets, plan))
         tried = pairs if tried is None else tried.unionByName(pairs)
         links = right if links is None else links.unionByName(right)
-        found = materialise(components(links))
-        discard(leads, *old)
+        if k + 1 < plan.rounds:
+            left = materialise(led.select("bucket", "id", "company", *pair).join(links, ["a", "b"], "left_anti").select("bucket", "id", "company"))
+    found = materialise(components(links))
 
     # What is still apart from most of its bucket is held against all of the bucket, by sharper sketches.
     apart = materialise(members.join(found, "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("component")))
