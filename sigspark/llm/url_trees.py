@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, read_table
+from .common import LOWER, UPPER, hashed_sample, read_table
 
 BLOCK, ALLOW = "block", "allow"
 #: (verdict, host, path): a rule fits its host and all subdomains where the path starts with the rule's.
@@ -153,8 +153,8 @@ class Trees:
 
 
 def learn(labelled: DataFrame, settings: Settings) -> tuple[Trees, tuple] | None:
-    """Fit on (page_id, url, host, path, label) rows; each task passes on ``sample`` rows at most."""
-    rows = labelled.orderBy(F.xxhash64("url", "page_id"), "url").limit(settings.sample).collect()
+    """Fit on (page_id, url, host, path, label) rows: a bounded sample of them."""
+    rows = hashed_sample(labelled, settings.sample, "url", "page_id").collect()
     if len({r.label for r in rows}) < 2:
         return None
     hosts, y = [r.host for r in rows], np.array([r.label == BLOCK for r in rows], float)
