@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fold_of, read_table, text_bytes
+from .common import fold_of, hashed_sample, read_table, text_bytes
 
 #: Positions over which responses are reduced first; chunks begin and end at multiples of it.
 BLOCK = 64
@@ -153,7 +153,7 @@ def learn(docs: DataFrame, labels: DataFrame, s: Settings) -> Network | None:
     """Fit on a bounded sample of labelled rows. Several labels of an id count as their mean; null ones don't count."""
     known = labels.filter("quality is not null and doc_id is not null").filter(fold_of(F.col("doc_id"), s.parts) != s.held)
     known = known.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.avg("quality").alias("quality"))
-    chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(s.sample)
+    chosen = hashed_sample(known, s.sample, "doc_id")
     raw = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.substring(raw, 1, s.stretch).alias("start"), F.length(raw).alias("n")).join(F.broadcast(chosen), "doc_id").collect()
     rows.sort(key=lambda r: (r.doc_id, bytes(r.start)))

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, read_table
+from .common import hashed_sample, materialise, read_table
 from .components import components
 
 #: Added to every bound on distances of single precision.
@@ -230,7 +230,7 @@ def assigned(reps: DataFrame, pivots: np.ndarray) -> DataFrame:
 def links_of(reps: DataFrame, s: Settings) -> DataFrame:
     """(id, links, other) rows: partial counts, and links that connect the same vectors as all links."""
     n = reps.count()
-    first = reps.orderBy(F.xxhash64("id"), "id").limit(s.sample).select("embedding").toArrow()
+    first = hashed_sample(reps, s.sample, "id").select("embedding").toArrow()
     if not n:
         return reps.sparkSession.createDataFrame([], "id long, links long, other long")
     pivots = farthest_first(matrix(first.column(0)), min(s.most_pivots, -(-n // s.unit)))
