@@ -232,9 +232,17 @@ def filter_family(s: Shared) -> dict:
     return {"adaptive_gaussian_sum": smooth, "adaptive_bandwidth": sigma, "band_pass_rms": np.sqrt((band**2).mean(1))}
 
 
+def rolling_family(s: Shared) -> dict:
+    """Entropy of the spectrum in overlapping windows of 128 bins, 64 apart."""
+    a = s.shifted
+    size = min(128, a.shape[1])
+    rolling = np.stack([entropy(f) for f in sp.frames(a, size, max(1, size // 2))])
+    return {"rolling_entropy_mean": rolling.mean(1), "rolling_entropy_std": rolling.std(1)}
+
+
 FAMILIES: dict[str, Callable[[Shared], dict]] = {
     "power": power_family, "moments": moment_family, "crossings": crossing_family, "phase": phase_family, "constellation": constellation_family, "envelope": envelope_family, "analytic_phase": analytic_phase_family,
-    "spectrum": spectrum_family, "shape": shape_family, "band": band_family, "peaks": peak_family, "welch": welch_family, "stft": stft_family, "correlation": correlation_family, "wavelet": wavelet_family, "filters": filter_family,
+    "spectrum": spectrum_family, "shape": shape_family, "band": band_family, "peaks": peak_family, "welch": welch_family, "stft": stft_family, "correlation": correlation_family, "wavelet": wavelet_family, "filters": filter_family, "rolling": rolling_family,
 }
 
 

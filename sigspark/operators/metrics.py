@@ -190,3 +190,19 @@ def parity(a: DataFrame, b: DataFrame, rtol: float = 1e-3, atol: float = 1e-4) -
         F.count(F.lit(1)).alias("n"), F.avg((top("x") == top("y")).cast("double")).alias("top1_agreement"), F.max(F.array_max(error)).alias("max_abs_error"),
         (F.sum(F.aggregate(error, F.lit(0.0), lambda s, e: s + e)) / F.sum(F.size("x"))).alias("mean_abs_error"), F.bool_and(close).alias("all_close"),
     )
+
+
+def class_coverage(df: DataFrame, column: str, least: int) -> DataFrame:
+    """One row: the number of classes and whether it reaches ``least``."""
+    return df.agg(F.countDistinct(column).alias("classes")).withColumn("enough", F.col("classes") >= least)
+
+
+def checkpoint_table(metrics: DataFrame, metadata: DataFrame, key: str = "checkpoint") -> DataFrame:
+    """Checkpoint metrics with their metadata, nulls where there is none."""
+    return metrics.join(metadata, key, "left")
+
+
+def best_checkpoint(metrics: DataFrame, *by: str, key: str = "checkpoint") -> DataFrame:
+    """(by..., checkpoint, accuracy): the best by evaluation accuracy, the first by name of equals; rows without one don't count."""
+    best = F.min(F.when(F.col("accuracy").isNotNull(), F.struct((-F.col("accuracy")).alias("a"), F.col(key).alias("k")))).alias("best")
+    return metrics.groupBy(*by).agg(best).select(*by, F.col("best.k").alias(key), (-F.col("best.a")).alias("accuracy"))

@@ -260,3 +260,9 @@ def replay_windows(df: DataFrame, window: int, stride: int) -> DataFrame:
     """One row per candidate window: start, and its samples cut inside the row; nothing is shuffled."""
     rows = df.withColumn("start", F.explode(candidate_starts(F.size("iq"), window, stride)))
     return rows.withColumn("iq", zero_padded(cut(F.col("iq"), F.col("start"), window), window))
+
+
+def feature_stack(df: DataFrame, features: list[str], snr: str = "snr") -> DataFrame:
+    """Adds stack, a row of numbers per sample: I and Q by their largest absolute values, the ratio, then the scalars; nulls as zeros."""
+    scalars = F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in [snr, *features]])
+    return df.withColumn("stack", let(scalars, lambda tail: F.transform(channel_normalised(F.col("iq")), lambda s: F.concat(F.array(s.i, s.q), tail))))

@@ -1,6 +1,7 @@
 """Registered queries over the provided tables, and their SQL."""
 
-from . import catalogue_queries, kernel_queries, signal_queries
+from . import catalogue_queries, kernel_queries, signal_queries, small_queries
 
-QUERIES = {**catalogue_queries.QUERIES, **signal_queries.QUERIES, **kernel_queries.QUERIES}
-ORACLES = {**catalogue_queries.ORACLES, **signal_queries.ORACLES, **kernel_queries.ORACLES}
+PARTS = (catalogue_queries, signal_queries, kernel_queries, small_queries)
+QUERIES = {name: query for part in PARTS for name, query in part.QUERIES.items()}
+ORACLES = {name: sql for part in PARTS for name, sql in part.ORACLES.items()}
