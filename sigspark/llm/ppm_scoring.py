@@ -4,7 +4,8 @@ A trie of byte contexts up to ``order`` bytes is counted over all training texts
 length is that of the longest context that has seen it; each longer context costs its escape, and
 symbols seen there are excluded below. The counts are those of a pretrained model, so a context's
 symbols are among its suffix's, and the exclusions of a path are sums that can be kept per context.
-Escapes are those of method D, and what was met too rarely to be kept counts for the escape.
+Escapes are those of method D. Every context counts, however rare: tasks look up the values of the most
+frequent symbols in context; what a text has besides meets its part of the trie in a shuffle.
 A unigram model of words, with its counts kept apart, is the base that scores are read against.
 """
 
@@ -12,13 +13,14 @@ from __future__ import annotations
 
 import math
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import fold_of, materialise, read_table, text_bytes
@@ -27,14 +29,17 @@ from .common import fold_of, materialise, read_table, text_bytes
 PAD, END = 0xFE, 0xFF
 #: Symbols of the order below 0: all bytes but PAD.
 SYMBOLS = 255
+#: Contexts that agree in so many last bytes are in one part of the trie. Shorter ones (2^24 at most) are in all.
+SUFFIX = 3
+#: Symbols in context in a part of the trie, on average, and the least number of parts.
+PART, PARTS = 1 << 18, 32
 
 
 @dataclass(frozen=True)
 class Settings:
-    """Symbols in context that are under ``least_gram`` of all training bytes aren't kept: that bounds
-    the trie at 1 / least_gram entries an order, at any size of the corpus. Words of at least
-    ``least_word`` of all training tokens (1 / least_word words at most) are looked up in the tasks;
-    the others meet their counts in a join.
+    """The values of the most frequent symbols in context, 1 / least_gram at most, and words of at least
+    ``least_word`` of all training tokens (1 / least_word at most) are looked up in the tasks; the
+    others meet their counts in a shuffle. Neither changes a score.
     """
 
     order: int = 6
@@ -146,20 +151,13 @@ class Trie:
         self.order = order
         self.keys, self.logs, self.contexts, self.first, self.passed, self.below = [], [], [], [], [], []
         weights, sizes, escapes = [], [], []
-        ends = tables[0][1][tables[0][0] == END].sum()
         for k, (keys, counts) in enumerate(tables):
             w = counts - 0.5  # escape method D: a half of each symbol's first sight goes to the escape
             context = keys >> 8
             at = np.flatnonzero(np.concatenate([[True], context[1:] != context[:-1]])) if len(keys) else np.empty(0, np.int64)
             contexts = context[at]
             group = lambda x, at=at: np.add.reduceat(x, at) if len(at) else np.empty(0)
-            if k:
-                # A context of k bytes was met as often as its last byte after the k - 1 others; so what
-                # was met too rarely to be kept counts for the escape.
-                up, there = find(self.keys[k - 1], contexts)
-                size = np.where(there, tables[k - 1][1][up], ends) if len(up) else np.empty(0)
-            else:
-                size = np.array([counts.sum()]) if len(keys) else np.empty(0)
+            size = group(counts)
             escape = size - group(w)
             self.keys.append(keys)
             self.logs.append(np.log10(w))
@@ -214,61 +212,163 @@ class Trie:
         return value
 
 
-class Scorer:
-    """A trie behind a direct-mapped table of its longest contexts; the more frequent entry holds a slot."""
+class Settled:
+    """Values of packed bytes in a direct-mapped table; what finds its slot taken is in sorted arrays."""
 
     BITS = 22
 
-    def __init__(self, order: int, tables: list[tuple[np.ndarray, np.ndarray]]):
-        self.trie = Trie(order, tables)
-        keys, counts = tables[-1]
-        keys = keys[np.argsort(counts, kind="stable")]
-        slot = self.slots(keys)
-        self.key = np.full(1 << self.BITS, -1, np.int64)
-        self.key[slot] = keys
-        self.value = np.zeros(1 << self.BITS)
-        used = np.flatnonzero(self.key >= 0)
-        for part in np.array_split(used, max(1, len(used) // 500_000)):
-            self.value[part] = self.trie.score(self.key[part])
+    def __init__(self, order: int, entries: Iterable[tuple[np.ndarray, np.ndarray, np.ndarray]]):
+        """From batches of keys, counts and values."""
+        self.order = order
+        self.key, self.value = np.full(1 << self.BITS, -1, np.int64), np.zeros(1 << self.BITS)
+        held = np.zeros(1 << self.BITS, np.float32)
+        more, more_value = [np.empty(0, np.int64)], [np.empty(0)]
+        for keys, counts, values in entries:
+            by = np.argsort(counts, kind="stable")  # the more frequent entry holds a slot
+            keys, counts, values = keys[by], counts[by].astype(np.float32), values[by]
+            slot = self.slots(keys)
+            won = np.flatnonzero(counts > held[slot])
+            out = np.unique(slot[won])
+            out = out[self.key[out] >= 0]
+            more.append(self.key[out])
+            more_value.append(self.value[out])
+            self.key[slot[won]], self.value[slot[won]], held[slot[won]] = keys[won], values[won], counts[won]
+            lost = np.flatnonzero(self.key[slot] != keys)
+            more.append(keys[lost])
+            more_value.append(values[lost])
+        self.more = np.concatenate(more)
+        by = np.argsort(self.more)
+        self.more, self.more_value = self.more[by], np.concatenate(more_value)[by]
 
     def slots(self, grams: np.ndarray) -> np.ndarray:
         with np.errstate(over="ignore"):
             return ((grams.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.BITS)).view(np.int64)
 
-    def __call__(self, texts: list[bytes]) -> np.ndarray:
-        """log10 of the probability of each text with its end."""
+    def __call__(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """log10 of the probability of each text's known bytes and its end; the text and the code of each other one."""
         if not texts:
-            return np.empty(0)
-        raw, starts = framed(texts, self.trie.order)
-        grams = grams_of(raw, self.trie.order)
+            return np.empty(0), np.empty(0, np.int64), np.empty(0, np.int64)
+        raw, starts = framed(texts, self.order)
+        grams = grams_of(raw, self.order)
         slot = self.slots(grams)
         value = self.value[slot]
-        miss = np.flatnonzero((self.key[slot] != grams) & (raw[self.trie.order :] != PAD))
-        value[raw[self.trie.order :] == PAD] = 0
-        if len(miss):
-            each, back = np.unique(grams[miss], return_inverse=True)
-            value[miss] = self.trie.score(each)[back]
-        return np.add.reduceat(value, starts)
-
-
-def trained_tables(counts: DataFrame, settings: Settings) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Keys and counts of each order, sorted by key. Shorter contexts are sums of longer ones."""
-    orders = range(settings.order + 1)
-    longest = counts.filter("gram is not null")
-    every = longest.select("n", F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col("gram").bitwiseAND((1 << (8 * (k + 1))) - 1).alias("key")) for k in orders])).alias("e"))
-    total = longest.agg(F.sum("n")).first()[0] or 0
-    kept = every.groupBy("e.k", "e.key").agg(F.sum("n").alias("n")).filter(F.col("n") >= settings.least_gram * total).toArrow()
-    k, key, n = (kept.column(c).to_numpy() for c in ("k", "key", "n"))
-    out = []
-    for i in orders:
-        at = np.flatnonzero(k == i)
-        at = at[np.argsort(key[at])]
-        out.append((key[at].astype(np.int64), n[at].astype(np.float64)))
-    return out
-
-
-SCORED = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, tail array<struct<word: binary, n: long>>"
+        pad = raw[self.order :] == PAD
+        miss = np.flatnonzero((self.key[slot] != grams) & ~pad)
+        value[pad] = 0
+        at, there = find(self.more, grams[miss])
+        value[miss[there]] = self.more_value[at[there]]
+        miss = miss[~there]
+        value[miss] = 0
+        return np.add.reduceat(value, starts), np.searchsorted(starts, miss, "right") - 1, grams[miss]
+
+
+class Scorer:
+    """The whole model in one process."""
+
+    def __init__(self, order: int, tables: list[tuple[np.ndarray, np.ndarray]]):
+        self.trie = Trie(order, tables)
+        self.settled = Settled(order, [(*tables[-1], self.trie.score(tables[-1][0]))])
+
+    def __call__(self, texts: list[bytes]) -> np.ndarray:
+        """log10 of the probability of each text with its end."""
+        score, text, grams = self.settled(texts)
+        return score + np.bincount(text, self.trie.score(grams), len(texts))
+
+
+def settled_values(grams: DataFrame, settings: Settings) -> tuple[Settled, int]:
+    """The most frequent symbols in context with their values, and how many there are in all."""
+    band = F.floor(F.ln("n") * 64)
+    room, least, kinds = int(1 / settings.least_gram), math.inf, 0
+    for b, n in sorted(grams.groupBy(band).count().collect(), reverse=True):
+        kinds += n
+        least = b if kinds <= room else least
+    size = F.sum("n").over(Window.partitionBy(F.shiftright("gram", 8)))
+    value = F.log10(F.col("n") - F.lit(0.5)) - F.log10("size")
+    kept = grams.withColumn("size", size).filter(band >= F.lit(float(least))).select("gram", F.col("n").cast("float").alias("n"), value.alias("value")).toArrow()
+    return Settled(settings.order, ([c.to_numpy() for c in batch.columns] for batch in kept.to_batches())), kinds
+
+
+def dealt(grams: np.ndarray, other: np.ndarray, order: int, parts: int) -> Iterator[tuple[int, bytes, bytes]]:
+    """Packed bytes and what goes with them, by the part of the trie that has their contexts."""
+    part = ((((grams >> 8) & ((1 << (8 * min(SUFFIX, order))) - 1)) * 0x9E3779B1 >> 8) & 0xFFFFFF) % parts
+    by = np.argsort(part, kind="stable")
+    part = part[by]
+    cuts = [0, *(np.flatnonzero(part[1:] != part[:-1]) + 1), len(part)] if len(part) else []
+    for a, z in pairwise(cuts):
+        yield int(part[a]), grams[by[a:z]].tobytes(), other[by[a:z]].tobytes()
+
+
+DEALT = pa.schema([("part", pa.int32()), ("row", pa.int64()), ("grams", pa.binary()), ("other", pa.binary())])
+
+
+def unsettled(grams: DataFrame, asked: DataFrame, parts: int, settings: Settings) -> DataFrame:
+    """(row, score): sums of the values of ``asked`` (part, row, grams, other: the row of each gram, from ``row`` on).
+
+    Each part of the trie is built where its contexts are asked for. Contexts shorter than SUFFIX are
+    sums of few kinds and are broadcast.
+    """
+    order, low = settings.order, min(SUFFIX, settings.order)
+    short = grams.groupBy(F.col("gram").bitwiseAND((1 << (8 * low)) - 1).alias("key")).agg(F.sum("n").alias("n")).toArrow()
+    shared = grams.sparkSession.sparkContext.broadcast((short.column("key").to_numpy(), short.column("n").to_numpy().astype(np.float64)))
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out() -> pa.RecordBatch:
+            rows = list(dealt(np.concatenate(keys), np.concatenate(counts), order, parts))
+            keys.clear(), counts.clear()
+            return pa.RecordBatch.from_pylist([{"part": p, "row": None, "grams": g, "other": n} for p, g, n in rows], DEALT)
+
+        keys: list[np.ndarray] = []
+        counts: list[np.ndarray] = []
+        for batch in batches:
+            keys.append(batch.column(0).to_numpy())
+            counts.append(batch.column(1).to_numpy())
+            if sum(map(len, keys)) > 1_000_000:
+                yield out()
+        if sum(map(len, keys)):
+            yield out()
+
+    def tables(keys: list[bytes], counts: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
+        own = np.frombuffer(b"".join(keys), np.int64), np.frombuffer(b"".join(counts), np.int64).astype(np.float64)
+        every = [(shared.value if k < low else own) for k in range(order + 1)]
+        return [summed([key & ((1 << (8 * (k + 1))) - 1)], [n]) if len(key) else (key, n) for k, (key, n) in enumerate(every)]
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, trie = None, None
+        keys, counts, rows, codes = [], [], [], []
+
+        def out() -> Iterator[pa.RecordBatch]:
+            nonlocal trie
+            if codes:
+                trie = trie or Trie(order, tables(keys, counts))
+                each, back = np.unique(np.concatenate(codes), return_inverse=True)
+                row, at = np.unique(np.concatenate(rows), return_inverse=True)
+                codes.clear(), rows.clear()
+                yield pa.RecordBatch.from_arrays([pa.array(row), pa.array(np.bincount(at, trie.score(each)[back]))], names=["row", "score"])
+
+        for batch in batches:
+            for p, row, grams, other in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if p != part:
+                    yield from out()
+                    part, trie = p, None
+                    keys.clear(), counts.clear()
+                if row is None:
+                    keys.append(grams)
+                    counts.append(other)
+                else:
+                    codes.append(np.frombuffer(grams, np.int64))
+                    rows.append(np.frombuffer(other, np.int32).astype(np.int64) + row)
+                    if sum(map(len, codes)) > 500_000:
+                        yield from out()
+        yield from out()
+
+    counted = grams.select("gram", "n").mapInArrow(deal, "part int, row long, grams binary, other binary")
+    both = counted.union(asked).repartition("part").sortWithinPartitions("part", F.col("row").asc_nulls_first())
+    return both.mapInArrow(answer, "row long, score double")
+
+
+SCORED = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, tail array<struct<word: binary, n: long>>, asked array<struct<part: int, grams: binary, other: binary>>"
 TAIL = pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64())]))
+ASKED = pa.list_(pa.struct([("part", pa.int32()), ("grams", pa.binary()), ("other", pa.binary())]))
 
 
 def ppm_scores(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
@@ -292,12 +392,16 @@ def ppm_scores(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     if b"" not in known and total:
         row = words.filter(F.col("word") == F.lit(b"")).first()
         end = math.log10((row.c if row else 0) + 1) - size
-    model = spark.sparkContext.broadcast((settings.order, trained_tables(counts, settings)))
+    grams = counts.filter("gram is not null").select("gram", "n")
+    settled, kinds = settled_values(grams, settings)
+    parts = max(PARTS, kinds // PART)
+    model = spark.sparkContext.broadcast(settled)
+    del settled
     lookup = spark.sparkContext.broadcast(known)
     ends = int(total > 0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer, get = Scorer(*model.value), lookup.value.get
+        scorer, get = model.value, lookup.value.get
         row = TaskContext.get().partitionId() << 40
         for batch in batches:
             at = 0
@@ -312,10 +416,12 @@ def ppm_scores(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
                     base[i] += math.fsum(own)
                     numbers[i] = len(tokens) + 1, len(own) + ends
                     tails.append([(w, k) for w, k in Counter(w for w, v in zip(tokens, values, strict=True) if v is None).items()] if len(own) < len(tokens) else [])
+                score, text, codes = scorer(part)
+                asked = [dict(zip(("part", "grams", "other"), d, strict=True)) for d in dealt(codes, text.astype(np.int32), settings.order, parts)]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.arange(row, row + n)), batch.column(0).slice(at, n), batch.column(1).slice(at, n), pa.array(numbers[:, 0].copy()),
-                     pa.array(numbers[:, 1].copy()), pa.array(base), pa.array(scorer(part)), pa.array(tails, TAIL)],
-                    names=["row", "doc_id", "held_out", "n_tokens", "n_known", "base", "score", "tail"],
+                     pa.array(numbers[:, 1].copy()), pa.array(base), pa.array(score), pa.array(tails, TAIL), pa.array([asked, *[[]] * (n - 1)], ASKED)],
+                    names=["row", "doc_id", "held_out", "n_tokens", "n_known", "base", "score", "tail", "asked"],
                 )
                 row, at = row + n, at + n
 
@@ -325,13 +431,17 @@ def ppm_scores(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
 
     rare = scored.select("row", F.explode("tail").alias("t")).select("row", "t.word", "t.n")
     c: Column = F.coalesce("c", F.lit(0))
-    more = (
+    words_more = (
         rare.join(words.filter(F.col("c") < settings.least_word * total).hint("shuffle_hash"), "word", "left")
-        .groupBy("row").agg(F.sum(F.col("n") * (F.log10(c + F.lit(1.0)) - F.lit(size))).alias("more"), F.sum(F.when(c > 0, F.col("n")).otherwise(0)).alias("more_known"))
+        .select("row", (F.col("n") * (F.log10(c + F.lit(1.0)) - F.lit(size))).alias("base"), F.when(c > 0, F.col("n")).otherwise(0).alias("known"), F.lit(0.0).alias("score"))
     )
-    return scored.drop("tail").join(more, "row", "left").select(
+    asked = scored.select("row", F.explode("asked").alias("a")).select("a.part", "row", "a.grams", "a.other")
+    grams_more = unsettled(grams, asked, parts, settings).select("row", F.lit(0.0).alias("base"), F.lit(0).cast("long").alias("known"), "score")
+    more = words_more.union(grams_more).groupBy("row").agg(F.sum("base").alias("more"), F.sum("known").alias("more_known"), F.sum("score").alias("more_score"))
+    return scored.drop("tail", "asked").join(more, "row", "left").select(
         "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("more_known", F.lit(0))).alias("n_known"),
-        F.lit(total).cast("long").alias("train_tokens"), (F.col("base") + F.coalesce("more", F.lit(0.0))).alias("base_score"), "score",
+        F.lit(total).cast("long").alias("train_tokens"), (F.col("base") + F.coalesce("more", F.lit(0.0))).alias("base_score"),
+        (F.col("score") + F.coalesce("more_score", F.lit(0.0))).alias("score"),
     )
 
 

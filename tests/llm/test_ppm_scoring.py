@@ -76,6 +76,15 @@ def test_against_a_walk(make_docs):
     same(make_docs(alone), brute(alone))
 
 
+def test_rare_contexts_count(make_docs, documents):
+    rows = [(i, t) for i, t in enumerate(["the cat sat", "the hat", None, "", "A b\tc\x0bd", "zé zé 中", "the the cat", "qqqq x", "cat sat hat the"] * 3)]
+    for order in (0, 2, 6):
+        for least_gram in (1.0, 0.02):
+            same(make_docs(rows), brute(rows, order), order=order, least_gram=least_gram)
+    rows = [(r.doc_id, r.text) for r in documents.limit(60).collect()]
+    same(make_docs(rows), brute(rows), least_gram=1 / 500)
+
+
 def test_documents(spark, documents):
     rows = [(r.doc_id, r.text) for r in documents.collect()]
     want = brute(rows, 2)
