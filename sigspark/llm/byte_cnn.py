@@ -23,9 +23,9 @@ BLOCK = 64
 
 @dataclass(frozen=True)
 class Settings:
-    """At most ``sample`` labelled rows are learnt from, the first in an order by hash, and of each of
-    them ``stretch`` bytes at most (for fitting only: scores are of whole texts). Chunks are ``chunk``
-    blocks long and begin ``step`` blocks apart.
+    """At most ``sample`` labelled ids are learnt from, the first in an order by hash, and always from
+    their whole texts: fewer where texts are long, as none is added once they have ``sample`` times
+    ``stretch`` bytes. Chunks are ``chunk`` blocks long and begin ``step`` blocks apart.
     """
 
     sample: int = 4000
@@ -150,16 +150,24 @@ class Network:
 
 
 def learn(docs: DataFrame, labels: DataFrame, s: Settings) -> Network | None:
-    """Fit on a bounded sample of labelled rows. Several labels of an id count as their mean; null ones don't count."""
+    """Fit on whole texts of a bounded sample of labelled rows. Several labels of an id count as their mean; null ones don't count."""
     known = labels.filter("quality is not null and doc_id is not null").filter(fold_of(F.col("doc_id"), s.parts) != s.held)
     known = known.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.avg("quality").alias("quality"))
     chosen = hashed_sample(known, s.sample, "doc_id")
     raw = F.coalesce(F.col("text"), F.lit("")).cast("binary")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.substring(raw, 1, s.stretch).alias("start"), F.length(raw).alias("n")).join(F.broadcast(chosen), "doc_id").collect()
-    rows.sort(key=lambda r: (r.doc_id, bytes(r.start)))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), raw.alias("raw"))
+    sizes = texts.join(F.broadcast(chosen), "doc_id").groupBy(F.xxhash64("doc_id").alias("place"), "doc_id", "quality").agg(F.sum(F.length("raw")).alias("n")).collect()
+    taken, room = [], s.sample * s.stretch
+    for r in sorted(sizes):
+        if room <= 0:
+            break
+        taken.append((r.doc_id, r.quality))
+        room -= r.n
+    rows = texts.join(F.broadcast(docs.sparkSession.createDataFrame(taken, "doc_id long, quality double")), "doc_id").collect()
+    rows.sort(key=lambda r: (r.doc_id, bytes(r.raw)))
     if len({r.quality >= 0.5 for r in rows}) < 2:
         return None
-    return Network(s).fit([bytes(r.start) for r in rows], np.array([r.quality for r in rows], np.float32))
+    return Network(s).fit([bytes(r.raw) for r in rows], np.array([r.quality for r in rows], np.float32))
 
 
 def runs(texts: list[bytes], size: int = 1 << 18) -> Iterator[list[bytes]]:

@@ -2,7 +2,7 @@ import zlib
 
 import numpy as np
 
-from sigspark.llm.byte_cnn import BLOCK, Network, Settings, chunks_of, laid_out, op3_byte_cnn, score_quality
+from sigspark.llm.byte_cnn import BLOCK, Network, Settings, chunks_of, laid_out, learn, op3_byte_cnn, score_quality
 
 
 def test_held_out_accuracy(spark):
@@ -41,6 +41,17 @@ def test_scores_against_plain_loops():
         assert np.isclose(p, 1 / (1 + np.exp(-z)), atol=1e-5)
 
 
+def test_fits_on_whole_texts(spark, make_docs, monkeypatch):
+    seen = []
+    monkeypatch.setattr(Network, "fit", lambda self, texts, y: seen.append(sorted(texts)) or self)
+    texts = {i: f"{i} ".ljust(3000 * (i % 9), "x") + "end" for i in range(40)}
+    labels = spark.createDataFrame([(i, i % 2) for i in texts], "doc_id long, quality int")
+    learn(make_docs(list(texts.items())), labels, Settings())
+    assert seen[0] == sorted(t.encode() for i, t in texts.items() if zlib.crc32(str(i).encode()) % 5)
+    learn(make_docs(list(texts.items())), labels, Settings(sample=30, stretch=3000))
+    assert set(seen[1]) < set(seen[0]) and 90_000 <= sum(map(len, seen[1])) < 90_000 + 24_003
+
+
 def test_gradients():
     s = Settings(filters=2, width=2, decay=0.0)
     net, rng = Network(s), np.random.default_rng(0)
