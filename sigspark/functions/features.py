@@ -252,14 +252,16 @@ def register_feature(name: str, family: Callable[[Shared], dict]) -> None:
 
 
 def compute(x: np.ndarray, families: tuple[str, ...], kinds: dict[str, Callable[[Shared], dict]]) -> dict[str, np.ndarray]:
-    """All features of windows of one length; a family that fails gives no values."""
+    """All features of windows of one length; where a family fails, only the failing windows have no values."""
     shared, out = Shared(x), {}
     for name in families:
         try:
             with np.errstate(all="ignore"):
                 out |= {k: np.asarray(v, float) for k, v in kinds[name](shared).items()}
         except (ValueError, FloatingPointError, IndexError):
-            continue
+            for r in range(len(x) if len(x) > 1 else 0):
+                for k, v in compute(x[r : r + 1], (name,), kinds).items():
+                    out.setdefault(k, np.full(len(x), np.nan))[r] = v[0]
     return out
 
 
@@ -269,7 +271,7 @@ def feature_names(families: tuple[str, ...]) -> list[str]:
 
 
 def extract_features(windows: DataFrame, families: tuple[str, ...] | None = None, key: str = "capture_id", selected: list[str] | None = None) -> DataFrame:
-    """(key, a double column per feature) from (key, iq) rows; no shuffle. Empty windows and undefined values give nulls."""
+    """(key, a double column per feature) from (key, iq) rows; no shuffle. Empty windows, windows with samples that are null or not finite, and undefined values give nulls."""
     families = families or tuple(FAMILIES)
     names = [n for n in feature_names(families) if selected is None or n in selected]
     kinds = {f: FAMILIES[f] for f in families}
@@ -280,7 +282,11 @@ def extract_features(windows: DataFrame, families: tuple[str, ...] | None = None
             size = frame["i"].map(lambda v: 0 if v is None else len(v)).to_numpy()
             for n in np.unique(size[size > 1]):
                 at = np.flatnonzero(size == n)
-                x = np.stack(frame["i"].to_numpy()[at]) + 1j * np.stack(frame["q"].to_numpy()[at])
+                i, q = (np.stack(frame[c].to_numpy()[at]).astype(float) for c in ("i", "q"))
+                sound = np.isfinite(i).all(1) & np.isfinite(q).all(1)
+                at, x = at[sound], i[sound] + 1j * q[sound]
+                if not len(at):
+                    continue
                 got = compute(x, families, kinds)
                 for c in names:
                     if c in got:

@@ -111,6 +111,24 @@ def test_features_survive_bad_windows(spark):
     assert ft.long_features(ft.extract_features(df, ("power",))).count() == 3 * 7
 
 
+def test_one_bad_window_costs_no_other(spark):
+    good = [np.exp(1j * np.arange(64) ** 1.3 / k) for k in (3, 5)]
+    bad = [np.where(np.arange(64) == 9, v, good[0]) for v in (np.nan, np.inf)]
+    alone = {r.capture_id: r for r in ft.extract_features(captures(spark, *good)).coalesce(1).collect()}
+    out = {r.capture_id: r for r in ft.extract_features(captures(spark, *good, *bad).coalesce(1)).collect()}
+    for k in (0, 1):
+        assert [v if v is not None else -1 for v in out[k]] == pytest.approx([v if v is not None else -1 for v in alone[k]])
+    assert out[0].constellation_density is not None and out[0].afreq_entropy is not None
+    assert set(out[2][1:]) == set(out[3][1:]) == {None}
+
+    def picky(s):
+        if (s.x.real[:, 0] > 1.5).any():
+            raise ValueError
+        return {"own": s.x.real[:, 0]}
+
+    assert ft.compute(np.array([[1 + 0j, 0], [2, 0], [0, 1]]), ("own",), {"own": picky})["own"] == pytest.approx([1, np.nan, 0], nan_ok=True)
+
+
 def test_augmentation(spark):
     df = captures(spark, np.exp(1j * np.arange(2000)))
     out = {r["copy"]: np.array([complex(s.i, s.q) for s in r.iq]) for r in win.augmented(df, 2, 5, 0.01).collect()}
