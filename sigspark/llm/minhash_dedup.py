@@ -28,7 +28,7 @@ MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 class Plan:
     """Shingles of ``width`` words; ``bands`` x ``rows`` MinHash samples; sketches of ``bits`` bits.
 
-    A pair at the threshold shares no band with probability (1 - 0.75**4)**24 = 6e-5 at these
+    A pair at the threshold shares no band with probability (1 - 0.75**4)**24 = 1.1e-4 at these
     figures, and its sketch is sifted out when over ``sigmas`` standard deviations off.
     """
 
