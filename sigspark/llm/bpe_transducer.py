@@ -9,11 +9,15 @@ from __future__ import annotations
 
 import heapq
 import json
+import math
 import os
+import re
 import tempfile
 import uuid
-from collections import Counter
+from array import array
+from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -26,8 +30,11 @@ from .common import materialise, read_table
 
 # Fixed value: the split that byte-level BPE makes before its merges.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: A word is frequent when it is at least this share of all words; so a lexicon has 400,000 words at most.
-LEAST_SHARE = 1 / 400_000
+# Fixed value: a space before what isn't one, where that split always cuts.
+SAFE = re.compile(r" (?=\S)")
+SPACED = re.compile(r" \s")
+#: The lexicon has the most frequent words of the corpus, this many at most (those of equal count go together).
+MOST_WORDS = 400_000
 
 
 def printable_bytes() -> dict[str, int]:
@@ -37,6 +44,13 @@ def printable_bytes() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(others)}
 
 
+def without(rows: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """Each row without one of its places."""
+    keep = np.ones(rows.shape, bool)
+    keep[np.arange(len(rows)), places] = False
+    return rows[keep].reshape(len(rows), rows.shape[1] - 1)
+
+
 class Vocabulary:
     """Ids, bytes and merge ranks of a byte-level BPE file of the tokenizers library."""
 
@@ -56,18 +70,46 @@ class Vocabulary:
         for rank, pair in enumerate(data["model"]["merges"]):
             a, b = pair if isinstance(pair, list) else pair.split(" ")
             self.merges[ids[a], ids[b]] = (rank, ids[a + b])
+        pairs = np.array([a << 32 | b for a, b in self.merges], np.int64)
+        self.made = np.array([new for _, new in self.merges.values()], np.int64)  # by rank
+        self.pair_ranks = np.argsort(pairs)
+        self.pairs = pairs[self.pair_ranks]
         self.words = regex.compile(PATTERN)
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
 
     def pieces(self, text: str) -> list[str]:
-        """Words in order; special tokens stand as words of their own."""
-        if self.cut is None or not any(s in text for s in self.special):
-            return self.words.findall(text)
+        """Words of a text without special tokens, in order."""
+        return self.words.findall(text)
+
+    def chunks(self, text: str) -> list[str]:
+        """Stretches of a text whose words don't depend on one another: with the space before it left out,
+        or, for those that begin the text or follow a special token, with a space more. Special tokens
+        are stretches of the second kind."""
         out: list[str] = []
-        for part in self.cut.split(text):
-            out += [part] if part in self.special else self.words.findall(part)
+        parts = self.cut.split(text) if self.cut is not None and any(s in text for s in self.special) else [text]
+        for part in filter(None, parts):
+            own = [part] if part in self.special else SAFE.split(part) if SPACED.search(part) else part.split(" ")
+            own[0] = " " + own[0]
+            out += own
         return out
 
+    def special_id(self, chunk: str) -> int | None:
+        return self.special.get(chunk[1:]) if chunk.startswith(" ") else None
+
+    def chunk_pieces(self, chunks: list[str]) -> tuple[list[str], np.ndarray]:
+        """Words of stretches, one stretch after the other, and the number of words up to the end of each."""
+        heads = [self.words.findall(c[1:]) for c in chunks if c.startswith(" ")]
+        tails = self.words.findall("".join(" " + c for c in chunks if not c.startswith(" ")))
+        first = np.fromiter((c.startswith(" ") for c in chunks), bool, len(chunks))
+        ends = np.zeros(len(chunks), np.int64)
+        ends[first] = np.cumsum([len(h) for h in heads])
+        sizes = np.fromiter(map(len, chunks), np.int64, len(chunks))[~first] + 1
+        ends[~first] = np.searchsorted(np.cumsum(np.fromiter(map(len, tails), np.int64, len(tails))), np.cumsum(sizes)) + 1
+        by = np.argsort(~first, kind="stable")
+        chunks[:] = [chunks[i] for i in by.tolist()]
+        ends[~first] += sum(map(len, heads))
+        return [*chain(*heads), *tails], ends[by]
+
     def merge(self, word: bytes) -> list[int]:
         """Ids of a word: the pair of lowest rank is merged first, the leftmost of equals."""
         ids = [self.single[b] for b in word]
@@ -88,6 +130,48 @@ class Vocabulary:
                 found[i - 1] = get((ids[i - 1], ids[i]), none)
         return ids
 
+    def merge_many(self, words: list[bytes]) -> list[bytes]:
+        """The same for many words, as little-endian unsigned 32-bit integers. Words of one length step
+        together: in each step every word that still has a pair to merge loses one place."""
+        out = [b""] * len(words)
+        by = defaultdict(list)
+        for i, w in enumerate(words):
+            by[len(w)].append(i)
+        single = np.array(self.single, np.int64)
+        for length, places in by.items():
+            if length > 48:
+                for i in places:
+                    out[i] = np.array(self.merge(words[i]), "<u4").tobytes()
+                continue
+            at = np.array(places)
+            ids = single[np.frombuffer(b"".join([words[i] for i in places]), np.uint8).reshape(len(places), length)]
+            ranks = self.ranks(ids[:, :-1], ids[:, 1:])
+            while True:
+                best = ranks.argmin(1) if ranks.shape[1] else np.zeros(len(at), np.int64)
+                more = ranks[np.arange(len(at)), best] < len(self.made) if ranks.shape[1] else np.zeros(len(at), bool)
+                raw, step = ids[~more].astype("<u4").tobytes(), 4 * ids.shape[1]
+                for k, i in enumerate(at[~more].tolist()):
+                    out[i] = raw[k * step : (k + 1) * step]
+                if not more.any():
+                    break
+                at, ids, ranks, best = at[more], ids[more], ranks[more], best[more]
+                row = np.arange(len(at))
+                ids[row, best] = self.made[ranks[row, best]]
+                ids = without(ids, best + 1)
+                ranks = without(ranks, best)
+                left, right = row[best > 0], row[best < ranks.shape[1]]
+                b = best[left]
+                ranks[left, b - 1] = self.ranks(ids[left, b - 1], ids[left, b])
+                b = best[right]
+                ranks[right, b] = self.ranks(ids[right, b], ids[right, b + 1])
+        return out
+
+    def ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Ranks of pairs; those that don't merge have the number of all pairs."""
+        key = a << 32 | b
+        at = np.minimum(np.searchsorted(self.pairs, key), len(self.pairs) - 1)
+        return np.where(self.pairs[at] == key, self.pair_ranks[at], len(self.made)) if len(self.pairs) else np.zeros(key.shape, np.int64)
+
     def merge_long(self, ids: list[int]) -> list[int]:
         """The same with a heap and a linked list, for words of any length."""
         n = len(ids)
@@ -122,61 +206,58 @@ class Transducer:
 
     @classmethod
     def compile(cls, entries: Iterable[tuple[bytes, list[int]]]) -> Transducer:
-        """Build from distinct words: sorted insertion, each finished suffix replaced by an equal one."""
+        """Build from distinct words: sorted insertion, each finished state replaced by an equal one.
+
+        A state is finished after all that it leads to, so that words below it are counted at once; only
+        the states of the last word's path are unfinished.
+        """
         entries = sorted(entries)
-        arcs: list[dict[int, int]] = [{}]
-        final, register, path, last = [False], {}, [0], b""
+        register: dict[bytes, int] = {}
+        starts, labels, targets, skips = array("q", [0]), array("q"), array("q"), array("q")
+        final, below = array("q"), array("q")
+        path: list[list] = [[0, array("q"), array("q")]]  # final, labels, targets
+        last = b""
+
+        def finish() -> int:
+            ends, own, to = path.pop()
+            key = bytes([ends]) + own.tobytes() + to.tobytes()
+            state = register.setdefault(key, len(final))
+            if state == len(final):
+                n = ends
+                for label, target in zip(own, to, strict=True):
+                    labels.append(label)
+                    targets.append(target)
+                    skips.append(n)
+                    n += below[target]
+                starts.append(len(labels))
+                final.append(ends)
+                below.append(n)
+            return state
 
         def settle(depth: int) -> None:
             while len(path) - 1 > depth:
-                state, parent = path.pop(), path[-1]
-                label = last[len(path) - 1]
-                same = register.setdefault((final[state], tuple(arcs[state].items())), state)
-                arcs[parent][label] = same
+                label = last[len(path) - 2]
+                state = finish()
+                path[-1][1].append(label)
+                path[-1][2].append(state)
 
         for word, _ in entries:
             k = len(os.path.commonprefix([word, last]))
             settle(k)
-            for byte in word[k:]:
-                arcs.append({})
-                final.append(False)
-                arcs[path[-1]][byte] = len(arcs) - 1
-                path.append(len(arcs) - 1)
-            final[path[-1]] = True
+            path += [[0, array("q"), array("q")] for _ in range(len(word) - k)]
+            path[-1][0] = 1
             last = word
         settle(0)
+        root = finish()
 
-        order, number, stack = [], {}, [(0, False)]
-        while stack:  # targets before the states that lead to them
-            state, done = stack.pop()
-            if done:
-                order.append(state)
-            elif state not in number:
-                number[state] = -1
-                stack.append((state, True))
-                stack += [(t, False) for t in arcs[state].values() if t not in number]
-        for k, state in enumerate(reversed(order)):
-            number[state] = k
-        below: dict[int, int] = {}
-        keys, targets, skips = [], [], []
-        for state in order:
-            n = int(final[state])
-            for label in sorted(arcs[state]):
-                target = arcs[state][label]
-                keys.append(number[state] << 8 | label)
-                targets.append(number[target])
-                skips.append(n)
-                n += below[target]
-            below[state] = n
-        at = np.argsort(np.array(keys, np.int64), kind="stable")
-        ends = np.zeros(len(order), np.int64)
-        ends[[number[s] for s in order]] = [final[s] for s in order]
-        lengths = [len(ids) for _, ids in entries]
+        whole = lambda x: np.array(x, np.int64)
+        state = root - np.repeat(np.arange(len(final)), np.diff(whole(starts)))  # the root is number 0
+        keys = state << 8 | whole(labels)
+        at = np.argsort(keys, kind="stable")
         return cls({
-            "arc_key": np.array(keys, np.int64)[at], "arc_target": np.array(targets, np.int64)[at],
-            "arc_skip": np.array(skips, np.int64)[at], "final": ends,
-            "id_start": np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)]),
-            "ids": np.array([i for _, ids in entries for i in ids], np.int64),
+            "arc_key": keys[at], "arc_target": root - whole(targets)[at], "arc_skip": whole(skips)[at], "final": whole(final)[::-1].copy(),
+            "id_start": np.concatenate([[0], np.cumsum([len(ids) for _, ids in entries], dtype=np.int64)]).astype(np.int64),
+            "ids": np.fromiter((i for _, ids in entries for i in ids), np.int64),
         })
 
     def save(self, path: str) -> None:
@@ -185,7 +266,7 @@ class Transducer:
 
     @classmethod
     def load(cls, path: str) -> Transducer:
-        whole = np.memmap(path, "<i8", "r")
+        whole = np.asarray(np.memmap(path, "<i8", "r"))
         arrays, at = {}, len(cls.FIELDS)
         for field, n in zip(cls.FIELDS, whole[:at].tolist(), strict=True):
             arrays[field] = whole[at : at + n]
@@ -220,36 +301,73 @@ class Transducer:
         return out
 
 
+class Recent(dict):
+    """A mapping that keeps what was asked for lately: when it is full, what wasn't asked for since it
+    was last full is forgotten."""
+
+    def __init__(self, most: int):
+        super().__init__()
+        self.most, self.older = most, {}
+
+    def lacking(self, keys: set) -> list:
+        """Those of the keys that are nowhere; the others are here from now on."""
+        if len(self) > self.most:
+            self.older = dict(self)
+            self.clear()
+        new = keys - self.keys()
+        back = new & self.older.keys()
+        self.update((k, self.older[k]) for k in back)
+        return list(new - back)
+
+
 class Encoder:
-    """Encodes texts; ids of the words met so far are kept, up to a number of words."""
+    """Encodes texts; ids of stretches and of merged words met lately are kept."""
 
-    MOST = 400_000
+    MOST, LONGEST = 150_000, 64
 
     def __init__(self, vocabulary: Vocabulary, lexicon: Transducer):
         self.v, self.lexicon = vocabulary, lexicon
-        self.known: dict[str, bytes] = {}
-
-    def fill(self, new: list[str]) -> None:
-        if len(self.known) > self.MOST:
-            self.known.clear()
-        raw = [w.encode() for w in new]
-        for word, data, place in zip(new, raw, self.lexicon.places(raw).tolist(), strict=True):
-            if word in self.v.special:
-                ids = [self.v.special[word]]
-            elif place >= 0:
-                ids = self.lexicon.ids[self.lexicon.id_start[place] : self.lexicon.id_start[place + 1]]
-            else:
-                ids = self.v.merge(data)
-            self.known[word] = np.array(ids, "<u4").tobytes()
+        self.known, self.merged = Recent(self.MOST), Recent(self.MOST)
+
+    def words(self, new: set[str]) -> dict[str, bytes]:
+        """Ids of distinct words: those in the lexicon are read from it, others merged."""
+        names = list(new)
+        place = self.lexicon.places([w.encode() for w in names])
+        hit = np.flatnonzero(place >= 0)
+        out = {}
+        if len(hit):
+            start, end = self.lexicon.id_start[place[hit]], self.lexicon.id_start[place[hit] + 1]
+            sizes = end - start
+            last = np.cumsum(sizes)
+            at = np.repeat(start - last + sizes, sizes) + np.arange(last[-1])
+            raw = self.lexicon.ids[at].astype("<u4").tobytes()
+            stops = (last * 4).tolist()
+            out = {names[i]: raw[a:z] for i, a, z in zip(hit.tolist(), [0, *stops], stops, strict=False)}
+        others = {names[i] for i in np.flatnonzero(place < 0).tolist()}
+        new = self.merged.lacking(others)
+        self.merged.update(zip(new, self.v.merge_many([w.encode() for w in new]), strict=True))
+        for word in others:
+            out[word] = self.merged[word]
+            if len(word) > self.LONGEST:
+                del self.merged[word]
+        return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        pieces = [self.v.pieces(t) for t in texts]
-        if len(self.known) > self.MOST:
-            self.known.clear()
-        new = sorted(set().union(*pieces) - self.known.keys())
-        self.fill(new)
-        return [b"".join(map(self.known.__getitem__, p)) for p in pieces]
+        cut = [self.v.chunks(t) for t in texts]
+        new = self.known.lacking(set().union(*cut))
+        special = {c: i for c in new if (i := self.v.special_id(c)) is not None}
+        self.known.update((c, np.array([i], "<u4").tobytes()) for c, i in special.items())
+        chunks = [c for c in new if c not in special]
+        pieces, ends = self.v.chunk_pieces(chunks)
+        parts = list(map(self.words(set(pieces)).__getitem__, pieces))
+        raw, stops = b"".join(parts), np.cumsum([0, *map(len, parts)])[ends].tolist()
+        self.known.update((c, raw[a:z]) for c, a, z in zip(chunks, [0, *stops], stops, strict=False))
+        out = [b"".join(map(self.known.__getitem__, c)) for c in cut]
+        for chunk in new:
+            if len(chunk) > self.LONGEST:
+                del self.known[chunk]
+        return out
 
     def decode(self, ids: bytes) -> str:
         numbers = np.frombuffer(ids, "<u4").tolist()
@@ -269,32 +387,56 @@ def slices(texts: list[str | None], size: int = 1 << 20) -> Iterator[list[str]]:
         yield part
 
 
-def frequent_words(docs: DataFrame, content: str, least_share: float) -> list[str]:
-    """Words of at least ``least_share`` of all words of the corpus (and two at least), counted over whole texts."""
+def word_counts(docs: DataFrame, content: str) -> DataFrame:
+    """(word, n): words of the corpus, counted over whole texts. Stretches are counted first, and cut into words once each."""
     shared = docs.sparkSession.sparkContext.broadcast(content)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary, counts = Vocabulary(shared.value), Counter()
 
         def flush() -> pa.RecordBatch:
-            batch = pa.RecordBatch.from_arrays(
-                [pa.array([w.encode() for w in counts], pa.binary()), pa.array(list(counts.values()), pa.int64())], names=["word", "n"]
-            )
+            words: dict[str, int] = defaultdict(int)
+            chunks = [c for c in counts if vocabulary.special_id(c) is None]
+            pieces, ends = vocabulary.chunk_pieces(chunks)
+            times = np.repeat([counts[c] for c in chunks], np.diff(ends, prepend=0)).tolist()
+            for word, n in zip(pieces, times, strict=True):
+                words[word] += n
             counts.clear()
-            return batch
+            return pa.RecordBatch.from_arrays(
+                [pa.array([w.encode() for w in words], pa.binary()), pa.array(list(words.values()), pa.int64())], names=["word", "n"]
+            )
 
+        size = 0
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                counts.update(vocabulary.pieces(text or ""))
-            if len(counts) > 500_000:
-                yield flush()
+                counts.update(vocabulary.chunks(text or ""))
+                size += len(text or "")
+                if len(counts) > 400_000 or size > 1 << 26:
+                    yield flush()
+                    size = 0
         if counts:
             yield flush()
 
-    words = materialise(docs.select("text").mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")))
-    total = words.agg(F.sum("n")).first()[0] or 0
-    rows = words.filter((F.col("n") >= 2) & (F.col("n") >= least_share * total)).select("word").toArrow()
-    return [w.decode() for w in rows.column(0).to_pylist()]
+    return docs.select("text").mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def frequent_entries(docs: DataFrame, content: str, most: int) -> list[tuple[bytes, list[int]]]:
+    """The most frequent words that come twice at least, and their ids, which tasks merge."""
+    words = materialise(word_counts(docs, content))
+    band = F.floor(F.ln("n") * 64)
+    kinds, least = 0, math.inf
+    for b, n in sorted(words.filter("n > 1").groupBy(band).count().collect(), reverse=True):
+        kinds += n
+        least = b if kinds <= most else least
+    shared = docs.sparkSession.sparkContext.broadcast(content)
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary = Vocabulary(shared.value)
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(vocabulary.merge_many(batch.column(0).to_pylist()), pa.binary())], names=["word", "ids"])
+
+    chosen = words.filter((F.col("n") > 1) & (band >= F.lit(float(least)))).select("word").mapInArrow(merge, "word binary, ids binary").toArrow()
+    return [(w, np.frombuffer(i, "<u4").tolist()) for w, i in zip(chosen.column("word").to_pylist(), chosen.column("ids").to_pylist(), strict=True)]
 
 
 def ship(spark: SparkSession, lexicon: Transducer) -> str:
@@ -306,7 +448,7 @@ def ship(spark: SparkSession, lexicon: Transducer) -> str:
     return name
 
 
-def encode_documents(docs: DataFrame, vocabulary_path: str, *, least_share: float = LEAST_SHARE) -> DataFrame:
+def encode_documents(docs: DataFrame, vocabulary_path: str, *, most_words: int = MOST_WORDS) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_tokens, ids (little-endian 32-bit), decoded.
 
     Null counts as empty: no ids and an empty text. Special tokens written in a text become their ids,
@@ -316,9 +458,7 @@ def encode_documents(docs: DataFrame, vocabulary_path: str, *, least_share: floa
     spark = docs.sparkSession
     with open(vocabulary_path, encoding="utf-8") as f:
         content = f.read()
-    vocabulary = Vocabulary(content)
-    words = [w for w in frequent_words(docs, content, least_share) if w not in vocabulary.special]
-    name = ship(spark, Transducer.compile((w.encode(), vocabulary.merge(w.encode())) for w in words))
+    name = ship(spark, Transducer.compile(frequent_entries(docs, content, most_words)))
     shared = spark.sparkContext.broadcast(content)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

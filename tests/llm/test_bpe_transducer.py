@@ -56,6 +56,24 @@ def test_long_words(vocabulary, library):
         assert vocabulary.merge(text.encode()) == ids_of(library, text)
 
 
+def test_words_that_step_together(vocabulary):
+    rnd = random.Random(3)
+    words = [bytes(rnd.choice(b"aeinrst \xc3\xa9") for _ in range(rnd.randrange(0, 60))) for _ in range(3000)] + [b"aaaaaaa", b"a", b""]
+    assert [list(memoryview(x).cast("I")) for x in vocabulary.merge_many(words)] == [vocabulary.merge(w) for w in words]
+
+
+def test_stretches_cut_like_whole_texts(vocabulary):
+    rnd = random.Random(4)
+    encoder = Encoder(vocabulary, Transducer.compile([]))
+    encoder.known.most = encoder.merged.most = 5
+    for _ in range(300):
+        text = "".join(rnd.choice(["a", "b1", " ", "  ", "\n", "\t ", "\x1c", "\u3000", "'s", "!", "<|endoftext|>", "<|endof", "é"]) for _ in range(rnd.randrange(25)))
+        parts = vocabulary.cut.split(text)
+        words = [w for p in parts for w in ([p] if p in vocabulary.special else vocabulary.pieces(p))]
+        ids = [i for w in words for i in ([vocabulary.special[w]] if w in vocabulary.special else vocabulary.merge(w.encode()))]
+        assert list(memoryview(encoder.encode([text, "x" * 70])[0]).cast("I")) == ids
+
+
 def test_transducer_is_minimal_and_exact(tmp_path):
     rnd = random.Random(2)
     words = {bytes(rnd.choice(b"abc") for _ in range(rnd.randrange(1, 7))) for _ in range(400)}
