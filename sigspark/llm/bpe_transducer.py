@@ -12,8 +12,6 @@ import json
 import math
 import os
 import re
-import tempfile
-import uuid
 from array import array
 from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
@@ -22,11 +20,10 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, read_table
+from .common import materialise, read_table, scratch, ship_arrays
 
 # Fixed value: the split that byte-level BPE makes before its merges.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -260,19 +257,6 @@ class Transducer:
             "ids": np.fromiter((i for _, ids in entries for i in ids), np.int64),
         })
 
-    def save(self, path: str) -> None:
-        parts = [getattr(self, f).astype("<i8") for f in self.FIELDS]
-        np.concatenate([np.array([len(p) for p in parts], "<i8"), *parts]).tofile(path)
-
-    @classmethod
-    def load(cls, path: str) -> Transducer:
-        whole = np.asarray(np.memmap(path, "<i8", "r"))
-        arrays, at = {}, len(cls.FIELDS)
-        for field, n in zip(cls.FIELDS, whole[:at].tolist(), strict=True):
-            arrays[field] = whole[at : at + n]
-            at += n
-        return cls(arrays)
-
     def places(self, words: list[bytes]) -> np.ndarray:
         """Numbers of the words in the lexicon, -1 for others; all words step together."""
         lengths = np.array([len(w) for w in words], np.int64)
@@ -422,7 +406,7 @@ def word_counts(docs: DataFrame, content: str) -> DataFrame:
 
 def frequent_entries(docs: DataFrame, content: str, most: int) -> list[tuple[bytes, list[int]]]:
     """The most frequent words that come twice at least, and their ids, which tasks merge."""
-    words = materialise(word_counts(docs, content))
+    words = materialise(word_counts(docs, content))  # removed with the scope of the caller
     band = F.floor(F.ln("n") * 64)
     kinds, least = 0, math.inf
     for b, n in sorted(words.filter("n > 1").groupBy(band).count().collect(), reverse=True):
@@ -439,15 +423,6 @@ def frequent_entries(docs: DataFrame, content: str, most: int) -> list[tuple[byt
     return [(w, np.frombuffer(i, "<u4").tolist()) for w, i in zip(chosen.column("word").to_pylist(), chosen.column("ids").to_pylist(), strict=True)]
 
 
-def ship(spark: SparkSession, lexicon: Transducer) -> str:
-    """Hand the automaton to all executors as a file; executors that start later fetch it too."""
-    name = f"lexicon-{uuid.uuid4().hex}.bin"
-    path = os.path.join(tempfile.mkdtemp(prefix="lexicon-"), name)
-    lexicon.save(path)
-    spark.sparkContext.addFile(path)
-    return name
-
-
 def encode_documents(docs: DataFrame, vocabulary_path: str, *, most_words: int = MOST_WORDS) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_tokens, ids (little-endian 32-bit), decoded.
 
@@ -458,11 +433,14 @@ def encode_documents(docs: DataFrame, vocabulary_path: str, *, most_words: int =
     spark = docs.sparkSession
     with open(vocabulary_path, encoding="utf-8") as f:
         content = f.read()
-    name = ship(spark, Transducer.compile(frequent_entries(docs, content, most_words)))
+    with scratch(spark):
+        lexicon = Transducer.compile(frequent_entries(docs, content, most_words))
+    load = ship_arrays(spark, {f: getattr(lexicon, f) for f in Transducer.FIELDS})
+    del lexicon
     shared = spark.sparkContext.broadcast(content)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(Vocabulary(shared.value), Transducer.load(SparkFiles.get(name)))
+        encoder = Encoder(Vocabulary(shared.value), Transducer(load()))
         for batch in batches:
             at = 0
             for part in slices(batch.column(1).to_pylist()):

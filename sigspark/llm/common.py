@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+import atexit
+import os
+import shutil
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
+from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,16 +22,15 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
 
 
-#: Paths handed out and not yet removed, by application.
-_HANDED_OUT: dict[str, list[str]] = {}
+#: Paths of the innermost ``scratch`` that is open.
+_SCOPE: ContextVar[list[str] | None] = ContextVar("scratch", default=None)
 
 
-def shared_folder(spark: SparkSession, *, keep: bool = False) -> str:
-    """A new path below the folder that driver and executors share.
+def shared_folder(spark: SparkSession) -> str:
+    """A new path below the folder that driver and executors share; an open ``scratch`` removes it at its end.
 
     The cluster names the folder in ``spark.checkpoint.dir``. Only where neither that setting nor a
-    checkpoint folder is there (tests, one machine) a temporary folder is set. ``keep``: ``discard_all``
-    leaves it alone.
+    checkpoint folder is there (tests, one machine) a temporary folder is set.
     """
     sc = spark.sparkContext
     top = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
@@ -33,15 +39,16 @@ def shared_folder(spark: SparkSession, *, keep: bool = False) -> str:
         sc.setCheckpointDir(top)
         top = sc.getCheckpointDir()
     path = f"{top.rstrip('/')}/tables/{uuid.uuid4().hex}"
-    if not keep:
-        _HANDED_OUT.setdefault(sc.applicationId, []).append(path)
+    paths = _SCOPE.get()
+    if paths is not None:
+        paths.append(path)
     return path
 
 
-def materialise(df: DataFrame, *, keep: bool = False) -> DataFrame:
+def materialise(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts lineage and survives lost executors."""
     spark = df.sparkSession
-    path = shared_folder(spark, keep=keep)
+    path = shared_folder(spark)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.table_path = path
@@ -59,13 +66,39 @@ def discard(*tables: DataFrame) -> None:
         path = table.__dict__.pop("table_path", None)
         if path:
             remove(table.sparkSession, path)
-            _HANDED_OUT.get(table.sparkSession.sparkContext.applicationId, []).remove(path)
 
 
-def discard_all(spark: SparkSession) -> None:
-    """Remove all that is still there of earlier operators' tables; their results must have been written."""
-    for path in _HANDED_OUT.pop(spark.sparkContext.applicationId, []):
-        remove(spark, path)
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """The tables that are materialised inside go at its end, but for what is passed through the function
+    that it yields: that is written for whoever is outside."""
+    outer, paths = _SCOPE.get(), []
+
+    def keep(df: DataFrame) -> DataFrame:
+        inside = _SCOPE.set(outer)
+        try:
+            return materialise(df)
+        finally:
+            _SCOPE.reset(inside)
+
+    opened = _SCOPE.set(paths)
+    try:
+        yield keep
+    finally:
+        _SCOPE.reset(opened)
+        for path in paths:
+            remove(spark, path)
+
+
+def scoped(operator: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """An operator on a table that leaves nothing on the shared folder but its result, which is written there."""
+
+    @wraps(operator)
+    def run(table: DataFrame, *args: object, **options: object) -> DataFrame:
+        with scratch(table.sparkSession) as keep:
+            return keep(operator(table, *args, **options))
+
+    return run
 
 
 def ascii_lower(text: Column) -> Column:
@@ -95,10 +128,36 @@ def hashed_sample(df: DataFrame, most: int, *keys: str) -> DataFrame:
     return df.orderBy(order, *keys).limit(most)
 
 
-def text_bytes(column: pa.Array) -> Iterator[bytes]:
-    """UTF-8 bytes of each text; null gives empty bytes."""
-    for value in column.cast(pa.large_binary()).to_pylist():
-        yield value or b""
+def text_bytes(column: pa.Array, rows: int = 128) -> Iterator[bytes]:
+    """UTF-8 bytes of each text, of a few rows at a time; null gives empty bytes."""
+    for at in range(0, len(column), rows):
+        for value in column.slice(at, rows).cast(pa.large_binary()).to_pylist():
+            yield value or b""
+
+
+def ship_arrays(spark: SparkSession, arrays: dict[str, np.ndarray]) -> Callable[[], dict[str, np.ndarray]]:
+    """Hand arrays to all executors as one file; those that start later fetch it too.
+
+    Called in a task, the result memory-maps them, so that the workers of a machine share their pages.
+    The driver's copy, which executors fetch, goes when the driver ends.
+    """
+    name = f"arrays-{uuid.uuid4().hex}.bin"
+    folder = tempfile.mkdtemp(prefix="arrays-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    layout = []
+    with open(os.path.join(folder, name), "wb") as f:
+        f.write(bytes(8))
+        for key, x in arrays.items():
+            f.write(bytes(-f.tell() % 8))
+            layout.append((key, x.dtype.str, f.tell(), x.nbytes))
+            np.ascontiguousarray(x).tofile(f)
+    spark.sparkContext.addFile(os.path.join(folder, name))
+
+    def load() -> dict[str, np.ndarray]:
+        whole = np.asarray(np.memmap(SparkFiles.get(name), np.uint8, "r"))
+        return {key: whole[at : at + size].view(kind) for key, kind, at, size in layout}
+
+    return load
 
 
 def mix64(x: np.ndarray) -> np.ndarray:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import hashed_sample, materialise, read_table
+from .common import hashed_sample, materialise, read_table, scoped
 from .components import components
 
 #: Added to every bound on distances of single precision.
@@ -262,6 +262,7 @@ def links_of(reps: DataFrame, s: Settings) -> DataFrame:
     return pairs.groupBy("first", "second").applyInArrow(lambda t: compare(t, s), "id long, links long, other long")
 
 
+@scoped
 def embedding_links(vectors: DataFrame, s: Settings = Settings()) -> DataFrame:
     """One row per row of ``vectors``: vec_id, n_links, component_id, kept.
 

@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, ascii_lower, materialise, read_table, shared_folder
+from .common import LOWER, UPPER, ascii_lower, materialise, read_table, scoped, shared_folder
 
 #: State on disk, uploaded by its changes, and without space reserved ahead in each of many small stores.
 STATE = {
@@ -71,6 +71,7 @@ def run_to_table(spark: SparkSession, stream: DataFrame, path: str, checkpoint:
     )
 
 
+@scoped
 def exact_dedup(
     docs: DataFrame,
     *,

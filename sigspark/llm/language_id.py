@@ -7,6 +7,7 @@ Texts are scored in batches: presence rows x landmark incidence x weights.
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -16,7 +17,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import fold_of, read_table
+from .common import fold_of, materialise, read_table, scratch
 
 LETTER = regex.compile(r"\p{L}")
 UNKNOWN = "und"
@@ -24,15 +25,23 @@ UNKNOWN = "und"
 
 @dataclass(frozen=True)
 class Settings:
-    """At most ``per_lang`` labelled rows of each language are learnt from, and ``landmarks`` of them span the map."""
+    """At most ``per_lang`` labelled rows of each language are learnt from, and ``landmarks`` of them span the
+    map: fewer where that would be over ``most_rows`` or ``most_landmarks`` in all, but one of each language."""
 
     per_lang: int = 300
     landmarks: int = 40
+    most_rows: int = 20_000
+    most_landmarks: int = 1_000
     widths: tuple[int, ...] = (1, 2, 3)
     ridge: float = 1e-4
     parts: int = 4
     held: int = 2
 
+    def shares(self, langs: int) -> tuple[int, int]:
+        """Rows and landmarks of each language."""
+        rows = max(1, min(self.per_lang, self.most_rows // langs))
+        return rows, max(1, min(self.landmarks, self.most_landmarks // langs, rows))
+
 
 def codes_of(text: bytes, width: int) -> np.ndarray:
     """Packed byte n-grams of a text, with repeats."""
@@ -50,14 +59,6 @@ def prepared(text: str) -> bytes:
     return b" " + text.lower().encode("utf-8", "replace") + b" "
 
 
-@dataclass
-class Model:
-    langs: list[str]
-    grams: list[np.ndarray]  # of each width, the packed n-grams of the landmarks, sorted
-    incidence: np.ndarray  # n-gram x landmark, presence / sqrt(|P(landmark)|)
-    weights: np.ndarray  # landmark x language
-
-
 class Presence:
     """Looks up the distinct n-grams of texts in a model's n-grams, by direct tables."""
 
@@ -93,42 +94,130 @@ def presence_rows(texts: list[bytes], look: Presence, size: int) -> np.ndarray:
     return rows
 
 
-def fit(texts: list[str], labels: list[str], settings: Settings) -> Model | None:
-    langs = sorted(set(labels))
-    if not langs:
-        return None
-    raw = [prepared(t) for t in texts]
-    marks = [i for g in langs for i in [k for k, x in enumerate(labels) if x == g][: settings.landmarks]]
-    sets = [[np.unique(codes_of(raw[i], w)) for i in marks] for w in settings.widths]
-    grams = [np.unique(np.concatenate(s)) for s in sets]
-    size = sum(map(len, grams))
-    incidence, start = np.zeros((size, len(marks)), np.float32), 0
-    for own, codes in zip(sets, grams, strict=True):
-        for k, s in enumerate(own):
-            incidence[start + np.searchsorted(codes, s), k] = 1
-        start += len(codes)
-    incidence /= np.sqrt(incidence.sum(0, keepdims=True))
-    look = Presence(settings.widths, grams)
-    kernel = (presence_rows(raw, look, size) @ incidence).astype(np.float64)
-    among = kernel[marks]
-    target = np.where(np.array(labels)[:, None] == np.array(langs), 1.0, -1.0)
-    left = kernel.T @ kernel + settings.ridge * len(raw) * (among + among.T) / 2 + 1e-8 * np.eye(len(marks))
-    weights = np.linalg.lstsq(left, kernel.T @ target, rcond=None)[0]
-    return Model(langs, grams, incidence, weights.astype(np.float32))
+class Landmarks:
+    """The n-grams of landmark texts, and the kernel between texts and them."""
+
+    def __init__(self, sets: list[list[np.ndarray]], widths: tuple[int, ...]):
+        """From each landmark's distinct n-grams of each width."""
+        self.widths = widths
+        self.grams = [np.unique(np.concatenate([own[k] for own in sets])) for k in range(len(widths))]
+        self.incidence, start = np.zeros((sum(map(len, self.grams)), len(sets)), np.float32), 0
+        for k, codes in enumerate(self.grams):
+            for i, own in enumerate(sets):
+                self.incidence[start + np.searchsorted(codes, own[k]), i] = 1
+            start += len(codes)
+        self.incidence /= np.sqrt(np.maximum(1, self.incidence.sum(0, keepdims=True)))
+
+    def kernel(self, texts: list[bytes], look: Presence, weights: np.ndarray | None = None, rows: int = 128) -> np.ndarray:
+        """Texts x landmarks, or texts x languages with the weights."""
+        right = lambda x: x @ self.incidence if weights is None else x @ self.incidence @ weights
+        parts = [right(presence_rows(texts[i : i + rows], look, len(self.incidence))) for i in range(0, len(texts), rows)]
+        return np.concatenate(parts) if parts else np.empty((0, 0), np.float32)
+
+
+def solve(kernel: np.ndarray, among: np.ndarray, labels: np.ndarray, langs: list[str], ridge: float) -> np.ndarray:
+    """Weights of one-versus-rest ridge regression in the landmarks' map."""
+    kernel = kernel.astype(np.float64)
+    target = np.where(labels[:, None] == np.array(langs), 1.0, -1.0)
+    left = kernel.T @ kernel + ridge * len(kernel) * (among + among.T) / 2 + 1e-8 * np.eye(len(among))
+    return np.linalg.lstsq(left, kernel.T @ target, rcond=None)[0]
 
 
 def learn(docs: DataFrame, settings: Settings) -> Model | None:
-    """Fit on the first rows of each language in an order by hash. Each task passes on ``per_lang`` rows at most."""
-    known = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold_of(F.col("doc_id"), settings.parts) != settings.held))
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = known.select("doc_id", "lang").withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= settings.per_lang)
-    ids = {(r.doc_id, r.lang): r["rank"] for r in chosen.collect()}
-    if not ids:
+    """Fit on the first rows of each language in an order by hash.
+
+    Each task passes on as many ids as are wanted at most. Tasks reduce texts to n-gram sets of landmarks,
+    and to kernel values: the driver gets ``most_landmarks`` sets and ``most_rows`` x ``most_landmarks`` numbers at most.
+    """
+    fold = fold_of(F.col("doc_id"), settings.parts)
+    known = docs.filter(F.col("lang").isNotNull() & F.col("text").rlike("\\p{L}") & (fold != settings.held))
+    key = ["lang", "doc_id", "mark"]
+    known = known.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").alias("lang"), F.xxhash64("text").alias("mark"), "text")
+    langs = sorted(r.lang for r in known.select("lang").distinct().collect())
+    if not langs:
         return None
-    wanted = docs.sparkSession.createDataFrame([(k[0], k[1], v) for k, v in ids.items()], "doc_id long, lang string, rank int")
-    rows = known.select("doc_id", "lang", "text").join(F.broadcast(wanted), ["doc_id", "lang"]).dropDuplicates(["doc_id", "lang"]).collect()
-    rows = sorted((r for r in rows if LETTER.search(r.text)), key=lambda r: (r.lang, r["rank"]))
-    return fit([r.text for r in rows], [r.lang for r in rows], settings)
+    rows, marks = settings.shares(len(langs))
+    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "mark")
+    chosen = known.select(*key).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= rows)
+    spark = docs.sparkSession
+    wanted = spark.createDataFrame([tuple(r) for r in chosen.collect()], "lang string, doc_id long, mark long, rank int")
+    texts = materialise(known.join(F.broadcast(wanted.dropDuplicates(key)), key).dropDuplicates(["lang", "rank"]).select("lang", "rank", "text"))
+
+    def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [[np.unique(codes_of(prepared(t), w)) for w in settings.widths] for t in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sets, pa.list_(pa.list_(pa.int32())))], names=["lang", "rank", "sets"])
+
+    found = texts.filter(F.col("rank") <= marks).mapInArrow(sets_of, "lang string, rank int, sets array<array<int>>").toArrow().sort_by([("lang", "ascending"), ("rank", "ascending")])
+    landmarks = Landmarks([[np.array(x, np.int32) for x in own] for own in found.column("sets").to_pylist()], settings.widths)
+    order = dict(zip(zip(found.column("lang").to_pylist(), found.column("rank").to_pylist(), strict=True), range(len(found)), strict=True))
+    shared = spark.sparkContext.broadcast(landmarks)
+
+    def kernels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        marks, look = shared.value, None
+        for batch in batches:
+            look = look or Presence(marks.widths, marks.grams)
+            values = marks.kernel([prepared(t) for t in batch.column(2).to_pylist()], look)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(list(values), pa.list_(pa.float32()))], names=["lang", "rank", "kernel"])
+
+    out = texts.mapInArrow(kernels, "lang string, rank int, kernel array<float>").toArrow().sort_by([("lang", "ascending"), ("rank", "ascending")])
+    labels, kernel = out.column("lang").to_pylist(), np.array(out.column("kernel").to_pylist(), np.float32)
+    among = np.zeros((len(order), len(order)))
+    for row, k in zip(kernel, zip(labels, out.column("rank").to_pylist(), strict=True), strict=True):
+        if k in order:
+            among[order[k]] = row
+    return Model(langs, landmarks, solve(kernel, among, np.array(labels), langs, settings.ridge).astype(np.float32))
+
+
+@dataclass
+class Model:
+    langs: list[str]
+    landmarks: Landmarks
+    weights: np.ndarray  # landmark x language
+
+    def predict(self, texts: list[str], look: Presence) -> tuple[np.ndarray, np.ndarray]:
+        """Languages and scores of texts that have a letter."""
+        value = self.landmarks.kernel([prepared(t) for t in texts], look, self.weights)
+        return np.array(self.langs, object)[value.argmax(1)], np.clip((1 + value.max(1)) / 2, 0, 1)
+
+
+def predictions(model: Model | None, columns: Iterator[list[str | None]]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For each list of texts: which have a letter, their languages, and their scores."""
+    look = None
+    for texts in columns:
+        lettered = np.fromiter((bool(t and LETTER.search(t)) for t in texts), bool, len(texts))
+        langs, scores = np.full(len(texts), UNKNOWN, object), np.zeros(len(texts))
+        if model and lettered.any():
+            look = look or Presence(model.landmarks.widths, model.landmarks.grams)
+            langs[lettered], scores[lettered] = model.predict([t for t, x in zip(texts, lettered, strict=True) if x], look)
+        yield lettered, langs, scores
+
+
+def accepted(docs: DataFrame, settings: Settings = Settings(), model: Model | None = None) -> DataFrame:
+    """The rows of ``docs`` whose text has a letter, with the predicted language where ``lang`` is null.
+
+    Null texts and texts without a letter are rejected. Where there is no labelled row to learn from, ``lang`` stays.
+    """
+    model = model or scoped_model(docs, settings)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    text, lang = docs.columns.index("text"), docs.columns.index("lang")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting: deque[pa.RecordBatch] = deque()
+        texts = (waiting.append(batch) or batch.column(text).to_pylist() for batch in batches)
+        for lettered, langs, _ in predictions(shared.value, texts):
+            batch = waiting.popleft()
+            if shared.value:
+                own = [a or b for a, b in zip(batch.column(lang).to_pylist(), langs, strict=True)]
+                batch = batch.set_column(lang, batch.schema.field(lang), pa.array(own, batch.schema.field(lang).type))
+            yield batch.filter(pa.array(lettered))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
+def scoped_model(docs: DataFrame, settings: Settings) -> Model | None:
+    with scratch(docs.sparkSession):
+        return learn(docs, settings)
 
 
 def identify(docs: DataFrame, settings: Settings = Settings(), model: Model | None = None) -> DataFrame:
@@ -139,24 +228,14 @@ def identify(docs: DataFrame, settings: Settings = Settings(), model: Model | No
     Ties go to the alphabetically first language. Null ids count as not held out and aren't learnt
     from. An empty table gives no row. Other columns, and lang itself, don't enter a prediction.
     """
-    model = model or learn(docs, settings)
+    model = model or scoped_model(docs, settings)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, look = shared.value, None
-        for batch in batches:
-            texts = batch.column(2).to_pylist()
-            langs, scores = np.full(len(texts), UNKNOWN, object), np.zeros(len(texts))
-            at = [i for i, t in enumerate(texts) if model and t and LETTER.search(t)]
-            if at and look is None:
-                look = Presence(settings.widths, model.grams)
-            for k in range(0, len(at), 128):
-                part = at[k : k + 128]
-                rows = presence_rows([prepared(texts[i]) for i in part], look, len(model.incidence))
-                value = rows @ model.incidence @ model.weights
-                best = value.argmax(1)
-                langs[part] = np.array(model.langs, object)[best]
-                scores[part] = np.clip((1 + value.max(1)) / 2, 0, 1)
+        waiting: deque[pa.RecordBatch] = deque()
+        texts = (waiting.append(batch) or batch.column(2).to_pylist() for batch in batches)
+        for _, langs, scores in predictions(shared.value, texts):
+            batch = waiting.popleft()
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(langs, pa.string()), pa.array(scores)],
                 names=["doc_id", "held_out", "lang_pred", "score"],

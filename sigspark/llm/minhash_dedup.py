@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, mix64, read_table, text_bytes
+from .common import materialise, mix64, read_table, scoped, text_bytes
 from .components import components
 
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
@@ -209,6 +209,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame, plan: Plan) -> DataFrame:
     return both.filter(shared * 100 >= union * plan.percent).select("a", "b")
 
 
+@scoped
 def near_duplicates(docs: DataFrame, plan: Plan = Plan()) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id, kept.
 

@@ -14,9 +14,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, read_table
+from .common import materialise, read_table, scoped
 
 GRID = 32
+DRAWN = "mixing_row"
 
 
 @dataclass(frozen=True)
@@ -87,6 +88,7 @@ def budgets(sources: DataFrame, settings: Settings) -> DataFrame:
     )
 
 
+@scoped
 def mix(docs: DataFrame, settings: Settings = Settings(), tokens: Column | None = None) -> DataFrame:
     """One row per drawn copy of a document: doc_id, source, tokens, epoch, block, place.
 
@@ -125,12 +127,12 @@ def mix(docs: DataFrame, settings: Settings = Settings(), tokens: Column | None
 
 
 def repeated(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """``docs`` with each row as often as the mixture draws it. Ids should be unique; null ids stay once."""
-    copies = mix(docs, settings).groupBy(F.col("doc_id").alias("drawn_id")).agg(F.count(F.lit(1)).alias("drawn_times"))
-    columns = [F.col(f"d.`{c}`") for c in docs.columns]
-    both = docs.alias("d").join(copies.alias("c"), F.col("d.doc_id") == F.col("c.drawn_id"), "left")
-    times = F.when(F.col("d.doc_id").isNull(), 1).otherwise(F.coalesce("c.drawn_times", F.lit(0))).cast("int")
-    return both.withColumn("drawn_copy", F.explode(F.when(times > 0, F.sequence(F.lit(1), times)))).select(*columns)
+    """``docs`` with each row as often as the mixture draws it; rows that repeat an id, or have none, are drawn one by one."""
+    rows, ids = docs.agg(F.count(F.lit(1)), F.count_distinct("doc_id")).first()
+    named = docs.withColumn(DRAWN, F.col("doc_id")) if rows == ids else materialise(docs.withColumn(DRAWN, F.monotonically_increasing_id()))
+    copies = mix(named.select(F.col(DRAWN).alias("doc_id"), "source", "text"), settings).groupBy(F.col("doc_id").alias(DRAWN)).agg(F.count(F.lit(1)).cast("int").alias(DRAWN + "_times"))
+    both = named.join(copies, DRAWN)
+    return both.withColumn(DRAWN + "_copy", F.explode(F.sequence(F.lit(1), F.col(DRAWN + "_times")))).select(*docs.columns)
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

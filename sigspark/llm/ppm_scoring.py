@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import fold_of, materialise, read_table, text_bytes
+from .common import fold_of, materialise, read_table, scoped, ship_arrays, text_bytes
 
 #: Bytes that UTF-8 never has: before a text's first byte, and its end, which is coded as a symbol.
 PAD, END = 0xFE, 0xFF
@@ -32,7 +32,7 @@ SYMBOLS = 255
 #: Contexts that agree in so many last bytes are in one part of the trie. Shorter ones (2^24 at most) are in all.
 SUFFIX = 3
 #: Symbols in context in a part of the trie, on average, and the least number of parts.
-PART, PARTS = 1 << 18, 32
+PART, PARTS = 1 << 17, 32
 
 
 @dataclass(frozen=True)
@@ -46,7 +46,7 @@ class Settings:
     parts: int = 7
     held: int = 2
     least_gram: float = 2.0**-22
-    least_word: float = 1 / 400_000
+    least_word: float = 1 / 200_000
 
 
 def framed(texts: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray]:
@@ -216,6 +216,7 @@ class Settled:
     """Values of packed bytes in a direct-mapped table; what finds its slot taken is in sorted arrays."""
 
     BITS = 22
+    FIELDS = ("key", "value", "more", "more_value")
 
     def __init__(self, order: int, entries: Iterable[tuple[np.ndarray, np.ndarray, np.ndarray]]):
         """From batches of keys, counts and values."""
@@ -240,6 +241,13 @@ class Settled:
         by = np.argsort(self.more)
         self.more, self.more_value = self.more[by], np.concatenate(more_value)[by]
 
+    @classmethod
+    def of(cls, order: int, arrays: dict[str, np.ndarray]) -> Settled:
+        """From its arrays, which may be memory-mapped."""
+        out = cls.__new__(cls)
+        out.__dict__.update(arrays, order=order)
+        return out
+
     def slots(self, grams: np.ndarray) -> np.ndarray:
         with np.errstate(over="ignore"):
             return ((grams.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.BITS)).view(np.int64)
@@ -371,6 +379,7 @@ TAIL = pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64())]))
 ASKED = pa.list_(pa.struct([("part", pa.int32()), ("grams", pa.binary()), ("other", pa.binary())]))
 
 
+@scoped
 def ppm_scores(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """One row per row of ``docs``: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
@@ -395,17 +404,17 @@ def ppm_scores(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     grams = counts.filter("gram is not null").select("gram", "n")
     settled, kinds = settled_values(grams, settings)
     parts = max(PARTS, kinds // PART)
-    model = spark.sparkContext.broadcast(settled)
+    model = ship_arrays(spark, {f: getattr(settled, f) for f in Settled.FIELDS})
     del settled
     lookup = spark.sparkContext.broadcast(known)
     ends = int(total > 0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer, get = model.value, lookup.value.get
+        scorer, get = Settled.of(settings.order, model()), lookup.value.get
         row = TaskContext.get().partitionId() << 40
         for batch in batches:
             at = 0
-            for part in runs(text_bytes(batch.column(2))):
+            for part in runs(text_bytes(batch.column(2)), 1 << 18):
                 n = len(part)
                 numbers, tails = np.zeros((n, 2), np.int64), []
                 base = np.full(n, end)

@@ -8,6 +8,7 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from sigspark.llm.bpe_transducer import Encoder, Transducer, Vocabulary, default_vocabulary, digests, encode_documents
+from sigspark.llm.common import ship_arrays
 
 
 @pytest.fixture(scope="module")
@@ -74,13 +75,12 @@ def test_stretches_cut_like_whole_texts(vocabulary):
         assert list(memoryview(encoder.encode([text, "x" * 70])[0]).cast("I")) == ids
 
 
-def test_transducer_is_minimal_and_exact(tmp_path):
+def test_transducer_is_minimal_and_exact(spark):
     rnd = random.Random(2)
     words = {bytes(rnd.choice(b"abc") for _ in range(rnd.randrange(1, 7))) for _ in range(400)}
     entries = [(w, list(w)) for w in words]
     built = Transducer.compile(entries)
-    built.save(str(tmp_path / "x.bin"))
-    loaded = Transducer.load(str(tmp_path / "x.bin"))
+    loaded = Transducer(ship_arrays(spark, {f: getattr(built, f) for f in Transducer.FIELDS})())
     probes = [*words, b"", b"abcabcabc", b"d", *(w + b"a" for w in words)]
     for word, place in zip(probes, loaded.places(probes).tolist(), strict=True):
         assert (place >= 0) == (word in words)
