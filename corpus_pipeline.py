@@ -1,55 +1,66 @@
 """The corpus pipeline: language ID, exact and near deduplication, mixing, encoding.
 
-Each stage works on all rows that the one before it kept. Between stages, rows are written as
-Parquet to the shared folder and read again; a stage's result must be written before the next stage
-begins, which first removes the tables that earlier stages worked with.
+Each stage works on all rows that the one before it kept, by rows and not by ids: where ids are null
+or repeated, rows are numbered first. Between stages, rows are written as Parquet to the shared folder
+and read again. Run by ``run``, a stage's own tables go when its result is written.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sigspark.llm.bpe_transducer import default_vocabulary, encode_documents
-from sigspark.llm.common import discard_all, materialise, read_table
+from sigspark.llm.common import materialise, read_table, scratch
 from sigspark.llm.exact_dedup import exact_dedup
-from sigspark.llm.language_id import UNKNOWN, identify
+from sigspark.llm.language_id import accepted
 from sigspark.llm.minhash_dedup import near_duplicates
 from sigspark.llm.mixing import repeated
 
+ROW = "pipeline_row"
+
+
+def one_of_each(docs: DataFrame, judge: Callable[[DataFrame], DataFrame], group: str, best: Callable[[Column], Column]) -> DataFrame:
+    """One row of each group of ``docs``: that of the best id.
 
-def only(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Rows of ``docs`` whose id is among those of ``wanted``. Rows without an id can't be named by a result, and go."""
-    return docs.join(wanted.select("doc_id").distinct(), "doc_id", "left_semi").select(*docs.columns)
+    ``judge`` gives doc_id, kept and the group's name. Unique ids are used as they are. Otherwise rows get
+    numbers in their place, and the best of a group is that of the best id, then number.
+    """
+    rows, ids = docs.agg(F.count(F.lit(1)), F.count_distinct("doc_id")).first()
+    if rows == ids:
+        kept = judge(docs).filter("kept").select("doc_id")
+        return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+    numbered = materialise(docs.withColumn(ROW, F.monotonically_increasing_id()))
+    judged = judge(numbered.select(F.col(ROW).alias("doc_id"), "text")).select(F.col("doc_id").alias(ROW), F.col(group).alias("group"))
+    chosen = judged.join(numbered.select(ROW, "doc_id"), ROW).groupBy("group").agg(best(F.struct("doc_id", ROW))[ROW].alias(ROW))
+    return numbered.join(chosen, ROW, "left_semi").select(*docs.columns)
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without a letter, and null texts, are rejected (all are where no row has a language to learn from); the rest go on."""
-    discard_all(spark)
-    return only(docs, identify(docs).filter(F.col("lang_pred") != UNKNOWN))
+    """Null texts and texts without a letter are rejected; the rest go on, with the predicted language where
+    ``lang`` is null. Where no row has a language to learn from, ``lang`` stays as it is."""
+    return accepted(docs)
 
 
 def drop_exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts, the largest id stays."""
-    discard_all(spark)
-    return only(docs, exact_dedup(docs).filter("kept"))
+    """Of equal texts, one row with the largest id stays."""
+    return one_of_each(docs, exact_dedup, "keep_id", F.max)
 
 
 def drop_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates, the smallest id stays."""
-    discard_all(spark)
-    return only(docs, near_duplicates(docs).filter("kept"))
+    """Of each group of near duplicates, one row with the smallest id stays (of null ids only, any of them)."""
+    return one_of_each(docs, near_duplicates, "component_id", F.min)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document stays; those of small sources come up to twice, by the mixture's weights."""
-    discard_all(spark)
+    """Every row stays; those of small sources come up to twice, and a third time only to fill a last partial pass."""
     return repeated(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each row, with digests."""
-    discard_all(spark)
     encoded = encode_documents(docs, default_vocabulary())
     return encoded.select("doc_id", "n_tokens", "ids", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
@@ -67,8 +78,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
-    for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = materialise(docs, keep=True)
-    return docs
+    for _, stage in STAGES[:-1]:
+        with scratch(spark) as written:
+            docs = written(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)
