@@ -26,9 +26,21 @@ def moments(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarr
         return m, v, (c**3).mean(1) / v**1.5, (c**4).mean(1) / v**2
 
 
-def entropy(p: np.ndarray) -> np.ndarray:
-    p = p / (p.sum(1, keepdims=True) + EPS)
-    return -(p * np.log2(p + EPS)).sum(1)
+TINY = 1e-10
+
+
+def bits(p: np.ndarray) -> np.ndarray:
+    """Entropy in bits of rows that sum to one, or of a part of them."""
+    return -(p * np.log2(p + TINY)).sum(1)
+
+
+def share(x: np.ndarray) -> np.ndarray:
+    return x / x.sum(1, keepdims=True)
+
+
+def halves(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sums of the first and the second half of the bins."""
+    return x[:, : x.shape[1] // 2].sum(1), x[:, x.shape[1] // 2 :].sum(1)
 
 
 class Shared:
@@ -55,8 +67,12 @@ class Shared:
         return self.get("power", lambda: np.abs(self.spec) ** 2)
 
     @property
-    def shifted(self):
-        return self.get("shifted", lambda: np.fft.fftshift(np.abs(self.spec), axes=1))
+    def amp(self):
+        return self.get("amp", lambda: np.abs(self.spec))
+
+    @property
+    def freqs(self):
+        return np.fft.fftfreq(self.x.shape[1])
 
     @property
     def hilbert(self):
@@ -94,8 +110,9 @@ def phase_family(s: Shared) -> dict:
     d = np.diff(s.phase, axis=1)
     wrapped = np.diff(np.angle(s.x**4), axis=1)
     cubic, quartic = np.diff(np.angle(s.x**3), axis=1), np.angle(s.x**4)
-    return {"inst_freq_std": d.std(1), "inst_freq_dev": d.std(1) / (2 * np.pi), "phase_deviation_rate": np.abs(d).mean(1), "frequency_variance": d.var(1),
-            "phase_change_rate": wrapped.var(1), "phase_skew_cubic": moments(cubic)[2] ** 3, "phase_skew_quartic": moments(quartic)[2] ** 4}
+    return {"inst_freq_std": d.std(1), "inst_freq_dev": d.std(1) / (2 * np.pi), "phase_deviation_rate": d.std(1), "frequency_variance": d.var(1),
+            "phase_change_rate": wrapped.var(1), "phase_skew_cubic": moments(cubic)[2] ** 3, "phase_skew_quartic": moments(quartic)[2] ** 4, "iq_phase_variance": np.angle(s.x).var(1), "iq_phase_skewness": moments(np.angle(s.x))[2],
+            "iq_phase_kurtosis": moments(np.angle(s.x))[3], "iq_freq_rms": np.sqrt((d**2).mean(1))}
 
 
 def constellation_family(s: Shared) -> dict:
@@ -106,138 +123,161 @@ def constellation_family(s: Shared) -> dict:
 
 
 def envelope_family(s: Shared) -> dict:
+    """Envelope of the analytic signal of the real part; some of the real part's cube, or of its square less one."""
     e = np.abs(s.hilbert)
     m, v, skew, kurt = moments(e)
-    q = np.percentile(e, [25, 75], axis=1)
-    smooth = sp.gaussian(e**2, 3)
-    return {"env_mean": m, "env_variance": v, "env_std": np.sqrt(v), "env_skewness": skew, "env_kurtosis": kurt, "env_rms": np.sqrt((e**2).mean(1)), "env_peak_ratio": e.max(1) / (m + EPS),
-            "env_iqr": q[1] - q[0], "amplitude_asymmetry": ((e - m[:, None]) ** 3).mean(1), "modulation_index": (e.max(1) - e.min(1)) / (e.max(1) + e.min(1) + EPS),
-            "modulation_index_std": np.sqrt(v) / (m + EPS), "temporal_energy_variance": smooth.var(1)}
+    cubic = np.abs(sp.analytic(s.x.real**3))
+    quartiles = lambda x: np.subtract(*np.percentile(x, [75, 25], axis=1))
+    return {"env_mean": m, "env_variance": v, "env_std": np.sqrt(v), "env_kurtosis": kurt, "env_rms": np.sqrt((e**2).mean(1)), "env_rms_polynomial": np.sqrt((np.abs(sp.analytic(s.x.real**2 - 1)) ** 2).mean(1)),
+            "env_peak_ratio": e.max(1) / m, "env_iqr": quartiles(e), "env_iqr_cubic": quartiles(np.abs(sp.analytic(cubic))), "amplitude_asymmetry": skew, "amplitude_asymmetry_cubic": moments(cubic)[2],
+            "modulation_index": v / m, "modulation_index_peak": (e.max(1) - m) / (m + TINY), "temporal_energy_variance": sp.gaussian(e, 3).var(1)}
 
 
 def analytic_phase_family(s: Shared) -> dict:
+    """Phase of the analytic signal of the real part, and its steps (radians a sample)."""
     ph = np.unwrap(np.angle(s.hilbert), axis=1)
-    f = np.diff(ph, axis=1) / (2 * np.pi)
+    d = np.diff(ph, axis=1)
+    same = np.concatenate([d, d[:, -1:]], 1) / (2 * np.pi)  # as long as the window: the last step twice
     m, v, skew, kurt = moments(ph)
-    hist = np.stack([np.histogram(r, bins=64)[0] for r in f]).astype(float) if len(f) else np.empty((0, 64))
+    density = np.stack([np.histogram(r, bins=64, density=True)[0] for r in d]) + TINY if len(d) else np.empty((0, 64))
+    cubic = np.diff(np.unwrap(np.angle(sp.analytic(s.x.real**3)), axis=1), axis=1)
     e = np.abs(s.hilbert)
     ce, cp = e - e.mean(1, keepdims=True), ph - m[:, None]
-    return {"aphase_mean": m, "aphase_variance": v, "aphase_std": np.sqrt(v), "aphase_skewness": skew, "aphase_kurtosis": kurt, "afreq_mean": f.mean(1), "afreq_std": f.std(1), "afreq_rms": np.sqrt((f**2).mean(1)),
-            "afreq_entropy": entropy(hist), "afreq_rate_of_change": np.abs(np.diff(f, axis=1)).mean(1), "afreq_asymmetry": ((f - f.mean(1, keepdims=True)) ** 3).mean(1),
-            "phase_envelope_correlation": (ce * cp).mean(1) / (np.sqrt((ce**2).mean(1) * (cp**2).mean(1)) + EPS), "phase_jitter": np.diff(f, axis=1).std(1)}
+    return {"aphase_mean": m, "aphase_variance": v, "aphase_std": np.sqrt(v), "aphase_skewness": skew, "aphase_kurtosis": kurt, "afreq_mean": same.mean(1), "afreq_std": same.std(1), "afreq_rms": np.sqrt((d**2).mean(1)),
+            "afreq_entropy": -(density * np.log2(density)).sum(1), "afreq_rate_of_change": np.diff(d, axis=1).std(1), "afreq_modulation_rate": np.abs(np.diff(d, axis=1)).mean(1), "afreq_asymmetry": (d**3).mean(1), "afreq_asymmetry_cubic": (cubic**3).mean(1),
+            "afreq_wrapped_std": np.diff(np.angle(s.hilbert), axis=1).std(1), "phase_envelope_correlation": (ce * cp).mean(1) / np.sqrt((ce**2).mean(1) * (cp**2).mean(1)), "phase_jitter": d.std(1)}
 
 
 def spectrum_family(s: Shared) -> dict:
-    a = np.abs(s.spec)
-    n = a.shape[1]
-    return {"fft_peak_index": a.argmax(1).astype(float), "fft_peak_frequency": np.fft.fftfreq(n)[a.argmax(1)], "fft_mean": a.mean(1), "fft_std": a.std(1), "fft_peak_power_db": 10 * np.log10(s.power.max(1) + EPS),
-            "fft_mean_power_db": 10 * np.log10(s.power.mean(1) + EPS), "spectral_energy": s.power.sum(1), "spectral_energy_density": s.power.sum(1) / n, "spectral_peak_ratio": a.max(1) / (a.mean(1) + EPS)}
+    a, p, db = s.amp, s.power, lambda x: 20 * np.log10(x)
+    return {"fft_peak_index": a.argmax(1).astype(float), "fft_peak_frequency": s.freqs[a.argmax(1)], "fft_mean": a.mean(1), "fft_std": a.std(1), "fft_peak_power": p.max(1), "fft_mean_power": p.mean(1), "fft_std_power": p.std(1),
+            "fft_peak_power_db": db(a.max(1)), "fft_mean_power_db": db(a.mean(1)), "fft_std_power_db": db(a.std(1)), "spectral_energy": p.sum(1), "spectral_energy_density": p.sum(1) / p.shape[1], "spectral_peak_ratio": a.max(1) / a.mean(1)}
 
 
 def shape_family(s: Shared) -> dict:
-    a, n = s.shifted, s.shifted.shape[1]
-    f = np.linspace(-0.5, 0.5, n, endpoint=False)
-    p = a / (a.sum(1, keepdims=True) + EPS)
-    centroid = (p * f).sum(1)
-    spread = np.sqrt((p * (f - centroid[:, None]) ** 2).sum(1))
-    cum = np.cumsum(a**2, axis=1)
-    roll = (cum < 0.85 * cum[:, -1:]).sum(1).clip(max=n - 1)
-    _, _, skew, kurt = moments(a)
-    c = f - f.mean()
-    half = n // 2
-    geometric = lambda x: np.exp(np.log(x + EPS).mean(1)) / (x.mean(1) + EPS)
-    wide = lambda t: (a >= t * a.max(1, keepdims=True)).sum(1) / n
-    return {"spectral_entropy": entropy(a**2), "spectral_entropy_amplitude": entropy(a), "spectral_flatness": geometric(a), "spectral_flatness_power": geometric(a**2), "spectral_skewness": skew, "spectral_kurtosis": kurt,
-            "spectral_sparsity": np.sqrt(n) * np.sqrt((a**2).sum(1)) / (a.sum(1) + EPS), "spectral_centroid": centroid, "spectral_spread": spread, "spectral_slope": (a * c).sum(1) / (c * c).sum(), "spectral_rolloff": f[roll],
-            "bandwidth_quarter": wide(0.25), "bandwidth_half": wide(0.5), "spectral_asymmetry": (a[:, half:].sum(1) - a[:, :half].sum(1)) / (a.sum(1) + EPS),
-            "spectral_symmetry": np.abs(a - a[:, ::-1]).mean(1), "psd_kurtosis": moments(s.power)[3], "high_half_entropy": entropy(s.power[:, half:]), "spectrum_zero_crossings": (np.diff(np.sign(s.spec.real), axis=1) != 0).sum(1).astype(float)}
+    """Shape of the spectrum, with bins in the transform's own order."""
+    a, p, f = s.amp, s.power, s.freqs
+    n, rows = a.shape[1], np.arange(len(a))
+    total = (a + TINY).sum(1)
+    centroid = (f * a).sum(1) / total
+    away = a - a.mean(1, keepdims=True)
+    cum = np.cumsum(p, axis=1)
+    roll = (cum >= 0.85 * cum[:, -1:]).argmax(1)
+    wide = lambda t: f[n - 1 - (a >= t * a.max(1, keepdims=True))[:, ::-1].argmax(1)] - f[(a >= t * a.max(1, keepdims=True)).argmax(1)]
+    geometric = lambda x: np.exp(np.log(x + TINY).mean(1))
+    low, high = halves(p)
+    pa = share(a)
+    fixed = np.abs(np.fft.fft(s.x, 128, axis=1)) ** 2
+    return {"spectral_entropy": -(share(p) * np.log(share(p) + TINY)).sum(1), "spectral_entropy_amplitude": -(pa * np.log(np.where(pa > 0, pa, 1))).sum(1), "spectral_entropy_128": bits(share(fixed)),
+            "spectral_flatness": geometric(a) / a.mean(1), "spectral_flatness_power": geometric(p) / (p.mean(1) + TINY), "spectral_skewness": moments(a)[2], "spectral_kurtosis": moments(a)[3],
+            "spectral_sparsity": (a < a.mean(1, keepdims=True)).sum(1), "spectral_centroid": centroid, "spectral_spread": np.sqrt((a * (f - centroid[:, None]) ** 2).sum(1) / total), "spectral_slope": (away * (f - f.mean())).sum(1) / ((f - f.mean()) ** 2 + TINY).sum(),
+            "spectral_rolloff": f[roll], "rolloff_energy": cum[rows, roll], "bandwidth_quarter": wide(0.25), "bandwidth_half": wide(0.5), "spectral_asymmetry": (high - low) / (high + low + TINY), "spectral_symmetry": np.abs(low - high) / (low + high + TINY),
+            "psd_kurtosis": np.abs(moments(p)[3] - 3), "high_half_entropy": bits(share(p)[:, n // 2 :]), "spectrum_zero_crossings": (np.diff(np.sign(s.spec.real), axis=1) != 0).sum(1) / n}
+
+
+def energy_around(power: np.ndarray, centre: np.ndarray, width: int) -> np.ndarray:
+    """Share of the energy in the bins from half a width before the centre to half a width after it."""
+    k = np.arange(power.shape[1])
+    near = (k >= np.maximum(0, centre - width // 2)[:, None]) & (k < np.minimum(len(k), centre + width // 2)[:, None])
+    return (power * near).sum(1) / (power.sum(1) + TINY)
 
 
 def band_family(s: Shared) -> dict:
-    p = np.fft.fftshift(s.power, axes=1)
-    n = p.shape[1]
-    k = np.arange(n) - n // 2
-    near = np.abs(k) <= max(1, n // 16)
-    high = np.abs(k) > n // 4
-    total = p.sum(1) + EPS
-    return {"centre_energy_share": p[:, near].sum(1) / total, "band_spread": np.sqrt((p * k**2).sum(1) / total) / n, "high_frequency_ratio": p[:, high].sum(1) / total}
+    p, n = s.power, s.power.shape[1]
+    return {"centre_energy_share": energy_around(p, s.amp.argmax(1), n // 8), "band_spread": p[:, int(0.1 * n) : int(0.5 * n)].sum(1) / (p.sum(1) + TINY), "high_frequency_ratio": p[:, np.abs(s.freqs) > 0.4].sum(1) / (p.sum(1) * (1 - 0.4))}
 
 
 def peak_family(s: Shared) -> dict:
     out: dict[str, np.ndarray] = {}
     names = ("count", "mean", "max", "min", "energy_ratio", "width", "to_average", "kurtosis", "spacing_std", "energy", "flatness", "energy_std", "density", "range")
     for order in (1, 2, 3, 4):
-        spec = np.abs(s.spec) ** order
-        rows = np.full((len(spec), len(names)), np.nan)
+        spec = s.amp**order
+        rows = np.zeros((len(spec), len(names)))  # all are 0 without a peak
         for r, x in enumerate(spec):
             at = sp.peaks(x)
-            rows[r, 0], rows[r, 12] = len(at), len(at) / len(x)
             if len(at):
                 v = x[at]
-                c = v - v.mean()
-                rows[r, 1:12] = (v.mean(), v.max(), v.min(), (v**2).sum() / ((x**2).sum() + EPS), sp.half_widths(x, at).mean(), v.max() / (x.mean() + EPS),
-                                 (c**4).mean() / ((c**2).mean() ** 2 + EPS), np.diff(at).std() if len(at) > 1 else 0.0, (v**2).sum(), np.exp(np.log(v + EPS).mean()) / (v.mean() + EPS), (v**2).std())
-                rows[r, 13] = at[-1] - at[0]
+                two = len(at) > 1
+                rows[r] = (len(at), v.mean(), v.max(), v.min(), (v**2).sum() / (x**2).sum(), sp.half_widths(x, at).mean(), v.mean() / x.mean(), moments(v[None])[3][0] - 3,
+                           np.diff(at).std() if two else 0.0, v.sum(), np.exp(np.log(v + TINY).mean()) / (v.mean() + TINY), v.std(), len(at) / len(x), at[-1] - at[0] if two else 0.0)
         out |= {f"peaks{order}_{n}": rows[:, k] for k, n in enumerate(names)}
-    a = np.abs(s.spec)
+    a = s.amp
     out["adaptive_peak_count"] = np.array([(x[sp.peaks(x)] > 1.5 * np.median(x)).sum() for x in a], float)
     smooth = sp.gaussian(a, 3)
     out["smoothed_peak_density"] = np.array([(x[sp.peaks(x)] > 0.1 * x.max()).sum() / len(x) for x in smooth], float)
     return out
 
 
+def spread_of(f: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """Standard deviation of the frequency under a density."""
+    mean = (f * p).sum(1) / p.sum(1)
+    return np.sqrt(((f - mean[:, None]) ** 2 * p).sum(1) / p.sum(1))
+
+
 def welch_family(s: Shared) -> dict:
+    """Over a density with frequencies from -0.5 to 0.5; bands are those of positive frequencies."""
     f, p = s.welch
-    share = np.abs(f) * 2
-    bands = {"low": share < 0.25, "mid": (share >= 0.25) & (share < 0.5), "high": share >= 0.5}
-    total = p.sum(1) + EPS
-    out = {f"band_entropy{k}_{b}": entropy(p[:, m] ** k) for k in (1, 2, 3, 4) for b, m in bands.items()}
-    top = p.max(1, keepdims=True)
-    return out | {"energy_concentration": p.max(1) / total, "frequency_spread_log": np.log1p((p * share**2).sum(1) / total), "frequency_spread_cubic": (p * share**3).sum(1) / total, "modulation_bandwidth": (p > 0.1 * top).sum(1) / p.shape[1],
-                  "welch_high_ratio": p[:, bands["high"]].sum(1) / total, "centre_concentration": p[:, share < 0.1].sum(1) / total, "mid_band_energy": p[:, bands["mid"]].sum(1) / total}
+    bands = {"low": (f >= 0) & (f <= 0.25), "mid": (f >= 0.25) & (f <= 0.5), "high": (f >= 0.5) & (f <= 1)}
+    out = {f"band_entropy{k}_{b}": bits(share(p[:, m] ** k)) if m.any() else np.zeros(len(p)) for k in (1, 2, 3, 4) for b, m in bands.items()}
+    middle = (f >= 0.1) & (f <= 0.5)
+    blocks = [sp.welch(s.x[:, i : i + 64]) for i in range(0, s.x.shape[1] - 64, 64)]
+    every = np.stack([spread_of(*b) for b in blocks], 1) if blocks else np.full((len(p), 1), np.nan)
+    fe, pe = sp.welch_real(np.abs(s.hilbert))
+    size = len(fe) // 4
+    powers = np.stack([pe[:, i * size : (i + 1) * size].sum(1) for i in range(4)], 1)
+    spread = spread_of(f, p)
+    quadratic = sp.welch(s.x**2)[1]
+    return out | {"energy_concentration": p[:, middle].sum(1), "mid_band_energy": sp.welch(s.x**2 - 1)[1][:, middle].sum(1), "frequency_spread_log": np.log(spread), "frequency_spread_cubic": np.log(spread + TINY) ** 3,
+                  "modulation_bandwidth": np.sqrt((f**2 * p).mean(1) - (f * p).mean(1) ** 2), "modulation_bandwidth_quadratic": np.sqrt((f**2 * quadratic).mean(1) - (f * quadratic).mean(1) ** 2), "welch_high_ratio": p[:, f > 0.5].sum(1) / p.sum(1),
+                  "centre_concentration": p[:, (f > 0.4) & (f < 0.6)].sum(1) / p.sum(1), "frequency_spread_variability": every.var(1), "envelope_power_variability": powers.var(1)}
 
 
 def stft_family(s: Shared) -> dict:
-    n = s.x.shape[1]
-    size = min(64, n)
-    p = np.abs(np.fft.fft(sp.frames(s.x, size, max(1, size // 2)) * (0.5 - 0.5 * np.cos(2 * np.pi * np.arange(size) / size)), axis=2)) ** 2
-    share = np.abs(np.fft.fftfreq(size)) * 2
-    inside = (share >= 0.05) & (share <= 0.3)
-    m, v = p.mean(1), p.var(1)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        kurt = ((p - m[:, None]) ** 4).mean(1) / v**2
-    return {"stft_kurtosis": np.nan_to_num(kurt).mean(1), "stft_energy_spread": p.sum(2).std(1), "tf_concentration": p[:, :, inside].sum((1, 2)) / (p.sum((1, 2)) + EPS)}
+    """Half-overlapping transforms of windows that are padded by half a frame of zeros at both ends."""
+    f, z = sp.padded_stft(s.x, 128)
+    p = np.abs(z) ** 2
+    g, whole = sp.padded_stft(s.x, 256)
+    band = whole[:, (g >= 0.05) & (g <= 0.3)].sum((1, 2))
+    gauss = sp.padded_stft(sp.gaussian(s.x, 1), 128)[1]
+    return {"stft_kurtosis": (p.var(2) / p.mean(2) ** 2 - 1).mean(1), "stft_energy_spread": np.abs(z).std((1, 2)), "stft_energy_spread_gaussian": np.abs(gauss).std((1, 2)), "tf_concentration": np.abs(band / whole.sum((1, 2)))}
 
 
 def correlation_family(s: Shared) -> dict:
-    r = np.abs(sp.autocorrelation(s.x))
-    r = r / (r[:, :1] + EPS)
-    return {"autocorrelation_decay": (r > 0.5).sum(1) / r.shape[1], "autocorrelation_skewness": moments(r)[2], "autocorrelation_energy_variance": (r**2).var(1), "digital_flag": (r < 0.1).any(1).astype(float)}
+    """Of the whole autocorrelation of the window, of its fourth power, and of its real part."""
+    r = sp.autocorrelation(s.x)
+    both = lambda x: np.concatenate([x[:, :0:-1].conj(), x], 1)
+    decay = -np.gradient(np.log(r / (r[:, :1] + TINY) + TINY), axis=1)
+    quartic = both(sp.autocorrelation(s.x**4))
+    c = quartic - quartic.mean(1, keepdims=True)
+    own = sp.autocorrelation(s.x.real).real
+    return {"autocorrelation_decay": decay[:, 1:].mean(1).real, "autocorrelation_skewness": np.abs((c**3).mean(1) / (c**2).mean(1) ** 1.5), "autocorrelation_energy_variance": both(r).var(1), "digital_flag": (own / own.max(1, keepdims=True) < 0.1).any(1).astype(float)}
 
 
 def wavelet_family(s: Shared) -> dict:
-    x = s.x.real
-    levels = max(1, min(4, int(np.log2(max(2, x.shape[1])))))
-    one, four = sp.wavelet(x, sp.DB1_LOW, levels), sp.wavelet(x, sp.DB4_LOW, max(1, min(3, levels)))
-    every = np.concatenate(one, 1)
-    return {"wavelet_entropy": entropy(every**2) ** 2, "wavelet_detail_mean": np.abs(one[-1]).mean(1), "wavelet_detail_energy": (one[-1] ** 2).sum(1), "wavelet_cubic": (np.abs(every) ** 3).mean(1),
-            "wavelet4_cubic": (np.abs(np.concatenate(four, 1)) ** 3).mean(1), "wavelet4_quartic": (np.concatenate(four, 1) ** 4).mean(1)}
+    one = sp.wavelet(s.x, sp.DB1_LOW, 4)
+    real, four = sp.wavelet(s.x.real, sp.DB1_LOW, 4), sp.wavelet(s.x.real, sp.DB4_LOW, 4)
+    total = sum(-(np.abs(c) * np.log(np.abs(c) + TINY)).sum(1) for c in one)
+    power = lambda levels, k: np.mean([(np.abs(c) ** k).mean(1) for c in levels], axis=0)
+    return {"wavelet_entropy": total**2, "wavelet_detail_mean": np.abs(one[-1].mean(1)), "wavelet_detail_energy": (np.abs(one[-1]) ** 2).sum(1), "wavelet_cubic": power(real, 3), "wavelet4_cubic": power(four[1:], 3), "wavelet4_quartic": power(four[1:], 4)}
 
 
 def filter_family(s: Shared) -> dict:
-    _, p = s.welch
-    sigma = np.clip(p.std(1) / (p.mean(1) + EPS), 0.1, 2)
+    p = s.power
+    sigma = np.clip(p.std(1) / p.mean(1), 0.1, 2)
     smooth = np.array([sp.gaussian(r[None], g)[0].sum() for r, g in zip(p, sigma, strict=True)])
-    band = np.abs(sp.analytic(sp.band_passed(s.x.real).real))
-    return {"adaptive_gaussian_sum": smooth, "adaptive_bandwidth": sigma, "band_pass_rms": np.sqrt((band**2).mean(1))}
+    band = np.abs(sp.analytic(sp.band_passed(s.x.real))) if s.x.shape[1] > sp.band_reach() else np.full(s.x.shape, np.nan)
+    return {"gaussian_sum": sp.gaussian(p, 1).sum(1), "adaptive_gaussian_sum": smooth, "adaptive_bandwidth": sigma, "band_pass_rms": np.sqrt((band**2).mean(1))}
+
+
+def rolling_entropy(amp: np.ndarray, size: int) -> np.ndarray:
+    """Mean entropy of the spectrum in half-overlapping windows of ``size`` bins; undefined for shorter spectra."""
+    if amp.shape[1] < size:
+        return np.full(len(amp), np.nan)
+    return np.mean([bits(share(amp[:, i : i + size])) for i in range(0, amp.shape[1] - size + 1, size // 2)], axis=0)
 
 
 def rolling_family(s: Shared) -> dict:
-    """Entropy of the spectrum in overlapping windows of 128 bins, 64 apart."""
-    a = s.shifted
-    size = min(128, a.shape[1])
-    rolling = np.stack([entropy(f) for f in sp.frames(a, size, max(1, size // 2))])
-    return {"rolling_entropy_mean": rolling.mean(1), "rolling_entropy_std": rolling.std(1)}
+    return {f"rolling_entropy_{size}": rolling_entropy(s.amp, size) for size in (16, 128)}
 
 
 FAMILIES: dict[str, Callable[[Shared], dict]] = {

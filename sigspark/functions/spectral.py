@@ -73,6 +73,25 @@ def welch(x: np.ndarray, most: int = 256) -> tuple[np.ndarray, np.ndarray]:
     return np.fft.fftfreq(n), (np.abs(np.fft.fft(seg, axis=2)) ** 2).mean(1) / (w * w).sum()
 
 
+def welch_real(x: np.ndarray, most: int = 256) -> tuple[np.ndarray, np.ndarray]:
+    """The same for real rows: frequencies from 0 on, with the density of both signs."""
+    f, p = welch(x, most)
+    n = len(f)
+    half = p[:, : n // 2 + 1].copy()
+    half[:, 1 : (n + 1) // 2] *= 2
+    return np.abs(f[: n // 2 + 1]), half
+
+
+def padded_stft(x: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Frequencies, and row x frequency x time: periodic Hann, half overlap, half a frame of zeros at both ends
+    and as many more as fill the last frame, divided by the sum of the window."""
+    n = min(most, x.shape[1])
+    w = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(n) / n)
+    hop, length = n - n // 2, x.shape[1] + 2 * (n // 2)
+    x = np.pad(x, ((0, 0), (n // 2, n // 2 + (-(length - n) % hop))))
+    return np.fft.fftfreq(n), np.fft.fft(frames(x, n, hop) * w, axis=2).transpose(0, 2, 1) / w.sum()
+
+
 def autocorrelation(x: np.ndarray) -> np.ndarray:
     """Lags 0..n-1 of each row with itself, through the spectrum."""
     n = x.shape[1]
@@ -120,32 +139,57 @@ def wavelet(x: np.ndarray, low: tuple[float, ...], levels: int) -> list[np.ndarr
     return [a, *out]
 
 
+def butterworth_band(order: int, low: float, high: float) -> tuple[np.ndarray, np.ndarray]:
+    """Coefficients of a digital Butterworth band-pass; bounds are shares of the Nyquist frequency."""
+    a, b = 4 * np.tan(np.pi * np.array([low, high]) / 2)
+    prototype = -np.exp(0.5j * np.pi * np.arange(1 - order, order, 2) / order) * (b - a) / 2
+    root = np.sqrt(prototype**2 - a * b)
+    poles = np.concatenate([prototype + root, prototype - root])
+    gain = (b - a) ** order * (4.0**order / np.prod(4 - poles)).real
+    return gain * np.poly(np.r_[np.ones(order), -np.ones(order)]), np.poly((4 + poles) / (4 - poles)).real
+
+
+def filtered(b: np.ndarray, a: np.ndarray, x: np.ndarray, state: np.ndarray) -> np.ndarray:
+    """Rows through a filter with a state; all rows step together."""
+    out, z = np.empty_like(x), state.copy()
+    for t in range(x.shape[1]):
+        out[:, t] = b[0] * x[:, t] + z[:, 0]
+        z[:, :-1] = z[:, 1:] + np.outer(x[:, t], b[1:-1]) - np.outer(out[:, t], a[1:-1])
+        z[:, -1] = b[-1] * x[:, t] - a[-1] * out[:, t]
+    return out
+
+
+def band_reach(order: int = 4) -> int:
+    """Samples by which both ends are extended."""
+    return 3 * (2 * order + 1)
+
+
 def band_passed(x: np.ndarray, low: float = 0.05, high: float = 0.3, order: int = 4) -> np.ndarray:
-    """Zero-phase Butterworth response (its squared magnitude) of a band, applied to the spectrum.
+    """Real rows through a Butterworth band-pass, forth and back; bounds are in cycles a sample.
 
-    Bounds are shares of the Nyquist frequency. Ends are those of a periodic signal.
+    Ends are extended by point reflection, and the filter starts in the steady state of the first sample.
+    Rows that are no longer than the extension raise ``ValueError``.
     """
-    f = np.tan(np.pi * np.abs(np.fft.fftfreq(x.shape[1])))
-    a, b = np.tan(np.pi * low / 2), np.tan(np.pi * high / 2)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        away = np.where(f > 0, (f * f - a * b) / (f * (b - a)), np.inf)
-        gain = 1 / (1 + away ** (2 * order))
-    return np.fft.ifft(np.fft.fft(x, axis=1) * gain, axis=1)
+    b, a = butterworth_band(order, 2 * low, 2 * high)
+    pad = band_reach(order)
+    if x.shape[1] <= pad:
+        raise ValueError(f"{x.shape[1]} samples are too few to filter")
+    companion = np.eye(len(a) - 1, k=1)
+    companion[:, 0] = -a[1:]
+    steady = np.linalg.solve(np.eye(len(a) - 1) - companion, b[1:] - a[1:] * b[0])
+    out = np.concatenate([2 * x[:, :1] - x[:, pad:0:-1], x, 2 * x[:, -1:] - x[:, -2 : -pad - 2 : -1]], 1)
+    for _ in range(2):
+        out = filtered(b, a, out, np.outer(out[:, 0], steady))[:, ::-1]
+    return out[:, pad:-pad]
 
 
 def peaks(x: np.ndarray) -> np.ndarray:
     """Places of the strict local maxima of a row; a plateau counts at its middle."""
-    out, i, n = [], 1, len(x)
-    while i < n - 1:
-        if x[i - 1] < x[i]:
-            j = i
-            while j < n - 1 and x[j + 1] == x[i]:
-                j += 1
-            if j < n - 1 and x[j + 1] < x[i]:
-                out.append((i + j) // 2)
-            i = j
-        i += 1
-    return np.array(out, int)
+    starts = np.flatnonzero(np.r_[True, x[1:] != x[:-1]])  # of runs of equal values
+    ends = np.r_[starts[1:], len(x)] - 1
+    v = x[starts]
+    top = np.flatnonzero((v[1:-1] > v[:-2]) & (v[1:-1] > v[2:])) + 1
+    return (starts[top] + ends[top]) // 2
 
 
 def half_widths(x: np.ndarray, at: np.ndarray) -> np.ndarray:
