@@ -215,14 +215,13 @@ class Trie:
 class Settled:
     """Values of packed bytes in a direct-mapped table; what finds its slot taken is in sorted arrays."""
 
-    BITS = 22
     FIELDS = ("key", "value", "more", "more_value")
 
-    def __init__(self, order: int, entries: Iterable[tuple[np.ndarray, np.ndarray, np.ndarray]]):
-        """From batches of keys, counts and values."""
-        self.order = order
-        self.key, self.value = np.full(1 << self.BITS, -1, np.int64), np.zeros(1 << self.BITS)
-        held = np.zeros(1 << self.BITS, np.float32)
+    def __init__(self, order: int, kinds: int, entries: Iterable[tuple[np.ndarray, np.ndarray, np.ndarray]]):
+        """From batches of keys, counts and values, ``kinds`` in all."""
+        self.order, slots = order, 1 << max(10, kinds.bit_length())
+        self.key, self.value = np.full(slots, -1, np.int64), np.zeros(slots)
+        held = np.zeros(slots, np.float32)
         more, more_value = [np.empty(0, np.int64)], [np.empty(0)]
         for keys, counts, values in entries:
             by = np.argsort(counts, kind="stable")  # the more frequent entry holds a slot
@@ -250,7 +249,7 @@ class Settled:
 
     def slots(self, grams: np.ndarray) -> np.ndarray:
         with np.errstate(over="ignore"):
-            return ((grams.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.BITS)).view(np.int64)
+            return ((grams.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(65 - len(self.key).bit_length())).view(np.int64)
 
     def __call__(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """log10 of the probability of each text's known bytes and its end; the text and the code of each other one."""
@@ -275,7 +274,7 @@ class Scorer:
 
     def __init__(self, order: int, tables: list[tuple[np.ndarray, np.ndarray]]):
         self.trie = Trie(order, tables)
-        self.settled = Settled(order, [(*tables[-1], self.trie.score(tables[-1][0]))])
+        self.settled = Settled(order, len(tables[-1][0]), [(*tables[-1], self.trie.score(tables[-1][0]))])
 
     def __call__(self, texts: list[bytes]) -> np.ndarray:
         """log10 of the probability of each text with its end."""
@@ -286,14 +285,14 @@ class Scorer:
 def settled_values(grams: DataFrame, settings: Settings) -> tuple[Settled, int]:
     """The most frequent symbols in context with their values, and how many there are in all."""
     band = F.floor(F.ln("n") * 64)
-    room, least, kinds = int(1 / settings.least_gram), math.inf, 0
+    room, least, kinds, chosen = int(1 / settings.least_gram), math.inf, 0, 0
     for b, n in sorted(grams.groupBy(band).count().collect(), reverse=True):
         kinds += n
-        least = b if kinds <= room else least
+        least, chosen = (b, kinds) if kinds <= room else (least, chosen)
     size = F.sum("n").over(Window.partitionBy(F.shiftright("gram", 8)))
     value = F.log10(F.col("n") - F.lit(0.5)) - F.log10("size")
     kept = grams.withColumn("size", size).filter(band >= F.lit(float(least))).select("gram", F.col("n").cast("float").alias("n"), value.alias("value")).toArrow()
-    return Settled(settings.order, ([c.to_numpy() for c in batch.columns] for batch in kept.to_batches())), kinds
+    return Settled(settings.order, chosen, ([c.to_numpy() for c in batch.columns] for batch in kept.to_batches())), kinds
 
 
 def dealt(grams: np.ndarray, other: np.ndarray, order: int, parts: int) -> Iterator[tuple[int, bytes, bytes]]:
