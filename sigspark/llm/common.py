@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import atexit
-import os
-import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -139,19 +136,17 @@ def ship_arrays(spark: SparkSession, arrays: dict[str, np.ndarray]) -> Callable[
     """Hand arrays to all executors as one file; those that start later fetch it too.
 
     Called in a task, the result memory-maps them, so that the workers of a machine share their pages.
-    The driver's copy, which executors fetch, goes when the driver ends.
+    The driver's copy, which executors fetch, is among the files that Spark removes at its end.
     """
-    name = f"arrays-{uuid.uuid4().hex}.bin"
-    folder = tempfile.mkdtemp(prefix="arrays-")
-    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    path = SparkFiles.get(name := f"arrays-{uuid.uuid4().hex}.bin")
     layout = []
-    with open(os.path.join(folder, name), "wb") as f:
+    with open(path, "wb") as f:
         f.write(bytes(8))
         for key, x in arrays.items():
             f.write(bytes(-f.tell() % 8))
             layout.append((key, x.dtype.str, f.tell(), x.nbytes))
             np.ascontiguousarray(x).tofile(f)
-    spark.sparkContext.addFile(os.path.join(folder, name))
+    spark.sparkContext.addFile(path)
 
     def load() -> dict[str, np.ndarray]:
         whole = np.asarray(np.memmap(SparkFiles.get(name), np.uint8, "r"))

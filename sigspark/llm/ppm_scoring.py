@@ -45,7 +45,7 @@ class Settings:
     order: int = 6
     parts: int = 7
     held: int = 2
-    least_gram: float = 2.0**-22
+    least_gram: float = 2.0**-21
     least_word: float = 1 / 200_000
 
 
