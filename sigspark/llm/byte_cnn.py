@@ -149,24 +149,30 @@ class Network:
         return self
 
 
-def learn(docs: DataFrame, labels: DataFrame, s: Settings) -> Network | None:
-    """Fit on whole texts of a bounded sample of labelled rows. Several labels of an id count as their mean; null ones don't count."""
+def learn(docs: DataFrame, labels: DataFrame, s: Settings) -> Network | float:
+    """Fit on whole texts of a bounded sample of labelled ids. Several labels of an id count as their mean; null ones don't count.
+
+    Different texts of an id are all learnt from; an id whose texts don't fit in what is left of the bytes is passed over.
+    Without labels of both kinds there is nothing to fit: the labels' mean, or 0.5 without any, stands for all.
+    """
     known = labels.filter("quality is not null and doc_id is not null").filter(fold_of(F.col("doc_id"), s.parts) != s.held)
     known = known.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.avg("quality").alias("quality"))
     chosen = hashed_sample(known, s.sample, "doc_id")
     raw = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), raw.alias("raw"))
-    sizes = texts.join(F.broadcast(chosen), "doc_id").groupBy(F.xxhash64("doc_id").alias("place"), "doc_id", "quality").agg(F.sum(F.length("raw")).alias("n")).collect()
+    each = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "quality", F.xxhash64("raw").alias("digest")).agg(F.max(F.length("raw")).alias("n"))
+    sizes = each.groupBy(F.xxhash64("doc_id").alias("place"), "doc_id", "quality").agg(F.sum("n").alias("n")).collect()
     taken, room = [], s.sample * s.stretch
     for r in sorted(sizes):
-        if room <= 0:
-            break
-        taken.append((r.doc_id, r.quality))
-        room -= r.n
-    rows = texts.join(F.broadcast(docs.sparkSession.createDataFrame(taken, "doc_id long, quality double")), "doc_id").collect()
+        if r.n <= room:
+            taken.append((r.doc_id, r.quality))
+            room -= r.n
+    if not taken:
+        return 0.5
+    rows = texts.join(F.broadcast(docs.sparkSession.createDataFrame(taken, "doc_id long, quality double")), "doc_id").dropDuplicates(["doc_id", "raw"]).collect()
     rows.sort(key=lambda r: (r.doc_id, bytes(r.raw)))
     if len({r.quality >= 0.5 for r in rows}) < 2:
-        return None
+        return float(np.mean([q for _, q in taken]))
     return Network(s).fit([bytes(r.raw) for r in rows], np.array([r.quality for r in rows], np.float32))
 
 
@@ -186,7 +192,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, s: Settings = Settings())
     """One row per row of ``docs``: doc_id, held_out, score, predicted.
 
     Only ids whose crc32(doc_id as text) mod ``parts`` isn't ``held`` are learnt from. Null texts count
-    as empty and are scored as well. Without labels of both kinds the score is 1. Null ids aren't held
+    as empty and are scored as well. Without labels of both kinds every score is the labels' mean (0.5 without any). Null ids aren't held
     out. Repeated rows are scored one by one; an empty table gives no row; no other column of
     ``docs`` is read.
     """
@@ -196,7 +202,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, s: Settings = Settings())
         network = shared.value
         for batch in batches:
             texts = list(text_bytes(batch.column(2)))
-            score = np.concatenate([np.empty(0), *(network.predict(part) if network else np.ones(len(part)) for part in runs(texts))])
+            score = np.concatenate([np.empty(0), *(np.full(len(part), network) if isinstance(network, float) else network.predict(part) for part in runs(texts))])
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(score), pa.array((score >= s.threshold).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"]
             )

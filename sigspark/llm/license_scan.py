@@ -7,9 +7,12 @@ the regex library decides, and its spans are reported.
 
 from __future__ import annotations
 
+import heapq
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
@@ -82,37 +85,62 @@ class Scanner:
         self.phrases = [(p.encode(), label) for p, label in phrases.items()]
         self.notices = [(n, n.seeds, n.matcher) for n in notices(fuzzy)]
 
-    def windows(self, words: bytes, notice: Notice, seeds: list[tuple[int, bytes]]) -> list[list[int]]:
-        """Stretches that hold every match with at most the notice's errors, merged where they meet."""
-        k, n, found = notice.errors, len(notice.text), []
+    def windows(self, words: bytes, notice: Notice, seeds: list[tuple[int, bytes]]) -> set[tuple[int, int]]:
+        """Stretches around seeds, hardly longer than the notice, that hold every match with at most its errors."""
+        k, n, found = notice.errors, len(notice.text), set()
         for offset, seed in seeds:
             at = words.find(seed)
             while at >= 0:
-                found.append([max(0, at - offset - k - 1), at - offset + n + k + 1])
+                found.add((max(0, at - offset - k - 1), min(len(words), at - offset + n + k + 1)))
                 at = words.find(seed, at + 1)
-        found.sort()
-        merged: list[list[int]] = []
-        for a, b in found:
-            if merged and a <= merged[-1][1]:
-                merged[-1][1] = max(b, merged[-1][1])
-            else:
-                merged.append([a, b])
-        return merged
+        return found
 
     def fuzzy(self, words: bytes) -> list[tuple[str, int, int, int, int]]:
-        """(label, first byte, last byte, errors, length of the notice) of the matches, notice by notice."""
+        """(label, first byte, last byte, errors, length of the notice) of the matches, notice by notice.
+
+        The best match anywhere is taken first; what it leaves of a window is searched again, so that
+        no match remains that meets none of the taken ones.
+        """
         out = []
         for notice, seeds, matcher in self.notices:
-            for a, b in self.windows(words, notice, seeds):
-                for m in matcher.finditer(words, a, min(len(words), b)):
-                    out.append((notice.label, m.start(), m.end(), sum(m.fuzzy_counts), len(notice.text)))
+            queue: list[tuple[int, int, int, int, int]] = []
+
+            def search(a: int, b: int, queue=queue, notice=notice, matcher=matcher) -> None:
+                m = matcher.search(words, a, b) if b - a > len(notice.text) - notice.errors else None
+                if m:
+                    heapq.heappush(queue, (sum(m.fuzzy_counts), m.start(), m.end(), a, b))
+
+            for window in self.windows(words, notice, seeds):
+                search(*window)
+            starts, ends = [], []  # of the taken matches, by place
+            while queue:
+                errors, start, end, a, b = heapq.heappop(queue)
+                i = bisect_left(ends, start)
+                if i == len(starts) or starts[i] >= end:
+                    starts.insert(i, start)
+                    ends.insert(i, end)
+                    out.append((notice.label, start, end, errors, len(notice.text)))
+                for j in range(bisect_left(ends, a + 1), len(starts)):  # the parts of the window before and between the taken ones
+                    if starts[j] >= b:
+                        break
+                    search(a, starts[j])
+                    a = ends[j]
+                else:
+                    j = len(starts)
+                search(a, b)
         return out
 
     def __call__(self, text: bytes) -> tuple[int, list[tuple]]:
         """Number of words, and spans (label, method, first word, last word, errors, score) by place."""
         words = words_of(text)
-        spans = []
-        place = lambda at: words.count(b" ", 0, at + 1) - 1
+        spans, gaps = [], None
+
+        def place(at: int) -> int:
+            """Number of the word behind the last space up to a byte."""
+            nonlocal gaps
+            gaps = np.flatnonzero(np.frombuffer(words, np.uint8) == 0x20) if gaps is None else gaps
+            return int(np.searchsorted(gaps, at, "right")) - 1
+
         for phrase, label in self.phrases:
             more = phrase.count(b" ")
             spans += [(label, "exact", p, p + more, 0, 1.0) for p in map(place, exact_places(words, phrase))]

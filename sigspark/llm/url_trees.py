@@ -33,7 +33,7 @@ class Settings:
     rate: float = 0.2
     bins: int = 32
     least: int = 20
-    suffixes: int = 1000
+    folds: int = 5
 
 
 FEATURES = ("length", "host_length", "path_length", "depth", "labels", "digit_ratio", "hyphens", "entropy", "parameters", "query_length", "fragment", "secure", "www", "suffix_rate", "domain_rate")
@@ -85,8 +85,8 @@ def features(urls: list[str], hosts: list[str], paths: list[str], rates: tuple[d
     return out
 
 
-def rates_of(hosts: list[str], labels: np.ndarray, most: int) -> tuple[dict, dict, float]:
-    """Smoothed shares of blocked URLs by the last label and the last two, of the most frequent ``most`` each."""
+def rates_of(hosts: list[str], labels: np.ndarray) -> tuple[dict, dict, float]:
+    """Smoothed shares of blocked URLs by the last label and the last two; no more entries than URLs learnt from."""
     usual = float(labels.mean()) if len(labels) else 0.0
     out = []
     for k in (0, 1):
@@ -95,7 +95,7 @@ def rates_of(hosts: list[str], labels: np.ndarray, most: int) -> tuple[dict, dic
             key = suffixes_of(host)[k]
             seen[key] += 1
             bad[key] += int(label)
-        out.append({s: (bad[s] + 10 * usual) / (n + 10) for s, n in sorted(seen.items(), key=lambda x: (-x[1], x[0]))[:most]})
+        out.append({s: (bad[s] + 10 * usual) / (n + 10) for s, n in seen.items()})
     return out[0], out[1], usual
 
 
@@ -158,8 +158,13 @@ def learn(labelled: DataFrame, settings: Settings) -> tuple[Trees, tuple] | None
     if len({r.label for r in rows}) < 2:
         return None
     hosts, y = [r.host for r in rows], np.array([r.label == BLOCK for r in rows], float)
-    rates = rates_of(hosts, y, settings.suffixes)
-    return Trees(settings).fit(features([r.url for r in rows], hosts, [r.path for r in rows], rates), y), rates
+    fold = np.arange(len(rows)) % settings.folds  # the sample's order is that of a hash
+    x = np.zeros((len(rows), len(FEATURES)))
+    for k in range(settings.folds):  # a URL's own label isn't among those that its rates come from
+        own, others = np.flatnonzero(fold == k), np.flatnonzero(fold != k)
+        rates = rates_of([hosts[i] for i in others], y[others])
+        x[own] = features([rows[i].url for i in own], [hosts[i] for i in own], [rows[i].path for i in own], rates)
+    return Trees(settings).fit(x, y), rates_of(hosts, y)
 
 
 def judge(pages: DataFrame, rules: tuple = RULES, settings: Settings = Settings()) -> DataFrame:

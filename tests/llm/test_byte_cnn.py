@@ -49,7 +49,7 @@ def test_fits_on_whole_texts(spark, make_docs, monkeypatch):
     learn(make_docs(list(texts.items())), labels, Settings())
     assert seen[0] == sorted(t.encode() for i, t in texts.items() if zlib.crc32(str(i).encode()) % 5)
     learn(make_docs(list(texts.items())), labels, Settings(sample=30, stretch=3000))
-    assert set(seen[1]) < set(seen[0]) and 90_000 <= sum(map(len, seen[1])) < 90_000 + 24_003
+    assert set(seen[1]) < set(seen[0]) and 66_000 < sum(map(len, seen[1])) <= 90_000
 
 
 def test_gradients():
@@ -78,5 +78,8 @@ def test_odd_rows(spark, odd_docs, make_docs):
     rows = score_quality(odd_docs, labels, Settings(epochs=1)).collect()
     assert len(rows) == 13 and all(0 <= r.score <= 1 for r in rows)
     none = score_quality(odd_docs, labels.limit(0)).collect()
-    assert {(r.score, r.predicted) for r in none} == {(1.0, 1)}
+    assert {(r.score, r.predicted) for r in none} == {(0.5, 1)}
+    for kind in (0, 1):
+        alike = score_quality(odd_docs, labels.filter(f"quality = {kind}")).collect()
+        assert {(r.score, r.predicted) for r in alike} == {(float(kind), kind)}
     assert score_quality(make_docs([]), labels).count() == 0

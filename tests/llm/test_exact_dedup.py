@@ -16,7 +16,8 @@ def brute(rows):
     for text, ids in groups.items():
         keep = max((i for i in ids if i is not None), default=None)
         sha = hashlib.sha256(text.encode()).hexdigest()
-        out += [(i, keep, len(ids), i == keep, sha) for i in ids]
+        best = ids.index(keep)  # one of the rows that have the largest id
+        out += [(i, keep, len(ids), k == best, sha) for k, i in enumerate(ids)]
     return sorted(out, key=str)
 
 
@@ -38,7 +39,7 @@ def test_odd_rows(odd_docs):
 
 
 def test_repeated_rows_and_empty_table(make_docs):
-    rows = [(1, "a"), (1, "a"), (2, "A")]
+    rows = [(1, "a"), (1, "a"), (2, "A"), (3, "b"), (3, "B"), (3, "b"), (None, "c"), (None, "C")]
     assert got(exact_dedup(make_docs(rows))) == brute(rows)
     assert exact_dedup(make_docs([])).count() == 0
 

@@ -70,3 +70,66 @@ def test_overlaps_and_odd_rows(odd_docs, make_docs):
     assert len(rows) == 13 and {r.n_words for r in rows if r.doc_id in (1, 2, 3, 11)} == {0}
     assert scan(make_docs([])).count() == 0
     assert words_of("Ab, é-9".encode()) == " ab é 9 ".encode()
+
+
+def least_edits(a, b, most):
+    """Edit distance, or None over ``most``."""
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        row = next_row(row, i, x, b)
+        if min(row) > most:
+            return None
+    return row[-1] if row[-1] <= most else None
+
+
+def next_row(row, i, x, b):
+    new = [i]
+    for j, y in enumerate(b, 1):
+        new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+    return new
+
+
+def check_spans(text, scanner):
+    """Every reported span is within its errors, and no stretch of words within the bound meets none."""
+    words = words_of(text.encode())
+    spaces = [i for i, b in enumerate(words) if b == 32]
+    for notice, label in NOTICES.items():
+        k, n = errors_for(notice), len(notice)
+        own = Scanner({}, {notice: label}).fuzzy(words)
+        for _, a, b, errors, _ in own:
+            assert least_edits(notice.encode(), words[a:b], k) == errors
+        taken = sorted((a, b) for _, a, b, _, _ in own)
+        assert all(x[1] < y[0] for x, y in zip(taken, taken[1:], strict=False))
+        for i in spaces:
+            for j in spaces:
+                if n - k <= j - i - 1 <= n + k and not any(a < j and i + 1 < b for a, b in taken):
+                    assert least_edits(notice.encode(), words[i + 1 : j], k) is None, (notice, words[i:j])
+
+
+def test_adjacent_notices_are_both_found():
+    scanner = Scanner(PHRASES, NOTICES)
+    spans = scanner(b"released undr the mit licnse released under the mit license")[1]
+    assert [(s[2], s[3], s[4]) for s in spans if s[1] == "fuzzy"] == [(0, 4, 2), (5, 9, 0)]
+    long = scanner(b"released undr the mit licnse " * 4000)[1]
+    assert sum(s[1] == "fuzzy" for s in long) == 4000
+
+
+def test_spans_against_all_stretches():
+    rnd, scanner = random.Random(11), Scanner(PHRASES, NOTICES)
+    for _ in range(12):
+        parts = []
+        for _ in range(6):
+            letters = list(rnd.choice(list(NOTICES)))
+            for _ in range(rnd.randrange(6)):
+                i = rnd.randrange(len(letters))
+                letters[i] = rnd.choice(["", "x", " ", letters[i] * 2])
+            parts += ["".join(letters), rnd.choice(["", "and more", "license", "under the"])]
+        check_spans(" ".join(parts), scanner)
+
+
+def test_spans_of_documents_against_all_stretches(spark):
+    scanner = Scanner(PHRASES, NOTICES)
+    texts = [r.text for r in spark.read.parquet(f"{SF}/documents.parquet").filter("text like '%icens%' and length(text) < 2500").collect()]
+    assert texts
+    for text in texts:
+        check_spans(text, scanner)
