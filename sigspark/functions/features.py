@@ -5,6 +5,7 @@ A feature that can't be computed is null; it never costs a row, and never shows
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -13,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import spectral as sp
+from .batches import batched
 
 EPS = 1e-12
 
@@ -233,13 +235,16 @@ def welch_family(s: Shared) -> dict:
 
 
 def stft_family(s: Shared) -> dict:
-    """Half-overlapping transforms of windows that are padded by half a frame of zeros at both ends."""
+    """Half-overlapping transforms of windows that are padded by half a frame of zeros at both ends.
+
+    The concentration is that of magnitudes: complex values cancel over all frequencies of a frame.
+    """
     f, z = sp.padded_stft(s.x, 128)
     p = np.abs(z) ** 2
     g, whole = sp.padded_stft(s.x, 256)
-    band = whole[:, (g >= 0.05) & (g <= 0.3)].sum((1, 2))
+    whole = np.abs(whole)
     gauss = sp.padded_stft(sp.gaussian(s.x, 1), 128)[1]
-    return {"stft_kurtosis": (p.var(2) / p.mean(2) ** 2 - 1).mean(1), "stft_energy_spread": np.abs(z).std((1, 2)), "stft_energy_spread_gaussian": np.abs(gauss).std((1, 2)), "tf_concentration": np.abs(band / whole.sum((1, 2)))}
+    return {"stft_kurtosis": (p.var(2) / p.mean(2) ** 2 - 1).mean(1), "stft_energy_spread": np.abs(z).std((1, 2)), "stft_energy_spread_gaussian": np.abs(gauss).std((1, 2)), "tf_concentration": whole[:, (g >= 0.05) & (g <= 0.3)].sum((1, 2)) / whole.sum((1, 2))}
 
 
 def correlation_family(s: Shared) -> dict:
@@ -346,36 +351,91 @@ def long_features(wide: DataFrame, key: str = "capture_id") -> DataFrame:
 
 
 def spectrogram_rows(windows: DataFrame, nfft: int, hop: int, bins: int, key: str = "capture_id", resize: str = "linear") -> DataFrame:
-    """(key, time_bin, re, im): one row per time bin, so that rows stay small; standardised and clipped."""
+    """(key, time_bin, re, im): one row per time bin, so that rows stay small; standardised and clipped.
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for k, i, q in zip(frame[key], frame["i"], frame["q"], strict=True):
-                spec = sp.stft((np.asarray(i, float) + 1j * np.asarray(q, float))[None], nfft, hop)
-                spec = (sp.resized_linear if resize == "linear" else sp.resized_nearest)(spec, bins)
-                both = sp.clipped(spec)[0]
-                yield pd.DataFrame({key: k, "time_bin": range(bins), "re": list(both[:, :, 0].T), "im": list(both[:, :, 1].T)})
+    ``resize``: linear interpolation of the time axis, the nearest of its places, or ``starts``: frames at evenly spaced starts.
+    """
 
-    split = windows.select(key, F.transform("iq", lambda s: s.i).alias("i"), F.transform("iq", lambda s: s.q).alias("q"))
-    return split.mapInPandas(run, f"{key} {dict(split.dtypes)[key]}, time_bin int, re array<double>, im array<double>")
+    def kernel(x: np.ndarray) -> dict[str, np.ndarray]:
+        if resize == "starts":
+            spec = sp.stft_at(x, nfft, bins)
+        else:
+            spec = (sp.resized_linear if resize == "linear" else sp.resized_nearest)(sp.stft(x, nfft, hop), bins)
+        both = sp.clipped(spec)
+        return {"time_bin": np.tile(np.arange(bins), (len(x), 1)), "re": both[..., 0].transpose(0, 2, 1), "im": both[..., 1].transpose(0, 2, 1)}
 
+    return batched(windows, kernel, {"time_bin": "int", "re": "array<double>", "im": "array<double>"}, key)
 
-def waterfall(windows: DataFrame, nfft: int, most_columns: int = 900, key: str = "capture_id") -> DataFrame:
-    """(key, column, freq_bin, db, low, high): a half-overlapping spectrogram in dB with its 5 and 99.5 percentiles."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for k, i, q in zip(frame[key], frame["i"], frame["q"], strict=True):
-                x = (np.asarray(i, float) + 1j * np.asarray(q, float))[None]
-                spec = sp.stft(x, nfft, max(1, nfft // 2))[0]
-                spec = spec[:, np.linspace(0, spec.shape[1] - 1, min(most_columns, spec.shape[1])).astype(int)]
-                db = 20 * np.log10(np.abs(spec) + 1e-12)
-                low, high = np.percentile(db, [5, 99.5])
-                f, c = np.indices(db.shape)
-                yield pd.DataFrame({key: k, "column": c.ravel(), "freq_bin": f.ravel(), "db": db.ravel(), "low": low, "high": high})
+def channel_rows(windows: DataFrame, nfft: int, bins: int, names: tuple[str, ...] = ("re", "im", "logmag", "phase"), key: str = "capture_id") -> DataFrame:
+    """(key, time_bin, an array per channel): centred windows at unit power, frames at evenly spaced starts, each channel standardised over the window and clipped."""
+
+    def kernel(x: np.ndarray) -> dict[str, np.ndarray]:
+        x = x - x.mean(1, keepdims=True)
+        x = x / (np.sqrt((np.abs(x) ** 2).mean(1, keepdims=True)) + 1e-6)
+        out = sp.channels(sp.stft_at(x, nfft, bins) * nfft, names)
+        return {"time_bin": np.tile(np.arange(bins), (len(x), 1)), **{n: out[:, k].transpose(0, 2, 1) for k, n in enumerate(names)}}
+
+    return batched(windows, kernel, {"time_bin": "int", **{n: "array<double>" for n in names}}, key)
+
+
+def spectrum_view(windows: DataFrame, key: str = "capture_id") -> DataFrame:
+    """(key, bin, frequency, db): the centred spectrum of a window in dB, over normalised frequency."""
+
+    def kernel(x: np.ndarray) -> dict[str, np.ndarray]:
+        n = x.shape[1]
+        f = np.fft.fftshift(np.fft.fftfreq(n))
+        db = 20 * np.log10(np.abs(np.fft.fftshift(np.fft.fft(x, axis=1), axes=1)) + 1e-8)
+        return {"bin": np.tile(np.arange(n), (len(x), 1)), "frequency": np.tile(f, (len(x), 1)), "db": db}
+
+    return batched(windows, kernel, {"bin": "int", "frequency": "double", "db": "double"}, key)
+
+
+def waterfall(windows: DataFrame, nfft: int, most_columns: int = 900, sample_rate: float = 20e6, key: str = "capture_id") -> DataFrame:
+    """(key, column, time_ms, db, low, high): columns of a half-overlapping spectrogram in dB, and the window's 5 and 99.5 percentiles.
+
+    Windows of under ``nfft`` samples give no row. ``waterfall_cells`` has a row per cell and the frequency axis.
+    """
+
+    def kernel(x: np.ndarray) -> dict[str, np.ndarray]:
+        starts = np.arange(0, x.shape[1] - nfft + 1, max(1, nfft // 2))
+        if len(starts) > most_columns:
+            starts = starts[np.linspace(0, len(starts) - 1, most_columns).astype(int)]
+        db = 20 * np.log10(np.abs(sp.spectra_at(x, nfft, starts)) + 1e-8)
+        low, high = np.percentile(db.reshape(len(x), -1), [5, 99.5], axis=1)
+        wide = lambda v: np.repeat(v[:, None], len(starts), 1)
+        return {"column": np.tile(np.arange(len(starts)), (len(x), 1)), "time_ms": np.tile(starts / sample_rate * 1000, (len(x), 1)), "db": db, "low": wide(low), "high": wide(high)}
+
+    return batched(windows, kernel, {"column": "int", "time_ms": "double", "db": "array<double>", "low": "double", "high": "double"}, key, nfft)
 
-    split = windows.select(key, F.transform("iq", lambda s: s.i).alias("i"), F.transform("iq", lambda s: s.q).alias("q"))
-    return split.mapInPandas(run, f"{key} {dict(split.dtypes)[key]}, column int, freq_bin int, db double, low double, high double")
+
+def waterfall_cells(columns: DataFrame, nfft: int, sample_rate: float = 20e6, centre_hz: float = 0.0, key: str = "capture_id") -> DataFrame:
+    """(key, column, freq_bin, time_ms, frequency_mhz, db, low, high)."""
+    rows = columns.select(key, "column", "time_ms", F.posexplode("db").alias("freq_bin", "db"), "low", "high")
+    mhz = ((F.col("freq_bin") - nfft // 2) / F.lit(float(nfft)) * F.lit(sample_rate) + F.lit(centre_hz)) / 1e6
+    return rows.select(key, "column", "freq_bin", "time_ms", mhz.alias("frequency_mhz"), "db", "low", "high")
+
+
+def denoised_windows(windows: DataFrame, threshold: float = 0.1, channels: int = 1, sigma: float | None = None, key: str = "capture_id") -> DataFrame:
+    """(key, i, q): each channel without its weak bins (magnitude up to threshold x deviation / channels), or, with ``sigma``, smoothed ``channels`` times by a normal kernel."""
+
+    def kernel(x: np.ndarray) -> dict[str, np.ndarray]:
+        out = []
+        for part in (x.real, x.imag):
+            if sigma is None:
+                part = sp.denoised(part, threshold / channels)
+            else:
+                for _ in range(channels):
+                    part = sp.gaussian(part, sigma)
+            out.append(part[:, None])
+        return {"i": out[0], "q": out[1]}
+
+    return batched(windows, kernel, {"i": "array<double>", "q": "array<double>"}, key)
+
+
+def seed_of(key: object) -> int:
+    """A seed from an id of any kind, the same in every process."""
+    return int.from_bytes(hashlib.sha1(str(key).encode()).digest()[:4], "big")
 
 
 def spaced_burst_starts(windows: DataFrame, window: int, smooth: int, spacing: int, most: int = 8, key: str = "capture_id") -> DataFrame:
@@ -383,8 +443,38 @@ def spaced_burst_starts(windows: DataFrame, window: int, smooth: int, spacing: i
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            rows = [(k, v, s) for k, p in zip(frame[key], frame["power"], strict=True) for v, s in enumerate(sp.spaced_bursts(np.asarray(p, float), window, smooth, spacing, most, abs(hash(k)) % 2**32 if not isinstance(k, str) else len(k)))]
+            rows = [(k, v, s) for k, p in zip(frame[key], frame["power"], strict=True) for v, s in enumerate(sp.spaced_bursts(np.asarray(p, float), window, smooth, spacing, most, seed_of(k)))]
             yield pd.DataFrame(rows, columns=[key, "view_idx", "start"])
 
     power = windows.select(key, F.transform("iq", lambda s: s.i * s.i + s.q * s.q).alias("power"))
     return power.mapInPandas(run, f"{key} {dict(power.dtypes)[key]}, view_idx int, start int")
+
+
+def burst_starts(windows: DataFrame, window: int, smooth: int = 512, total: bool = False, key: str = "capture_id") -> DataFrame:
+    """(key, start): a window around the first largest smoothed power, inside the capture; 0 for short ones.
+
+    Power is the mean of both channels' squares, smoothed over K samples, K an eighth of the capture at most; ``total`` takes
+    the sum of the squares, and bounds K by the length. Samples stay in their rows.
+    """
+
+    def kernel(x: np.ndarray) -> dict[str, np.ndarray]:
+        n = x.shape[1]
+        centre = sp.smoothed(np.abs(x) ** 2 / (1 if total else 2), max(1, min(smooth, n if total else n // 8))).argmax(1)
+        return {"start": np.clip(centre - window // 2, 0, max(0, n - window))[:, None]}
+
+    return batched(windows, kernel, {"start": "int"}, key)
+
+
+def smoothed_rows(windows: DataFrame, smooth: int, key: str = "capture_id") -> DataFrame:
+    """(key, smooth): the moving mean of the power of each capture, as an array."""
+    return batched(windows, lambda x: {"smooth": sp.smoothed(np.abs(x) ** 2 / 2, max(1, min(smooth, x.shape[1] // 8)))[:, None]}, {"smooth": "array<double>"}, key)
+
+
+def unwrapped_rows(windows: DataFrame, key: str = "capture_id") -> DataFrame:
+    """(key, phase, unwrapped): the phase of each sample, and with jumps of over pi corrected, as arrays."""
+
+    def kernel(x: np.ndarray) -> dict[str, np.ndarray]:
+        phase = np.angle(x)
+        return {"phase": phase[:, None], "unwrapped": np.unwrap(phase, axis=1)[:, None]}
+
+    return batched(windows, kernel, {"phase": "array<double>", "unwrapped": "array<double>"}, key)

@@ -29,6 +29,23 @@ def stft(x: np.ndarray, nfft: int, hop: int) -> np.ndarray:
     return np.fft.fftshift(spec, axes=2).transpose(0, 2, 1) / nfft
 
 
+def spectra_at(x: np.ndarray, nfft: int, starts: np.ndarray) -> np.ndarray:
+    """Row x frame x frequency: symmetric Hann window, centred spectrum, at the given starts."""
+    seg = x[:, starts[:, None] + np.arange(nfft)] * np.hanning(nfft)
+    return np.fft.fftshift(np.fft.fft(seg, axis=2), axes=2)
+
+
+def stft_at(x: np.ndarray, nfft: int, bins: int) -> np.ndarray:
+    """The same as ``stft``, at ``bins`` evenly spaced starts (whole parts)."""
+    x = np.pad(x, ((0, 0), (0, max(0, nfft - x.shape[1]))))
+    return spectra_at(x, nfft, np.linspace(0, x.shape[1] - nfft, bins).astype(int)).transpose(0, 2, 1) / nfft
+
+
+def smoothed(x: np.ndarray, k: int) -> np.ndarray:
+    """Moving mean over ``k`` samples, those from k // 2 before on; zeros beyond the ends."""
+    return np.lib.stride_tricks.sliding_window_view(np.pad(x, ((0, 0), (k // 2, (k - 1) // 2))), k, axis=1).sum(2) / k
+
+
 def resized_linear(spec: np.ndarray, bins: int) -> np.ndarray:
     """Time axis (the last) to ``bins`` by linear interpolation."""
     n = spec.shape[-1]
@@ -56,7 +73,7 @@ def clipped(spec: np.ndarray, limit: float = 6.0) -> np.ndarray:
     return np.clip(both / scale.reshape(-1, *[1] * (both.ndim - 1)), -limit, limit)
 
 
-def channels(spec: np.ndarray, names: tuple[str, ...] = ("logmag", "re", "im", "phase"), limit: float = 6.0) -> np.ndarray:
+def channels(spec: np.ndarray, names: tuple[str, ...] = ("re", "im", "logmag", "phase"), limit: float = 6.0) -> np.ndarray:
     """Row x channel x frequency x time, each channel standardised per row and clipped."""
     kinds = {"logmag": lambda s: np.log1p(np.abs(s)), "re": np.real, "im": np.imag, "phase": lambda s: np.angle(s) / np.pi}
     out = np.stack([kinds[k](spec) for k in names], 1)
@@ -111,10 +128,10 @@ def gaussian(x: np.ndarray, sigma: float) -> np.ndarray:
 
 
 def denoised(x: np.ndarray, threshold: float = 0.1) -> np.ndarray:
-    """Keeps spectral bins above a share of the row's deviation times the root of its length."""
+    """Real rows with the spectral bins above a multiple of the row's deviation (n - 1 in its divisor) only."""
     spec = np.fft.fft(x, axis=1)
-    keep = np.abs(spec) > threshold * x.std(1, keepdims=True) * np.sqrt(x.shape[1])
-    return np.fft.ifft(np.where(keep, spec, 0), axis=1)
+    keep = np.abs(spec) > threshold * x.std(1, ddof=1, keepdims=True)
+    return np.fft.ifft(np.where(keep, spec, 0), axis=1).real
 
 
 # Analysis filters of the Daubechies wavelets with one and four vanishing moments.

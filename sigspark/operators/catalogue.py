@@ -61,7 +61,7 @@ def indexed(values: DataFrame, column: str, index: str) -> DataFrame:
 
 def label_index(df: DataFrame, column: str = "target_raw", index: str = "label_idx") -> DataFrame:
     """Adds the place of each label among the sorted distinct labels of ``df``. The class table is small: as many rows as classes."""
-    return df.join(F.broadcast(indexed(df, column, index)), column, "left")
+    return df.join(indexed(df, column, index), column, "left")
 
 
 def onehot_index(onehot: Column) -> Column:
@@ -93,7 +93,7 @@ def global_labels(*datasets: tuple[str, DataFrame]) -> DataFrame:
     for name, classes in datasets:
         part = classes.select(F.lit(name).alias("dataset"), "class_idx", F.concat(F.lit(f"{name}:"), "class_name").alias("global_label"))
         rows = part if rows is None else rows.unionByName(part)
-    return rows.join(F.broadcast(indexed(rows, "global_label", "global_idx")), "global_label")
+    return rows.join(indexed(rows, "global_label", "global_idx"), "global_label")
 
 
 def snr_slice(df: DataFrame, *, low: float | None = None, above: float | None = None, high: float | None = None, column: str = "snr") -> DataFrame:

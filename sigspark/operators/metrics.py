@@ -159,7 +159,7 @@ def global_epochs(history: DataFrame) -> DataFrame:
     """Numbers the epochs of successive runs through: (run_id, epoch, global_epoch)."""
     lengths = history.groupBy("run_id").agg(F.max("epoch").alias("length"))
     before = F.coalesce(F.sum("length").over(Window.orderBy("run_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return history.join(F.broadcast(lengths.select("run_id", before.alias("start"))), "run_id").withColumn("global_epoch", F.col("start") + F.col("epoch")).drop("start")
+    return history.join(lengths.select("run_id", before.alias("start")), "run_id").withColumn("global_epoch", F.col("start") + F.col("epoch")).drop("start")
 
 
 def event_counts(preds: DataFrame) -> DataFrame:

@@ -7,6 +7,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Hexadecimal digits of a draw key that tell the stretches of a group apart.
+PREFIX = 3
+
 
 def draw_key(seed: int, *ids: str) -> Column:
     return F.md5(F.concat_ws("|", F.lit(seed), *[F.col(i).cast("string") for i in ids]))
@@ -17,9 +20,20 @@ def ranked(df: DataFrame, by: list[str], order: list, name: str = "rn") -> DataF
     return df.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
 
 
-def counted(df: DataFrame, by: list[str], name: str = "n") -> DataFrame:
-    """Adds the size of each row's group: one aggregate of a row per group, broadcast."""
-    return df.join(F.broadcast(df.groupBy(*by).agg(F.count(F.lit(1)).alias(name))), by)
+def drawn(df: DataFrame, by: list[str], seed: int, key: str) -> DataFrame:
+    """Adds rn, each row's place from 1 in the draw of its group, and n, the group's size.
+
+    In two levels, so that no task holds a group: ranks inside the stretches of a group whose draw keys begin alike,
+    and the sizes of the stretches before, which are sums over ``16 ** PREFIX`` numbers a group.
+    """
+    rows = df.withColumn("draw", draw_key(seed, key)).withColumn("stretch", F.substring("draw", 1, PREFIX))
+    inside = Window.partitionBy(*by, "stretch").orderBy("draw", key)
+    sizes = rows.groupBy(*by, "stretch").agg(F.count(F.lit(1)).alias("size"))
+    along = Window.partitionBy(*by)
+    before = F.sum("size").over(along.orderBy("stretch").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("size")
+    starts = sizes.select(*by, "stretch", before.alias("before"), F.sum("size").over(along).alias("n"))
+    placed = rows.withColumn("rn", F.row_number().over(inside)).join(starts, [*by, "stretch"])
+    return placed.withColumn("rn", F.col("before") + F.col("rn")).drop("draw", "stretch", "before")
 
 
 def stratified_fraction(df: DataFrame, fraction: float, seed: int, by: str = "label_idx", key: str = "capture_id", *, up: bool = False) -> DataFrame:
@@ -30,7 +44,7 @@ def stratified_fraction(df: DataFrame, fraction: float, seed: int, by: str = "la
         return df
     want = F.col("n") * F.lit(fraction)
     quota = F.greatest(F.lit(1), (F.ceil(want) if up else F.bround(want)).cast("int"))
-    chosen = ranked(counted(df.select(key, by), [by]), [by], [draw_key(seed, key), key]).filter(F.col("rn") <= quota)
+    chosen = drawn(df.select(key, by), [by], seed, key).filter(F.col("rn") <= quota)
     return df.join(chosen.select(key), key, "left_semi")
 
 
@@ -53,8 +67,8 @@ def held_out_quotas(counts: DataFrame, fraction: float, by: str) -> DataFrame:
 
 def held_out(df: DataFrame, fraction: float, seed: int, by: str, key: str) -> DataFrame:
     counts = df.groupBy(by).agg(F.count(F.lit(1)).alias("n"))
-    rows = ranked(df, [by], [draw_key(seed, key), key]).join(F.broadcast(held_out_quotas(counts, fraction, by)), by)
-    return rows.withColumn("held", F.col("rn") <= F.col("quota")).drop("rn", "quota")
+    rows = drawn(df, [by], seed, key).join(held_out_quotas(counts, fraction, by), by)
+    return rows.withColumn("held", F.col("rn") <= F.col("quota")).drop("rn", "quota", "n")
 
 
 def stratified_split(df: DataFrame, seed: int, test: float = 0.2, val: float = 0.2, by: str = "label_idx", key: str = "capture_id") -> DataFrame:
@@ -66,9 +80,10 @@ def stratified_split(df: DataFrame, seed: int, test: float = 0.2, val: float = 0
 
 
 def plain_split(df: DataFrame, seed: int, test: float = 0.2, key: str = "capture_id") -> DataFrame:
-    """Adds split by a threshold on the draw key: no sort, no shuffle; sizes are near the share."""
-    share = F.conv(F.substring(draw_key(seed, key), 1, 8), 16, 10).cast("double") / F.lit(float(2**32))
-    return df.withColumn("split", F.when(share < test, "test").otherwise("train"))
+    """Adds split: the first ceil(n * test) rows of a draw over all rows are the test."""
+    rows = drawn(df.select(key).withColumn("all_rows", F.lit(1)), ["all_rows"], seed, key)
+    split = F.when(F.col("rn") <= F.ceil(F.col("n") * F.lit(test)), "test").otherwise("train")
+    return df.join(rows.select(key, split.alias("split")), key)
 
 
 def class_split(df: DataFrame, seed: int, train: float = 0.7, val: float = 0.15, by: str = "label_idx", key: str = "capture_id") -> DataFrame:
@@ -77,7 +92,7 @@ def class_split(df: DataFrame, seed: int, train: float = 0.7, val: float = 0.15,
     n_train, n_val = (F.greatest(F.lit(1), F.bround(n * F.lit(f)).cast("int")) for f in (train, val))
     over = n_train + n_val >= n
     n_train, n_val = F.when(over, F.greatest(F.lit(1), n - 2)).otherwise(n_train), F.when(over, 1).otherwise(n_val)
-    rows = ranked(counted(df.select(key, by), [by]), [by], [draw_key(seed, key), key])
+    rows = drawn(df.select(key, by), [by], seed, key)
     split = F.when((n < 3) | (F.col("rn") <= n_train), "train").when(F.col("rn") <= n_train + n_val, "val").otherwise("test")
     return df.join(rows.select(key, split.alias("split")), key)
 
@@ -99,17 +114,18 @@ def balanced_replay(df: DataFrame, seed: int, target: int | None = None, by: str
         counts = counts.crossJoin(F.broadcast(counts.agg(F.max("n").alias("target"))))
     else:
         counts = counts.withColumn("target", F.lit(target))
-    draws = counts.withColumn("replay_idx", F.explode(F.expr("sequence(0, cast(target as int) - 1)")))
+    blocks = counts.withColumn("block", F.explode(F.expr("sequence(0, (cast(target as long) - 1) div 10000)")))
+    draws = blocks.withColumn("replay_idx", F.explode(F.expr("sequence(cast(block * 10000 as int), cast(least(target, (block + 1) * 10000) as int) - 1)"))).drop("block")
     number = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), F.col(by).cast("string"), F.col("replay_idx").cast("string"))), 1, 8), 16, 10).cast("long")
     draws = draws.withColumn("rn", F.when(F.col("n") < F.col("target"), 1 + F.pmod(number, F.col("n"))).otherwise(F.col("replay_idx") + 1).cast("int"))
-    return draws.join(ranked(df.select(key, by), [by], [draw_key(seed, key), key]), [by, "rn"]).select(by, "replay_idx", key)
+    return draws.drop("n").join(drawn(df.select(key, by), [by], seed, key).withColumn("rn", F.col("rn").cast("int")), [by, "rn"]).select(by, "replay_idx", key)
 
 
 def balanced_down(df: DataFrame, seed: int, most: int | None = None, by: str = "label_idx", key: str = "capture_id") -> DataFrame:
     """Every class down to the size of the smallest, and to ``most`` at most."""
     least = df.groupBy(by).agg(F.count(F.lit(1)).alias("n")).agg(F.min("n").alias("least"))
     bound = F.col("least") if most is None else F.least(F.col("least"), F.lit(most))
-    chosen = ranked(df.select(key, by), [by], [draw_key(seed, key), key]).crossJoin(F.broadcast(least)).filter(F.col("rn") <= bound)
+    chosen = drawn(df.select(key, by), [by], seed, key).crossJoin(F.broadcast(least)).filter(F.col("rn") <= bound)
     return df.join(chosen.select(key), key, "left_semi")
 
 
@@ -120,12 +136,10 @@ def sweep_selection(df: DataFrame, classes: list[str], per_class: int, seed: int
     """
     spark = df.sparkSession
     order = spark.createDataFrame(list(enumerate(classes)), f"class_pos int, {by} string")
-    rows = ranked(df.join(F.broadcast(order), by), [by], [draw_key(seed, key), key])
-    if most is None:
-        rows = rows.filter(F.col("rn") <= per_class)
+    longest = per_class if most is None else max(per_class, most)  # literal, so that each task passes on so many of a class at most
+    few = ranked(df.select(key, by).join(F.broadcast(order), by), [by], [draw_key(seed, key), key]).filter(F.col("rn") <= longest)
     later = F.col("rn") > per_class
     place = Window.orderBy(later, F.when(later, F.col("rn")).otherwise(0), "class_pos", "rn")
-    few = ranked(rows, [by], ["rn"], "again").filter(F.col("again") <= (per_class if most is None else max(per_class, most)))
     out = few.withColumn("place", F.row_number().over(place) - 1)
     out = out if most is None else out.filter(F.col("place") < most)
     missing = order.join(df.select(by).distinct(), by, "left_anti").agg(F.count(F.lit(1)).alias("empty"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.arrays import let, mean_of
@@ -125,43 +125,13 @@ def seeded_start(path: Column, view: Column, seed: int, n: Column, window: int,
     return F.when(view == 0, strongest).otherwise(F.pmod(number, F.greatest(F.lit(1), n - window + 1))).cast("int")
 
 
-def smoothed_power(samples: DataFrame, smooth: int, total: bool = False) -> DataFrame:
-    """Adds power and its moving sum / K, zero padded, K bounded by an eighth of the capture; and n_samples.
-
-    Frames of row windows are literal, so captures are grouped by K: one branch per distinct K, which
-    has few values. ``total`` takes I^2 + Q^2 instead of the mean of both, and bounds K by the length.
-    """
-    sizes = samples.groupBy("capture_id").agg(F.count(F.lit(1)).alias("n_samples"))
-    most = F.col("n_samples") if total else F.floor(F.col("n_samples") / 8)
-    sizes = sizes.withColumn("k", F.greatest(F.lit(1), F.least(F.lit(smooth), most)).cast("int"))
-    power = F.col("i") * F.col("i") + F.col("q") * F.col("q")
-    rows = samples.join(sizes, "capture_id").withColumn("power", power if total else power / 2)
-    order = Window.partitionBy("capture_id").orderBy("n")
-    out = None
-    for k in [r.k for r in sizes.select("k").distinct().collect()]:
-        part = rows.filter(F.col("k") == k).withColumn("smooth", F.sum("power").over(order.rowsBetween(-(k // 2), (k - 1) // 2)) / k)
-        out = part if out is None else out.unionByName(part)
-    if out is None:
-        out = rows.withColumn("smooth", F.lit(0.0))
-    return out
-
-
-def burst_starts(samples: DataFrame, window: int, smooth: int = 512, total: bool = False) -> DataFrame:
-    """(capture_id, start): a window around the first largest smoothed power, inside the capture; 0 for short ones."""
-    rows = smoothed_power(samples, smooth, total)
-    best = rows.groupBy("capture_id", "n_samples").agg(F.min_by("n", F.struct(-F.col("smooth"), F.col("n"))).alias("centre"))
-    last = F.col("n_samples") - window
-    start = F.greatest(F.lit(0), F.least(F.col("centre") - window // 2, last))
-    return best.select("capture_id", F.when(last <= 0, 0).otherwise(start).cast("int").alias("start"))
-
-
-def capture_stats(samples: DataFrame) -> DataFrame:
-    """(capture_id, power_db, peak, i_clip_pct, q_clip_pct, fullscale_pct, warning)."""
-    share = lambda test: F.avg(test.cast("double")) * 100
-    magnitude = F.hypot("i", "q")
-    out = samples.groupBy("capture_id").agg(
-        (10 * F.log10(F.avg(F.col("i") * F.col("i") + F.col("q") * F.col("q")) + F.lit(1e-12))).alias("power_db"), F.max(magnitude).alias("peak"),
-        share(F.abs("i") >= 0.99).alias("i_clip_pct"), share(F.abs("q") >= 0.99).alias("q_clip_pct"), share(magnitude >= 1.0).alias("fullscale_pct"),
+def capture_stats(df: DataFrame, key: str = "capture_id") -> DataFrame:
+    """(key, power_db, peak, i_clip_pct, q_clip_pct, fullscale_pct, warning), from the samples inside each row."""
+    magnitude = lambda s: F.hypot(s.i, s.q)
+    share = lambda test: mean_of(F.transform("iq", lambda s: F.when(test(s), 100.0).otherwise(0.0)))
+    out = df.select(
+        key, (10 * F.log10(mean_of(F.transform("iq", lambda s: s.i * s.i + s.q * s.q)) + F.lit(1e-12))).alias("power_db"), F.array_max(F.transform("iq", magnitude)).alias("peak"),
+        share(lambda s: F.abs(s.i) >= 0.99).alias("i_clip_pct"), share(lambda s: F.abs(s.q) >= 0.99).alias("q_clip_pct"), share(lambda s: magnitude(s) >= 1.0).alias("fullscale_pct"),
     )
     return out.withColumn("warning", (F.col("i_clip_pct") > 0.1) | (F.col("q_clip_pct") > 0.1) | (F.col("fullscale_pct") > 0.5))
 
@@ -213,12 +183,16 @@ def replay_ready(iq: Column, length: int, amplitude: float = 0.8, silence: int =
     return let(F.concat(quiet, loud, quiet), lambda x: tiled(x, length))
 
 
-def three_tap(samples: DataFrame, passes: int = 1) -> DataFrame:
+def three_tap(iq: Column, passes: int = 1) -> Column:
     """Repeated mean over a sample and its two neighbours, zero beyond the ends."""
-    frame = Window.partitionBy("capture_id").orderBy("n").rowsBetween(-1, 1)
+
+    def once(x: Column) -> Column:
+        near = lambda k, c: F.when(k >= 1, F.element_at(x, F.greatest(k, F.lit(1)))[c]).otherwise(0.0) + F.element_at(x, k + 1)[c] + F.coalesce(F.try_element_at(x, k + 2)[c], F.lit(0.0))
+        return F.transform(F.sequence(F.lit(0), F.size(x) - 1), lambda k: sample(near(k, "i") / 3, near(k, "q") / 3))
+
     for _ in range(passes):
-        samples = samples.select("capture_id", "n", *[(F.sum(c).over(frame) / 3).alias(c) for c in ("i", "q")])
-    return samples
+        iq = let(iq, once)
+    return iq
 
 
 def powered(iq: Column, kind: str) -> Column:
@@ -230,30 +204,15 @@ def powered(iq: Column, kind: str) -> Column:
     return F.transform(iq, lambda s: F.struct(re[kind](s.i, s.q).alias("i"), im[kind](s.i, s.q).alias("q")))
 
 
-def unwrapped(samples: DataFrame) -> DataFrame:
-    """Adds phase, its first difference, and the unwrapped phase: jumps of over pi are corrected by running sums."""
-    order = Window.partitionBy("capture_id").orderBy("n")
-    rows = samples.withColumn("phase", F.atan2("q", "i"))
-    step = F.col("phase") - F.lag("phase").over(order)
-    wrapped = F.pmod(step + math.pi, F.lit(2 * math.pi)) - math.pi
-    wrapped = F.when((wrapped == -math.pi) & (step > 0), math.pi).otherwise(wrapped)
-    jump = F.when(F.abs(step) < math.pi, 0.0).otherwise(wrapped - step)
-    rows = rows.withColumn("step", step).withColumn("jump", F.coalesce(jump, F.lit(0.0)))
-    along = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return rows.withColumn("unwrapped", F.col("phase") + F.sum("jump").over(along)).drop("jump")
-
-
-def differences(samples: DataFrame, column: str) -> DataFrame:
-    """Adds first and second differences along a capture."""
-    order = Window.partitionBy("capture_id").orderBy("n")
-    rows = samples.withColumn("d1", F.col(column) - F.lag(column).over(order))
-    return rows.withColumn("d2", F.col("d1") - F.lag("d1").over(order))
+def differences(values: Column) -> Column:
+    """First differences of an array of numbers; empty for under two."""
+    return F.when(F.size(values) > 1, let(values, lambda x: F.transform(F.sequence(F.lit(2), F.size(x)), lambda k: F.element_at(x, k) - F.element_at(x, k - 1)))).otherwise(F.expr("cast(array() as array<double>)"))
 
 
-def window_samples(samples: DataFrame, windows: DataFrame, length: int) -> DataFrame:
-    """Samples of each window (capture_id, view_idx, start) in long form, numbered from the window's start."""
-    inside = (F.col("n") >= F.col("start")) & (F.col("n") < F.col("start") + length)
-    return windows.join(samples, "capture_id").filter(inside).withColumn("n", F.col("n") - F.col("start"))
+def window_samples(df: DataFrame, starts: Column, length: int) -> DataFrame:
+    """One row per start in an array of starts: view_idx, start, and iq cut to the window inside the row; nothing is shuffled."""
+    rows = df.select("*", F.posexplode(starts).alias("view_idx", "start"))
+    return rows.withColumn("iq", cut(F.col("iq"), F.col("start"), length))
 
 
 def replay_windows(df: DataFrame, window: int, stride: int) -> DataFrame:

@@ -122,8 +122,8 @@ def jn1_named_classes(spark, sf):
 
 
 def listing_of(files):
-    """The files that exist: those of five packs, at a place below files/."""
-    return files.filter("doc_id % 7 < 5").select(F.when(F.col("doc_id") % 2 == 0, F.col("path")).otherwise(F.concat(F.lit("files/"), "path")).alias("path"), "label")
+    """The files that exist: half of them at another place, below files/."""
+    return files.select(F.when(F.col("doc_id") % 2 == 0, F.col("path")).otherwise(F.concat(F.lit("files/"), "path")).alias("path"), "label")
 
 
 def jn2_repaired_manifest(spark, sf):
@@ -132,7 +132,7 @@ def jn2_repaired_manifest(spark, sf):
     return cat.repaired(manifest, listing_of(files))
 
 
-JN2 = f"""WITH {PATHS}, listing AS (SELECT DISTINCT CASE WHEN doc_id % 2 = 0 THEN path ELSE 'files/' || path END AS path, label FROM paths WHERE doc_id % 7 < 5),
+JN2 = f"""WITH {PATHS}, listing AS (SELECT DISTINCT CASE WHEN doc_id % 2 = 0 THEN path ELSE 'files/' || path END AS path, label FROM paths),
 manifest AS (SELECT doc_id, path AS filepath, CASE WHEN doc_id % 11 = 0 THEN 'src0' ELSE label END AS label FROM paths)
 SELECT m.doc_id, m.filepath, m.label FROM manifest m JOIN listing l ON l.path = m.filepath AND l.label = m.label
 UNION ALL SELECT m.doc_id, f.found, m.label FROM manifest m JOIN (SELECT regexp_extract(path, '([^/]*)$', 1) AS base, label, min(path) AS found FROM listing GROUP BY ALL) f
@@ -165,7 +165,7 @@ def jn5_missing_artifacts(spark, sf):
     return cat.missing_artifacts(files.select("doc_id", "path"), listing_of(files))
 
 
-JN5 = f"WITH {PATHS} SELECT doc_id, path FROM paths WHERE path NOT IN (SELECT CASE WHEN doc_id % 2 = 0 THEN path ELSE 'files/' || path END FROM paths WHERE doc_id % 7 < 5)"
+JN5 = f"WITH {PATHS} SELECT doc_id, path FROM paths WHERE path NOT IN (SELECT CASE WHEN doc_id % 2 = 0 THEN path ELSE 'files/' || path END FROM paths)"
 
 
 def agg1_dataset_counts(spark, sf):
@@ -433,7 +433,7 @@ def smp8_plain_split(spark, sf):
     return smp.plain_split(predictions(spark, sf), SEED).groupBy("split").agg(F.count(F.lit(1)).alias("n"), F.sum("capture_id").alias("ids"))
 
 
-SMP8 = PRED + f", s AS (SELECT capture_id, CASE WHEN ('0x' || substr({KEY}, 1, 8))::BIGINT / 4294967296.0::DOUBLE < 0.2 THEN 'test' ELSE 'train' END AS split FROM predictions) SELECT split, count(*) AS n, sum(capture_id)::BIGINT AS ids FROM s GROUP BY 1"
+SMP8 = PRED + f", s AS (SELECT capture_id, CASE WHEN row_number() OVER (ORDER BY {KEY}, capture_id) <= ceil(count(*) OVER () * 0.2::DOUBLE) THEN 'test' ELSE 'train' END AS split FROM predictions) SELECT split, count(*) AS n, sum(capture_id)::BIGINT AS ids FROM s GROUP BY 1"
 
 
 def smp9_class_split(spark, sf):
@@ -485,12 +485,11 @@ TOP2 = f"{PRED}, {f1_sql('condition')} SELECT 'events' AS dataset, condition AS
 
 
 def set1_union_histories(spark, sf):
-    new = history(spark, sf).drop("val_macro_f1").filter("epoch <= 3")
-    old = history(spark, sf).drop("val_accuracy").filter("epoch > 18")
+    new, old = history(spark, sf).drop("val_macro_f1"), history(spark, sf).drop("val_accuracy")
     return smp.union_all(old, new)
 
 
-SET1 = HISTORY + " SELECT run_id, epoch, NULL::DOUBLE AS val_accuracy, val_macro_f1 FROM h WHERE epoch > 18 UNION ALL SELECT run_id, epoch, val_accuracy, NULL FROM h WHERE epoch <= 3"
+SET1 = HISTORY + " SELECT run_id, epoch, NULL::DOUBLE AS val_accuracy, val_macro_f1 FROM h UNION ALL SELECT run_id, epoch, val_accuracy, NULL FROM h"
 
 
 def set2_distinct_files(spark, sf):
@@ -521,5 +520,5 @@ ORACLES = {
     "smp7_stratified_split": SMP7, "smp8_plain_split": SMP8, "smp9_class_split": SMP9, "smp10_view_split": SMP10, "smp11_balanced_replay": SMP11, "smp12_balanced_down": SMP12, "smp13_sweep_selection": SMP13,
     "top2_comparison": TOP2, "top5_last_runs": HISTORY + " SELECT run_id, max(epoch) AS epochs FROM h GROUP BY 1 ORDER BY run_id DESC LIMIT 10", "set1_union_histories": SET1,
     "set2_distinct_files": f"WITH {PATHS} SELECT DISTINCT path FROM paths", "set3_class_union": with_tables("predictions", "captures") + " SELECT y_true AS class_name FROM predictions UNION SELECT class_name FROM captures",
-    "set4_missing": f"WITH {PATHS} SELECT path FROM paths EXCEPT ALL SELECT CASE WHEN doc_id % 2 = 0 THEN path ELSE 'files/' || path END FROM paths WHERE doc_id % 7 < 5",
+    "set4_missing": f"WITH {PATHS} SELECT path FROM paths EXCEPT ALL SELECT CASE WHEN doc_id % 2 = 0 THEN path ELSE 'files/' || path END FROM paths",
 }

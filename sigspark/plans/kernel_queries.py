@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from ..functions import features as ft
 from ..functions import spectral as sp
+from ..functions.arrays import mean_of
+from ..operators import windows as win
 from ..streaming import live
 from ..streaming.run import drained, recorded
 from .catalogue_queries import rounded
@@ -192,8 +194,8 @@ def ft13_stft_features(spark, sf):
 
 FT13 = IQ + f""", fr AS (SELECT capture_id, t, n - 16 * (t - 1) AS j, i, q FROM iq, range(3) z(t) WHERE n >= 16 * (t - 1) AND n < 16 * (t - 1) + 32), w AS (SELECT capture_id * 3 + t AS capture_id, j AS n, i * (0.5 - 0.5 * cos({TAU} * j / 32)) / 16 AS i, q * (0.5 - 0.5 * cos({TAU} * j / 32)) / 16 AS q FROM fr)""" + transformed("m", "w") + f""",
 x AS (SELECT capture_id // 3 AS capture_id, k, f, re, im, a FROM m), kf AS (SELECT capture_id, k, var_pop(a * a) / avg(a * a) ** 2 - 1 AS v FROM x GROUP BY ALL), ks AS (SELECT capture_id, avg(v) AS ku FROM kf GROUP BY 1),
-b AS (SELECT capture_id, sum(re) FILTER (f >= 0.05 AND f <= 0.3) AS br, sum(im) FILTER (f >= 0.05 AND f <= 0.3) AS bi, sum(re) AS tr, sum(im) AS ti, stddev_pop(a) AS es FROM x GROUP BY 1)
-SELECT capture_id, {r(stft_kurtosis="ku", stft_energy_spread="es", tf_concentration="sqrt((br * br + bi * bi) / (tr * tr + ti * ti))")} FROM b JOIN ks USING (capture_id)"""
+b AS (SELECT capture_id, sum(a) FILTER (f >= 0.05 AND f <= 0.3) / sum(a) AS tf, stddev_pop(a) AS es FROM x GROUP BY 1)
+SELECT capture_id, {r(stft_kurtosis="ku", stft_energy_spread="es", tf_concentration="tf")} FROM b JOIN ks USING (capture_id)"""
 
 
 def ft14_autocorrelation(spark, sf):
@@ -279,9 +281,111 @@ s AS (SELECT capture_id, sqrt((sum(re * re) + sum(im * im)) / 112 - ((sum(re) +
 SELECT capture_id, t AS time_bin, ((k + 4) % 8)::INT AS freq_bin, round(greatest(-6.0::DOUBLE, least(6.0::DOUBLE, re / sd)), 6) + 0.0 AS re, round(greatest(-6.0::DOUBLE, least(6.0::DOUBLE, im / sd)), 6) + 0.0 AS im FROM b JOIN s USING (capture_id)"""
 
 
+def cells(rows, *arrays):
+    """One row per time and frequency bin of array columns, rounded."""
+    long = rows.select("capture_id", "time_bin", F.posexplode(F.arrays_zip(*arrays)).alias("freq_bin", "v"))
+    return long.select("capture_id", "time_bin", "freq_bin", *[r6(F.col(f"v.{c}")).alias(c) for c in arrays])
+
+
+def frames_sql(source: str, starts: list[int], size: int = 8) -> str:
+    """Frames at the given starts under a symmetric Hann window, and their transforms b (capture_id, t, k, re, im)."""
+    places = ", ".join(f"({t}, {s})" for t, s in enumerate(starts))
+    hann, angle = f"(0.5 - 0.5 * cos({TAU} * (n - s) / {size - 1}))", f"{TAU} * k * n / {size}"
+    return f""", fr AS (SELECT capture_id, t, n - s AS n, i * {hann} AS i, q * {hann} AS q FROM {source}, (VALUES {places}) z(t, s) WHERE n >= s AND n < s + {size}),
+b AS (SELECT capture_id, t, k::INT AS k, sum(i * cos({angle}) + q * sin({angle})) AS re, sum(q * cos({angle}) - i * sin({angle})) AS im FROM fr, range({size}) y(k) GROUP BY ALL)"""
+
+
+def clip_sql(x: str) -> str:
+    return f"round(greatest(-6.0::DOUBLE, least(6.0::DOUBLE, {x})), 6) + 0.0"
+
+
+def standardised_sql(source: str, cells: int) -> str:
+    return f""", s AS (SELECT capture_id, sqrt((sum(re * re) + sum(im * im)) / {2 * cells} - ((sum(re) + sum(im)) / {2 * cells}) ** 2) + 1e-6 AS sd FROM {source} GROUP BY 1)
+SELECT capture_id, t::INT AS time_bin, ((k + 4) % 8)::INT AS freq_bin, {clip_sql("re / sd")} AS re, {clip_sql("im / sd")} AS im FROM {source} JOIN s USING (capture_id)"""
+
+
+def arr13_interpolated(spark, sf):
+    """Seven frames drawn out to eleven time bins."""
+    return cells(ft.spectrogram_rows(windows(spark, sf), 8, 4, 11), "re", "im")
+
+
+ARR13 = IQ + frames_sql("iq", [4 * t for t in range(7)]) + """, pl AS (SELECT t, floor(t * 0.6::DOUBLE)::INT AS lo, least(6, floor(t * 0.6::DOUBLE)::INT + 1) AS hi, t * 0.6::DOUBLE - floor(t * 0.6::DOUBLE) AS part FROM range(11) z(t)),
+d AS (SELECT x.capture_id, pl.t, x.k, (x.re * (1 - part) + y.re * part) / 8 AS re, (x.im * (1 - part) + y.im * part) / 8 AS im FROM pl JOIN b x ON x.t = lo JOIN b y ON y.t = hi AND y.capture_id = x.capture_id AND y.k = x.k)""" + standardised_sql("d", 88)
+
+
+def arr13_nearest(spark, sf):
+    """Seven frames thinned to four time bins."""
+    return cells(ft.spectrogram_rows(windows(spark, sf), 8, 4, 4, resize="nearest"), "re", "im")
+
+
+ARR13N = IQ + frames_sql("iq", [0, 8, 16, 24]) + ", d AS (SELECT capture_id, t, k, re / 8 AS re, im / 8 AS im FROM b)" + standardised_sql("d", 32)
+
+
+def arr13_spaced_starts(spark, sf):
+    """Frames at five evenly spaced starts."""
+    return cells(ft.spectrogram_rows(windows(spark, sf), 8, 4, 5, resize="starts"), "re", "im")
+
+
+ARR13S = IQ + frames_sql("iq", [0, 6, 12, 18, 24]) + ", d AS (SELECT capture_id, t, k, re / 8 AS re, im / 8 AS im FROM b)" + standardised_sql("d", 40)
+
+
+def arr15_channels(spark, sf):
+    return cells(ft.channel_rows(windows(spark, sf), 8, 5), "re", "im", "logmag", "phase")
+
+
+CHANNELS = {"re": "re", "im": "im", "logmag": "ln(1 + sqrt(re * re + im * im))", "phase": "atan2(im, re) / pi()"}
+ARR15 = IQ + ", m AS (SELECT capture_id, avg(i) AS mi, avg(q) AS mq FROM iq GROUP BY 1), c AS (SELECT capture_id, n, i - mi AS i, q - mq AS q FROM iq JOIN m USING (capture_id)), w AS (SELECT capture_id, sqrt(avg(i * i + q * q)) + 1e-6 AS rms FROM c GROUP BY 1), x AS (SELECT capture_id, n, i / rms AS i, q / rms AS q FROM c JOIN w USING (capture_id))" + frames_sql("x", [0, 6, 12, 18, 24]) + f""",
+v AS (SELECT capture_id, t, k, {", ".join(f"{x} AS {n}" for n, x in CHANNELS.items())} FROM b), g AS (SELECT capture_id, {", ".join(f"avg({n}) AS {n}_m, stddev_pop({n}) + 1e-6 AS {n}_s" for n in CHANNELS)} FROM v GROUP BY 1)
+SELECT capture_id, t::INT AS time_bin, ((k + 4) % 8)::INT AS freq_bin, {", ".join(f"{clip_sql(f'({n} - {n}_m) / {n}_s')} AS {n}" for n in CHANNELS)} FROM v JOIN g USING (capture_id)"""
+
+
+def arr16_spectrum_view(spark, sf):
+    return rounded(ft.spectrum_view(windows(spark, sf)))
+
+
+ARR16 = DFT + " SELECT capture_id, ((k + 16) % 32)::INT AS bin, round(f, 6) + 0.0 AS frequency, round(20 * log10(a + 1e-8), 6) + 0.0 AS db FROM m"
+
+
 def arr17_waterfall(spark, sf):
-    rows = ft.waterfall(windows(spark, sf), 8)
-    return rows.groupBy("capture_id").agg(F.count(F.lit(1)).alias("cells"), r6(F.max("low")).alias("low"), r6(F.max("high")).alias("high"))
+    return rounded(ft.waterfall_cells(ft.waterfall(windows(spark, sf), 8), 8, centre_hz=2.47e9))
+
+
+ARR17 = IQ + frames_sql("iq", [4 * t for t in range(7)]) + """, d AS (SELECT *, 20 * log10(sqrt(re * re + im * im) + 1e-8) AS db FROM b), g AS (SELECT capture_id, quantile_cont(db, 0.05) AS low, quantile_cont(db, 0.995) AS high FROM d GROUP BY 1)
+SELECT capture_id, t::INT AS column, ((k + 4) % 8)::INT AS freq_bin, round(4 * t / 2e7 * 1000, 6) + 0.0 AS time_ms, round((((k + 4) % 8 - 4) / 8 * 2e7 + 2.47e9) / 1e6, 6) + 0.0 AS frequency_mhz, round(db, 6) + 0.0 AS db, round(low, 6) + 0.0 AS low, round(high, 6) + 0.0 AS high FROM d JOIN g USING (capture_id)"""
+
+
+def samples_of(rows):
+    long = rows.select("capture_id", F.posexplode(F.arrays_zip("i", "q")).alias("n", "s"))
+    return long.select("capture_id", "n", r6(F.col("s.i")).alias("i"), r6(F.col("s.q")).alias("q"))
+
+
+def arr22_fft_denoised(spark, sf):
+    return samples_of(ft.denoised_windows(windows(spark, sf), 5.0))
+
+
+def one_channel(c: str) -> str:
+    angle = f"{TAU} * k * n / 32"
+    return transformed(f"{c}t", f"(SELECT capture_id, n, {c} AS i, 0.0::DOUBLE AS q FROM iq)") + f""", {c}d AS (SELECT capture_id, 5 * stddev_samp({c}) AS least FROM iq GROUP BY 1),
+{c}o AS (SELECT capture_id, n::INT AS n, sum(CASE WHEN a > least THEN re * cos({angle}) - im * sin({angle}) ELSE 0 END) / 32 AS v FROM {c}t JOIN {c}d USING (capture_id), range(32) y(n) GROUP BY ALL)"""
+
+
+ARR22F = IQ + one_channel("i") + one_channel("q") + " SELECT capture_id, n, round(io.v, 6) + 0.0 AS i, round(qo.v, 6) + 0.0 AS q FROM io JOIN qo USING (capture_id, n)"
+
+
+def arr22_gaussian(spark, sf):
+    return samples_of(ft.denoised_windows(windows(spark, sf), sigma=2.0))
+
+
+ARR22G = IQ + """, w AS (SELECT j, exp(-0.5 * (j / 2.0) ** 2) / sum(exp(-0.5 * (j / 2.0) ** 2)) OVER () AS w FROM range(-8, 9) t(j)), z AS (SELECT t.n::INT AS k, w, CASE WHEN (t.n + j + 64) % 64 < 32 THEN (t.n + j + 64) % 64 ELSE 63 - (t.n + j + 64) % 64 END AS n FROM w, range(32) t(n))
+SELECT capture_id, k AS n, round(sum(w * i), 6) + 0.0 AS i, round(sum(w * q), 6) + 0.0 AS q FROM z JOIN iq USING (n) GROUP BY ALL"""
+
+
+def win1_smoothed_power(spark, sf):
+    rows = ft.smoothed_rows(windows(spark, sf), 4).select("capture_id", F.posexplode("smooth").alias("n", "smooth"))
+    return rounded(rows)
+
+
+WIN1 = IQ + " SELECT capture_id, n, round(sum((i * i + q * q) / 2) OVER (PARTITION BY capture_id ORDER BY n ROWS BETWEEN 2 PRECEDING AND 1 FOLLOWING) / 4, 6) + 0.0 AS smooth FROM iq"
 
 
 def arr10_spaced_bursts(spark, sf):
@@ -311,6 +415,60 @@ def str5_triggered_captures(spark, sf):
     return events.filter("kind = 'capture'").select("stream_id", "seq", r6(F.col("power_db")).alias("power_db"), F.size("i").alias("samples"))
 
 
+#: Each capture starts at the first loud chunk behind the last one's cool-down; its ring holds two chunks, fewer right behind the floor.
+STR5 = with_tables("chunks").replace("WITH ", "WITH RECURSIVE ", 1) + """, fl AS (SELECT stream_id, median(power_db) AS floor FROM chunks WHERE seq < 20 GROUP BY 1 HAVING count(*) = 20), ends AS (SELECT stream_id, max(seq) AS last FROM chunks GROUP BY 1),
+hits AS (SELECT stream_id, seq, power_db FROM chunks JOIN fl USING (stream_id) WHERE seq >= 20 AND power_db >= floor + 4),
+step AS (SELECT stream_id, min(seq) AS s FROM hits GROUP BY 1 UNION ALL SELECT p.stream_id, min(h.seq) FROM step p JOIN hits h ON h.stream_id = p.stream_id AND h.seq >= p.s + 8 - least(2, p.s - 20) GROUP BY p.stream_id, p.s)
+SELECT stream_id, s AS seq, round(power_db, 6) + 0.0 AS power_db, 5 AS samples FROM step JOIN ends USING (stream_id) JOIN hits h USING (stream_id) WHERE h.seq = s AND s + 4 - least(2, s - 20) <= last"""
+
+
+def ended(spark, sf):
+    """The streams of chunks, each with an empty chunk at its end."""
+    rows = live_chunks(spark, sf)
+    none = F.expr("cast(array() as array<double>)")
+    last = rows.groupBy("stream_id").agg((F.max("seq") + 1).alias("seq")).select("stream_id", "seq", none.alias("i"), none.alias("q"), F.lit(-120.0).alias("power_db"))
+    return rows.unionByName(last)
+
+
+def str5_padded_captures(spark, sf):
+    """With an end of the stream: what was being captured is padded."""
+    events = drained(live.triggered(recorded(ended(spark, sf)), TRIGGER))
+    return events.filter("kind = 'capture'").select("stream_id", "seq", F.size("i").alias("samples"), F.size(F.filter("i", lambda v: v == 0)).alias("padded"))
+
+
+STR5P = STR5[: STR5.index("SELECT stream_id, s AS seq, round(power_db")] + "SELECT stream_id, s AS seq, 5 AS samples, greatest(0, s + 4 - least(2, s - 20) - last)::INT AS padded FROM step JOIN ends USING (stream_id)"
+
+
+def str6_fixed_captures(spark, sf):
+    out = drained(live.fixed_captures(recorded(live_chunks(spark, sf)), 5, discard=3))
+    return out.select("stream_id", "seq", r6(mean_of(F.col("i"))).alias("mean"))
+
+
+STR6 = with_tables("chunks") + " SELECT stream_id, 3::BIGINT AS seq, round(avg(sqrt(10 ** (power_db / 10) / 2)), 6) + 0.0 AS mean FROM chunks WHERE seq >= 3 AND seq < 8 GROUP BY 1 HAVING count(*) = 5"
+
+
+def str3_chunk_powers(spark, sf):
+    return rounded(drained(live.chunk_powers(recorded(live_chunks(spark, sf)))))
+
+
+STR3 = with_tables("chunks") + " SELECT stream_id, seq, round(10 * log10(10 ** (power_db / 10) + 1e-12), 6) + 0.0 AS power_db FROM chunks"
+
+
+def str3_windowed_powers(spark, sf):
+    return rounded(live.windowed_powers(chunks(spark, sf), "1 day"))
+
+
+STR3W = with_tables("chunks") + " SELECT stream_id, date_trunc('day', ts) AS start, count(*) AS chunks, round(10 * log10(avg(10 ** (power_db / 10))), 6) + 0.0 AS power_db, round(max(power_db), 6) + 0.0 AS peak_db FROM chunks GROUP BY ALL"
+
+
+def str7_candidate_windows(spark, sf):
+    rows = win.replay_windows(captures(spark, sf), 12, 5)
+    return rows.select("capture_id", "start", r6(mean_of(F.transform("iq", lambda s: s.i))).alias("mean_i"))
+
+
+STR7 = IQ + " SELECT capture_id, s::INT AS start, round(avg(i), 6) + 0.0 AS mean_i FROM iq, (VALUES (0), (5), (10), (15), (20)) z(s) WHERE n >= s AND n < s + 12 GROUP BY ALL"
+
+
 def str2_rechunked(spark, sf):
     frames = chunks(spark, sf).select("stream_id", "seq", F.array_repeat("power_db", 3).alias("i"), F.array_repeat(F.lit(0.0), 3).alias("q"))
     out = drained(live.rechunked(recorded(frames), 7))
@@ -323,10 +481,11 @@ SELECT stream_id, any_value(n // 7)::BIGINT AS chunks, any_value(n // 7 - 1)::BI
 
 def str9_rolling_summary(spark, sf):
     rows = predictions(spark, sf).select("ts", F.col("y_true").alias("condition"), (F.col("y_pred") != "view").alias("alert"), "confidence")
-    return rounded(live.rolling_summary(rows, "1 day"))
+    out = live.rolling_summary(rows, "1 day")
+    return out.withColumn("mean_confidence", F.round("mean_confidence", 12))
 
 
-STR9 = with_tables("predictions") + " SELECT date_trunc('day', ts) AS start, y_true AS condition, count(*) AS events, sum((y_pred <> 'view')::INT)::BIGINT AS alerts, round(avg(confidence), 6) + 0.0 AS mean_confidence FROM predictions GROUP BY ALL"
+STR9 = with_tables("predictions") + " SELECT date_trunc('day', ts) AS start, y_true AS condition, count(*) AS events, sum((y_pred <> 'view')::INT)::BIGINT AS alerts, round(sum(confidence::DECIMAL(28, 12))::DOUBLE / count(*), 12) AS mean_confidence FROM predictions GROUP BY ALL"
 
 
 def dec10_forest_importances(spark, sf):
@@ -340,4 +499,5 @@ def dec10_forest_importances(spark, sf):
 
 QUERIES = {n: f for n, f in list(globals().items()) if n.split("_")[0].rstrip("0123456789") in ("ft", "arr", "str", "dec", "win") and callable(f) and getattr(f, "__module__", "") == __name__}
 ORACLES = {"ft1_time_features": FT1, "ft4_phase_features": FT4, "ft5_constellation": FT5, "ft6_envelope_features": FT6, "ft7_analytic_phase": FT7, "ft8_spectrum_features": FT8, "ft9_spectrum_shape": FT9, "ft10_band_energy": FT10, "ft11_spectral_peaks": FT11, "ft12_welch_features": FT12, "ft13_stft_features": FT13,
-           "ft14_autocorrelation": FT14, "ft15_wavelet_features": FT15, "ft16_filtered_features": FT16, "win8_rolling_entropy": WIN8, "arr12_spectrogram": ARR12, "str4_noise_floors": STR4, "str2_rechunked": STR2, "str9_rolling_summary": STR9}
+           "ft14_autocorrelation": FT14, "ft15_wavelet_features": FT15, "ft16_filtered_features": FT16, "win8_rolling_entropy": WIN8, "win1_smoothed_power": WIN1, "arr13_interpolated": ARR13, "arr13_nearest": ARR13N, "arr13_spaced_starts": ARR13S, "arr15_channels": ARR15, "arr16_spectrum_view": ARR16, "arr17_waterfall": ARR17, "arr22_fft_denoised": ARR22F, "arr22_gaussian": ARR22G,
+           "str3_chunk_powers": STR3, "str3_windowed_powers": STR3W, "str5_triggered_captures": STR5, "str5_padded_captures": STR5P, "str6_fixed_captures": STR6, "str7_candidate_windows": STR7, "arr12_spectrogram": ARR12, "str4_noise_floors": STR4, "str2_rechunked": STR2, "str9_rolling_summary": STR9}

@@ -7,10 +7,12 @@ import math
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions import features as ft
+from ..functions.arrays import mean_of
 from ..operators import scoring as sc
 from ..operators import windows as win
 from .catalogue_queries import light, rounded
-from .tables import TYPES, captures, chunks, iq_samples, predictions, r6, table, with_tables
+from .tables import TYPES, captures, chunks, predictions, r6, table, with_tables
 
 IQ = with_tables("iq")
 CAPIQ = with_tables("captures", "iq")
@@ -94,9 +96,9 @@ ARR11 = IQ + " SELECT capture_id, start::INT AS start, round(avg((i * i + q * q)
 
 
 def jn6_window_samples(spark, sf):
-    caps = captures(spark, sf)
-    starts = caps.select("capture_id", F.posexplode(F.array(F.lit(0), (F.col("capture_id") % 17).cast("int"))).alias("view_idx", "start"))
-    return win.window_samples(iq_samples(caps), starts, 12).select("capture_id", "view_idx", "n", r6(F.col("i")).alias("i"))
+    starts = F.array(F.lit(0), (F.col("capture_id") % 17).cast("int"))
+    rows = win.window_samples(captures(spark, sf), starts, 12).select("capture_id", "view_idx", F.posexplode("iq").alias("n", "s"))
+    return rows.select("capture_id", "view_idx", "n", r6(F.col("s.i")).alias("i"))
 
 
 JN6 = IQ + ", w AS (SELECT DISTINCT capture_id, v::INT AS view_idx, (CASE WHEN v = 0 THEN 0 ELSE capture_id % 17 END)::INT AS start FROM iq, range(2) t(v)) SELECT capture_id, view_idx, n - start AS n, round(i, 6) + 0.0 AS i FROM iq JOIN w USING (capture_id) WHERE n >= start AND n < start + 12"
@@ -119,8 +121,7 @@ SELECT capture_id, k::INT AS n, round(i, 6) + 0.0 AS i, round(q, 6) + 0.0 AS q F
 
 
 def arr22_three_tap(spark, sf):
-    out = win.three_tap(iq_samples(captures(spark, sf)), 2)
-    return rounded(out)
+    return long(captures(spark, sf).withColumn("iq", win.three_tap(F.col("iq"), 2)), "capture_id")
 
 
 ARR22 = IQ + """, w AS (SELECT capture_id, n, sum(i) OVER x / 3 AS i, sum(q) OVER x / 3 AS q FROM iq WINDOW x AS (PARTITION BY capture_id ORDER BY n ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING))
@@ -143,7 +144,7 @@ ARR24 = with_tables("captures") + " SELECT capture_id, v::INT AS view, (CASE WHE
 
 
 def win2_burst_starts(spark, sf):
-    return win.burst_starts(iq_samples(captures(spark, sf)), 12, 3)
+    return ft.burst_starts(captures(spark, sf), 12, 3)
 
 
 WIN2 = IQ + """, p AS (SELECT capture_id, n, sum((i * i + q * q) / 2) OVER (PARTITION BY capture_id ORDER BY n ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) / 3 AS s FROM iq), b AS (SELECT capture_id, n, row_number() OVER (PARTITION BY capture_id ORDER BY s DESC, n) AS k FROM p)
@@ -151,22 +152,23 @@ SELECT capture_id, greatest(0, least(n - 6, 20))::INT AS start FROM b WHERE k =
 
 
 def win3_active_windows(spark, sf):
-    return win.burst_starts(iq_samples(captures(spark, sf)), 12, 4, total=True)
+    return ft.burst_starts(captures(spark, sf), 12, 4, total=True)
 
 
 WIN3 = WIN2.replace("(i * i + q * q) / 2", "i * i + q * q").replace("1 PRECEDING AND 1 FOLLOWING) / 3", "2 PRECEDING AND 1 FOLLOWING) / 4")
 
 
 def win4_differences(spark, sf):
-    rows = win.differences(iq_samples(captures(spark, sf)), "i")
-    return rows.groupBy("capture_id").agg(r6(F.avg(F.abs("d1"))).alias("mean_d1"), r6(F.avg(F.abs("d2"))).alias("mean_d2"))
+    rows = captures(spark, sf).select("capture_id", win.differences(F.transform("iq", lambda s: s.i)).alias("d1")).withColumn("d2", win.differences(F.col("d1")))
+    return rows.select("capture_id", *[r6(mean_of(F.transform(d, F.abs))).alias(f"mean_{d}") for d in ("d1", "d2")])
 
 
 WIN4 = IQ + ", d AS (SELECT *, i - lag(i) OVER (PARTITION BY capture_id ORDER BY n) AS d1 FROM iq), e AS (SELECT *, d1 - lag(d1) OVER (PARTITION BY capture_id ORDER BY n) AS d2 FROM d) SELECT capture_id, round(avg(abs(d1)), 6) + 0.0 AS mean_d1, round(avg(abs(d2)), 6) + 0.0 AS mean_d2 FROM e GROUP BY 1"
 
 
 def win5_unwrapped_phase(spark, sf):
-    return win.unwrapped(iq_samples(captures(spark, sf))).select("capture_id", "n", r6(F.col("unwrapped")).alias("unwrapped"))
+    rows = ft.unwrapped_rows(captures(spark, sf)).select("capture_id", F.posexplode("unwrapped").alias("n", "unwrapped"))
+    return rows.select("capture_id", "n", r6(F.col("unwrapped")).alias("unwrapped"))
 
 
 TAU = repr(2 * math.pi)
@@ -183,8 +185,8 @@ AGG25 = CHUNKS + " SELECT stream_id, round(median(power_db), 6) + 0.0 AS floor F
 
 
 def agg26_capture_stats(spark, sf):
-    samples = iq_samples(captures(spark, sf)).select("capture_id", "n", (F.col("i") * 4).alias("i"), (F.col("q") * 4).alias("q"))
-    return rounded(win.capture_stats(samples))
+    louder = F.transform("iq", lambda s: F.struct((s.i * 4).alias("i"), (s.q * 4).alias("q")))
+    return rounded(win.capture_stats(captures(spark, sf).withColumn("iq", louder)))
 
 
 AGG26 = IQ + """, s AS (SELECT capture_id, 4 * i AS i, 4 * q AS q FROM iq), a AS (SELECT capture_id, 10 * log10(avg(i * i + q * q) + 1e-12) AS power_db, max(sqrt(i * i + q * q)) AS peak, 100 * avg((abs(i) >= 0.99)::INT) AS i_clip_pct, 100 * avg((abs(q) >= 0.99)::INT) AS q_clip_pct,
@@ -268,7 +270,7 @@ DEC6 = PRED + ", r AS (SELECT stream_id, capture_id, y_pred, row_number() OVER (
 def dec7_signal_present(spark, sf):
     rows = chunks(spark, sf)
     floor = sc.noise_floor(rows)
-    return rows.join(F.broadcast(floor), "stream_id").select("stream_id", "seq", sc.signal_present(F.col("power_db"), F.col("floor")).alias("present"))
+    return rows.join(floor, "stream_id").select("stream_id", "seq", sc.signal_present(F.col("power_db"), F.col("floor")).alias("present"))
 
 
 DEC7 = CHUNKS + ", f AS (SELECT stream_id, median(power_db) AS floor FROM chunks WHERE seq < 20 GROUP BY 1) SELECT stream_id, seq, power_db >= floor + 4.0 AS present FROM chunks JOIN f USING (stream_id)"

@@ -6,7 +6,7 @@ import io
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -55,10 +55,10 @@ def decode_file(path: str, content: bytes) -> np.ndarray:
 
 
 def decode_interleaved(content: bytes) -> np.ndarray:
-    """Single-precision pairs; with under four values, or any that aren't finite, read as 16-bit instead."""
+    """Single-precision pairs; with under four values, or any that aren't finite, read as 16-bit numbers instead, at their own scale."""
     x = np.frombuffer(content[: len(content) // 4 * 4], "<f4")
     if len(x) < 4 or not np.isfinite(x).all():
-        x = np.frombuffer(content[: len(content) // 2 * 2], "<i2").astype(np.float32) / 32768
+        x = np.frombuffer(content[: len(content) // 2 * 2], "<i2").astype(np.float32)
     c = as_complex(x)
     return c[np.isfinite(c.real) & np.isfinite(c.imag)]
 
@@ -69,29 +69,57 @@ def list_files(spark: SparkSession, folder: str, pattern: str = "*") -> DataFram
     return files.select("path", "length", "modificationTime")
 
 
-def read_iq_files(spark: SparkSession, folder: str, pattern: str = "*", least: int = 0) -> DataFrame:
-    """(path, iq) of capture files; zero-padded to ``least`` samples. Broken files have a null."""
+def decoded_files(files: DataFrame, least: int = 0) -> DataFrame:
+    """(path, iq) from (path, content); zero-padded to ``least`` samples. Broken and null contents have a null."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows = []
-            for path, content in zip(frame["path"], frame["content"], strict=True):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = pa.list_(pa.struct([("i", pa.float64()), ("q", pa.float64())]))
+        for batch in batches:
+            rows: list[np.ndarray | None] = []
+            for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 try:
                     x = decode_file(path, content)
-                except (ValueError, OSError, EOFError, KeyError):
-                    rows.append((path, None))
+                except (ValueError, OSError, EOFError, KeyError, TypeError):
+                    rows.append(None)
                     continue
-                x = np.pad(x, (0, max(0, least - len(x))))
-                rows.append((path, [{"i": float(a), "q": float(b)} for a, b in zip(x.real, x.imag, strict=True)]))
-            yield pd.DataFrame(rows, columns=["path", "iq"])
+                rows.append(np.pad(x, (0, max(0, least - len(x)))))
+            ends = np.cumsum([0, *(0 if x is None else len(x) for x in rows)])
+            flat = np.concatenate([np.empty(0, complex), *(x for x in rows if x is not None)])
+            pairs = pa.StructArray.from_arrays([pa.array(flat.real.copy()), pa.array(flat.imag.copy())], names=["i", "q"])
+            iq = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pairs, mask=pa.array([x is None for x in rows], pa.bool_())).cast(kind)
+            yield pa.RecordBatch.from_arrays([batch.column(0), iq], names=["path", "iq"])
 
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(folder)
-    return files.select("path", "content").mapInPandas(run, SCHEMA)
+    return files.select("path", "content").mapInArrow(run, SCHEMA)
+
+
+def read_iq_files(spark: SparkSession, folder: str, pattern: str = "*", least: int = 0) -> DataFrame:
+    """(path, iq) of capture files by name pattern, at any depth."""
+    return decoded_files(spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(folder), least)
+
+
+def decoded_frames(frames: DataFrame) -> DataFrame:
+    """Frames (with iq_format, channels and payload) with the samples of channel 0 as i and q in place of the payload; works on streams too."""
+    kept = [c for c in frames.columns if c not in ("iq_format", "channels", "payload")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = [batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("payload", "iq_format", "channels")]
+            rows = [decode_frame(*r) for r in zip(*own, strict=True)]
+            parts = [pa.array([part(x) for x in rows], pa.list_(pa.float64())) for part in (np.real, np.imag)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in kept), *parts], names=[*kept, "i", "q"])
+
+    kinds = dict(frames.dtypes)
+    return frames.mapInArrow(run, ", ".join([*(f"{c} {kinds[c]}" for c in kept), "i array<double>, q array<double>"]))
 
 
 def checksums(spark: SparkSession, expected: DataFrame, folder: str) -> DataFrame:
-    """(path, sha256) of expected files (path relative to the folder), null for missing ones."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
+    """(path, sha256) of expected files (path relative to the folder), null for missing ones. Only those are read: a registry
+    names few files, and their paths go through the driver."""
     base = folder.rstrip("/").removeprefix("file:").lstrip("/")
     relative = F.regexp_replace("path", f"^file:/+{base}/", "")
+    listed = list_files(spark, folder).select("path", relative.alias("name"))
+    found = [r.path for r in listed.join(expected.select(F.col("path").alias("name")), "name", "left_semi").collect()]
+    if not found:
+        return expected.withColumn("sha256", F.lit(None).cast("string"))
+    files = spark.read.format("binaryFile").load(found)
     return expected.join(files.select(relative.alias("path"), F.sha2("content", 256).alias("sha256")), "path", "left")

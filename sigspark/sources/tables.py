@@ -29,11 +29,13 @@ def read_csv(spark: SparkSession, path: str, schema: str, required: tuple[str, .
 
 
 def read_metrics(spark: SparkSession, *paths: str) -> DataFrame:
-    """Metrics rows of JSON files, each an object or a list of them; missing files are passed over."""
+    """Metrics rows of JSON files, each an object, a list of objects, or an object a line; missing files are passed over."""
     out = spark.createDataFrame([], METRICS)
+    listed = F.concat(F.lit("["), F.regexp_replace(F.trim("value"), r"\}\s*\n\s*\{", "},{"), F.lit("]"))
+    rows = F.from_json(F.when(F.trim("value").startswith("["), F.col("value")).otherwise(listed), f"array<struct<{METRICS.replace(' string', ': string')}>>")
     for path in paths:
         try:
-            out = out.unionByName(spark.read.option("multiLine", True).schema(METRICS).json(path), allowMissingColumns=True)
+            out = out.unionByName(spark.read.text(path, wholetext=True).select(F.inline(rows)))
         except AnalysisException as e:
             if "PATH_NOT_FOUND" not in str(e):
                 raise
