@@ -1,24 +1,26 @@
 """Embedding near-duplicates: exact threshold pairs by dual traversal of cover trees.
 
-On the unit sphere a cosine of at least c is a distance of at most sqrt(2 - 2c). The top of the tree
-is a set of pivots, farthest first, from a bounded sample; every vector belongs to its nearest pivot's
-cell. Cells are dealt out in units of bounded size, and each unit gets nested levels of nodes whose
-radii halve. Two cells, and then two nodes, are compared only if their centres are no farther apart
-than their covering radii and the threshold together; what remains at the leaves is decided in double
-precision.
+On the unit sphere a cosine of at least c is a distance of at most sqrt(2 - 2c). The upper levels of the
+tree are cells in tables: a cell that holds too many vectors is split by pivots, farthest first, from a
+bounded sample of its own; every vector goes to the nearest one. Cells below that are units, and each unit
+gets nested levels of nodes whose radii halve. Two cells, and then two nodes, are compared only if their
+centres are no farther apart than their covering radii and the threshold together. Cells that lie wholly
+within the threshold of each other link as they are, with no pair expanded; what remains at the leaves is
+decided in double precision.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import hashed_sample, materialise, read_table, scoped
+from .common import materialise, read_table, scoped
 from .components import components
 
 #: Added to every bound on distances of single precision.
@@ -27,14 +29,15 @@ SLACK = 1e-3
 
 @dataclass(frozen=True)
 class Settings:
-    """Pivots come from ``sample`` vectors at most, the first in an order by hash, and are
-    ``most_pivots`` at most. A unit holds about ``unit`` vectors.
+    """A cell of over ``unit`` vectors is split by up to ``fan`` pivots out of ``sample`` of its vectors, the first in an
+    order by hash, unless all its vectors are within the threshold. After ``levels`` splits a cell is dealt into units by hash.
     """
 
     cosine: float = 0.95
     unit: int = 4096
-    sample: int = 4096
-    most_pivots: int = 256
+    sample: int = 1024
+    fan: int = 64
+    levels: int = 9
     radii: tuple[float, ...] = (0.8, 0.4, 0.2)
 
     @property
@@ -184,7 +187,7 @@ def forest(n: int, p: np.ndarray, q: np.ndarray, label: np.ndarray) -> np.ndarra
 
 def compare(table: pa.Table, s: Settings) -> pa.Table:
     """Links within one unit, or between two: counts of each vector, and links that connect the same."""
-    unit = table.column("unit").to_numpy()
+    unit = np.unique(np.array(table.column("unit").to_pylist()), return_inverse=True)[1]
     ids = table.column("id").to_numpy()
     order = np.lexsort((ids, unit))
     table, unit, ids = table.take(order), unit[order], ids[order]
@@ -213,37 +216,106 @@ def compare(table: pa.Table, s: Settings) -> pa.Table:
     })
 
 
-def assigned(reps: DataFrame, pivots: np.ndarray) -> DataFrame:
-    """Adds the nearest pivot and the distance to it."""
-    shared = reps.sparkSession.sparkContext.broadcast(pivots)
-
-    def run(batches):
-        for batch in batches:
-            away = distance(matrix(batch.column("embedding")) @ shared.value.T)
-            cell = away.argmin(1) if len(away) else np.empty(0, np.int64)
-            arrays = [*batch.columns, pa.array(cell.astype(np.int64)), pa.array(away[np.arange(len(away)), cell])]
-            yield pa.RecordBatch.from_arrays(arrays, names=[*batch.schema.names, "cell", "away"])
-
-    return reps.mapInArrow(run, "id long, embedding array<double>, copies long, cell long, away double")
+def pivots_of(table: pa.Table, s: Settings) -> pa.Table:
+    """(cell, child, pivot) of a cell from a sample of its vectors. Children are numbered so that no two cells of any level are alike."""
+    cell, n = table.column("cell")[0].as_py(), table.column("n")[0].as_py()
+    table = table.sort_by("rank")
+    found = farthest_first(matrix(table.column("embedding")), min(s.fan, max(2, -(-2 * n // s.unit))))
+    return pa.table({"cell": pa.array([cell] * len(found), pa.int64()), "child": pa.array([cell * s.fan + k + 1 for k in range(len(found))], pa.int64()), "pivot": pa.array(list(found), pa.list_(pa.float64()))})
+
+
+def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each vector's nearest pivot, from rows in order: a part's pivots come before its vectors, and only they are held."""
+    part, pivots, children = None, [], []
+    for batch in batches:
+        keys = np.stack([batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_numpy()], 1)
+        cuts = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]).any(1)])) if len(keys) else np.empty(0, np.int64)
+        for at, end in zip(cuts.tolist(), [*cuts[1:].tolist(), len(keys)], strict=True):
+            rows, own = batch.slice(at, end - at), tuple(keys[at, :2].tolist())
+            if own != part:
+                part, pivots, children = own, [], []
+            if keys[at, 2] == 0:
+                pivots.append(matrix(rows.column("embedding")))
+                children.append(rows.column("child").to_numpy())
+                continue
+            away = distance(matrix(rows.column("embedding")) @ np.concatenate(pivots).T)
+            near = away.argmin(1)
+            yield pa.RecordBatch.from_arrays(
+                [rows.column("id"), rows.column("embedding"), rows.column("copies"), pa.array(np.concatenate(children)[near]), pa.array(away[np.arange(len(near)), near])],
+                names=["id", "embedding", "copies", "cell", "away"],
+            )
+
+
+def split_cells(rows: DataFrame, large: DataFrame, s: Settings) -> tuple[DataFrame, DataFrame]:
+    """Vectors of the cells (cell, n) in their new cells, and these: (cell, parent, pivot, radius, n). Hot cells are dealt out in salted parts."""
+    moved = rows.join(large, "cell")
+    order = Window.partitionBy("cell").orderBy(F.xxhash64("id"), "id")
+    sample = moved.select("cell", "n", "id", "embedding").withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= s.sample)
+    pivots = materialise(sample.groupBy("cell").applyInArrow(lambda t: pivots_of(t, s), "cell long, child long, pivot array<double>"))
+    parts = F.ceil(F.col("n") / (8 * s.unit))
+    heads = pivots.join(large, "cell").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
+    none = F.lit(None).cast("long")
+    heads = heads.select("cell", "salt", F.lit(0).alias("kind"), none.alias("id"), none.alias("copies"), F.col("pivot").alias("embedding"), "child")
+    data = moved.select("cell", F.pmod(F.xxhash64("id", F.lit(5)), parts).alias("salt"), F.lit(1).alias("kind"), "id", "copies", "embedding", none.alias("child"))
+    both = heads.unionByName(data).repartition("cell", "salt").sortWithinPartitions("cell", "salt", "kind")
+    placed = materialise(both.mapInArrow(assign, "id long, embedding array<double>, copies long, cell long, away double"))
+    kids = placed.groupBy("cell").agg(F.max("away").alias("radius"), F.count(F.lit(1)).alias("n"))
+    cells = kids.join(pivots.select(F.col("child").alias("cell"), F.col("cell").alias("parent"), "pivot"), "cell")
+    return placed.drop("away"), cells.select("cell", "parent", "pivot", "radius", "n")
+
+
+def near_cells(pairs: DataFrame, cells: DataFrame, s: Settings) -> DataFrame:
+    """(first, second, inside) of the cells below near cells that are near themselves; ``inside``: all their vectors link."""
+    x, y = (cells.select(F.struct("cell", "pivot", "radius").alias(c), F.col("parent").alias(f"{c}_parent")) for c in ("x", "y"))
+    both = pairs.select("first", "second").join(x, F.col("first") == F.col("x_parent")).join(y, F.col("second") == F.col("y_parent"))
+    both = both.filter((F.col("first") != F.col("second")) | (F.col("x.cell") <= F.col("y.cell")))
+    dot = F.aggregate(F.zip_with("x.pivot", "y.pivot", lambda a, b: a * b), F.lit(0.0), lambda t, v: t + v)
+    apart = F.when(F.col("x.cell") == F.col("y.cell"), 0.0).otherwise(F.sqrt(F.greatest(F.lit(0.0), 2 - 2 * dot)))
+    both = both.withColumn("apart", apart).withColumn("wide", F.col("x.radius") + F.col("y.radius"))
+    near = both.filter(F.col("apart") <= F.col("wide") + s.reach + SLACK)
+    return near.select(F.least("x.cell", "y.cell").alias("first"), F.greatest("x.cell", "y.cell").alias("second"), (F.col("apart") + F.col("wide") + SLACK <= s.reach).alias("inside"))
+
+
+def whole_links(placed: DataFrame, inside: DataFrame) -> DataFrame:
+    """(id, links, other) rows of the pairs of cells whose vectors all link, from sums per cell."""
+    sums = placed.groupBy("cell").agg(F.sum("copies").alias("weight"), F.min("id").alias("low"))
+    x, y = (sums.select(F.col("cell").alias(c), F.col("weight").alias(f"{c}_weight"), F.col("low").alias(f"{c}_low")) for c in ("first", "second"))
+    both = materialise(inside.join(x, "first").join(y, "second"))
+    own = F.col("first") == F.col("second")
+    sides = both.select(F.col("first").alias("cell"), F.col("second_weight").alias("gain"), own.cast("long").alias("own")).unionByName(
+        both.filter(~own).select(F.col("second").alias("cell"), F.col("first_weight").alias("gain"), F.lit(0).cast("long").alias("own"))
+    )
+    gains = sides.groupBy("cell").agg(F.sum("gain").alias("gain"), F.max("own").alias("own")).join(sums.select("cell", "low"), "cell")
+    each = placed.join(gains, "cell").select("id", (F.col("gain") - F.col("own") * F.col("copies")).alias("links"), F.col("low").alias("other"))
+    return each.unionByName(both.filter(~own).select(F.col("first_low").alias("id"), F.lit(0).cast("long").alias("links"), F.col("second_low").alias("other")))
 
 
 def links_of(reps: DataFrame, s: Settings) -> DataFrame:
     """(id, links, other) rows: partial counts, and links that connect the same vectors as all links."""
-    n = reps.count()
-    first = hashed_sample(reps, s.sample, "id").select("embedding").toArrow()
+    spark, n = reps.sparkSession, reps.count()
     if not n:
-        return reps.sparkSession.createDataFrame([], "id long, links long, other long")
-    pivots = farthest_first(matrix(first.column(0)), min(s.most_pivots, -(-n // s.unit)))
-    placed = materialise(assigned(reps, pivots))
-    cells = {r.cell: (-(-r.n // s.unit), r.away) for r in placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("away").alias("away")).collect()}
-    apart = distance(pivots @ pivots.T)
-    starts, units = {}, 0
-    for c in sorted(cells):
-        starts[c], units = units, units + cells[c][0]
-    near = {c: [d for d in cells if apart[c, d] <= cells[c][1] + cells[d][1] + s.reach + SLACK] for c in cells}
-    spark = reps.sparkSession
-    where = spark.createDataFrame([(c, starts[c], cells[c][0], [(starts[d], cells[d][0]) for d in near[c]]) for c in cells], "cell long, start long, parts long, near array<struct<start: long, parts: long>>")
-    dealt = placed.join(F.broadcast(where), "cell").withColumn("unit", F.col("start") + F.pmod(F.xxhash64("id"), F.col("parts")))
+        return spark.createDataFrame([], "id long, links long, other long")
+    cells = spark.createDataFrame([(0, 0, [], 2.0, n)], "cell long, parent long, pivot array<double>, radius double, n long")
+    pairs = spark.createDataFrame([(0, 0, False)], "first long, second long, inside boolean")
+    rows, settled = reps.withColumn("cell", F.lit(0).cast("long")), []
+    too_large = (F.col("n") > s.unit) & (2 * F.col("radius") + SLACK > s.reach)
+    for _ in range(s.levels):
+        large = cells.filter(too_large).select("cell", "n")
+        if large.isEmpty():
+            break
+        settled.append(rows.join(large.select("cell"), "cell", "left_anti"))
+        rows, new = split_cells(rows, large, s)
+        cells = materialise(cells.filter(~too_large).withColumn("parent", F.col("cell")).unionByName(new))
+        pairs = materialise(near_cells(pairs, cells, s))
+    placed = rows
+    for part in settled:
+        placed = placed.unionByName(part)
+    placed = materialise(placed.select("id", "embedding", "copies", "cell"))
+
+    rest = pairs.filter("not inside")
+    parts = cells.select("cell", F.ceil(F.col("n") / s.unit).alias("parts"))
+    wanted = rest.select(F.explode(F.array("first", "second")).alias("cell")).distinct().join(parts, "cell")
+    dealt = placed.join(wanted, "cell").withColumn("unit", F.concat_ws(":", "cell", F.pmod(F.xxhash64("id"), F.col("parts"))))
     levels = ", ".join(f"c{k} long" for k in range(len(s.radii)))
 
     def centres(table: pa.Table) -> pa.Table:
@@ -253,13 +325,14 @@ def links_of(reps: DataFrame, s: Settings) -> DataFrame:
             table = table.append_column(f"c{k}", pa.array(out[:, k]))
         return table
 
-    kept = dealt.select("id", "embedding", "copies", "unit", "near")
-    schema = f"id long, embedding array<double>, copies long, unit long, near array<struct<start: long, parts: long>>, {levels}"
-    trees = materialise(kept.groupBy("unit").applyInArrow(centres, schema))
-    others = F.flatten(F.transform("near", lambda d: F.sequence(d.start, d.start + d.parts - 1)))
-    pairs = trees.withColumn("with", F.explode(others)).drop("near")
-    pairs = pairs.withColumn("first", F.least("unit", "with")).withColumn("second", F.greatest("unit", "with")).drop("with")
-    return pairs.groupBy("first", "second").applyInArrow(lambda t: compare(t, s), "id long, links long, other long")
+    kept = dealt.select("id", "embedding", "copies", "cell", "unit")
+    trees = materialise(kept.groupBy("unit").applyInArrow(centres, f"id long, embedding array<double>, copies long, cell long, unit string, {levels}"))
+    others = rest.select(F.col("first").alias("cell"), F.col("second").alias("with_cell")).unionByName(rest.filter("first <> second").select(F.col("second").alias("cell"), F.col("first").alias("with_cell")))
+    others = others.join(parts.withColumnRenamed("cell", "with_cell"), "with_cell").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    met = trees.join(others.select("cell", F.concat_ws(":", "with_cell", "part").alias("with")), "cell").drop("cell")
+    met = met.withColumn("first", F.least("unit", "with")).withColumn("second", F.greatest("unit", "with")).drop("with")
+    found = met.groupBy("first", "second").applyInArrow(lambda t: compare(t, s), "id long, links long, other long")
+    return found.unionByName(whole_links(placed, pairs.filter("inside").select("first", "second")))
 
 
 @scoped

@@ -126,20 +126,23 @@ def solve(kernel: np.ndarray, among: np.ndarray, labels: np.ndarray, langs: list
 def learn(docs: DataFrame, settings: Settings) -> Model | None:
     """Fit on the first rows of each language in an order by hash.
 
-    Each task passes on as many ids as are wanted at most. Tasks reduce texts to n-gram sets of landmarks,
+    A language's count tells which part of the hash's range holds a few more than are wanted; only these are ranked. Tasks reduce texts to n-gram sets of landmarks,
     and to kernel values: the driver gets ``most_landmarks`` sets and ``most_rows`` x ``most_landmarks`` numbers at most.
     """
     fold = fold_of(F.col("doc_id"), settings.parts)
     known = docs.filter(F.col("lang").isNotNull() & F.col("text").rlike("\\p{L}") & (fold != settings.held))
     key = ["lang", "doc_id", "mark"]
     known = known.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").alias("lang"), F.xxhash64("text").alias("mark"), "text")
-    langs = sorted(r.lang for r in known.select("lang").distinct().collect())
+    counts = {r.lang: r.n for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    langs = sorted(counts)
     if not langs:
         return None
-    rows, marks = settings.shares(len(langs))
+    spark, (rows, marks) = docs.sparkSession, settings.shares(len(langs))
+    most = rows + 8 * rows**0.5 + 10
+    limits = spark.createDataFrame([(g, min(2**63 - 1, int(-(2**63) + most / n * 2**64))) for g, n in counts.items()], "lang string, limit long")
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "mark")
-    chosen = known.select(*key).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= rows)
-    spark = docs.sparkSession
+    few = known.select(*key).join(F.broadcast(limits), "lang").filter(F.xxhash64("doc_id") <= F.col("limit"))
+    chosen = few.select(*key, F.row_number().over(order).alias("rank")).filter(F.col("rank") <= rows)
     wanted = spark.createDataFrame([tuple(r) for r in chosen.collect()], "lang string, doc_id long, mark long, rank int")
     texts = materialise(known.join(F.broadcast(wanted.dropDuplicates(key)), key).dropDuplicates(["lang", "rank"]).select("lang", "rank", "text"))
 

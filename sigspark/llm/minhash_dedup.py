@@ -3,11 +3,13 @@
 An odd sketch folds a document's MinHash samples into a bitmap of parities. The bits set in the XOR
 of two bitmaps count the samples that differ, so that a population count estimates a high similarity
 precisely. Bands propose pairs; the sketch drops those that are many standard deviations below the
-threshold; the rest is decided on the full shingle sets.
+threshold; the rest is decided on the full shingle sets. Buckets that many texts share only for some
+common passage are split by the rare shingles of their members.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
@@ -29,7 +31,8 @@ class Plan:
     """Shingles of ``width`` words; ``bands`` x ``rows`` MinHash samples; sketches of ``bits`` bits.
 
     A pair at the threshold shares no band with probability (1 - 0.75**4)**24 = 1.1e-4 at these
-    figures, and its sketch is sifted out when over ``sigmas`` standard deviations off.
+    figures, and its sketch is sifted out when over ``sigmas`` standard deviations off. What the leaders
+    leave apart is compared pair by pair in buckets of ``most_together`` members at most, by rare shingles in others.
     """
 
     width: int = 5
@@ -39,6 +42,7 @@ class Plan:
     bits: int = 512
     sigmas: float = 5.0
     rounds: int = 2
+    most_together: int = 256
 
     @property
     def sharper(self) -> Plan:
@@ -133,29 +137,28 @@ def list_column(rows: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.ascontiguousarray(rows).ravel()))
 
 
-SIGNATURE = "doc_id long, n_shingles long, fp1 long, fp2 long, bands array<long>, sketch array<long>"
+SIGNATURE = "doc_id long, n_shingles long, digest binary, bands array<long>, sketch array<long>"
 
 
 def signatures(docs: DataFrame, plan: Plan) -> DataFrame:
-    """One row per document: size and fingerprints of its set, band keys and odd sketch."""
+    """One row per document: size and SHA-256 of its sorted set, band keys and odd sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, (a, b) = WordHashes(), permutations(plan.samples)
         for batch in batches:
             n = batch.num_rows
             samples = np.zeros((n, plan.samples), np.uint32)
-            marks = np.zeros((n, 3), np.uint64)
+            sizes, digests = [], []
             for i, text in enumerate(text_bytes(batch.column(1))):
                 h = shingle_set(text, plan.width, words)
                 if len(h):
                     samples[i] = min_samples(h, a, b)
-                    with np.errstate(over="ignore"):
-                        marks[i] = len(h), h.sum(), mix64(h ^ MULTIPLIER).sum()
-            marks = marks.view(np.int64)
+                sizes.append(len(h))
+                digests.append(hashlib.sha256(h.tobytes()).digest())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), *(pa.array(marks[:, i].copy()) for i in range(3)),
+                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()),
                  list_column(band_keys(samples, plan)), list_column(odd_sketches(samples, plan.bits))],
-                names=["doc_id", "n_shingles", "fp1", "fp2", "bands", "sketch"],
+                names=["doc_id", "n_shingles", "digest", "bands", "sketch"],
             )
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SIGNATURE)
@@ -209,6 +212,31 @@ def confirmed(pairs: DataFrame, sets: DataFrame, plan: Plan) -> DataFrame:
     return both.filter(shared * 100 >= union * plan.percent).select("a", "b")
 
 
+def rare_shingles(sets: DataFrame, plan: Plan) -> DataFrame:
+    """(id, n_shingles, component, token): the rarest shingles of each set, as many as a pair at the threshold must share one of.
+
+    A set keeps at least ``percent`` of its shingles in common with another at the threshold. So of one shingle more
+    than it may lack, in the same order for all, the two have one in common; in order of rarity passages that many
+    texts share come last. Shingles of one set only meet nothing.
+    """
+    tokens = materialise(sets.select("id", "n_shingles", "component", F.explode("shingles").alias("token")))
+    common = materialise(tokens.groupBy("token").agg(F.count(F.lit(1)).alias("sets")).filter("sets > 1"))
+    ranked = tokens.join(common, "token", "left").select("id", "n_shingles", "component", F.struct(F.coalesce("sets", F.lit(1)).alias("sets"), "token").alias("t"))
+    listed = ranked.groupBy("id", "n_shingles", "component").agg(F.array_sort(F.collect_list("t")).alias("t"))
+    most = F.col("n_shingles") - F.ceil(F.col("n_shingles") * plan.percent / 100) + 1
+    first = F.filter(F.slice("t", F.lit(1), most.cast("int")), lambda t: t.sets > 1)
+    return listed.select("id", "n_shingles", "component", F.explode(first).alias("t")).select("id", "n_shingles", "component", "t.token")
+
+
+def pairs_by_rare_shingles(sets: DataFrame, plan: Plan) -> DataFrame:
+    """Pairs (a, b) of different components that share a rare shingle, and whose sizes allow a link."""
+    rare = materialise(rare_shingles(sets, plan))
+    x, y = rare.alias("x"), rare.alias("y")
+    nx, ny = F.col("x.n_shingles"), F.col("y.n_shingles")
+    fits = (F.col("x.id") < F.col("y.id")) & (F.col("x.component") != F.col("y.component")) & (F.least(nx, ny) * 100 >= F.greatest(nx, ny) * plan.percent)
+    return x.join(y, (F.col("x.token") == F.col("y.token")) & fits).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
+
+
 @scoped
 def near_duplicates(docs: DataFrame, plan: Plan = Plan()) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id, kept.
@@ -216,15 +244,16 @@ def near_duplicates(docs: DataFrame, plan: Plan = Plan()) -> DataFrame:
     Documents with the same set are one class, and its smallest id stands for it. In each bucket of a
     band one member leads, and every other is held against it; those that don't link get another
     leader from among them. Members that are then in another component than most of their bucket are
-    held against all of it, by sharper sketches. A pair that shares a band is thus decided unless its ends
-    are already connected: no bucket is cut, and none is expanded to all of its pairs. Null, empty or
+    held against all of it, by sharper sketches, in small buckets; in larger ones against those that they share
+    a rare shingle with, which a pair at the threshold must. A pair that shares a band is thus decided unless its ends
+    are already connected: no bucket is cut, and no large one is expanded to all of its pairs. Null, empty or
     blank texts have an empty set, link with nothing, and are their own component. Texts of under
     ``width`` words have one shingle. Doc_ids should be unique; rows that repeat an id share one
     answer, and rows with a null id get a null component and kept = true. An empty table gives no
     row. Other columns are ignored.
     """
     sig = materialise(signatures(docs, plan))
-    same = ["fp1", "fp2", "n_shingles"]
+    same = ["digest", "n_shingles"]
     known = sig.filter("doc_id is not null and n_shingles > 0")
     classes = materialise(known.groupBy(*same).agg(F.min("doc_id").alias("id")))
     reps = materialise(
@@ -261,9 +290,11 @@ def near_duplicates(docs: DataFrame, plan: Plan = Plan()) -> DataFrame:
     # What is still apart from most of its bucket is held against all of the bucket, by sharper sketches.
     apart = materialise(members.join(found, "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("component")))
     shares = apart.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n"))
-    main = shares.groupBy("bucket").agg(F.max(F.struct("n", "component")).alias("most"), F.count(F.lit(1)).alias("kinds")).filter("kinds > 1")
-    main = materialise(main.select("bucket", F.col("most.component").alias("main")))
-    apart = apart.join(main, "bucket").join(sets.select("id", "n_shingles", "sharp"), "id").join(reps.select("id", "bands"), "id")
+    main = shares.groupBy("bucket").agg(F.max(F.struct("n", "component")).alias("most"), F.count(F.lit(1)).alias("kinds"), F.sum("n").alias("size")).filter("kinds > 1")
+    main = materialise(main.select("bucket", F.col("most.component").alias("main"), (F.col("size") > plan.most_together).alias("large")))
+    crowded = materialise(apart.join(main.filter("large").select("bucket"), "bucket", "left_semi").select("id", "component").distinct())
+    crowded = crowded.join(sets.select("id", "n_shingles", "shingles"), "id")
+    apart = apart.join(main.filter("not large"), "bucket").join(sets.select("id", "n_shingles", "sharp"), "id").join(reps.select("id", "bands"), "id")
     apart = materialise(apart.select("bucket", "id", "component", "main", "n_shingles", F.col("sharp").alias("sketch"), "bands"))
     x = apart.filter("component <> main").alias("x")
     y = apart.alias("y")
@@ -273,8 +304,9 @@ def near_duplicates(docs: DataFrame, plan: Plan = Plan()) -> DataFrame:
     pairs = (
         x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & differ & may_link(plan.sharper, "x", "y") & once)
         .select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
-        .join(tried, ["a", "b"], "left_anti")
     )
+    sharp = sets.select("id", "n_shingles", F.col("sharp").alias("sketch"))
+    pairs = pairs.unionByName(sifted(pairs_by_rare_shingles(crowded, plan), sharp, plan.sharper)).distinct().join(tried, ["a", "b"], "left_anti")
     links = links.unionByName(confirmed(materialise(pairs), sets, plan))
     found = components(links)
     named = classes.join(found, "id", "left").select(*same, F.coalesce("component", "id").alias("component"))

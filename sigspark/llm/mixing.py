@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 from .common import materialise, read_table, scoped
 
 GRID = 32
+#: Blocks whose totals are summed up in one task.
+RUN = 1000
 DRAWN = "mixing_row"
 
 
@@ -98,7 +100,7 @@ def mix(docs: DataFrame, settings: Settings = Settings(), tokens: Column | None
     null one, are documents of their own, in any order among themselves. An empty table gives no row.
 
     Sources are as many as they are: their table is never collected, and a hot source is dealt out by
-    its blocks. Only block totals are ranked within a source.
+    its blocks. Only totals of runs of blocks are ranked within a source.
     """
     measure = word_count(F.col("text")) if tokens is None else tokens
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("source"), F.lit("")).alias("source"), measure.alias("tokens"))
@@ -118,8 +120,12 @@ def mix(docs: DataFrame, settings: Settings = Settings(), tokens: Column | None
     )
     partial = placed.filter("epoch = passes")
     totals = drawn.filter("epoch = passes").groupBy("source", "block").agg(F.sum("tokens").alias("size"))
-    along = Window.partitionBy("source").orderBy("block").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    starts = totals.select("source", "block", (F.sum("size").over(along) - F.col("size")).alias("start"))
+    # Blocks are placed in two levels, so that no task has all blocks of a source.
+    totals = totals.withColumn("run", F.floor(F.col("block") / RUN))
+    upto = lambda w: F.sum("size").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("size")
+    runs = totals.groupBy("source", "run").agg(F.sum("size").alias("size")).withColumn("before_run", upto(Window.partitionBy("source").orderBy("run")))
+    within = totals.withColumn("in_run", upto(Window.partitionBy("source", "run").orderBy("block")))
+    starts = within.join(runs.drop("size"), ["source", "run"]).select("source", "block", (F.col("before_run") + F.col("in_run")).alias("start"))
     wanted = ["doc_id", "source", "tokens", "epoch", "block", "place"]
     return placed.filter("epoch < passes").select(*wanted).unionByName(
         partial.join(starts, ["source", "block"]).filter("start + before < rest").select(*wanted)

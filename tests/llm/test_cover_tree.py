@@ -43,7 +43,7 @@ def test_against_sql(spark):
 def test_many_small_units(spark):
     rows = clusters(300, 1)
     df = spark.createDataFrame([(*r, 1, "x") for r in rows], SCHEMA)
-    for s in (Settings(), Settings(unit=20), Settings(unit=40, most_pivots=2, radii=(0.5,))):
+    for s in (Settings(), Settings(unit=20), Settings(unit=40, fan=2, radii=(0.5,)), Settings(unit=10, fan=3, levels=2, sample=20)):
         assert got(embedding_links(df, s)) == brute(rows)
 
 
@@ -70,3 +70,14 @@ def test_dual_traversal():
     own = [tuple(sorted((int(p), int(q)))) for ps, qs in linked_pairs(ta, None, s) for p, q in zip(ps, qs, strict=True)]
     want = {(int(p), int(q)) for p, q in zip(*np.nonzero(np.triu(a @ a.T >= s.cosine, 1)), strict=True)}
     assert len(own) == len(set(own)) and set(own) == want and rng is not None
+
+
+def test_cells_that_link_as_they_are(spark):
+    """A ball of many near vectors, another near it, and one apart: counts come from sums."""
+    rng = np.random.default_rng(5)
+    hubs = np.eye(8)[:3] + np.array([[0, 0.1, 0, 0, 0, 0, 0, 0], [0.95, -0.4, 0, 0, 0, 0, 0, 0], [0, 0, 0, 0, 0, 0, 0, 0]])
+    rows = [(i, [float(np.float32(v)) for v in hubs[i % 3 if i % 7 else 0] + rng.normal(size=8) * 0.01]) for i in range(240)]
+    rows += [(1000 + i, e) for i, e in rows[:30]]
+    df = spark.createDataFrame([(*r, 1, "x") for r in rows], SCHEMA)
+    for s in (Settings(unit=12, fan=3), Settings(unit=12, fan=8, levels=1), Settings()):
+        assert got(embedding_links(df, s)) == brute(rows)

@@ -87,3 +87,18 @@ def test_components(spark):
     out = {r.id: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert out == {**{i: 0 for i in range(41)}, 100: 100, 150: 100, 200: 100}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_boilerplate_in_large_buckets(make_docs):
+    """Texts that share a passage, some with near copies: large buckets without a main component."""
+    rnd = random.Random(8)
+    common = [f"c{k}" for k in range(60)]
+    rows = []
+    for i in range(240):
+        own = [f"o{i}x{k}" for k in range(rnd.choice([10, 14, 18, 40]))]
+        rows.append((i, " ".join(common + own)))
+        if i % 6 == 0:
+            own[rnd.randrange(len(own))] = "other"
+            rows.append((1000 + i, " ".join(common + own)))
+    assert got(near_duplicates(make_docs(rows), Plan(most_together=16))) == brute(rows)
+    assert got(near_duplicates(make_docs(rows))) == brute(rows)

@@ -1,6 +1,10 @@
 import math
+import struct
 from collections import Counter, defaultdict
 
+import xxhash
+
+from sigspark.llm import mixing
 from sigspark.llm.mixing import Settings, bisect_exponent, mix, repeated, word_count
 
 
@@ -66,3 +70,45 @@ def test_odd_rows(odd_docs, make_docs):
     out = repeated(docs)
     assert out.columns == docs.columns
     assert set(Counter(r.doc_id for r in out.collect())) == {1, 2, 3, None}
+
+
+def chained(*parts):
+    """The 64-bit hash of numbers one after the other, each seeded by the one before: (format, value) pairs."""
+    seed = 42
+    for kind, value in parts:
+        seed = xxhash.xxh64_intdigest(struct.pack(kind, value), seed=seed)
+    return seed - 2**64 if seed >= 2**63 else seed
+
+
+def bisected(sizes, most):
+    low, high = 0.0, 1.0
+    for _ in range(60):
+        middle = (low + high) / 2
+        low, high = (low, middle) if (max(sizes) / min(sizes)) ** (1 - middle) <= most else (middle, high)
+    return high
+
+
+def test_exponent_and_order_of_draws(documents, monkeypatch):
+    """The exponent by halving, blocks and places by an own hash, and the last pass along them, over runs of two blocks."""
+    monkeypatch.setattr(mixing, "RUN", 2)
+    settings = Settings(most_repeats=1.7, block_docs=4)
+    rows = [tuple(r) for r in documents.select("doc_id", "source", word_count(documents.text)).collect()]
+    sizes, docs = Counter(), defaultdict(list)
+    for i, s, n in rows:
+        sizes[s] += n
+        docs[s].append((i, n))
+    exponent = bisected(sizes.values(), 1.7)
+    whole = max(t ** (1 - exponent) for t in sizes.values()) * sum(t**exponent for t in sizes.values())
+    want = set()
+    for s, own in docs.items():
+        blocks = -(-len(own) // 4)
+        budget = whole * sizes[s] ** exponent / sum(t**exponent for t in sizes.values())
+        passes, used = int(budget // sizes[s]), 0
+        for epoch in range(passes + 1):
+            order = sorted((chained(("<q", i), ("<i", 7), ("<i", epoch)) % blocks, chained(("<i", epoch), ("<i", 7), ("<q", i)), i, n) for i, n in own)
+            for block, _, i, n in order:
+                if epoch < passes or used < budget % sizes[s] - 0.5:
+                    want.add((i, s, epoch, block))
+                used += n if epoch == passes else 0
+    drawn = mix(documents, settings).collect()
+    assert {(r.doc_id, r.source, r.epoch, r.block) for r in drawn} == want and len(drawn) == len(want)
