@@ -10,11 +10,12 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import spectral as sp
-from .batches import batched
+from .batches import batched, by_length, split_channels
 
 EPS = 1e-12
 
@@ -321,28 +322,21 @@ def extract_features(windows: DataFrame, families: tuple[str, ...] | None = None
     names = [n for n in feature_names(families) if selected is None or n in selected]
     kinds = {f: FAMILIES[f] for f in families}
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            out = pd.DataFrame(np.nan, index=range(len(frame)), columns=names)
-            size = frame["i"].map(lambda v: 0 if v is None else len(v)).to_numpy()
-            for n in np.unique(size[size > 1]):
-                at = np.flatnonzero(size == n)
-                i, q = (np.stack(frame[c].to_numpy()[at]).astype(float) for c in ("i", "q"))
-                sound = np.isfinite(i).all(1) & np.isfinite(q).all(1)
-                at, x = at[sound], i[sound] + 1j * q[sound]
-                if not len(at):
-                    continue
-                got = compute(x, families, kinds)
-                for c in names:
-                    if c in got:
-                        out.loc[at, c] = np.where(np.isfinite(got[c]), got[c], np.nan)
-            out.insert(0, key, frame[key].to_numpy())
-            yield out
-
-    split = windows.select(key, F.transform("iq", lambda s: s.i).alias("i"), F.transform("iq", lambda s: s.q).alias("q"))
-    kind = dict(split.dtypes)[key]
-    wide = split.mapInPandas(run, f"{key} {kind}, " + ", ".join(f"{n} double" for n in names))
-    return wide.select(key, *[F.when(~F.isnan(n), F.col(n)).alias(n) for n in names])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = np.full((batch.num_rows, len(names)), np.nan)
+            for rows, x in by_length(batch.column(1), batch.column(2), 2):
+                sound = np.isfinite(x).all(1)
+                if sound.any():
+                    got = compute(x[sound], families, kinds)
+                    for k, c in enumerate(names):
+                        if c in got:
+                            out[rows[sound], k] = got[c]
+            columns = [pa.array(v, mask=~np.isfinite(v)) for v in np.ascontiguousarray(out.T)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=[key, *names])
+
+    split = split_channels(windows, key)
+    return split.mapInArrow(run, f"{key} {dict(split.dtypes)[key]}, " + ", ".join(f"{n} double" for n in names))
 
 
 def long_features(wide: DataFrame, key: str = "capture_id") -> DataFrame:

@@ -164,6 +164,17 @@ def generated_audit(samples: DataFrame) -> DataFrame:
     return samples.groupBy("requested").agg(hit.alias("accuracy"), F.avg("confidence").alias("mean_confidence"), F.count(F.lit(1)).alias("n"))
 
 
+def audit_matrix(samples: DataFrame, labels: list[str]) -> DataFrame:
+    """(requested, predicted, n, share of the requested class) of (requested, predicted) rows for all pairs of labels, zeros too."""
+    names = F.array(*map(F.lit, labels))
+    spark = samples.sparkSession
+    every = spark.range(1).select(F.explode(names).alias("requested")).select("requested", F.explode(names).alias("predicted"))
+    found = samples.groupBy("requested", "predicted").agg(F.count(F.lit(1)).alias("n"))
+    rows = every.join(found, ["requested", "predicted"], "left").na.fill(0, ["n"])
+    total = F.sum("n").over(Window.partitionBy("requested"))
+    return rows.select("requested", "predicted", "n", F.when(total > 0, F.col("n") / total).otherwise(0.0).alias("share"))
+
+
 # Lines of a trial's log, in the order in which they are tried.
 LOG_LINES = (
     ((("tx_sample", 1),), r"^TX sample: (.+)$"),

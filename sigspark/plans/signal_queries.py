@@ -337,6 +337,14 @@ def agg30_generated_audit(spark, sf):
 AGG30 = PRED + " SELECT y_true AS requested, round(avg((y_true = y_pred)::INT), 6) + 0.0 AS accuracy, round(avg(confidence), 6) + 0.0 AS mean_confidence, count(*) AS n FROM predictions GROUP BY 1"
 
 
+def agg30_audit_matrix(spark, sf):
+    rows = predictions(spark, sf).select(F.col("y_true").alias("requested"), F.col("y_pred").alias("predicted"))
+    return rounded(sc.audit_matrix(rows, list(TYPES)))
+
+
+AGG30M = PRED + ", t AS (SELECT DISTINCT y_true AS c FROM predictions), m AS (SELECT a.c AS requested, b.c AS predicted, (SELECT count(*) FROM predictions p WHERE p.y_true = a.c AND p.y_pred = b.c) AS n FROM t a, t b) SELECT requested, predicted, n, round(n / sum(n) OVER (PARTITION BY requested), 6) + 0.0 AS share FROM m"
+
+
 def top1_top_classes(spark, sf):
     rows = probs_of(spark, sf).withColumn("probs", F.transform("probs", lambda p: F.round(p, 9)))
     out = rows.select("capture_id", F.posexplode(sc.top_k(F.col("probs"), LABELS10, 3)).alias("place", "t"))
@@ -403,7 +411,7 @@ ORACLES = {
     "win2_burst_starts": WIN2, "win3_active_windows": WIN3, "win4_differences": WIN4, "win5_unwrapped_phase": WIN5, "agg25_noise_floor": AGG25, "agg26_capture_stats": AGG26,
     "agg27_prototypes": f"WITH {UNIT} SELECT label, pos, round(v, 6) + 0.0 AS v FROM proto", "jn9_logits": LOGITS + " SELECT vec_id AS capture_id, label, round(logit, 6) + 0.0 AS logit FROM logits", "dec9_nearest_prototype": DEC9, "entry_accuracy_by_snr": ENTRY,
     "dec3_non_noise": DEC3, "dec5_hybrid": DEC5, "dec6_best_windows": DEC6, "dec7_signal_present": DEC7, "agg14_prior_shift": LOGITS + SHIFT + " SELECT label AS class_idx, round(s, 6) + 0.0 AS shift FROM sh", "dec8_calibrated": DEC8, "agg15_calibration_sweep": AGG15,
-    "agg17_mean_probs": AGG17, "agg18_ensemble": AGG18, "agg30_generated_audit": AGG30, "top1_top_classes": TOP1,
+    "agg17_mean_probs": AGG17, "agg18_ensemble": AGG18, "agg30_generated_audit": AGG30, "agg30_audit_matrix": AGG30M, "top1_top_classes": TOP1,
     "top3_scan_log": PRED + ", r AS (SELECT stream_id, capture_id, row_number() OVER (PARTITION BY stream_id ORDER BY confidence DESC, capture_id) AS place FROM predictions) SELECT stream_id, place, capture_id FROM r WHERE place <= 12",
     "dec11_parsed_trials": DEC11, "agg19_sweep_summary": AGG19, "dec12_parity": DEC12,
 }
