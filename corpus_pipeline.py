@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sigspark.llm.bpe_transducer import default_vocabulary, encode_documents
-from sigspark.llm.common import materialise, read_table, scratch
+from sigspark.llm.common import discard, materialise, read_table, scratch
 from sigspark.llm.exact_dedup import exact_dedup
 from sigspark.llm.language_id import accepted
 from sigspark.llm.minhash_dedup import near_duplicates
@@ -80,5 +80,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
         with scratch(spark) as written:
-            docs = written(stage(spark, docs, sf_dir))
+            before, docs = docs, written(stage(spark, docs, sf_dir))
+        discard(before)
     return STAGES[-1][1](spark, docs, sf_dir)
