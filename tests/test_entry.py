@@ -7,7 +7,7 @@ import pytest
 import __spark_entry__ as entry
 from sigspark.plans import ORACLES, QUERIES
 
-SF = "/root/testdata/sf0.001"
+SF = "/root/testdata/sf0.01"
 
 
 @pytest.fixture(scope="module")
@@ -20,7 +20,7 @@ def duck():
 
 def cell(v):
     if isinstance(v, float):
-        return "nan" if math.isnan(v) else f"{v:.5f}"
+        return "nan" if math.isnan(v) else f"{v:.6f}"
     return str(v)
 
 
