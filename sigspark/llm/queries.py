@@ -8,7 +8,7 @@ from .cover_tree import OP5_SQL, op5_cover_tree
 from .exact_dedup import OP7_SQL, op7_exact_dedup
 from .language_id import op8_language_id
 from .license_scan import op4_license_scan
-from .minhash_dedup import op10_minhash_dedup
+from .minhash_dedup import OP10_SQL, op10_minhash_dedup
 from .mixing import op1_mixing
 from .ppm_scoring import op2_ppm_scoring
 from .url_trees import op6_url_trees
@@ -25,4 +25,4 @@ QUERIES = {
     "op9_bpe_transducer": op9_bpe_transducer,
     "op10_minhash_dedup": op10_minhash_dedup,
 }
-ORACLES = {"op5_cover_tree": OP5_SQL, "op7_exact_dedup": OP7_SQL}
+ORACLES = {"op5_cover_tree": OP5_SQL, "op7_exact_dedup": OP7_SQL, "op10_minhash_dedup": OP10_SQL}

@@ -1,9 +1,10 @@
 import random
 
+import duckdb
 import numpy as np
 
 from sigspark.llm.components import components
-from sigspark.llm.minhash_dedup import Plan, near_duplicates, odd_sketches, permutations, min_samples, shingle_set, WordHashes
+from sigspark.llm.minhash_dedup import OP10_SQL, Plan, near_duplicates, odd_sketches, permutations, min_samples, shingle_set, WordHashes
 
 
 def sets_of(rows, width=5):
@@ -41,7 +42,11 @@ def got(df):
 
 def test_documents(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
-    assert got(near_duplicates(docs)) == brute(map(tuple, docs.select("doc_id", "text").collect()))
+    want = brute(map(tuple, docs.select("doc_id", "text").collect()))
+    assert got(near_duplicates(docs)) == want
+    duck = duckdb.connect()
+    duck.sql("CREATE VIEW documents AS SELECT * FROM '/root/testdata/sf0.01/documents.parquet'")
+    assert sorted(duck.sql(OP10_SQL).fetchall()) == want
 
 
 def test_chains_and_families(make_docs):
