@@ -91,9 +91,10 @@ def scoped(operator: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
     """An operator on a table that leaves nothing on the shared folder but its result, which is written there."""
 
     @wraps(operator)
-    def run(table: DataFrame, *args: object, **options: object) -> DataFrame:
+    def run(*args: object, **options: object) -> DataFrame:
+        table = next(x for x in (*args, *options.values()) if isinstance(x, DataFrame))
         with scratch(table.sparkSession) as keep:
-            return keep(operator(table, *args, **options))
+            return keep(operator(*args, **options))
 
     return run
 

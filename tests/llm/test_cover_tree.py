@@ -43,7 +43,7 @@ def test_against_sql(spark):
 def test_many_small_units(spark):
     rows = clusters(300, 1)
     df = spark.createDataFrame([(*r, 1, "x") for r in rows], SCHEMA)
-    for s in (Settings(), Settings(unit=20), Settings(unit=40, fan=2, radii=(0.5,)), Settings(unit=10, fan=3, levels=2, sample=20)):
+    for s in (Settings(), Settings(unit=20), Settings(unit=40, fan=2, radii=(0.5,)), Settings(unit=10, fan=3, levels=2, sample=20), Settings(unit=60, fan=4, least=5, gain=-10.0), Settings(unit=400, least=20)):
         assert got(embedding_links(df, s)) == brute(rows)
 
 
