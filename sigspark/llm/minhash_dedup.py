@@ -228,9 +228,8 @@ def rare_shingles(sets: DataFrame, plan: Plan) -> DataFrame:
     return listed.select("id", "n_shingles", "component", F.explode(first).alias("t")).select("id", "n_shingles", "component", "t.token")
 
 
-def pairs_by_rare_shingles(sets: DataFrame, plan: Plan) -> DataFrame:
+def pairs_by_rare_shingles(rare: DataFrame, plan: Plan) -> DataFrame:
     """Pairs (a, b) of different components that share a rare shingle, and whose sizes allow a link."""
-    rare = materialise(rare_shingles(sets, plan))
     x, y = rare.alias("x"), rare.alias("y")
     nx, ny = F.col("x.n_shingles"), F.col("y.n_shingles")
     fits = (F.col("x.id") < F.col("y.id")) & (F.col("x.component") != F.col("y.component")) & (F.least(nx, ny) * 100 >= F.greatest(nx, ny) * plan.percent)
@@ -244,9 +243,9 @@ def near_duplicates(docs: DataFrame, plan: Plan = Plan()) -> DataFrame:
     Documents with the same set are one class, and its smallest id stands for it. In each bucket of a
     band one member leads, and every other is held against it; those that don't link get another
     leader from among them. Members that are then in another component than most of their bucket are
-    held against all of it, by sharper sketches, in small buckets; in larger ones against those that they share
-    a rare shingle with, which a pair at the threshold must. A pair that shares a band is thus decided unless its ends
-    are already connected: no bucket is cut, and no large one is expanded to all of its pairs. Null, empty or
+    held against all of it, by sharper sketches, or, in large buckets, against those that they share a rare
+    shingle with, which a pair at the threshold must: whichever makes fewer pairs. A pair that shares a band is thus decided unless its ends
+    are already connected: no bucket is cut. Null, empty or
     blank texts have an empty set, link with nothing, and are their own component. Texts of under
     ``width`` words have one shingle. Doc_ids should be unique; rows that repeat an id share one
     answer, and rows with a null id get a null component and kept = true. An empty table gives no
@@ -291,10 +290,17 @@ def near_duplicates(docs: DataFrame, plan: Plan = Plan()) -> DataFrame:
     apart = materialise(members.join(found, "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("component")))
     shares = apart.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n"))
     main = shares.groupBy("bucket").agg(F.max(F.struct("n", "component")).alias("most"), F.count(F.lit(1)).alias("kinds"), F.sum("n").alias("size")).filter("kinds > 1")
-    main = materialise(main.select("bucket", F.col("most.component").alias("main"), (F.col("size") > plan.most_together).alias("large")))
+    main = materialise(main.select("bucket", F.col("most.component").alias("main"), (F.col("size") > plan.most_together).alias("large"), ((F.col("size") - F.col("most.n")) * F.col("size").cast("double")).alias("pairs")))
     crowded = materialise(apart.join(main.filter("large").select("bucket"), "bucket", "left_semi").select("id", "component").distinct())
     crowded = crowded.join(sets.select("id", "n_shingles", "shingles"), "id")
-    apart = apart.join(main.filter("not large"), "bucket").join(sets.select("id", "n_shingles", "sharp"), "id").join(reps.select("id", "bands"), "id")
+    rare = materialise(rare_shingles(crowded, plan))
+    several = rare.groupBy("token").agg(F.count(F.lit(1)).cast("double").alias("n"), F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high")
+    several = materialise(several.select("token", "n"))  # shingles of one component only make no pairs
+    meet = several.agg(F.sum(F.col("n") * F.col("n"))).first()[0] or 0.0
+    split = meet < (main.filter("large").agg(F.sum("pairs")).first()[0] or 0.0)
+    if split:
+        main = main.filter("not large")
+    apart = apart.join(main, "bucket").join(sets.select("id", "n_shingles", "sharp"), "id").join(reps.select("id", "bands"), "id")
     apart = materialise(apart.select("bucket", "id", "component", "main", "n_shingles", F.col("sharp").alias("sketch"), "bands"))
     x = apart.filter("component <> main").alias("x")
     y = apart.alias("y")
@@ -306,7 +312,9 @@ def near_duplicates(docs: DataFrame, plan: Plan = Plan()) -> DataFrame:
         .select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
     )
     sharp = sets.select("id", "n_shingles", F.col("sharp").alias("sketch"))
-    pairs = pairs.unionByName(sifted(pairs_by_rare_shingles(crowded, plan), sharp, plan.sharper)).distinct().join(tried, ["a", "b"], "left_anti")
+    if split:
+        pairs = pairs.unionByName(sifted(pairs_by_rare_shingles(rare.join(several.select("token"), "token", "left_semi"), plan), sharp, plan.sharper)).distinct()
+    pairs = pairs.join(tried, ["a", "b"], "left_anti")
     links = links.unionByName(confirmed(materialise(pairs), sets, plan))
     found = components(links)
     named = classes.join(found, "id", "left").select(*same, F.coalesce("component", "id").alias("component"))
