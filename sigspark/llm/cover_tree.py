@@ -17,7 +17,7 @@ from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import materialise, read_table, scoped
@@ -225,8 +225,8 @@ def compare(table: pa.Table, s: Settings) -> pa.Table:
 def pivots_of(table: pa.Table, s: Settings) -> pa.Table:
     """(cell, child, pivot) of a cell from a sample of its vectors. Children are numbered so that no two cells of any level are alike."""
     cell, n = table.column("cell")[0].as_py(), table.column("n")[0].as_py()
-    table = table.sort_by("rank")
-    found = farthest_first(matrix(table.column("embedding")), min(s.fan, max(2, -(-2 * n // s.unit))))
+    table = table.sort_by([("rank", "ascending"), ("id", "ascending")]).slice(0, s.sample)
+    found = farthest_first(matrix(table.column("embedding")), min(s.fan, max(2, -(-n // s.unit))))
     return pa.table({"cell": pa.array([cell] * len(found), pa.int64()), "child": pa.array([cell * s.fan + k + 1 for k in range(len(found))], pa.int64()), "pivot": pa.array(list(found), pa.list_(pa.float64()))})
 
 
@@ -255,8 +255,9 @@ def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def split_cells(rows: DataFrame, large: DataFrame, s: Settings) -> tuple[DataFrame, DataFrame]:
     """Vectors of the cells (cell, n) in their new cells, and these: (cell, parent, pivot, radius, n). Hot cells are dealt out in salted parts."""
     moved = rows.join(large, "cell")
-    order = Window.partitionBy("cell").orderBy(F.xxhash64("id"), "id")
-    sample = moved.select("cell", "n", "id", "embedding").withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= s.sample)
+    share = F.lit(s.sample + 8 * s.sample**0.5 + 10) / F.col("n")  # the part of the hash's range that holds a few more than the sample
+    rank = F.xxhash64("id")
+    sample = moved.filter(rank < (share - 0.5) * F.lit(2.0**64)).select("cell", "n", "id", "embedding", rank.alias("rank"))
     pivots = materialise(sample.groupBy("cell").applyInArrow(lambda t: pivots_of(t, s), "cell long, child long, pivot array<double>"))
     parts = F.ceil(F.col("n") / (8 * s.unit))
     heads = pivots.join(large, "cell").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
