@@ -12,7 +12,7 @@ from functools import wraps
 import numpy as np
 import pyarrow as pa
 from pyspark import SparkFiles
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -108,6 +108,22 @@ def ascii_lower(text: Column) -> Column:
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
 
 
+def numbered(df: DataFrame, *order: Column | str, name: str = "number") -> DataFrame:
+    """``df`` with gapless numbers from 0 in the given order; rows that tie follow each other in any order.
+
+    One range shuffle: a serial number ends the order, so that no key, however many rows have it, has to
+    stay in one partition. Sizes of partitions (as many as ``spark.sql.shuffle.partitions``) give the starts.
+    """
+    tied = materialise(df.withColumn("_serial", F.monotonically_increasing_id()))
+    placed = materialise(tied.orderBy(*order, "_serial").drop("_serial").withColumn("_place", F.monotonically_increasing_id()))
+    part = F.shiftright("_place", 33).alias("_part")
+    sizes = placed.groupBy(part).agg(F.count(F.lit(1)).alias("_rows"))
+    before = F.sum("_rows").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("_rows")
+    starts = sizes.select("_part", before.alias("_start"))
+    row = F.col("_start") + F.col("_place").bitwiseAND(F.lit((1 << 33) - 1))
+    return placed.withColumn("_part", part).join(F.broadcast(starts), "_part").select(*df.columns, row.alias(name))
+
+
 def fold_of(doc_id: Column, parts: int) -> Column:
     """crc32 of the id as text, modulo ``parts``; null for a null id."""
     return (F.crc32(doc_id.cast("string").cast("binary")) % parts).cast("int")
