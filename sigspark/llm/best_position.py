@@ -16,6 +16,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -176,11 +177,11 @@ def searched(batches: Iterator[pa.RecordBatch], queries: Queries, k: int, docume
         for at in range(0, batch.num_rows, 1024):
             part = batch.slice(at, 1024)
             lists, ids = part.column(2), part.column(0)
-            number = pa.compute.index_in(lists.flatten(), value_set=queries.vocabulary)
-            known = pa.compute.is_valid(number).to_numpy(zero_copy_only=False)
-            sizes = pa.compute.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+            number = pc.index_in(lists.flatten(), value_set=queries.vocabulary)
+            known = pc.is_valid(number).to_numpy(zero_copy_only=False)
+            sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
             own = np.add.reduceat(np.append(known, False).astype(np.int64), np.cumsum(sizes) - sizes) if len(sizes) else sizes
-            held.append((pa.compute.fill_null(ids, 0).to_numpy(), pa.compute.is_null(ids).to_numpy(zero_copy_only=False), part.column(1).to_numpy(), own, number.drop_null().to_numpy().astype(np.int64), part.column(3).flatten().to_numpy()[known].astype(np.int64)))
+            held.append((pc.fill_null(ids, 0).to_numpy(), pc.is_null(ids).to_numpy(zero_copy_only=False), part.column(1).to_numpy(), own, number.drop_null().to_numpy().astype(np.int64), part.column(3).flatten().to_numpy()[known].astype(np.int64)))
             if sum(len(x[4]) for x in held) >= most:
                 flush()
     if held:
@@ -195,7 +196,7 @@ def block_of(pairs: pa.Table) -> Queries:
     pairs = pairs.sort_by("item")
     vocabulary = pairs.column("term").combine_chunks().unique()
     items, first = np.unique(pairs.column("item").to_numpy(), return_index=True)
-    terms = pa.compute.index_in(pairs.column("term"), value_set=vocabulary).to_numpy().astype(np.int64)
+    terms = pc.index_in(pairs.column("term"), value_set=vocabulary).to_numpy().astype(np.int64)
     return Queries(vocabulary, items, np.append(first, len(terms)), terms, pairs.column("gain").to_numpy())
 
 

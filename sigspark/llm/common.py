@@ -11,6 +11,7 @@ from functools import wraps
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -130,15 +131,18 @@ def fold_of(doc_id: Column, parts: int) -> Column:
 
 
 def hashed_sample(df: DataFrame, most: int, *keys: str) -> DataFrame:
-    """The first ``most`` rows in an order by the hash of unique keys.
+    """The first ``most`` rows in an order by the hash of keys.
 
     A count tells which part of the hash's range holds a few more than that; the rest is filtered out
-    first, so that all tasks together pass on little more than the sample.
+    first, so that all tasks together pass on little more than the sample. Where many rows repeat few keys,
+    that part can hold too few: then all rows are ordered.
     """
     order, n = F.xxhash64(*keys), df.count()
     share = (most + 8 * most**0.5 + 10) / max(1, n)
     if share < 1:
-        df = df.filter(order < F.lit(int(-(2**63) + share * 2**64)))
+        few = df.filter(order < F.lit(int(-(2**63) + share * 2**64))).orderBy(order, *keys).limit(most)
+        if few.count() == most:
+            return few
     return df.orderBy(order, *keys).limit(most)
 
 
@@ -149,6 +153,19 @@ def text_bytes(column: pa.Array, rows: int = 128) -> Iterator[bytes]:
             yield value or b""
 
 
+def bounded(batches: Iterator[pa.RecordBatch], column: int, most: int = 1 << 23) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of ``most`` bytes of a text column at most, or of one row: very long texts don't add up in a task."""
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+        at, held = 0, 0
+        for row, size in enumerate(sizes.tolist()):
+            if row > at and held + size > most:
+                yield batch.slice(at, row - at)
+                at, held = row, 0
+            held += size
+        yield batch.slice(at)
+
+
 def ship_arrays(spark: SparkSession, arrays: dict[str, np.ndarray]) -> Callable[[], dict[str, np.ndarray]]:
     """Hand arrays to all executors as one file; those that start later fetch it too.
 

@@ -16,6 +16,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -150,8 +151,8 @@ def proofs(m: Manifest) -> DataFrame:
     leaves = m.rows.select("tree", F.shiftright("index", k).alias("block"), "n", "index", "hash", *own)
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        head = right.filter(pa.compute.is_null(right.column("pos"))).select(["subroot", "path"]).to_pylist()[0]
-        nodes = right.filter(pa.compute.is_valid(right.column("pos"))).sort_by("pos")
+        head = right.filter(pc.is_null(right.column("pos"))).select(["subroot", "path"]).to_pylist()[0]
+        nodes = right.filter(pc.is_valid(right.column("pos"))).sort_by("pos")
         places, hashes = nodes.column("pos").to_numpy(), [h.hex() for h in nodes.column("hash").to_pylist()]
         n, index = left.column("n")[0].as_py(), left.column("index").to_numpy()
         local = min(k, (n - 1).bit_length())
@@ -166,7 +167,7 @@ def proofs(m: Manifest) -> DataFrame:
                 at[:, local + step], side[:, local + step] = len(hashes), x["left"]
                 hashes.append(x["hash"].hex())
         none = pa.array((at < 0).ravel())
-        entries = pa.StructArray.from_arrays([pa.array(side.ravel(), mask=(at < 0).ravel()), pa.array(hashes, pa.string()).take(pa.compute.if_else(none, None, pa.array(at.ravel())))], names=["left", "hash"])
+        entries = pa.StructArray.from_arrays([pa.array(side.ravel(), mask=(at < 0).ravel()), pa.array(hashes, pa.string()).take(pc.if_else(none, None, pa.array(at.ravel())))], names=["left", "hash"])
         siblings = pa.ListArray.from_arrays(pa.array(np.arange(len(index) + 1) * at.shape[1], pa.int32()), entries)
         out = {c: left.column(c) for c in own}
         leaf = pa.array([h.hex() for h in left.column("hash").to_pylist()], pa.string())
