@@ -7,7 +7,7 @@ Texts are scored in batches: presence rows x landmark incidence x weights.
 
 from __future__ import annotations
 
-from collections import deque
+from collections import Counter, deque
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -17,7 +17,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import fold_of, materialise, read_table, scratch
+from .common import bounded, fold_of, materialise, read_table, scratch
 
 LETTER = regex.compile(r"\p{L}")
 UNKNOWN = "und"
@@ -26,7 +26,8 @@ UNKNOWN = "und"
 @dataclass(frozen=True)
 class Settings:
     """At most ``per_lang`` labelled rows of each language are learnt from, and ``landmarks`` of them span the
-    map: fewer where that would be over ``most_rows`` or ``most_landmarks`` in all, but one of each language."""
+    map: fewer where that would be over ``most_rows`` or ``most_landmarks`` in all, but one of each language.
+    Of more than ``most_landmarks`` languages, the most frequent are learnt, of equals the alphabetically first."""
 
     per_lang: int = 300
     landmarks: int = 40
@@ -124,30 +125,39 @@ def solve(kernel: np.ndarray, among: np.ndarray, labels: np.ndarray, langs: list
 
 
 def learn(docs: DataFrame, settings: Settings) -> Model | None:
-    """Fit on the first rows of each language in an order by hash.
+    """Fit on the first rows of each language in an order by the hash of id and text.
 
-    A language's count tells which part of the hash's range holds a few more than are wanted; only these are ranked. Tasks reduce texts to n-gram sets of landmarks,
-    and to kernel values: the driver gets ``most_landmarks`` sets and ``most_rows`` x ``most_landmarks`` numbers at most.
+    A language's count tells which part of the hash's range holds a few more than are wanted; only these are ranked. Where
+    rows that repeat each other leave a language fewer than that, its different rows are ranked without the cut. Tasks reduce
+    texts to n-gram sets of landmarks, and to kernel values: the driver gets ``most_landmarks`` sets and ``most_rows`` x
+    ``most_landmarks`` numbers at most.
     """
     fold = fold_of(F.col("doc_id"), settings.parts)
     known = docs.filter(F.col("lang").isNotNull() & F.col("text").rlike("\\p{L}") & (fold != settings.held))
     key = ["lang", "doc_id", "mark"]
     known = known.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").alias("lang"), F.xxhash64("text").alias("mark"), "text")
-    counts = {r.lang: r.n for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    common = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(settings.most_landmarks)
+    counts = {r.lang: r.n for r in common.collect()}
     langs = sorted(counts)
     if not langs:
         return None
     spark, (rows, marks) = docs.sparkSession, settings.shares(len(langs))
     most = rows + 8 * rows**0.5 + 10
     limits = spark.createDataFrame([(g, min(2**63 - 1, int(-(2**63) + most / n * 2**64))) for g, n in counts.items()], "lang string, limit long")
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "mark")
-    few = known.select(*key).join(F.broadcast(limits), "lang").filter(F.xxhash64("doc_id") <= F.col("limit"))
-    chosen = few.select(*key, F.row_number().over(order).alias("rank")).filter(F.col("rank") <= rows)
-    wanted = spark.createDataFrame([tuple(r) for r in chosen.collect()], "lang string, doc_id long, mark long, rank int")
+    place = F.xxhash64("doc_id", "mark")
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(place, "doc_id", "mark"))
+    ranked = lambda df: df.select(*key, rank.alias("rank")).filter(F.col("rank") <= rows)
+    chosen = ranked(known.join(F.broadcast(limits), "lang").filter(place <= F.col("limit"))).collect()
+    found = Counter(r.lang for r in chosen)
+    short = [g for g in langs if found[g] < min(rows, counts[g])]
+    if short:
+        again = known.filter(F.col("lang").isin(short)).select(*key).distinct()
+        chosen = [r for r in chosen if r.lang not in set(short)] + ranked(again).collect()
+    wanted = spark.createDataFrame([tuple(r) for r in chosen], "lang string, doc_id long, mark long, rank int")
     texts = materialise(known.join(F.broadcast(wanted.dropDuplicates(key)), key).dropDuplicates(["lang", "rank"]).select("lang", "rank", "text"))
 
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in bounded(batches, 2):
             sets = [[np.unique(codes_of(prepared(t), w)) for w in settings.widths] for t in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sets, pa.list_(pa.list_(pa.int32())))], names=["lang", "rank", "sets"])
 
@@ -158,7 +168,7 @@ def learn(docs: DataFrame, settings: Settings) -> Model | None:
 
     def kernels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         marks, look = shared.value, None
-        for batch in batches:
+        for batch in bounded(batches, 2):
             look = look or Presence(marks.widths, marks.grams)
             values = marks.kernel([prepared(t) for t in batch.column(2).to_pylist()], look)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(list(values), pa.list_(pa.float32()))], names=["lang", "rank", "kernel"])
@@ -207,7 +217,7 @@ def accepted(docs: DataFrame, settings: Settings = Settings(), model: Model | No
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting: deque[pa.RecordBatch] = deque()
-        texts = (waiting.append(batch) or batch.column(text).to_pylist() for batch in batches)
+        texts = (waiting.append(batch) or batch.column(text).to_pylist() for batch in bounded(batches, text))
         for lettered, langs, _ in predictions(shared.value, texts):
             batch = waiting.popleft()
             if shared.value:
@@ -236,7 +246,7 @@ def identify(docs: DataFrame, settings: Settings = Settings(), model: Model | No
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting: deque[pa.RecordBatch] = deque()
-        texts = (waiting.append(batch) or batch.column(2).to_pylist() for batch in batches)
+        texts = (waiting.append(batch) or batch.column(2).to_pylist() for batch in bounded(batches, 2))
         for _, langs, scores in predictions(shared.value, texts):
             batch = waiting.popleft()
             yield pa.RecordBatch.from_arrays(

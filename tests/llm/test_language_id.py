@@ -1,7 +1,10 @@
 import zlib
+from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 
+from sigspark.llm.common import bounded
 from sigspark.llm.language_id import Presence, Settings, accepted, codes_of, identify, prepared, presence_rows
 
 
@@ -27,6 +30,25 @@ def test_odd_rows(odd_docs, make_docs):
     assert identify(make_docs([])).count() == 0
 
 
+def test_rows_that_share_ids(make_docs):
+    """A language whose rows have one id, or are one row again and again, is learnt like any other."""
+    rows = [(1, f"alpha beta gamma {i}", "xx") for i in range(900)] + [(10 + i, f"zu zi zo {i}", "yy") for i in range(900)] + [(4, "qwq kwk", "zz")] * 900
+    out = identify(make_docs(rows), Settings(per_lang=20, landmarks=5)).collect()
+    assert Counter(r.lang_pred for r in out) == {"xx": 900, "yy": 900, "zz": 900}
+
+
+def test_most_frequent_languages_are_learnt(make_docs):
+    rows = [(i, f"w{i % 5} word{i % 5}", f"l{i % 5}") for i in range(50)] + [(100 + i, "rare", "z") for i in range(2)]
+    out = identify(make_docs(rows), Settings(most_landmarks=5)).collect()
+    assert {r.lang_pred for r in out} <= {f"l{i}" for i in range(5)}
+
+
+def test_parts_of_batches():
+    batch = pa.RecordBatch.from_arrays([pa.array(["a" * 5, None, "b" * 20, "", "c", "d" * 9])], names=["text"])
+    parts = list(bounded([batch, batch.slice(0, 0)], 0, 10))
+    assert [p.column(0).to_pylist() for p in parts if p.num_rows] == [["a" * 5, None], ["b" * 20], ["", "c", "d" * 9]]
+
+
 def test_kernel_against_sets():
     texts = [b"abcabc", b"bcd", b"xyzzy abc", b"a"]
     grams = [np.unique(codes_of(b"abcd abc", w)) for w in (1, 2, 3)]
