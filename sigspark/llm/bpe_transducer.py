@@ -23,7 +23,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, read_table, scratch, ship_arrays
+from .common import bounded, materialise, read_table, scratch, ship_arrays
 
 # Fixed value: the split that byte-level BPE makes before its merges.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -391,7 +391,7 @@ def word_counts(docs: DataFrame, content: str) -> DataFrame:
             )
 
         size = 0
-        for batch in batches:
+        for batch in bounded(batches, 0):
             for text in batch.column(0).to_pylist():
                 counts.update(vocabulary.chunks(text or ""))
                 size += len(text or "")
@@ -441,7 +441,7 @@ def encode_documents(docs: DataFrame, vocabulary_path: str, *, most_words: int =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(Vocabulary(shared.value), Transducer(load()))
-        for batch in batches:
+        for batch in bounded(batches, 1):
             at = 0
             for part in slices(batch.column(1).to_pylist()):
                 ids = encoder.encode(part)
