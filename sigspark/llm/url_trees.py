@@ -7,6 +7,7 @@ suffix are blocked among those learnt from.
 
 from __future__ import annotations
 
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -25,9 +26,10 @@ RULES = ((BLOCK, "net", "/"), (ALLOW, "example.net", "/en/"), (BLOCK, "example.c
 
 @dataclass(frozen=True)
 class Settings:
-    """At most ``sample`` labelled rows are learnt from, the first in an order by hash."""
+    """At most ``sample`` labelled rows are learnt from, the first in an order by hash, of URLs of ``longest`` characters at most."""
 
     sample: int = 20_000
+    longest: int = 8_192
     trees: int = 40
     depth: int = 3
     rate: float = 0.2
@@ -154,13 +156,13 @@ class Trees:
 
 def learn(labelled: DataFrame, settings: Settings) -> tuple[Trees, tuple] | None:
     """Fit on (page_id, url, host, path, label) rows: a bounded sample of them."""
-    rows = hashed_sample(labelled, settings.sample, "url", "page_id").collect()
+    rows = hashed_sample(labelled.filter(F.length("url") <= settings.longest), settings.sample, "url", "page_id").collect()
     if len({r.label for r in rows}) < 2:
         return None
     hosts, y = [r.host for r in rows], np.array([r.label == BLOCK for r in rows], float)
-    fold = np.arange(len(rows)) % settings.folds  # the sample's order is that of a hash
+    fold = np.array([zlib.crc32(h.encode()) for h in hosts]) % settings.folds  # a host's URLs are in one fold
     x = np.zeros((len(rows), len(FEATURES)))
-    for k in range(settings.folds):  # a URL's own label isn't among those that its rates come from
+    for k in range(settings.folds):  # the labels of a URL's host aren't among those that its rates come from
         own, others = np.flatnonzero(fold == k), np.flatnonzero(fold != k)
         rates = rates_of([hosts[i] for i in others], y[others])
         x[own] = features([rows[i].url for i in own], [hosts[i] for i in own], [rows[i].path for i in own], rates)

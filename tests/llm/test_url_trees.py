@@ -1,9 +1,12 @@
+import math
+import zlib
+
 import numpy as np
 import pytest
-
 from pyspark.sql import functions as F
 
-from sigspark.llm.url_trees import BLOCK, RULES, Settings, Trees, entropy, features, host_of, judge, learn, op6_url_trees, path_of, rule_for
+from sigspark.llm.common import hashed_sample
+from sigspark.llm.url_trees import BLOCK, RULES, Settings, Trees, entropy, features, host_of, judge, learn, op6_url_trees, path_of, rates_of, rule_for
 
 ODD = [
     (1, None), (2, ""), (3, "no scheme"), (4, "http://"), (5, "HTTP://WWW.Example.NET/EN/x"), (6, "http://example.net/en/"), (7, "http://net?x=://y"),
@@ -62,6 +65,68 @@ def test_trees_learn_an_interaction():
     assert ((trees.predict(x[3000:]) > 0.5) == y[3000:]).mean() > 0.9
 
 
+def boosted(x, y, s):
+    """Boosting over lists of rows: trees as nested tuples."""
+    start = math.log(np.clip(y.mean(), 1e-3, 1 - 1e-3) / (1 - np.clip(y.mean(), 1e-3, 1 - 1e-3)))
+    edges = [sorted(set(np.quantile(c, np.linspace(0, 1, s.bins + 1)[1:-1]))) for c in x.T]
+    score, trees = [start] * len(y), []
+    for _ in range(s.trees):
+        g = [1 / (1 + math.exp(-v)) - t for v, t in zip(score, y, strict=True)]
+        h = [(a + t) * (1 - a - t) for a, t in zip(g, y, strict=True)]
+
+        def grow(rows, depth, g=g, h=h):
+            G, H = sum(g[i] for i in rows), sum(h[i] for i in rows)
+            if depth == s.depth:
+                return -s.rate * G / (H + 1)
+            best = (1e-6, 0, math.inf)
+            for f, cuts in enumerate(edges):
+                for cut in cuts:
+                    left = [i for i in rows if x[i, f] <= cut]
+                    if s.least <= len(left) <= len(rows) - s.least:
+                        a, b = sum(g[i] for i in left), sum(h[i] for i in left)
+                        gain = a * a / (b + 1) + (G - a) ** 2 / (H - b + 1) - G * G / (H + 1)
+                        best = (gain, f, cut) if gain > best[0] + 1e-9 else best
+            _, f, cut = best
+            return f, cut, grow([i for i in rows if x[i, f] <= cut], depth + 1), grow([i for i in rows if x[i, f] > cut], depth + 1)
+
+        trees.append(grow(list(range(len(y))), 0))
+        score = [v + value(trees[-1], row) for v, row in zip(score, x, strict=True)]
+    return lambda rows: np.array([1 / (1 + math.exp(-start - sum(value(t, r) for t in trees))) for r in rows])
+
+
+def value(tree, row):
+    while isinstance(tree, tuple):
+        f, cut, low, high = tree
+        tree = high if row[f] > cut else low
+    return tree
+
+
+def test_trees_against_plain_boosting(spark):
+    """Verdicts of all pages by trees that are grown row by row."""
+    s = Settings(trees=6, bins=8)
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet").select("page_id", "url")
+    rows = pages.withColumn("host", host_of(F.col("url"))).withColumn("path", path_of(F.col("url"))).withColumn("rule", rule_for(F.col("host"), F.col("path"), RULES)).collect()
+    own = [r for r in rows if r.rule]
+    assert len(own) < s.sample
+    hosts, y = [r.host for r in own], np.array([r.rule.verdict == BLOCK for r in own], float)
+    fold = [zlib.crc32(h.encode()) % s.folds for h in hosts]
+    x = np.zeros((len(own), 15))
+    for i, r in enumerate(own):
+        others = [k for k in range(len(own)) if fold[k] != fold[i]]
+        x[i] = features([r.url], [r.host], [r.path], rates_of([hosts[k] for k in others], y[others]))[0]
+    predict, rates = boosted(x, y, s), rates_of(hosts, y)
+    want = predict(features([r.url for r in rows], [r.host for r in rows], [r.path for r in rows], rates))
+    got = {r.page_id: r for r in judge(pages, settings=s).collect()}
+    for r, p in zip(rows, want, strict=True):
+        assert abs(got[r.page_id].score - p) < 1e-6
+        assert got[r.page_id].verdict == (r.rule.verdict if r.rule else BLOCK if p >= 0.5 else "allow")
+
+
+def test_sample_of_few_keys(spark):
+    df = spark.range(3000).selectExpr("id % 2 AS a", "id AS b")
+    assert hashed_sample(df, 100, "a").count() == 100 and hashed_sample(df, 100, "b").count() == 100
+
+
 def test_features():
     row = features(["https://www.a-b.com/x/y9?p=1&q=2#f"], ["www.a-b.com"], ["/x/y9"], ({"com": 0.7}, {}, 0.2))[0]
     assert row.tolist() == [34, 11, 5, 2, 3, pytest.approx(3 / 34), 1, pytest.approx(entropy("www.a-b.com")), 2, 7, 1, 1, 1, 0.7, 0.2]
