@@ -31,14 +31,22 @@ def sha256_key(text: Column) -> Column:
 PLACE = ["file", "row"]
 
 
+def scans_files(docs: DataFrame) -> bool:
+    """Whether each row of the table is one of a file, found by (file, row) again: a scan with projections and repeatable filters only."""
+    plan = docs._jdf.queryExecution().analyzed()
+    nodes = {line.lstrip(" :+-!'").split(" ")[0].split("[")[0] for line in plan.treeString().splitlines()}
+    return plan.deterministic() and nodes <= {"Project", "Filter", "SubqueryAlias", "Relation"}
+
+
 def located(docs: DataFrame) -> DataFrame:
-    """(doc_id, norm, file, row): where each text stands. Tables that aren't read from files are written first."""
+    """(doc_id, norm, file, row): where each text stands. Tables that aren't plain scans of files are written first."""
     narrow = [F.col("doc_id").cast("long").alias("doc_id"), "text"]
     place = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")]
     try:
-        rows = docs.select(*narrow, *place)
-        rows.schema
+        rows = docs.select(*narrow, *place) if scans_files(docs) else None
     except AnalysisException:
+        rows = None
+    if rows is None:
         rows = materialise(docs.select(*narrow)).select("doc_id", "text", *place)
     return rows.select("doc_id", ascii_lower(F.col("text")).alias("norm"), *PLACE)
 

@@ -44,6 +44,19 @@ def test_repeated_rows_and_empty_table(make_docs):
     assert exact_dedup(make_docs([])).count() == 0
 
 
+def test_derived_tables(spark, make_docs, tmp_path):
+    """Rows of a plan that makes more rows of one of a file, or other ones each time, aren't told apart by their place there."""
+    make_docs([(i, f"t{i % 3}") for i in range(12)]).write.parquet(f"file://{tmp_path}/docs")
+    table = spark.read.parquet(f"file://{tmp_path}/docs")
+    twice = table.withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2))))
+    for docs in (twice, table.unionByName(table), table.filter("doc_id > 3"), table.withColumn("doc_id", F.col("doc_id") % 5)):
+        rows = [(r.doc_id, r.text) for r in docs.collect()]
+        out = exact_dedup(docs).collect()
+        assert sorted((r.doc_id, r.keep_id, r.group_size, r.text_sha256) for r in out) == sorted((i, k, n, s) for i, k, n, _, s in brute(rows))
+        assert sum(r.kept for r in out) == len({t for _, t in rows})
+    assert exact_dedup(table.filter(F.rand() < 0.5)).filter("kept").count() <= 3
+
+
 def test_full_bytes_split_colliding_digests(make_docs):
     rows = [(i, f"t{i % 7}") for i in range(40)]
     weak = lambda text: F.substring(F.unhex(F.sha2(text, 256)), 1, 0)
