@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, read_table, scoped
+from .common import materialise, numbered, read_table, scoped
 
 GRID = 32
 #: Blocks whose totals are summed up in one task.
@@ -97,7 +97,8 @@ def mix(docs: DataFrame, settings: Settings = Settings(), tokens: Column | None
     (epoch, block, place) orders a source's draws. Epochs from 0 are whole passes; the last takes
     documents in its order while the tokens before them are under the rest of the budget. Null and
     empty sources are one source, ''. Empty texts weigh one token. Rows that repeat an id, or have a
-    null one, are documents of their own, in any order among themselves. An empty table gives no row.
+    null one, are documents of their own: where there are any, all rows are numbered by id, source and tokens, and dealt
+    out to blocks by these numbers, so that no id, and not the null ids together, are one block. An empty table gives no row.
 
     Sources are as many as they are: their table is never collected, and a hot source is dealt out by
     its blocks. Only totals of runs of blocks are ranked within a source.
@@ -105,16 +106,18 @@ def mix(docs: DataFrame, settings: Settings = Settings(), tokens: Column | None
     measure = word_count(F.col("text")) if tokens is None else tokens
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("source"), F.lit("")).alias("source"), measure.alias("tokens"))
     narrow = materialise(narrow)
+    rows, ids = narrow.agg(F.count(F.lit(1)), F.count_distinct("doc_id")).first()
+    narrow = narrow.withColumn("own", F.col("doc_id")) if rows == ids else numbered(narrow, "doc_id", "source", "tokens", name="own")
     sources = materialise(narrow.groupBy("source").agg(F.count(F.lit(1)).alias("docs"), F.sum("tokens").alias("tokens")))
     plan = materialise(budgets(sources, settings).select("source", "passes", "rest", "blocks"))
     drawn = (
         narrow.join(plan, "source")
         .withColumn("epoch", F.explode(F.expr("sequence(0, if(rest > 0, passes, passes - 1))")))
         .filter("epoch >= 0 and (epoch < passes or rest > 0)")
-        .withColumn("block", F.pmod(F.xxhash64("doc_id", F.lit(settings.seed), "epoch"), F.col("blocks")))
-        .withColumn("key", F.xxhash64("epoch", F.lit(settings.seed), "doc_id"))
+        .withColumn("block", F.pmod(F.xxhash64("own", F.lit(settings.seed), "epoch"), F.col("blocks")))
+        .withColumn("key", F.xxhash64("epoch", F.lit(settings.seed), "own"))
     )
-    inside = Window.partitionBy("source", "epoch", "block").orderBy("key", "doc_id", "tokens")
+    inside = Window.partitionBy("source", "epoch", "block").orderBy("key", "own")
     placed = drawn.withColumn("place", F.row_number().over(inside).cast("long")).withColumn(
         "before", F.sum("tokens").over(inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("tokens")
     )

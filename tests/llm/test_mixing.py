@@ -112,3 +112,11 @@ def test_exponent_and_order_of_draws(documents, monkeypatch):
                 used += n if epoch == passes else 0
     drawn = mix(documents, settings).collect()
     assert {(r.doc_id, r.source, r.epoch, r.block) for r in drawn} == want and len(drawn) == len(want)
+
+
+def test_null_ids_are_dealt_out(spark, make_docs):
+    """Rows without an id, and rows of one id, come once each, in blocks of about the wanted size."""
+    rows = [(None, "a b", "en", "s")] * 600 + [(1, "a b", "en", "s")] * 600 + [(i + 2, "a b", "en", "s") for i in range(600)]
+    out = mix(make_docs(rows), Settings(block_docs=100)).collect()
+    assert len(out) == 1800 and Counter(r.doc_id for r in out)[None] == 600
+    assert max(Counter((r.epoch, r.block) for r in out).values()) < 200
