@@ -87,6 +87,14 @@ def test_repeated_rows_and_null_ids(spark, make_docs):
     assert Counter(r.text for r in mixed.collect()) == Counter({r.text: 2 if r.source == "a" else 1 for r in docs.collect()})  # the small source comes twice
 
 
+def test_near_copies_with_null_ids(spark, make_docs):
+    """The smallest id stays, and a null one only where there is no other."""
+    long, other = " ".join(f"w{i}" for i in range(40)), " ".join(f"v{i}" for i in range(40))
+    rows = [(None, long + " a"), (5, long + " b"), (9, long + " c"), (None, other + " a"), (None, other + " b"), (7, "alone")]
+    out = corpus_pipeline.STAGES[2][1](spark, corpus_pipeline.materialise(make_docs(rows)), SF).collect()
+    assert sorted((str(r.doc_id), r.text[:2]) for r in out) == [("5", "w0"), ("7", "al"), ("None", "v0")]
+
+
 def test_no_language_to_learn_from(spark, make_docs):
     docs = corpus_pipeline.materialise(make_docs([(1, "some text"), (2, "other text"), (3, "123")]))
     out = corpus_pipeline.STAGES[0][1](spark, docs, SF).collect()
