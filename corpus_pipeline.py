@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sigspark.llm.bpe_transducer import default_vocabulary, encode_documents
@@ -22,11 +22,11 @@ from sigspark.llm.mixing import repeated
 ROW = "pipeline_row"
 
 
-def one_of_each(docs: DataFrame, judge: Callable[[DataFrame], DataFrame], group: str, best: Callable[[Column], Column]) -> DataFrame:
-    """One row of each group of ``docs``: that of the best id.
+def one_of_each(docs: DataFrame, judge: Callable[[DataFrame], DataFrame], group: str, largest: bool) -> DataFrame:
+    """One row of each group of ``docs``: that of the largest id, or the smallest.
 
     ``judge`` gives doc_id, kept and the group's name. Unique ids are used as they are. Otherwise rows get
-    numbers in their place, and the best of a group is that of the best id, then number.
+    numbers in their place, and the best of a group is that of the best id, then number; a null id is behind all others.
     """
     rows, ids = docs.agg(F.count(F.lit(1)), F.count_distinct("doc_id")).first()
     if rows == ids:
@@ -34,7 +34,9 @@ def one_of_each(docs: DataFrame, judge: Callable[[DataFrame], DataFrame], group:
         return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
     numbered = materialise(docs.withColumn(ROW, F.monotonically_increasing_id()))
     judged = judge(numbered.select(F.col(ROW).alias("doc_id"), "text")).select(F.col("doc_id").alias(ROW), F.col(group).alias("group"))
-    chosen = judged.join(numbered.select(ROW, "doc_id"), ROW).groupBy("group").agg(best(F.struct("doc_id", ROW))[ROW].alias(ROW))
+    known = F.col("doc_id").isNotNull() if largest else F.col("doc_id").isNull()
+    best = (F.max if largest else F.min)(F.struct(known, "doc_id", ROW))
+    chosen = judged.join(numbered.select(ROW, "doc_id"), ROW).groupBy("group").agg(best[ROW].alias(ROW))
     return numbered.join(chosen, ROW, "left_semi").select(*docs.columns)
 
 
@@ -46,12 +48,12 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts, one row with the largest id stays."""
-    return one_of_each(docs, exact_dedup, "keep_id", F.max)
+    return one_of_each(docs, exact_dedup, "keep_id", largest=True)
 
 
 def drop_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates, one row with the smallest id stays (of null ids only, any of them)."""
-    return one_of_each(docs, near_duplicates, "component_id", F.min)
+    return one_of_each(docs, near_duplicates, "component_id", largest=False)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
