@@ -1,51 +1,20 @@
 """The live path: frames to exact chunks, noise floor, energy trigger, capture, decision, event summary.
 
-State is kept per stream and bounded: a remainder, the first floor readings, a ring of chunks. The
+State is kept per stream and bounded (``stateful``): a remainder, the first floor readings, a ring of chunks. The
 order inside a stream matters, so one stream is one key; streams are independent of each other.
 """
 
 from __future__ import annotations
 
-import math
-from collections import deque
-from collections.abc import Iterator
-from dataclasses import dataclass
-from itertools import pairwise
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions.arrays import mean_of
 from ..sources.frames import decoded_frames
+from .stateful import Trigger, fixed_captures, level, power_of, rechunked, triggered
 
+__all__ = ["Trigger", "chunk_powers", "decoded", "fixed_captures", "json_sink", "level", "power_of", "rechunked", "replayed", "rolling_summary", "skipped", "streamed_event_summary", "triggered", "windowed_powers"]
 CHUNKS = "stream_id long, seq long, i array<double>, q array<double>, power_db double"
-EVENTS = "stream_id long, seq long, kind string, floor double, trigger double, power_db double, i array<double>, q array<double>"
-
-
-@dataclass(frozen=True)
-class Trigger:
-    """``timeout_chunks``: chunks after which waiting for a trigger ends. ``recalibrate``: after a capture and its cool-down, or a
-    timeout, the floor is found anew. ``most_held``: chunks that may wait for missing ones before these are given up.
-    ``idle``: milliseconds without a chunk after which a stream counts as ended (None: only an empty chunk ends it)."""
-
-    floor_chunks: int = 20
-    above_db: float = 8.0
-    absolute_db: float | None = None
-    pretrigger: int = 2
-    window: int = 1024
-    cooldown: int = 0
-    one_shot: bool = False
-    timeout_chunks: int | None = None
-    recalibrate: bool = False
-    most_held: int = 1000
-    idle: int | None = None
-
-
-def power_of(i: np.ndarray, q: np.ndarray) -> float:
-    return float(10 * np.log10(np.mean(i * i + q * q) + 1e-12)) if len(i) else -120.0
 
 
 def decoded(stream: DataFrame) -> DataFrame:
@@ -53,160 +22,6 @@ def decoded(stream: DataFrame) -> DataFrame:
     return decoded_frames(stream.select("stream_id", "seq", "iq_format", "channels", "payload"))
 
 
-class Waiting:
-    """Chunks of one stream by number. They are given out in order; late and repeated ones are dropped. When over ``most`` wait
-    for a missing one, that is given up."""
-
-    def __init__(self, expected: int, late: int, seqs: list, *columns: list):
-        self.expected, self.late = expected, late
-        self.held = dict(zip(map(int, seqs), zip(*columns, strict=True), strict=True))
-
-    def ready(self, parts: Iterator[pd.DataFrame], names: list[str], most: int) -> Iterator[tuple]:
-        for part in parts:
-            for seq, *row in zip(part["seq"].to_numpy(), *(part[c].to_numpy() for c in names), strict=True):
-                if seq < self.expected or seq in self.held:
-                    self.late += 1
-                else:
-                    self.held[int(seq)] = tuple(row)
-        while self.held:
-            if self.expected not in self.held:
-                if len(self.held) <= most:
-                    return
-                self.expected = min(self.held)
-            yield self.expected, *self.held.pop(self.expected)
-            self.expected += 1
-
-    def columns(self, count: int) -> list[list]:
-        seqs = sorted(self.held)
-        return [seqs, *([np.asarray(self.held[s][k]).tolist() for s in seqs] for k in range(count))]
-
-
-def rechunked(frames: DataFrame, size: int, most_held: int = 1000) -> DataFrame:
-    """Exact chunks of ``size`` samples across frame borders; the remainder waits in the state. Frames in gaps wait for what is
-    missing, ``most_held`` of them at most; then the gap is passed over."""
-    state = "expected long, late long, out_seq long, i array<double>, q array<double>, held_seq array<long>, held_i array<array<double>>, held_q array<array<double>>"
-
-    def run(key: tuple, parts: Iterator[pd.DataFrame], group: GroupState) -> Iterator[pd.DataFrame]:
-        expected, late, out_seq, i, q, *held = group.get if group.exists else (0, 0, 0, [], [], [], [], [])
-        waiting = Waiting(expected, late, *held)
-        ready = list(waiting.ready(parts, ["i", "q"], most_held))
-        i = np.concatenate([np.asarray(i, float), *(np.asarray(r[1], float) for r in ready)])
-        q = np.concatenate([np.asarray(q, float), *(np.asarray(r[2], float) for r in ready)])
-        n = len(i) // size
-        rows = [(key[0], out_seq + k, a, b, power_of(a, b)) for k, (a, b) in enumerate(zip(i[: n * size].reshape(n, size), q[: n * size].reshape(n, size), strict=True))]
-        group.update((waiting.expected, waiting.late, out_seq + n, i[n * size :].tolist(), q[n * size :].tolist(), *waiting.columns(2)))
-        yield pd.DataFrame(rows, columns=["stream_id", "seq", "i", "q", "power_db"])
-
-    return frames.groupBy("stream_id").applyInPandasWithState(run, CHUNKS, state, "append", GroupStateTimeout.NoTimeout)
-
-
-class Capture:
-    """One stream's trigger: the floor's readings, a ring of chunks, the capture that is being filled."""
-
-    FIELDS = "powers array<double>, floor double, ring_i array<double>, ring_q array<double>, ring_n array<long>, cap_i array<double>, cap_q array<double>, cap_seq long, cap_db double, quiet_until long, waited long, done boolean"
-
-    def __init__(self, t: Trigger, powers=(), floor=None, ring_i=(), ring_q=(), ring_n=(), cap_i=(), cap_q=(), cap_seq=-1, cap_db=0.0, quiet=-1, waited=0, done=False):
-        self.t, self.powers, self.floor, self.cap_seq, self.cap_db, self.quiet, self.waited, self.done = t, list(powers), floor, cap_seq, cap_db, quiet, waited, done
-        cuts = np.cumsum([0, *ring_n])
-        self.ring = deque((np.asarray(ring_i[a:z], float), np.asarray(ring_q[a:z], float)) for a, z in pairwise(cuts.tolist()))
-        self.parts = [(np.asarray(cap_i, float), np.asarray(cap_q, float))] if cap_seq >= 0 else []
-
-    def state(self) -> tuple:
-        both = lambda parts, c: np.concatenate([np.empty(0), *(p[c] for p in parts)]).tolist()
-        return (self.powers, self.floor, both(self.ring, 0), both(self.ring, 1), [len(p[0]) for p in self.ring], both(self.parts, 0), both(self.parts, 1), self.cap_seq, self.cap_db, self.quiet, self.waited, self.done)
-
-    def event(self, kind: str, seq: int, db: float, i=None, q=None) -> tuple:
-        return seq, kind, self.floor, level(self.floor, self.t), db, i, q
-
-    def round_over(self, seq: int) -> None:
-        """After a capture or a timeout: a cool-down, and the floor anew if it is to be."""
-        self.quiet, self.waited, self.parts, self.cap_seq = seq + 1 + self.t.cooldown, 0, [], -1
-        if self.t.recalibrate:
-            self.floor, self.powers = None, []
-            self.ring.clear()
-
-    def finished(self, seq: int, ended: bool = False) -> Iterator[tuple]:
-        """The capture, when it is full, or padded with zeros when the stream ends."""
-        size = sum(len(p[0]) for p in self.parts)
-        if self.cap_seq >= 0 and (ended or size >= self.t.window):
-            i, q = (np.pad(np.concatenate([p[c] for p in self.parts])[: self.t.window], (0, max(0, self.t.window - size))) for c in (0, 1))
-            yield self.event("capture", self.cap_seq, self.cap_db, i, q)
-            self.done = self.t.one_shot
-            self.round_over(seq)
-
-    def take(self, seq: int, i: np.ndarray, q: np.ndarray, db: float) -> Iterator[tuple]:
-        if not len(i):
-            yield from self.finished(seq, ended=True)
-            return
-        if self.floor is None:
-            if seq >= self.quiet and not self.done:
-                self.powers.append(float(db))
-                if len(self.powers) == self.t.floor_chunks:
-                    self.floor = float(np.median(self.powers))
-                    yield self.event("floor", seq, float(db))
-            return
-        if self.cap_seq >= 0:
-            self.parts.append((i, q))
-        elif not self.done and seq >= self.quiet:
-            if db >= level(self.floor, self.t):
-                self.parts, self.cap_seq, self.cap_db = [*self.ring, (i, q)], seq, float(db)
-            else:
-                self.waited += 1
-        yield from self.finished(seq)
-        if self.floor is not None and self.t.timeout_chunks is not None and self.cap_seq < 0 and self.waited >= self.t.timeout_chunks:
-            yield self.event("timeout", seq, float(db))
-            self.done = self.t.one_shot
-            self.round_over(seq)
-        if self.floor is not None:
-            self.ring.append((i, q))
-            while len(self.ring) > self.t.pretrigger:
-                self.ring.popleft()
-
-
-def triggered(chunks: DataFrame, t: Trigger = Trigger()) -> DataFrame:
-    """Events of each stream: ``floor`` once it is known, then a ``capture`` for each trigger, or a ``timeout``.
-
-    The floor is the median power of the first chunks; a chunk of at least floor + above_db (or the
-    absolute level) starts a capture of the chunks before it, itself, and those after it, until the
-    window is full. During a cool-down, counted in chunks, triggers are dropped; a one-shot stream
-    stops after its first capture or timeout. A chunk without samples, or being idle, ends a stream: what was being
-    captured is padded with zeros. State is a ring, one window and the chunks that wait for missing ones.
-    """
-    state = "expected long, late long, held_seq array<long>, held_i array<array<double>>, held_q array<array<double>>, held_db array<double>, " + Capture.FIELDS
-
-    def run(key: tuple, parts: Iterator[pd.DataFrame], group: GroupState) -> Iterator[pd.DataFrame]:
-        expected, late, *rest = group.get if group.exists else (0, 0, [], [], [], [])
-        waiting, capture = Waiting(expected, late, *rest[:4]), Capture(t, *rest[4:])
-        if group.hasTimedOut:
-            rows = list(capture.finished(expected, ended=True))
-            group.remove()
-        else:
-            rows = [e for seq, i, q, db in waiting.ready(parts, ["i", "q", "power_db"], t.most_held) for e in capture.take(seq, np.asarray(i, float), np.asarray(q, float), db)]
-            group.update((waiting.expected, waiting.late, *waiting.columns(3), *capture.state()))
-            if t.idle is not None:
-                group.setTimeoutDuration(t.idle)
-        yield pd.DataFrame([(key[0], *r) for r in rows], columns=["stream_id", "seq", "kind", "floor", "trigger", "power_db", "i", "q"])
-
-    timeout = GroupStateTimeout.NoTimeout if t.idle is None else GroupStateTimeout.ProcessingTimeTimeout
-    return chunks.groupBy("stream_id").applyInPandasWithState(run, EVENTS, state, "append", timeout)
-
-
-def fixed_captures(chunks: DataFrame, samples: int, discard: int = 0, most_held: int = 1000) -> DataFrame:
-    """One capture of each stream, ``samples`` long, from behind the first ``discard`` chunks; padded with zeros when the stream ends before."""
-    whole = Trigger(floor_chunks=1, absolute_db=-math.inf, pretrigger=0, window=samples, one_shot=True, most_held=most_held)
-    state = "expected long, late long, held_seq array<long>, held_i array<array<double>>, held_q array<array<double>>, held_db array<double>, " + Capture.FIELDS
-
-    def run(key: tuple, parts: Iterator[pd.DataFrame], group: GroupState) -> Iterator[pd.DataFrame]:
-        expected, late, *rest = group.get if group.exists else (0, 0, [], [], [], [])
-        waiting, capture = Waiting(expected, late, *rest[:4]), Capture(whole, *(rest[4:] or ([], 0.0)))
-        chunks = (c for c in waiting.ready(parts, ["i", "q", "power_db"], most_held) if c[0] >= discard)
-        rows = [e for seq, i, q, db in chunks for e in capture.take(seq, np.asarray(i, float), np.asarray(q, float), db)]
-        group.update((waiting.expected, waiting.late, *waiting.columns(3), *capture.state()))
-        yield pd.DataFrame([(key[0], r[0], r[5], r[6]) for r in rows], columns=["stream_id", "seq", "i", "q"])
-
-    return chunks.groupBy("stream_id").applyInPandasWithState(run, "stream_id long, seq long, i array<double>, q array<double>", state, "append", GroupStateTimeout.NoTimeout)
-
-
 def chunk_powers(chunks: DataFrame) -> DataFrame:
     """(stream_id, seq, power_db) of each chunk: no state, no shuffle."""
     square = F.zip_with("i", "q", lambda a, b: a * a + b * b)
@@ -220,10 +35,6 @@ def windowed_powers(readings: DataFrame, every: str, late: str = "10 minutes") -
     return rows.select("stream_id", F.col("window.start").alias("start"), "chunks", "power_db", "peak_db")
 
 
-def level(floor: float, t: Trigger) -> float:
-    return t.absolute_db if t.absolute_db is not None else floor + t.above_db
-
-
 def skipped(chunks: DataFrame, first: int) -> DataFrame:
     """Without the first chunks of each stream; chunk numbers are dense, so no state is needed."""
     return chunks.filter(F.col("seq") >= first).withColumn("seq", F.col("seq") - first)
@@ -240,6 +51,31 @@ def rolling_summary(events: DataFrame, every: str = "1 hour", late: str = "10 mi
     )
 
 
+def streamed_event_summary(events: DataFrame, every: str = "1 hour", late: str = "10 minutes", by: str = "condition") -> DataFrame:
+    """Per condition and window of event time, all figures of ``metrics.event_summary``: counts, alert rate, largest non-noise
+    confidence, means of snr_db, e2e_ms and infer_ms where they are there, and label:count of the predictions, commonest first.
+
+    Two aggregations, one after the other: per prediction, then per condition, so that state has a row a prediction and not
+    a list of events. Both give a window out once the watermark has passed it (append mode); later events are dropped.
+    Sums are of decimals, so that a mean doesn't depend on the order of its events.
+    """
+    exact = lambda c: F.sum(F.col(c).cast("decimal(28,12)"))
+    means = [c for c in ("snr_db", "e2e_ms", "infer_ms") if c in events.columns]
+    each = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).groupBy(F.window("ts", every), by, "prediction").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.col("alert").cast("int")).alias("alerts"), F.count("alert").alias("judged"), F.max("non_noise_confidence").alias("most"),
+        *[exact(c).alias(f"sum_{c}") for c in means], *[F.count(c).alias(f"n_{c}") for c in means],
+    )
+    label = F.struct(-F.col("n"), "prediction", F.concat_ws(":", "prediction", F.col("n").cast("string")).alias("text"))
+    whole = each.groupBy("window", by).agg(
+        F.sum("n").alias("events"), F.sum("alerts").alias("alerts"), F.sum("judged").alias("judged"), F.max("most").alias("max_non_noise_confidence"),
+        *[(F.sum(f"sum_{c}").cast("double") / F.sum(f"n_{c}")).alias(f"mean_{c}") for c in means], F.sort_array(F.collect_list(label)).alias("labels"),
+    )
+    return whole.select(
+        F.col("window.start").alias("start"), by, "events", "alerts", (F.col("judged") - F.col("alerts")).alias("no_alerts"), (F.col("alerts") / F.col("judged") * 100).alias("alert_rate_pct"),
+        "max_non_noise_confidence", *[f"mean_{c}" for c in means], F.concat_ws(",", F.transform("labels", lambda x: x.text)).alias("top_predictions"),
+    )
+
+
 def json_sink(events: DataFrame, path: str, checkpoint: str):
     """One JSON line per event, until no input is left."""
     return events.writeStream.format("json").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
