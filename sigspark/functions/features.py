@@ -100,7 +100,9 @@ def power_family(s: Shared) -> dict:
 def moment_family(s: Shared) -> dict:
     m, v, skew, kurt = moments(s.mag)
     c = s.mag - m[:, None]
-    return {"mag_variance": v, "mag_skewness": skew, "mag_kurtosis": kurt, "mag_central4": (c**4).mean(1), "mag_central5": (c**5).mean(1), **{f"mag_raw{k}": (s.mag**k).mean(1) for k in (2, 3, 4)}}
+    fifth, sixth = ((s.x - s.x.mean(1, keepdims=True)) ** 5).mean(1), (s.x**6).mean(1)
+    both = lambda name, z: {name: np.abs(z), f"{name}_phase": np.angle(z)}
+    return both("complex_central5", fifth) | both("complex_moment6", sixth) | {"mag_variance": v, "mag_skewness": skew, "mag_kurtosis": kurt, "mag_central4": (c**4).mean(1), "mag_central5": (c**5).mean(1), **{f"mag_raw{k}": (s.mag**k).mean(1) for k in (2, 3, 4)}}
 
 
 def crossing_family(s: Shared) -> dict:
@@ -119,10 +121,8 @@ def phase_family(s: Shared) -> dict:
 
 
 def constellation_family(s: Shared) -> dict:
-    out = np.empty(len(s.x))
-    for k, x in enumerate(s.x):
-        out[k] = np.histogram2d(x.real, x.imag, bins=10)[0].var()
-    return {"constellation_density": out}
+    cells = sp.bins_of(s.x.real, 10) * 10 + sp.bins_of(s.x.imag, 10)
+    return {"constellation_density": sp.counts_of(cells, 100).var(1)}
 
 
 def envelope_family(s: Shared) -> dict:
@@ -142,7 +142,8 @@ def analytic_phase_family(s: Shared) -> dict:
     d = np.diff(ph, axis=1)
     same = np.concatenate([d, d[:, -1:]], 1) / (2 * np.pi)  # as long as the window: the last step twice
     m, v, skew, kurt = moments(ph)
-    density = np.stack([np.histogram(r, bins=64, density=True)[0] for r in d]) + TINY if len(d) else np.empty((0, 64))
+    span = d.max(1) - d.min(1)
+    density = sp.counts_of(sp.bins_of(d, 64), 64) / d.shape[1] / (np.where(span > 0, span, 1) / 64)[:, None] + TINY
     cubic = np.diff(np.unwrap(np.angle(sp.analytic(s.x.real**3)), axis=1), axis=1)
     e = np.abs(s.hilbert)
     ce, cp = e - e.mean(1, keepdims=True), ph - m[:, None]
@@ -171,7 +172,8 @@ def shape_family(s: Shared) -> dict:
     low, high = halves(p)
     pa = share(a)
     fixed = np.abs(np.fft.fft(s.x, 128, axis=1)) ** 2
-    return {"spectral_entropy": -(share(p) * np.log(share(p) + TINY)).sum(1), "spectral_entropy_amplitude": -(pa * np.log(np.where(pa > 0, pa, 1))).sum(1), "spectral_entropy_128": bits(share(fixed)),
+    cubic, quartic = (np.abs(np.fft.fft(s.x**k, axis=1)) ** 2 for k in (3, 4))
+    return {"spectral_entropy_cubic": -(share(cubic) * np.log(share(cubic) + TINY)).sum(1), "spectral_flatness_quartic": geometric(quartic) / (quartic.mean(1) + TINY), "spectral_entropy": -(share(p) * np.log(share(p) + TINY)).sum(1), "spectral_entropy_amplitude": -(pa * np.log(np.where(pa > 0, pa, 1))).sum(1), "spectral_entropy_128": bits(share(fixed)),
             "spectral_flatness": geometric(a) / a.mean(1), "spectral_flatness_power": geometric(p) / (p.mean(1) + TINY), "spectral_skewness": moments(a)[2], "spectral_kurtosis": moments(a)[3],
             "spectral_sparsity": (a < a.mean(1, keepdims=True)).sum(1), "spectral_centroid": centroid, "spectral_spread": np.sqrt((a * (f - centroid[:, None]) ** 2).sum(1) / total), "spectral_slope": (away * (f - f.mean())).sum(1) / ((f - f.mean()) ** 2 + TINY).sum(),
             "spectral_rolloff": f[roll], "rolloff_energy": cum[rows, roll], "bandwidth_quarter": wide(0.25), "bandwidth_half": wide(0.5), "spectral_asymmetry": (high - low) / (high + low + TINY), "spectral_symmetry": np.abs(low - high) / (low + high + TINY),
@@ -193,21 +195,31 @@ def band_family(s: Shared) -> dict:
 def peak_family(s: Shared) -> dict:
     out: dict[str, np.ndarray] = {}
     names = ("count", "mean", "max", "min", "energy_ratio", "width", "to_average", "kurtosis", "spacing_std", "energy", "flatness", "energy_std", "density", "range")
+    n = s.amp.shape[1]
     for order in (1, 2, 3, 4):
         spec = s.amp**order
-        rows = np.zeros((len(spec), len(names)))  # all are 0 without a peak
-        for r, x in enumerate(spec):
-            at = sp.peaks(x)
-            if len(at):
-                v = x[at]
-                two = len(at) > 1
-                rows[r] = (len(at), v.mean(), v.max(), v.min(), (v**2).sum() / (x**2).sum(), sp.half_widths(x, at).mean(), v.mean() / x.mean(), moments(v[None])[3][0] - 3,
-                           np.diff(at).std() if two else 0.0, v.sum(), np.exp(np.log(v + TINY).mean()) / (v.mean() + TINY), v.std(), len(at) / len(x), at[-1] - at[0] if two else 0.0)
-        out |= {f"peaks{order}_{n}": rows[:, k] for k, n in enumerate(names)}
-    a = s.amp
-    out["adaptive_peak_count"] = np.array([(x[sp.peaks(x)] > 1.5 * np.median(x)).sum() for x in a], float)
-    smooth = sp.gaussian(a, 3)
-    out["smoothed_peak_density"] = np.array([(x[sp.peaks(x)] > 0.1 * x.max()).sum() / len(x) for x in smooth], float)
+        rows, at = sp.peak_places(spec)
+        total = lambda v, rows=rows: np.bincount(rows, v, len(spec))
+        v, count = spec[rows, at], np.bincount(rows, minlength=len(spec))
+        some, one = count > 0, np.maximum(count, 1)
+        first = np.cumsum(count) - count
+        mean = total(v) / one
+        away = v - mean[rows]
+        variance = total(away**2) / one
+        step, same = np.diff(at), np.diff(rows) == 0
+        between = np.bincount(rows[1:][same], step[same], len(spec)) / np.maximum(count - 1, 1)
+        spacing = np.bincount(rows[1:][same], (step[same] - between[rows[1:][same]]) ** 2, len(spec)) / np.maximum(count - 1, 1)
+        ends = lambda x, some=some, first=first, count=count: (x[first[some]], x[(first + count - 1)[some]])
+        reach, most, least = np.zeros(len(spec)), np.zeros(len(spec)), np.zeros(len(spec))
+        reach[some] = np.subtract(*ends(at)[::-1])
+        most[some], least[some] = (f.reduceat(v, first[some]) if some.any() else [] for f in (np.maximum, np.minimum))
+        values = (count, mean, most, least, total(v**2) / (spec**2).sum(1), total(sp.peak_widths(spec, rows, at)) / one, mean / spec.mean(1), total(away**4) / one / variance**2 - 3,
+                  np.sqrt(spacing), total(v), np.exp(total(np.log(v + TINY)) / one) / (mean + TINY), np.sqrt(variance), count / n, reach)
+        out |= {f"peaks{order}_{name}": np.where(some, x, 0.0) for name, x in zip(names, values, strict=True)}  # all are 0 without a peak
+    loud = lambda x, least: np.bincount((p := sp.peak_places(x))[0], x[p] > least[p[0]], len(x))
+    out["adaptive_peak_count"] = loud(s.amp, 1.5 * np.median(s.amp, axis=1))
+    smooth = sp.gaussian(s.amp, 3)
+    out["smoothed_peak_density"] = loud(smooth, 0.1 * smooth.max(1)) / n
     return out
 
 
@@ -218,7 +230,8 @@ def spread_of(f: np.ndarray, p: np.ndarray) -> np.ndarray:
 
 
 def welch_family(s: Shared) -> dict:
-    """Over a density with frequencies from -0.5 to 0.5; bands are those of positive frequencies."""
+    """Over a density with frequencies from -0.5 to 0.5; bands are those of positive frequencies. The kernel that is named
+    quadratic leaves samples as they are, so its bandwidth is the plain one."""
     f, p = s.welch
     bands = {"low": (f >= 0) & (f <= 0.25), "mid": (f >= 0.25) & (f <= 0.5), "high": (f >= 0.5) & (f <= 1)}
     out = {f"band_entropy{k}_{b}": bits(share(p[:, m] ** k)) if m.any() else np.zeros(len(p)) for k in (1, 2, 3, 4) for b, m in bands.items()}
@@ -229,9 +242,9 @@ def welch_family(s: Shared) -> dict:
     size = len(fe) // 4
     powers = np.stack([pe[:, i * size : (i + 1) * size].sum(1) for i in range(4)], 1)
     spread = spread_of(f, p)
-    quadratic = sp.welch(s.x**2)[1]
+    modulation = np.sqrt((f**2 * p).mean(1) - (f * p).mean(1) ** 2)
     return out | {"energy_concentration": p[:, middle].sum(1), "mid_band_energy": sp.welch(s.x**2 - 1)[1][:, middle].sum(1), "frequency_spread_log": np.log(spread), "frequency_spread_cubic": np.log(spread + TINY) ** 3,
-                  "modulation_bandwidth": np.sqrt((f**2 * p).mean(1) - (f * p).mean(1) ** 2), "modulation_bandwidth_quadratic": np.sqrt((f**2 * quadratic).mean(1) - (f * quadratic).mean(1) ** 2), "welch_high_ratio": p[:, f > 0.5].sum(1) / p.sum(1),
+                  "modulation_bandwidth": modulation, "modulation_bandwidth_quadratic": modulation, "welch_high_ratio": p[:, f > 0.5].sum(1) / p.sum(1),
                   "centre_concentration": p[:, (f > 0.4) & (f < 0.6)].sum(1) / p.sum(1), "frequency_spread_variability": every.var(1), "envelope_power_variability": powers.var(1)}
 
 
@@ -270,9 +283,8 @@ def wavelet_family(s: Shared) -> dict:
 def filter_family(s: Shared) -> dict:
     p = s.power
     sigma = np.clip(p.std(1) / p.mean(1), 0.1, 2)
-    smooth = np.array([sp.gaussian(r[None], g)[0].sum() for r, g in zip(p, sigma, strict=True)])
     band = np.abs(sp.analytic(sp.band_passed(s.x.real))) if s.x.shape[1] > sp.band_reach() else np.full(s.x.shape, np.nan)
-    return {"gaussian_sum": sp.gaussian(p, 1).sum(1), "adaptive_gaussian_sum": smooth, "adaptive_bandwidth": sigma, "band_pass_rms": np.sqrt((band**2).mean(1))}
+    return {"gaussian_sum": sp.gaussian(p, 1).sum(1), "adaptive_gaussian_sum": sp.gaussian_sums(p, sigma), "adaptive_bandwidth": sigma, "band_pass_rms": np.sqrt((band**2).mean(1))}
 
 
 def rolling_entropy(amp: np.ndarray, size: int) -> np.ndarray:

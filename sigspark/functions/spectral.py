@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 
 
@@ -200,34 +202,121 @@ def band_passed(x: np.ndarray, low: float = 0.05, high: float = 0.3, order: int
     return out[:, pad:-pad]
 
 
+def peak_places(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(rows, places) of the strict local maxima of each row, in order; a plateau counts at its middle."""
+    n, flat = x.shape[1], x.ravel()
+    change = np.ones(x.shape, bool)
+    change[:, 1:] = x[:, 1:] != x[:, :-1]
+    starts = np.flatnonzero(change)  # of runs of equal values
+    ends = np.r_[starts[1:], flat.size] - 1
+    v, inner = flat[starts], (starts % n > 0) & (ends % n < n - 1)
+    top = np.flatnonzero(inner)
+    top = top[(v[top] > v[top - 1]) & (v[top] > v[top + 1])]
+    middle = (starts[top] + ends[top]) // 2
+    return middle // n, middle % n
+
+
 def peaks(x: np.ndarray) -> np.ndarray:
-    """Places of the strict local maxima of a row; a plateau counts at its middle."""
-    starts = np.flatnonzero(np.r_[True, x[1:] != x[:-1]])  # of runs of equal values
-    ends = np.r_[starts[1:], len(x)] - 1
-    v = x[starts]
-    top = np.flatnonzero((v[1:-1] > v[:-2]) & (v[1:-1] > v[2:])) + 1
-    return (starts[top] + ends[top]) // 2
+    """Places of the strict local maxima of one row."""
+    return peak_places(x[None])[1]
+
+
+class Stretches:
+    """Least and largest values of stretches of rows, from tables of stretches of 1, 2, 4, ... samples."""
+
+    def __init__(self, x: np.ndarray):
+        self.n = x.shape[1]
+        self.low, self.high = [x.ravel()], [x.ravel()]
+        while 2 << len(self.low) - 1 <= self.n:
+            half = 1 << len(self.low) - 1
+            self.low.append(np.minimum(self.low[-1][:-half], self.low[-1][half:]))
+            self.high.append(np.maximum(self.high[-1][:-half], self.high[-1][half:]))
+
+    def least(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Least value from start up to, but without, end."""
+        k = np.frexp(end - start)[1] - 1
+        out = np.empty(len(start))
+        for level in np.unique(k):
+            own = k == level
+            out[own] = np.minimum(self.low[level][start[own]], self.low[level][end[own] - (1 << level)])
+        return out
+
+    def reach(self, at: np.ndarray, tables: list[np.ndarray], fits: Callable[[np.ndarray, np.ndarray], np.ndarray], step: int) -> np.ndarray:
+        """How far from ``at`` on (to the left for a step of -1, without it) all of a row's samples fit."""
+        edge, out = at // self.n * self.n + (self.n - 1) * (step > 0), np.zeros(len(at), int)
+        for level in range(len(tables) - 1, -1, -1):
+            size = 1 << level
+            first = at + out + 1 if step > 0 else at - out - size
+            inside = first + size - 1 <= edge if step > 0 else first >= edge
+            good = inside.copy()
+            good[inside] = fits(tables[level][first[inside]], inside)
+            out += size * good
+        return out
+
+
+def peak_widths(x: np.ndarray, rows: np.ndarray, at: np.ndarray, most: int = 1 << 18) -> np.ndarray:
+    """Widths of peaks at half of their prominence, interpolated: all peaks of a batch of rows together.
+
+    A binary search over the tables finds where a higher sample ends a peak's surroundings, and where its flanks reach half height.
+    """
+    n, out = x.shape[1], np.zeros(len(at))
+    step = max(1, most // n)
+    for begin in range(0, len(x), step):
+        own = (rows >= begin) & (rows < begin + step)
+        part, place = x[begin : begin + step], (rows[own] - begin) * n + at[own]
+        if not len(place):
+            continue
+        table, flat = Stretches(part), part.ravel()
+        top = flat[place]
+        left = place - table.reach(place, table.high, lambda v, k: v <= top[k], -1)
+        right = place + table.reach(place, table.high, lambda v, k: v <= top[k], 1)
+        base = np.maximum(table.least(left, place + 1), table.least(place, right + 1))
+        level = top - (top - base) / 2
+        first, last = place // n * n, place // n * n + n - 1
+        i = np.where(top > level, np.maximum(first, place - table.reach(place, table.low, lambda v, k: v > level[k], -1) - 1), place)
+        j = np.where(top > level, np.minimum(last, place + table.reach(place, table.low, lambda v, k: v > level[k], 1) + 1), place)
+        a, b = i.astype(float), j.astype(float)
+        k = (flat[i] < level) & (i < place)
+        a[k] += (level[k] - flat[i[k]]) / (flat[i[k] + 1] - flat[i[k]])
+        k = (flat[j] < level) & (j > place)
+        b[k] -= (level[k] - flat[j[k]]) / (flat[j[k] - 1] - flat[j[k]])
+        out[own] = b - a
+    return out
 
 
 def half_widths(x: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Widths of peaks at half of their prominence, interpolated."""
-    out = np.zeros(len(at))
-    for k, p in enumerate(at):
-        left = x[: p + 1][::-1]
-        higher = np.flatnonzero(left > x[p])
-        base_l = left[: higher[0] if len(higher) else None].min()
-        right = x[p:]
-        higher = np.flatnonzero(right > x[p])
-        base_r = right[: higher[0] if len(higher) else None].min()
-        level = x[p] - (x[p] - max(base_l, base_r)) / 2
-        i, j = p, p
-        while i > 0 and x[i] > level:
-            i -= 1
-        while j < len(x) - 1 and x[j] > level:
-            j += 1
-        a = i + (level - x[i]) / (x[i + 1] - x[i]) if x[i] < level and i < p else float(i)
-        b = j - (level - x[j]) / (x[j - 1] - x[j]) if x[j] < level and j > p else float(j)
-        out[k] = b - a
+    """Widths of peaks of one row."""
+    return peak_widths(x[None], np.zeros(len(at), int), at)
+
+
+def bins_of(x: np.ndarray, bins: int) -> np.ndarray:
+    """Of each value, its number among equal bins between the least and the largest value of its row."""
+    low, high = x.min(1, keepdims=True), x.max(1, keepdims=True)
+    flat = low == high
+    low, high = low - 0.5 * flat, high + 0.5 * flat
+    edges = np.linspace(low[:, 0], high[:, 0], bins + 1, axis=1)
+    at = np.minimum(((x - low) * (bins / (high - low))).astype(int), bins - 1)
+    at -= x < np.take_along_axis(edges, at, 1)  # rounding may put a value beside its bin
+    at += (x >= np.take_along_axis(edges, at + 1, 1)) & (at < bins - 1)
+    return at
+
+
+def counts_of(at: np.ndarray, bins: int) -> np.ndarray:
+    """How many of each row's values are in each bin."""
+    return np.bincount((np.arange(len(at))[:, None] * bins + at).ravel(), minlength=len(at) * bins).reshape(len(at), bins)
+
+
+def gaussian_sums(x: np.ndarray, sigma: np.ndarray) -> np.ndarray:
+    """Sums of rows that are smoothed as ``gaussian`` does, each by a deviation of its own."""
+    n, out = x.shape[1], np.zeros(len(x))
+    radius = np.maximum(1, (4 * sigma + 0.5).astype(int))
+    for r in np.unique(radius):  # a few sizes of kernels
+        own = radius == r
+        k = np.exp(-0.5 * (np.arange(-r, r + 1) / sigma[own, None]) ** 2)
+        at = np.arange(-r, n + r) % (2 * n)
+        at = np.where(at < n, at, 2 * n - 1 - at)
+        shifted = np.lib.stride_tricks.sliding_window_view(x[own][:, at], n, axis=1).sum(2)
+        out[own] = (shifted * k).sum(1) / k.sum(1)
     return out
 
 

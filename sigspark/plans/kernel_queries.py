@@ -137,6 +137,31 @@ SELECT capture_id, {r(spectral_entropy="-sum(p / e * ln(p / e + 1e-10))", spectr
     psd_kurtosis=f"abs({central('p', 'mp', 4)} / any_value(vp) ** 2 - 3)", high_half_entropy="-sum(p / e * log2(p / e + 1e-10)) FILTER (k >= 16)", spectrum_zero_crossings="sum(z::INT) / 32")} FROM x JOIN h USING (capture_id) GROUP BY capture_id"""
 
 
+def ft2_complex_moments(spark, sf):
+    """Fifth central and sixth moment of complex samples, as size and phase. Values scaled up, as they are small."""
+    rows = ft.extract_features(windows(spark, sf).withColumn("iq", F.transform("iq", lambda s: F.struct((s.i * 8).alias("i"), (s.q * 8).alias("q")))), ("moments",))
+    return rounded(rows.select("capture_id", "complex_central5", "complex_central5_phase", "complex_moment6", "complex_moment6_phase"))
+
+
+FT2 = IQ + """, z AS (SELECT capture_id, i * 8 AS i, q * 8 AS q, avg(i * 8) OVER w AS mi, avg(q * 8) OVER w AS mq FROM iq WINDOW w AS (PARTITION BY capture_id)), p AS (SELECT capture_id, sqrt((i - mi) ** 2 + (q - mq) ** 2) AS r, atan2(q - mq, i - mi) AS t, sqrt(i * i + q * q) AS r0, atan2(q, i) AS t0 FROM z),
+m AS (SELECT capture_id, avg(r ** 5 * cos(5 * t)) AS a, avg(r ** 5 * sin(5 * t)) AS b, avg(r0 ** 6 * cos(6 * t0)) AS c, avg(r0 ** 6 * sin(6 * t0)) AS d FROM p GROUP BY 1)
+SELECT capture_id, round(sqrt(a * a + b * b), 6) + 0.0 AS complex_central5, round(atan2(b, a), 6) + 0.0 AS complex_central5_phase, round(sqrt(c * c + d * d), 6) + 0.0 AS complex_moment6, round(atan2(d, c), 6) + 0.0 AS complex_moment6_phase FROM m"""
+
+
+def ft9_kernel_forms(spark, sf):
+    """Entropy of the spectrum of x^3, and flatness of that of x^4."""
+    return features(spark, sf, "shape", "spectral_entropy_cubic", "spectral_flatness_quartic")
+
+
+FT9K = IQ + ", cubed AS (SELECT capture_id, n, i ** 3 - 3 * i * q * q AS i, 3 * i * i * q - q ** 3 AS q FROM iq), fourth AS (SELECT capture_id, n, i ** 4 - 6 * i * i * q * q + q ** 4 AS i, 4 * i ** 3 * q - 4 * i * q ** 3 AS q FROM iq)" + transformed("c3", "cubed") + transformed("c4", "fourth") + f""",
+t AS (SELECT capture_id, sum(a * a) AS e FROM c3 GROUP BY 1), h AS (SELECT capture_id, {r(spectral_entropy_cubic="-sum(a * a / e * ln(a * a / e + 1e-10))")} FROM c3 JOIN t USING (capture_id) GROUP BY capture_id), g AS (SELECT capture_id, {r(spectral_flatness_quartic="exp(avg(ln(a * a + 1e-10))) / (avg(a * a) + 1e-10)")} FROM c4 GROUP BY capture_id)
+SELECT * FROM h JOIN g USING (capture_id)"""
+
+
+def ft12_quadratic_kernel(spark, sf):
+    return features(spark, sf, "welch", "modulation_bandwidth_quadratic")
+
+
 def ft10_band_energy(spark, sf):
     return features(spark, sf, "band", "centre_energy_share", "band_spread", "high_frequency_ratio")
 
@@ -188,6 +213,9 @@ SELECT capture_id, {r(**{f"band_entropy{k}_{b}": band_entropy(k, *BANDS[b]) for
 FROM d JOIN s USING (capture_id) JOIN me USING (capture_id) JOIN ev USING (capture_id) JOIN z USING (capture_id) GROUP BY capture_id"""
 
 
+FT12Q = IQ + welch_sql("d", "iq") + f" SELECT capture_id, {r(modulation_bandwidth_quadratic='sqrt(avg(f * f * p) - avg(f * p) ** 2)')} FROM d GROUP BY capture_id"
+
+
 def ft13_stft_features(spark, sf):
     return features(spark, sf, "stft", "stft_kurtosis", "stft_energy_spread", "tf_concentration")
 
@@ -498,6 +526,6 @@ def dec10_forest_importances(spark, sf):
 
 
 QUERIES = {n: f for n, f in list(globals().items()) if n.split("_")[0].rstrip("0123456789") in ("ft", "arr", "str", "dec", "win") and callable(f) and getattr(f, "__module__", "") == __name__}
-ORACLES = {"ft1_time_features": FT1, "ft4_phase_features": FT4, "ft5_constellation": FT5, "ft6_envelope_features": FT6, "ft7_analytic_phase": FT7, "ft8_spectrum_features": FT8, "ft9_spectrum_shape": FT9, "ft10_band_energy": FT10, "ft11_spectral_peaks": FT11, "ft12_welch_features": FT12, "ft13_stft_features": FT13,
+ORACLES = {"ft1_time_features": FT1, "ft2_complex_moments": FT2, "ft9_kernel_forms": FT9K, "ft12_quadratic_kernel": FT12Q, "ft4_phase_features": FT4, "ft5_constellation": FT5, "ft6_envelope_features": FT6, "ft7_analytic_phase": FT7, "ft8_spectrum_features": FT8, "ft9_spectrum_shape": FT9, "ft10_band_energy": FT10, "ft11_spectral_peaks": FT11, "ft12_welch_features": FT12, "ft13_stft_features": FT13,
            "ft14_autocorrelation": FT14, "ft15_wavelet_features": FT15, "ft16_filtered_features": FT16, "win8_rolling_entropy": WIN8, "win1_smoothed_power": WIN1, "arr13_interpolated": ARR13, "arr13_nearest": ARR13N, "arr13_spaced_starts": ARR13S, "arr15_channels": ARR15, "arr16_spectrum_view": ARR16, "arr17_waterfall": ARR17, "arr22_fft_denoised": ARR22F, "arr22_gaussian": ARR22G,
            "str3_chunk_powers": STR3, "str3_windowed_powers": STR3W, "str5_triggered_captures": STR5, "str5_padded_captures": STR5P, "str6_fixed_captures": STR6, "str7_candidate_windows": STR7, "arr12_spectrogram": ARR12, "str4_noise_floors": STR4, "str2_rechunked": STR2, "str9_rolling_summary": STR9}

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
 import io
 from collections.abc import Iterator
+from urllib.parse import quote
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyarrow import fs as pafs
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes per sample of one channel, and what full scale is.
@@ -112,14 +115,46 @@ def decoded_frames(frames: DataFrame) -> DataFrame:
     return frames.mapInArrow(run, ", ".join([*(f"{c} {kinds[c]}" for c in kept), "i array<double>, q array<double>"]))
 
 
+def opened(path: str) -> tuple[pafs.FileSystem, str]:
+    """The file system of a path or URI as Spark writes it, and the path there: local ones, and the stores that ``pyarrow.fs`` knows."""
+    if ":" not in path.split("/", 1)[0]:
+        return pafs.LocalFileSystem(), path
+    scheme, rest = path.split(":", 1)
+    return (pafs.LocalFileSystem(), "/" + rest.lstrip("/")) if scheme == "file" else pafs.FileSystem.from_uri(f"{scheme}:{quote(rest)}")
+
+
+def below(spark: SparkSession, path: Column, folder: str) -> Column:
+    """A path relative to a folder that it lies in: what follows the folder's name, by length."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    whole = place.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(place).toUri().getPath().rstrip("/")
+    head = F.length(F.regexp_extract(path, "^[^:/]+:(//[^/]*)?", 0))
+    return F.substring(path, head + F.lit(len(whole) + 2), F.length(path))
+
+
+def digests(files: DataFrame, piece: int = 1 << 20) -> DataFrame:
+    """(name, sha256) from (name, path): each file is read in pieces by a task, and no content gets into a row. Null where it can't be read."""
+
+    def digest(path: str) -> str | None:
+        system, at = opened(path)
+        found = hashlib.sha256()
+        try:
+            with system.open_input_stream(at) as stream:
+                while part := stream.read(piece):
+                    found.update(part)
+        except OSError:
+            return None
+        return found.hexdigest()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([digest(p) for p in batch.column(1).to_pylist()], pa.string())], names=["name", "sha256"])
+
+    return files.select("name", "path").mapInArrow(run, "name string, sha256 string")
+
+
 def checksums(spark: SparkSession, expected: DataFrame, folder: str) -> DataFrame:
-    """(path, sha256) of expected files (path relative to the folder), null for missing ones. Only those are read: a registry
-    names few files, and their paths go through the driver."""
-    base = folder.rstrip("/").removeprefix("file:").lstrip("/")
-    relative = F.regexp_replace("path", f"^file:/+{base}/", "")
-    listed = list_files(spark, folder).select("path", relative.alias("name"))
-    found = [r.path for r in listed.join(expected.select(F.col("path").alias("name")), "name", "left_semi").collect()]
-    if not found:
-        return expected.withColumn("sha256", F.lit(None).cast("string"))
-    files = spark.read.format("binaryFile").load(found)
-    return expected.join(files.select(relative.alias("path"), F.sha2("content", 256).alias("sha256")), "path", "left")
+    """(path, sha256) of expected files (path relative to the folder), null for missing ones. Only those are read, of any size."""
+    listed = list_files(spark, folder)
+    listed = listed.select("path", below(spark, F.col("path"), folder).alias("name"))
+    found = digests(listed.join(expected.select(F.col("path").alias("name")).distinct(), "name"))
+    return expected.join(found.withColumnRenamed("name", "path"), "path", "left")

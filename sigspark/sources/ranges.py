@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, IsNotNull, LessThan, LessThanOrEqual, StringContains, StringEndsWith, StringStartsWith
 from pyspark.sql.types import StructType
 
-from .frames import FORMATS
+from .frames import FORMATS, opened
 
 #: Also 16-bit numbers at their own scale.
 KINDS = {**FORMATS, "int16": ("<i2", 1.0)}
@@ -54,7 +54,7 @@ class Layout:
 
     def files(self) -> list[tuple[str, str, int]]:
         """(path below the folder, path to open, whole samples), by name; hidden files are passed over."""
-        system, top = pafs.FileSystem.from_uri(self.folder)
+        system, top = opened(self.folder)
         found = system.get_file_info(pafs.FileSelector(top, recursive=True))
         names = [(f.path[len(top.rstrip("/")) + 1 :], f) for f in found if f.is_file]
         return sorted((n, f.path, f.size // self.width) for n, f in names if fnmatch.fnmatch(f.base_name, self.pattern) and f.base_name[0] not in "._")
@@ -96,7 +96,7 @@ def dealt(layout: Layout, parts: Iterable[tuple[str, str, int, int, int]]) -> li
 
 def rows_of(layout: Layout, wanted: list[str], partition: Range) -> Iterator[pa.RecordBatch]:
     """A batch for each block, of the wanted columns only; without samples among them no file is opened."""
-    system = pafs.FileSystem.from_uri(layout.folder)[0]
+    system = opened(layout.folder)[0]
     for name, path, n, low, high in partition.parts:
         file = system.open_input_file(path) if "iq" in wanted else None
         for block in range(low, high):
@@ -234,15 +234,15 @@ class ReplayReader(DataSourceStreamReader):
         return [Chunks(low, min(end["chunk"], low + most)) for low in range(start["chunk"], end["chunk"], most)]
 
     def read(self, partition: Chunks) -> Iterator[pa.RecordBatch]:
-        system = pafs.FileSystem.from_uri(self.layout.folder)[0]
+        system = opened(self.layout.folder)[0]
         files, starts = self.starts()
-        file, opened = None, None
+        file, at_hand = None, None
         for seq in range(partition.low, partition.high):
             turn, at = divmod(seq, int(starts[-1]))
             k = int(np.searchsorted(starts, at, side="right")) - 1
             name, path, n = files[k]
-            if opened != path:
-                file, opened = system.open_input_file(path), path
+            if at_hand != path:
+                file, at_hand = system.open_input_file(path), path
             first = (at - int(starts[k])) * self.layout.block
             end = min(n, first + self.layout.block)
             cells = {"path": name, "round": turn, "seq": seq, "first": first}
@@ -292,35 +292,35 @@ def replayed_chunks(spark: SparkSession, folder: str, **options: object) -> Data
     return registered(spark).readStream.format("iq_replay").options(path=folder, **options).load()
 
 
-def write_captures(blocks: DataFrame, folder: str, name: str, order: str, kind: str = "cf32") -> int:
-    """Writes (name, order, iq) rows as one binary file per name; a task appends its files' blocks as they come and holds one at a time.
+def write_captures(blocks: DataFrame, folder: str, file: str, order: str, kind: str = "cf32") -> int:
+    """Writes (file, order, iq) rows as one binary file per name in ``file``; a task appends its files' blocks as they come and holds one at a time.
 
     Returns how many files there are. A file appears under its name when it is whole; a repeated task writes it anew.
     """
     number, full = KINDS[kind]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        system, top = pafs.FileSystem.from_uri(folder)
+        system, top = opened(folder)
         system.create_dir(top, recursive=True)
-        out, opened, written = None, None, []
+        out, name, written = None, None, []
 
         def close() -> None:
-            if opened is not None:
+            if name is not None:
                 out.close()
-                system.move(f"{top}/.{opened}.part", f"{top}/{opened}")
-                written.append(opened)
+                system.move(f"{top}/.{name}.part", f"{top}/{name}")
+                written.append(name)
 
         for batch in batches:
             for row in range(batch.num_rows):
                 own = batch.column(0)[row].as_py()
-                if own != opened:
+                if own != name:
                     close()
-                    opened, out = own, system.open_output_stream(f"{top}/.{own}.part")
+                    name, out = own, system.open_output_stream(f"{top}/.{own}.part")
                 samples = batch.column(2).slice(row, 1).flatten()
                 pairs = np.stack([samples.field(c).to_numpy(zero_copy_only=False) for c in (0, 1)], 1) * full
                 out.write((np.rint(pairs) if number != "<f4" else pairs).astype(number).tobytes())
         close()
         yield pa.RecordBatch.from_arrays([pa.array(written, pa.string())], names=["name"])
 
-    rows = blocks.select(name, order, "iq").repartition(name).sortWithinPartitions(name, order)
+    rows = blocks.select(file, order, "iq").repartition(file).sortWithinPartitions(file, order)
     return rows.mapInArrow(run, "name string").count()

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+import uuid
 from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
@@ -70,19 +72,62 @@ def cache_key(*parts: Column) -> Column:
     return F.sha1(F.concat_ws("|", *parts))
 
 
-def cached(sources: DataFrame, key: str, path: str, compute: Callable[[DataFrame], DataFrame], valid: Column | None = None) -> DataFrame:
-    """Rows of a Parquet cache for the keys of ``sources``; what it lacks, or holds invalidly, is computed and appended.
+def file_keys(files: DataFrame, *params: Column) -> DataFrame:
+    """Files (path, length, modificationTime) with their cache key: a file that has changed, or other parameters, give another one."""
+    return files.withColumn("key", cache_key(F.col("path"), F.col("length").cast("string"), F.unix_micros(F.col("modificationTime").cast("timestamp")).cast("string"), *params))
 
-    Only new keys are computed. Rows that fail ``valid`` count as missing; of several valid rows of a key any may be used.
-    """
-    spark = sources.sparkSession
-    test = F.lit(True) if valid is None else valid
+
+COMMIT = "_commit"
+
+
+def commit(rows: DataFrame, path: str) -> None:
+    """Adds rows to the cache: written aside, under a name that readers pass over, then renamed, which is one step of the file system."""
+    spark, name = rows.sparkSession, f"{time.time_ns():020d}-{uuid.uuid4().hex}"
+    staged, done = (spark._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/{x}") for x in (f".staged-{name}", f"{COMMIT}={name}"))
+    rows.write.parquet(staged.toString())
+    if not staged.getFileSystem(spark._jsc.hadoopConfiguration()).rename(staged, done):
+        raise OSError(f"{staged} can't be renamed")
+
+
+def entries(spark: SparkSession, path: str, key: str, valid: Column | None = None) -> DataFrame | None:
+    """Rows of the cache; None where it holds nothing yet. Of a key that several writers have added, the first commit counts of
+    those whose rows are all valid: so a key has the rows of one writer, and none where it has no valid ones."""
     try:
-        have = spark.read.parquet(path).filter(test).select(key).distinct()
-        new = sources.join(have, key, "left_anti")
+        rows = spark.read.parquet(path)
     except AnalysisException as e:
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        new = sources
-    compute(new).write.mode("append").parquet(path)
-    return spark.read.parquet(path).filter(test).join(sources.select(key).distinct(), key, "left_semi")
+        if "PATH_NOT_FOUND" in str(e) or "UNABLE_TO_INFER_SCHEMA" in str(e):
+            return None
+        raise
+    rows = rows.withColumn(COMMIT, F.col(COMMIT).cast("string"))
+    good = F.coalesce(valid, F.lit(False)) if valid is not None else F.lit(True)
+    first = rows.groupBy(key, COMMIT).agg(F.min(good).alias("good")).filter("good").groupBy(key).agg(F.min(COMMIT).alias(COMMIT))
+    return rows.join(first, [key, COMMIT], "left_semi").drop(COMMIT)
+
+
+def cleaned(sources: DataFrame, key: str, path: str, valid: Column | None = None) -> None:
+    """Leaves in the cache the entries that count for the keys of ``sources``, as one commit: superseded keys, invalid rows, what
+    several writers have added, and what killed ones have left aside go. For a time without writers and readers."""
+    spark = sources.sparkSession
+    rows = entries(spark, path, key, valid)
+    if rows is None:
+        return
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    before = [f.getPath() for f in system.listStatus(place)]
+    commit(rows.join(sources.select(key).distinct(), key, "left_semi"), path)
+    for old in before:
+        system.delete(old, True)
+
+
+def cached(sources: DataFrame, key: str, path: str, compute: Callable[[DataFrame], DataFrame], valid: Column | None = None) -> DataFrame:
+    """Rows of a Parquet cache for the keys of ``sources``; what it lacks, or holds invalidly, is computed and added.
+
+    Only new keys are computed. A key with a row that fails ``valid`` (null fails) counts as missing. Rows are added by a rename, so
+    that a writer that is killed leaves nothing that is read, and of two writers at once one counts for each key.
+    """
+    spark, wanted = sources.sparkSession, sources.select(key).distinct()
+    have = entries(spark, path, key, valid)
+    new = sources if have is None else sources.join(have.select(key).distinct(), key, "left_anti")
+    if have is None or not new.isEmpty():
+        commit(compute(new), path)
+    return entries(spark, path, key, valid).join(wanted, key, "left_semi")
