@@ -288,10 +288,25 @@ SELECT capture_id, round(avg(e), 6) + 0.0 AS rolling_entropy_16 FROM e GROUP BY
 
 
 def ft_band_pass(spark, sf):
-    """Envelopes behind the band-pass filter; no SQL, tests hold the filter against a plain loop."""
+    """Envelopes behind the band-pass filter."""
     return features(spark, sf, "filters", "band_pass_rms")
 
 
+def filtered_sql(name: str, source: str, last: int) -> str:
+    """A difference equation over (capture_id, t, x), t from 0 to ``last``: before the first sample there has always been that sample,
+    of which a band-pass lets nothing through."""
+    b, a = ("[" + ", ".join(f"{v:.17g}::DOUBLE" for v in c) + "]" for c in sp.butterworth_band(4, 0.1, 0.6))
+    y = f"{b}[1] * {{x}} + list_sum(list_transform(range(2, 10), lambda k: {b}[k] * xs[k - 1] - {a}[k] * ys[k - 1]))"
+    first = f"SELECT capture_id, 0 AS t, x, list_transform(range(8), lambda k: x) AS xs, list_transform(range(8), lambda k: 0.0::DOUBLE) AS ys FROM {source} WHERE t = 0"
+    return f""", {name} AS (SELECT capture_id, t, x, {y.format(x="x")} AS y, xs, ys FROM ({first}) UNION ALL
+SELECT capture_id, t, x, {y.format(x="x")} AS y, xs, ys FROM (SELECT p.capture_id, e.t, e.x, list_prepend(p.x, p.xs[1:7]) AS xs, list_prepend(p.y, p.ys[1:7]) AS ys FROM {name} p JOIN {source} e ON e.capture_id = p.capture_id AND e.t = p.t + 1 WHERE p.t < {last}))"""
+
+
+BAND = IQ.replace("WITH ", "WITH RECURSIVE ", 1) + """, ends AS (SELECT capture_id, max(i) FILTER (n = 0) AS head, max(i) FILTER (n = 31) AS tail FROM iq GROUP BY 1),
+ext AS (SELECT capture_id, n + 27 AS t, i AS x FROM iq UNION ALL SELECT capture_id, 27 - n, 2 * head - i FROM iq JOIN ends USING (capture_id) WHERE n BETWEEN 1 AND 27 UNION ALL SELECT capture_id, 89 - n, 2 * tail - i FROM iq JOIN ends USING (capture_id) WHERE n BETWEEN 4 AND 30)""" + filtered_sql("forth", "ext", 85) + """,
+turned AS (SELECT capture_id, 85 - t AS t, y AS x FROM forth)""" + filtered_sql("back", "turned", 85) + ", banded AS (SELECT capture_id, 58 - t AS n, y AS i FROM back WHERE t BETWEEN 27 AND 58)" + analytic("x", "banded") + f" SELECT capture_id, {r(band_pass_rms='sqrt(avg(e * e))')} FROM x GROUP BY capture_id"
+
+
 def ft_all_features(spark, sf):
     """All families; long form, aggregated to one row per feature."""
     rows = ft.long_features(ft.extract_features(windows(spark, sf)))
@@ -420,6 +435,14 @@ def arr10_spaced_bursts(spark, sf):
     return ft.spaced_burst_starts(windows(spark, sf), 8, 3, 6, 4)
 
 
+#: Starts in the order of their smoothed power, each taken if it is far from those taken before. With room for all starts that fit, none is drawn.
+ARR10 = IQ.replace("WITH ", "WITH RECURSIVE ", 1) + """, p AS (SELECT capture_id, n, sum(i * i + q * q) OVER (PARTITION BY capture_id ORDER BY n ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) / 3 AS s FROM iq),
+o AS (SELECT capture_id, greatest(0, least(n - 4, 24))::INT AS start, row_number() OVER (PARTITION BY capture_id ORDER BY s DESC, n) AS k FROM p),
+fold AS (SELECT capture_id, 1 AS k, [start] AS starts FROM o WHERE k = 1 UNION ALL
+SELECT o.capture_id, o.k::INT, CASE WHEN len(f.starts) < 4 AND len(list_filter(f.starts, lambda x: abs(x - o.start) < 6)) = 0 THEN list_append(f.starts, o.start) ELSE f.starts END FROM fold f JOIN o ON o.capture_id = f.capture_id AND o.k = f.k + 1)
+SELECT capture_id, (v - 1)::INT AS view_idx, starts[v] AS start FROM (SELECT capture_id, starts, unnest(range(1, len(starts) + 1)) AS v FROM fold WHERE k = 32)"""
+
+
 def live_chunks(spark, sf):
     rows = chunks(spark, sf)
     level = F.sqrt(F.pow(F.lit(10.0), F.col("power_db") / 10) / 2)
@@ -526,6 +549,6 @@ def dec10_forest_importances(spark, sf):
 
 
 QUERIES = {n: f for n, f in list(globals().items()) if n.split("_")[0].rstrip("0123456789") in ("ft", "arr", "str", "dec", "win") and callable(f) and getattr(f, "__module__", "") == __name__}
-ORACLES = {"ft1_time_features": FT1, "ft2_complex_moments": FT2, "ft9_kernel_forms": FT9K, "ft12_quadratic_kernel": FT12Q, "ft4_phase_features": FT4, "ft5_constellation": FT5, "ft6_envelope_features": FT6, "ft7_analytic_phase": FT7, "ft8_spectrum_features": FT8, "ft9_spectrum_shape": FT9, "ft10_band_energy": FT10, "ft11_spectral_peaks": FT11, "ft12_welch_features": FT12, "ft13_stft_features": FT13,
+ORACLES = {"ft1_time_features": FT1, "arr10_spaced_bursts": ARR10, "ft_band_pass": BAND, "ft2_complex_moments": FT2, "ft9_kernel_forms": FT9K, "ft12_quadratic_kernel": FT12Q, "ft4_phase_features": FT4, "ft5_constellation": FT5, "ft6_envelope_features": FT6, "ft7_analytic_phase": FT7, "ft8_spectrum_features": FT8, "ft9_spectrum_shape": FT9, "ft10_band_energy": FT10, "ft11_spectral_peaks": FT11, "ft12_welch_features": FT12, "ft13_stft_features": FT13,
            "ft14_autocorrelation": FT14, "ft15_wavelet_features": FT15, "ft16_filtered_features": FT16, "win8_rolling_entropy": WIN8, "win1_smoothed_power": WIN1, "arr13_interpolated": ARR13, "arr13_nearest": ARR13N, "arr13_spaced_starts": ARR13S, "arr15_channels": ARR15, "arr16_spectrum_view": ARR16, "arr17_waterfall": ARR17, "arr22_fft_denoised": ARR22F, "arr22_gaussian": ARR22G,
            "str3_chunk_powers": STR3, "str3_windowed_powers": STR3W, "str5_triggered_captures": STR5, "str5_padded_captures": STR5P, "str6_fixed_captures": STR6, "str7_candidate_windows": STR7, "arr12_spectrogram": ARR12, "str4_noise_floors": STR4, "str2_rechunked": STR2, "str9_rolling_summary": STR9}

@@ -6,14 +6,17 @@ order inside a stream matters, so one stream is one key; streams are independent
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.listener import StreamingQueryListener
 
 from ..functions.arrays import mean_of
 from ..sources.frames import decoded_frames
 from .stateful import Trigger, fixed_captures, level, power_of, rechunked, triggered
 
-__all__ = ["Trigger", "chunk_powers", "decoded", "fixed_captures", "json_sink", "level", "power_of", "rechunked", "replayed", "rolling_summary", "skipped", "streamed_event_summary", "triggered", "windowed_powers"]
+__all__ = ["CalibrationListener", "Trigger", "chunk_powers", "decoded", "fixed_captures", "json_sink", "level", "observed_calibration", "power_of", "rechunked", "replayed", "rolling_summary", "skipped", "streamed_event_summary", "triggered", "windowed_powers"]
 CHUNKS = "stream_id long, seq long, i array<double>, q array<double>, power_db double"
 
 
@@ -76,6 +79,35 @@ def streamed_event_summary(events: DataFrame, every: str = "1 hour", late: str =
     )
 
 
+def observed_calibration(events: DataFrame, name: str = "calibration") -> DataFrame:
+    """The events of ``triggered``, which also report each floor with its trigger level as it is found, under a name: what is reported
+    of a batch are its floors, one a stream and round. ``CalibrationListener`` hands them on."""
+    found = F.collect_list(F.when(F.col("kind") == "floor", F.struct("stream_id", "seq", "floor", "trigger")))
+    return events.observe(name, found.alias("found"))
+
+
+class CalibrationListener(StreamingQueryListener):
+    """Calls ``calibrated(stream_id, floor, trigger)`` on the driver once for each floor that an observed stream finds.
+    Add it by ``spark.streams.addListener``. A batch that is repeated after a failure reports again."""
+
+    def __init__(self, calibrated: Callable[[int, float, float], None], name: str = "calibration"):
+        self.calibrated, self.name = calibrated, name
+
+    def onQueryStarted(self, event) -> None:  # noqa: N802
+        pass
+
+    def onQueryProgress(self, event) -> None:  # noqa: N802
+        metrics = event.progress.observedMetrics.get(self.name)
+        for row in metrics.found if metrics else ():
+            self.calibrated(row.stream_id, row.floor, row.trigger)
+
+    def onQueryIdle(self, event) -> None:  # noqa: N802
+        pass
+
+    def onQueryTerminated(self, event) -> None:  # noqa: N802
+        pass
+
+
 def json_sink(events: DataFrame, path: str, checkpoint: str):
     """One JSON line per event, until no input is left."""
     return events.writeStream.format("json").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()

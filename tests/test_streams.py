@@ -1,5 +1,6 @@
 """Streams that go by event time, stop and go on, and what their state writes."""
 
+import time
 from datetime import datetime, timedelta
 
 import pytest
@@ -90,6 +91,26 @@ def test_batches_write_what_is_new(spark, tmp_path):
     assert written[0] >= 500 and max(written[1:]) < 40
 
 
+def test_calibration_is_told_once_a_round(spark):
+    """Two streams, each of which finds its floor anew after a capture."""
+    told = []
+    listener = live.CalibrationListener(lambda *x: told.append(x))
+    spark.streams.addListener(listener)
+    try:
+        rows = [(s, n, [0.1], [0.0], 10.0 * s if n in (2, 5) else -20.0 - s - (n > 2)) for s in (1, 2) for n in range(6)]
+        chunks = spark.createDataFrame(rows, "stream_id long, seq long, i array<double>, q array<double>, power_db double")
+        t = live.Trigger(floor_chunks=2, above_db=10, pretrigger=0, window=1, recalibrate=True)
+        events = drained(live.observed_calibration(live.triggered(recorded(chunks), t))).collect()
+        for _ in range(100):
+            if len(told) >= 4:
+                break
+            time.sleep(0.1)
+    finally:
+        spark.streams.removeListener(listener)
+    assert sorted(told) == sorted((r.stream_id, r.floor, r.trigger) for r in events if r.kind == "floor")
+    assert sorted(told) == [(1, -22.0, -12.0), (1, -21.0, -11.0), (2, -23.0, -13.0), (2, -22.0, -12.0)]
+
+
 def test_summary_on_a_stream_equals_the_batch(spark):
     from sigspark.operators.metrics import event_summary
 
