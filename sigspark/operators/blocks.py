@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import spectral as sp
+from ..functions.batches import batched
 
 IQ = "array<struct<i: double, q: double>>"
 
@@ -115,3 +116,34 @@ def burst_starts_over_blocks(halo: DataFrame, size: int, window: int, smooth: in
     return best.join(halo.groupBy(key).agg(F.max("samples").alias("samples")), key).select(
         key, F.greatest(F.lit(0), F.least(-F.col("best.back") - window // 2, F.col("samples") - window)).cast("int").alias("start")
     )
+
+
+def spectrogram_over_blocks(blocks: DataFrame, size: int, nfft: int, hop: int, bins: int, key: str = "capture_id", limit: float = 6.0) -> DataFrame:
+    """(key, time_bin, re, im) of whole captures: frames under a Hann window, linearly interpolated to ``bins`` time bins, standardised over
+    all of them and clipped, as ``features.spectrogram_rows`` gives it for captures in a row.
+
+    A time bin needs two frames, however long the capture is: only these are cut from the blocks, and transformed.
+    """
+    samples, t = F.col("samples"), F.col("time_bin")
+    count = F.greatest(F.lit(1), F.floor((samples - nfft) / hop) + 1)
+    rows = lengths(blocks, size, key).withColumn("count", count).withColumn("time_bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))))
+    rows = rows.withColumn("at", F.when(F.col("count") == bins, t.cast("double")).otherwise(t * ((F.col("count") - 1) / max(1, bins - 1))))
+    low = F.least(F.floor("at"), F.col("count") - 1)
+    both = F.array(F.struct((1 - (F.col("at") - low)).alias("weight"), (low * hop).alias("start")), F.struct((F.col("at") - low).alias("weight"), (F.least(low + 1, F.col("count") - 1) * hop).alias("start")))
+    windows = rows.select(key, "time_bin", F.inline(both)).filter("weight > 0").withColumn("length", F.lit(nfft).cast("long"))
+    frames = windows_over_blocks(blocks, windows, size, key).select(F.struct(key, "time_bin", "weight").alias("_frame"), "iq")
+
+    def kernel(x: np.ndarray) -> dict[str, np.ndarray]:
+        x = np.pad(x, ((0, 0), (0, nfft - x.shape[1])))
+        spec = sp.stft(x, nfft, hop)[:, :, :1].transpose(0, 2, 1)
+        return {"re": spec.real, "im": spec.imag}
+
+    parts = batched(frames, kernel, {"re": "array<double>", "im": "array<double>"}, "_frame").select("_frame.*", *[F.transform(c, lambda v: v * F.col("_frame.weight")).alias(c) for c in ("re", "im")])
+    plus = lambda c: F.aggregate(F.slice(c, 2, F.size(c)), F.get(c, F.lit(0)), lambda s, x: F.zip_with(s, x, lambda a, b: a + b))
+    spec = parts.groupBy(key, "time_bin").agg(F.collect_list("re").alias("re"), F.collect_list("im").alias("im")).select(key, "time_bin", plus("re").alias("re"), plus("im").alias("im"))
+    total = lambda f: F.sum(F.aggregate(F.concat("re", "im"), F.lit(0.0), lambda s, x: s + f(x)))
+    figures = spec.groupBy(key).agg((total(lambda x: x) / (2 * nfft * bins)).alias("mean"), (total(lambda x: x * x) / (2 * nfft * bins)).alias("square"))
+    scale = F.sqrt(F.greatest(F.lit(0.0), F.col("square") - F.col("mean") * F.col("mean"))) + 1e-6
+    out = spec.join(figures.select(key, scale.alias("scale")), key)
+    clip = lambda c: F.transform(c, lambda x: F.greatest(F.lit(-limit), F.least(F.lit(limit), x / F.col("scale")))).alias(c)
+    return out.select(key, "time_bin", clip("re"), clip("im"))

@@ -13,6 +13,7 @@ from ..operators import blocks as blk
 from ..operators import windows as win
 from ..sources import ranges as rng
 from ..streaming.run import drained, working_folder
+from .kernel_queries import TAU, cells, standardised_sql
 from .tables import captures, r6, with_tables
 
 VECTORS, SIZE = 50, 32
@@ -99,6 +100,16 @@ def arr11_blocked(spark, sf):
     return rows.select("capture_id", F.col("start").cast("int").alias("start"), r6(win.mean_square(F.col("iq"))).alias("power"))
 
 
+def arr12_blocked(spark, sf):
+    """Spectrograms of whole captures, with frames longer than a block."""
+    rows = blk.spectrogram_over_blocks(long_blocks(spark, sf), SIZE, 40, 25, 30)
+    return cells(rows, "re", "im")
+
+
+ARR12 = LONG + f""", w AS (SELECT capture_id, t::INT AS t, (samples - 40) // 25 + 1 AS c, t * (((samples - 40) // 25)::DOUBLE / 29) AS a FROM lengths, range(30) r(t)),
+p AS (SELECT capture_id, t, least(floor(a), c - 1)::INT * 25 AS s, 1 - (a - least(floor(a), c - 1)) AS wt FROM w UNION ALL SELECT capture_id, t, least(floor(a) + 1, c - 1)::INT * 25, a - least(floor(a), c - 1) FROM w),
+fr AS (SELECT capture_id, t, n - s AS n, wt * i * (0.5 - 0.5 * cos({TAU} * (n - s) / 39)) AS i, wt * q * (0.5 - 0.5 * cos({TAU} * (n - s) / 39)) AS q FROM long JOIN p USING (capture_id) WHERE n >= s AND n < s + 40),
+b AS (SELECT capture_id, t, k, sum(i * cos({TAU} * k * n / 40) + q * sin({TAU} * k * n / 40)) / 40 AS re, sum(q * cos({TAU} * k * n / 40) - i * sin({TAU} * k * n / 40)) / 40 AS im FROM fr, range(40) r(k) GROUP BY ALL)""" + standardised_sql("b", 1200).replace("(k + 4) % 8", "(k + 20) % 40")
 WIN2 = LONG + """, p AS (SELECT capture_id, n, sum((i * i + q * q) / 2) OVER (PARTITION BY capture_id ORDER BY n ROWS BETWEEN 8 PRECEDING AND 7 FOLLOWING) / 16 AS s FROM long), b AS (SELECT capture_id, n, row_number() OVER (PARTITION BY capture_id ORDER BY s DESC, n) AS k FROM p)
 SELECT capture_id, greatest(0, least(n - 50, samples - 100))::INT AS start FROM b JOIN lengths USING (capture_id) WHERE k = 1"""
 QUERIES = {n: f for n, f in list(globals().items()) if re.match(r"(src|arr|jn|win|str)\d", n) and getattr(f, "__module__", "") == __name__}
@@ -110,6 +121,6 @@ ORACLES = {
     "str11_looped": LONG + """, c AS (SELECT capture_id, n // 90 AS k, count(*) AS samples, sum(i * i + q * q) / count(*) AS power FROM long GROUP BY ALL), o AS (SELECT *, row_number() OVER (ORDER BY capture_id || '.c64', k) - 1 AS place, count(*) OVER () AS n FROM c)
 SELECT capture_id, r::BIGINT AS round, (r * n + place)::BIGINT AS seq, (k * 90)::BIGINT AS first, samples::INT AS samples, round(power, 6) + 0.0 AS power FROM o, range(3) t(r)""",
     "jn6_blocked": LONG + ", w AS (SELECT capture_id, v::INT AS view_idx, (capture_id * 37 + v * 211) % 1500 AS start FROM lengths, range(4) t(v)) SELECT capture_id, view_idx, (n - start)::INT AS n, round(i, 6) + 0.0 AS i, round(q, 6) + 0.0 AS q FROM long JOIN w USING (capture_id) WHERE n >= start AND n < start + 70",
-    "win2_blocked": WIN2, "win2_ranges": WIN2,
+    "arr12_blocked": ARR12, "win2_blocked": WIN2, "win2_ranges": WIN2,
     "arr11_blocked": LONG + " SELECT capture_id, start::INT AS start, round(avg((i * i + q * q) / 2), 6) + 0.0 AS power FROM long JOIN lengths USING (capture_id), range(0, 100000, 25) t(start) WHERE start + 40 <= samples AND n >= start AND n < start + 40 GROUP BY ALL",
 }

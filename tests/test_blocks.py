@@ -66,6 +66,14 @@ def test_frames_over_blocks(captures, signals):
     assert all((values(r.iq) == signals[r.capture_id][r.start : r.start + 40]).all() for r in out)
 
 
+@pytest.mark.parametrize("nfft, hop, bins", [(16, 8, 20), (100, 30, 5), (40, 1, 1)])
+def test_spectrograms_equal_those_of_whole_rows(captures, nfft, hop, bins):
+    one = {(r.capture_id, r.time_bin): (r.re, r.im) for r in ft.spectrogram_rows(captures, nfft, hop, bins).collect()}
+    out = {(r.capture_id, r.time_bin): (r.re, r.im) for r in blk.spectrogram_over_blocks(blk.cut_blocks(captures, 32), 32, nfft, hop, bins).collect()}
+    assert out.keys() == one.keys()
+    assert all(np.allclose(out[k], one[k], atol=1e-7) for k in one)
+
+
 @pytest.fixture(scope="module")
 def folder(tmp_path_factory, signals):
     top = tmp_path_factory.mktemp("iq (a+b)")
