@@ -215,3 +215,12 @@ def forest_importances(features: DataFrame, columns: list[str], label: str = "la
     model = RandomForestClassifier(labelCol=label, featuresCol="features", numTrees=trees, seed=seed).fit(rows)
     pairs = [(c, float(v)) for c, v in zip(columns, model.featureImportances.toArray(), strict=True)]
     return model, features.sparkSession.createDataFrame(pairs, "feature string, importance double").orderBy(F.desc("importance"), "feature")
+
+
+def held_out_accuracy(model, rows: DataFrame, columns: list[str], label: str = "label") -> DataFrame:
+    """One row (rows, right, majority): how many rows, how many of them a fitted forest gets right, and how many the commonest label would."""
+    from pyspark.ml.feature import VectorAssembler
+
+    scored = model.transform(VectorAssembler(inputCols=columns, outputCol="features", handleInvalid="keep").transform(rows))
+    each = scored.groupBy(label).agg(F.count(F.lit(1)).alias("n"), F.sum((F.col("prediction") == F.col(label)).cast("int")).alias("right"))
+    return each.agg(F.sum("n").alias("rows"), F.sum("right").alias("right"), F.max("n").alias("majority"))

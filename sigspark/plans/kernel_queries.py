@@ -548,7 +548,24 @@ def dec10_forest_importances(spark, sf):
     return rounded(forest_importances(rows.join(labels, "capture_id"), names, trees=5)[1])
 
 
+def dec10_held_out(spark, sf):
+    """A forest that learns which windows peak four times above their mean, from four fifths of them."""
+    from ..operators.scoring import forest_importances, held_out_accuracy
+
+    names = ["avg_symbol_power", "papr", "mag_variance", "zero_crossing_rate"]
+    rows = ft.extract_features(windows(spark, sf), ("power", "moments", "crossings"), selected=names).na.fill(0.0)
+    rows = rows.withColumn("label", (F.col("papr") >= 4.0).cast("double"))
+    model, importances = forest_importances(rows.filter("capture_id % 5 > 0"), names, trees=9)
+    found = held_out_accuracy(model, rows.filter("capture_id % 5 = 0"), names)
+    total = importances.agg(F.sum("importance").alias("total"), F.max_by("feature", "importance").alias("most"))
+    return found.crossJoin(F.broadcast(total)).select("rows", "majority", (F.col("right") >= 0.9 * F.col("rows")).alias("learnt"), (F.col("right") > F.col("majority")).alias("better"), F.round("total", 6).alias("total"), "most")
+
+
+DEC10 = IQ + """, p AS (SELECT capture_id, (max(i * i + q * q) / (avg(i * i + q * q) + 1e-12) >= 4)::INT AS label FROM iq WHERE capture_id % 5 = 0 GROUP BY 1)
+SELECT count(*) AS rows, greatest(sum(label), count(*) - sum(label))::BIGINT AS majority, true AS learnt, true AS better, 1.0::DOUBLE AS total, 'papr' AS most FROM p"""
+
+
 QUERIES = {n: f for n, f in list(globals().items()) if n.split("_")[0].rstrip("0123456789") in ("ft", "arr", "str", "dec", "win") and callable(f) and getattr(f, "__module__", "") == __name__}
-ORACLES = {"ft1_time_features": FT1, "arr10_spaced_bursts": ARR10, "ft_band_pass": BAND, "ft2_complex_moments": FT2, "ft9_kernel_forms": FT9K, "ft12_quadratic_kernel": FT12Q, "ft4_phase_features": FT4, "ft5_constellation": FT5, "ft6_envelope_features": FT6, "ft7_analytic_phase": FT7, "ft8_spectrum_features": FT8, "ft9_spectrum_shape": FT9, "ft10_band_energy": FT10, "ft11_spectral_peaks": FT11, "ft12_welch_features": FT12, "ft13_stft_features": FT13,
+ORACLES = {"ft1_time_features": FT1, "dec10_held_out": DEC10, "arr10_spaced_bursts": ARR10, "ft_band_pass": BAND, "ft2_complex_moments": FT2, "ft9_kernel_forms": FT9K, "ft12_quadratic_kernel": FT12Q, "ft4_phase_features": FT4, "ft5_constellation": FT5, "ft6_envelope_features": FT6, "ft7_analytic_phase": FT7, "ft8_spectrum_features": FT8, "ft9_spectrum_shape": FT9, "ft10_band_energy": FT10, "ft11_spectral_peaks": FT11, "ft12_welch_features": FT12, "ft13_stft_features": FT13,
            "ft14_autocorrelation": FT14, "ft15_wavelet_features": FT15, "ft16_filtered_features": FT16, "win8_rolling_entropy": WIN8, "win1_smoothed_power": WIN1, "arr13_interpolated": ARR13, "arr13_nearest": ARR13N, "arr13_spaced_starts": ARR13S, "arr15_channels": ARR15, "arr16_spectrum_view": ARR16, "arr17_waterfall": ARR17, "arr22_fft_denoised": ARR22F, "arr22_gaussian": ARR22G,
            "str3_chunk_powers": STR3, "str3_windowed_powers": STR3W, "str5_triggered_captures": STR5, "str5_padded_captures": STR5P, "str6_fixed_captures": STR6, "str7_candidate_windows": STR7, "arr12_spectrogram": ARR12, "str4_noise_floors": STR4, "str2_rechunked": STR2, "str9_rolling_summary": STR9}

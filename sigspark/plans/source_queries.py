@@ -21,6 +21,7 @@ from ..sources import tables as tab
 from ..streaming import live
 from ..streaming.run import drained, recorded, working_folder
 from .catalogue_queries import PATHS, listing_of, paths, rounded
+from .hash_sql import Hashed, normal, uniform
 from .signal_queries import LABELS10, NAMED, long, probs_of
 from .tables import captures, chunks, predictions, r6, table, with_tables
 
@@ -187,6 +188,34 @@ def arr20_progressive(spark, sf):
     return both.select("capture_id", F.col("early").between(1, 2).alias("early_fits"), "late")
 
 
+def arr19_noise(spark, sf):
+    """Copies with noise, a random factor and a circular shift, sample by sample."""
+    rows = win.augmented(captures(spark, sf).select("capture_id", "iq"), 2, 5, 0.05, 0.1, 3)
+    return long(rows, "capture_id", "copy")
+
+
+def arr20_faded(spark, sf):
+    """What the third of ten epochs adds, sample by sample."""
+    rows = win.progressively_augmented(captures(spark, sf).select("capture_id", "iq"), 3, 10, 5)
+    return long(rows, "capture_id", "copy")
+
+
+def drawn(copies: str, seed: int, noise: float, scale: float, shift: int, kept: str) -> str:
+    """Augmented samples from the hashes that their numbers are drawn from."""
+    own = [("int", seed), ("long", "capture_id"), ("int", "copy")]
+    rows = Hashed(f"(SELECT DISTINCT capture_id, c::INT AS copy FROM iq, {copies})")
+    rows.hash("s1", *own, ("text", "scale"), ("int", 1)).hash("s2", *own, ("text", "scale"), ("int", 2)).hash("turn", *own, ("text", "shift")).hash("share", ("int", seed), ("long", "capture_id"), ("text", "share"))
+    samples = Hashed("moved")
+    for c in ("i", "q"):
+        samples.hash(f"{c}1", *own, ("int", "n"), ("text", c), ("int", 1)).hash(f"{c}2", *own, ("int", "n"), ("text", c), ("int", 2))
+    # The remainder of the hash as a signed number, moved to 0 and above.
+    signed = "(CASE WHEN turn >= 9223372036854775808::UHUGEINT THEN turn::HUGEINT - 18446744073709551616::HUGEINT ELSE turn::HUGEINT END)"
+    by = f"((({signed} % {2 * shift + 1}) + {2 * shift + 1}) % {2 * shift + 1} - {shift})" if shift else "0"
+    value = lambda c: f"round(CASE WHEN copy = 0 THEN {c} ELSE {c} * (1 + {scale!r}::DOUBLE * {normal('s1', 's2')}) + {noise!r}::DOUBLE * {normal(c + '1', c + '2')} END, 6) + 0.0 AS {c}"
+    return f"""{IQ}, draws AS ({rows.sql}), wanted AS (SELECT * EXCLUDE (turn, share), CASE WHEN copy = 0 THEN 0 ELSE {by} END AS by_ FROM draws WHERE copy = 0 OR {kept}),
+moved AS (SELECT w.*, ((iq.n - by_ + 64) % 32)::INT AS n, i, q FROM wanted w JOIN iq USING (capture_id)) SELECT capture_id, copy, n, {value("i")}, {value("q")} FROM ({samples.sql})"""
+
+
 def dec1_scored(spark, sf):
     """A model that is made once a task: loud or not, by the mean power of a window."""
 
@@ -248,6 +277,8 @@ def str11_replayed(spark, sf):
 
 QUERIES = {n: f for n, f in list(globals().items()) if re.match(r"(src|snk|agg|cln|arr|dec|jn|str)\d", n) and getattr(f, "__module__", "") == __name__}
 ORACLES = {
+    "arr19_noise": drawn("range(3) t(c)", 5, 0.05, 0.1, 3, "true"),
+    "arr20_faded": drawn("range(2) t(c)", 8, 0.05 * 0.7, 0.1 * 0.7, 5, f"{uniform('share')} <= 0.5 * 0.7::DOUBLE"),
     "src1_listed_files": "SELECT DISTINCT label::INT AS label, 1::BIGINT AS files FROM embeddings", "src2_complex_files": SAMPLES, "src3_interleaved_files": SAMPLES, "src3_sixteen_bit_files": SIXTEEN,
     "src4_numeric_text": IQ + " SELECT round(i, 6) + 0.0 AS i, round(q, 6) + 0.0 AS q FROM iq", "src5_decoded_frames": SRC5, "src6_csv_round_trip": DAILY,
     "src7_metrics": PRED + " SELECT 'events' AS dataset, condition AS model, round(avg(value), 6) + 0.0 AS accuracy FROM predictions GROUP BY condition",

@@ -108,7 +108,8 @@ def decoded_frames(frames: DataFrame) -> DataFrame:
         for batch in batches:
             own = [batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("payload", "iq_format", "channels")]
             rows = [decode_frame(*r) for r in zip(*own, strict=True)]
-            parts = [pa.array([part(x) for x in rows], pa.list_(pa.float64())) for part in (np.real, np.imag)]
+            ends, flat = pa.array(np.cumsum([0, *map(len, rows)]), pa.int32()), np.concatenate([np.empty(0, complex), *rows])
+            parts = [pa.ListArray.from_arrays(ends, pa.array(x.copy())) for x in (flat.real, flat.imag)]
             yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in kept), *parts], names=[*kept, "i", "q"])
 
     kinds = dict(frames.dtypes)

@@ -2,6 +2,7 @@
 
 import time
 from datetime import datetime, timedelta
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -60,6 +61,17 @@ def test_one_shot_and_no_seconds_without_ts(spark):
         live.triggered(recorded(chunks), t)
 
 
+def test_drained_streams_leave_only_their_result(spark):
+    from sigspark.streaming import run
+
+    top = run.working_folder(spark).rsplit("/", 1)[0].removeprefix("file:")
+    before = set(Path(top).iterdir()) if Path(top).exists() else set()
+    kept = recorded(spark.range(5))
+    out = drained(recorded(spark.range(10)).filter("id > 3"))
+    assert out.count() == 6 and len(set(Path(top).iterdir()) - before) == 2  # the result, and a stream that isn't drained yet
+    assert drained(kept).count() == 5
+
+
 def test_idle_stream_ends(spark, tmp_path):
     """No chunk for a while by the clock: what was being captured is padded."""
     t = live.Trigger(floor_chunks=2, above_db=10, pretrigger=0, window=4, idle=500)
