@@ -213,27 +213,44 @@ def confirmed(pairs: DataFrame, sets: DataFrame, plan: Plan) -> DataFrame:
 
 
 def rare_shingles(sets: DataFrame, plan: Plan) -> DataFrame:
-    """(id, n_shingles, component, token): the rarest shingles of each set, as many as a pair at the threshold must share one of.
+    """(id, n_shingles, component, token, place, short): the rarest shingles of each set, as many as a pair at the threshold must share one of.
 
-    A set keeps at least ``percent`` of its shingles in common with another at the threshold. So of one shingle more
-    than it may lack, in the same order for all, the two have one in common; in order of rarity passages that many
-    texts share come last. Shingles of one set only meet nothing.
+    Of two sets at the threshold, the larger keeps at least ``percent`` of its shingles in common with the smaller, and the smaller
+    two thresholds in one plus the threshold (150/175 at 0.75) with the larger. So of one shingle more than each may lack, in the
+    same order for all, the two have one in common: the larger among ``most``, the smaller among fewer, the ``short`` ones. In order of
+    rarity passages that many texts share come last: they are among the short ones only where they alone make a pair. Shingles
+    of one set only meet nothing.
     """
     tokens = materialise(sets.select("id", "n_shingles", "component", F.explode("shingles").alias("token")))
     common = materialise(tokens.groupBy("token").agg(F.count(F.lit(1)).alias("sets")).filter("sets > 1"))
     ranked = tokens.join(common, "token", "left").select("id", "n_shingles", "component", F.struct(F.coalesce("sets", F.lit(1)).alias("sets"), "token").alias("t"))
     listed = ranked.groupBy("id", "n_shingles", "component").agg(F.array_sort(F.collect_list("t")).alias("t"))
-    most = F.col("n_shingles") - F.ceil(F.col("n_shingles") * plan.percent / 100) + 1
-    first = F.filter(F.slice("t", F.lit(1), most.cast("int")), lambda t: t.sets > 1)
-    return listed.select("id", "n_shingles", "component", F.explode(first).alias("t")).select("id", "n_shingles", "component", "t.token")
-
-
-def pairs_by_rare_shingles(rare: DataFrame, plan: Plan) -> DataFrame:
-    """Pairs (a, b) of different components that share a rare shingle, and whose sizes allow a link."""
-    x, y = rare.alias("x"), rare.alias("y")
+    n = F.col("n_shingles")
+    most, short = n - F.ceil(n * plan.percent / 100) + 1, n - F.ceil(n * (2 * plan.percent) / (100 + plan.percent)) + 1
+    first = F.transform(F.slice("t", F.lit(1), most.cast("int")), lambda t, k: F.struct(t.sets.alias("sets"), t.token.alias("token"), (k + 1).alias("place")))
+    rows = listed.select("id", "n_shingles", "component", F.explode(F.filter(first, lambda t: t.sets > 1)).alias("t"))
+    return rows.select("id", "n_shingles", "component", "t.token", "t.place", (F.col("t.place") <= short).alias("short"))
+
+
+def tokens_that_meet(rare: DataFrame, salted: int = 1000) -> DataFrame:
+    """(token, pairs, salts) of the shingles that make pairs of different components: some larger set's with some smaller set's short
+    one. Those of many sets are dealt out by as many salts as they have ``salted`` sets."""
+    rows = rare.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("short").cast("int")).alias("m"), F.min("component").alias("low"), F.max("component").alias("high"))
+    return rows.filter("low < high and m > 0").select("token", (F.col("n") * F.col("m").cast("double")).alias("pairs"), F.ceil(F.col("n") / salted).cast("int").alias("salts"))
+
+
+def pairs_by_rare_shingles(rare: DataFrame, meet: DataFrame, plan: Plan) -> DataFrame:
+    """Pairs (a, b) of different components that share a rare shingle, short for the smaller, and whose sizes, and places of the
+    shingle in both, allow a link: at most the shingles from there on are common, if it is the first common one."""
+    rows = rare.join(meet.select("token", "salts"), "token")
+    x = rows.withColumn("salt", F.pmod(F.xxhash64("id"), F.col("salts"))).alias("x")
+    y = rows.filter("short").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - F.lit(1).cast("long")))).alias("y")
     nx, ny = F.col("x.n_shingles"), F.col("y.n_shingles")
-    fits = (F.col("x.id") < F.col("y.id")) & (F.col("x.component") != F.col("y.component")) & (F.least(nx, ny) * 100 >= F.greatest(nx, ny) * plan.percent)
-    return x.join(y, (F.col("x.token") == F.col("y.token")) & fits).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
+    larger = (nx > ny) | ((nx == ny) & (F.col("x.id") != F.col("y.id")))
+    enough = (1 + F.least(nx - F.col("x.place"), ny - F.col("y.place"))) * (100 + plan.percent) >= (nx + ny) * plan.percent
+    fits = larger & enough & (F.col("x.component") != F.col("y.component")) & (ny * 100 >= nx * plan.percent)
+    pairs = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.salt") == F.col("y.salt")) & fits)
+    return pairs.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
 
 
 @scoped
@@ -294,10 +311,8 @@ def near_duplicates(docs: DataFrame, plan: Plan = Plan()) -> DataFrame:
     crowded = materialise(apart.join(main.filter("large").select("bucket"), "bucket", "left_semi").select("id", "component").distinct())
     crowded = crowded.join(sets.select("id", "n_shingles", "shingles"), "id")
     rare = materialise(rare_shingles(crowded, plan))
-    several = rare.groupBy("token").agg(F.count(F.lit(1)).cast("double").alias("n"), F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high")
-    several = materialise(several.select("token", "n"))  # shingles of one component only make no pairs
-    meet = several.agg(F.sum(F.col("n") * F.col("n"))).first()[0] or 0.0
-    split = meet < (main.filter("large").agg(F.sum("pairs")).first()[0] or 0.0)
+    several = materialise(tokens_that_meet(rare))
+    split = (several.agg(F.sum("pairs")).first()[0] or 0.0) <= (main.filter("large").agg(F.sum("pairs")).first()[0] or 0.0)
     if split:
         main = main.filter("not large")
     apart = apart.join(main, "bucket").join(sets.select("id", "n_shingles", "sharp"), "id").join(reps.select("id", "bands"), "id")
@@ -313,7 +328,7 @@ def near_duplicates(docs: DataFrame, plan: Plan = Plan()) -> DataFrame:
     )
     sharp = sets.select("id", "n_shingles", F.col("sharp").alias("sketch"))
     if split:
-        pairs = pairs.unionByName(sifted(pairs_by_rare_shingles(rare.join(several.select("token"), "token", "left_semi"), plan), sharp, plan.sharper)).distinct()
+        pairs = pairs.unionByName(sifted(pairs_by_rare_shingles(rare, several, plan), sharp, plan.sharper)).distinct()
     pairs = pairs.join(tried, ["a", "b"], "left_anti")
     links = links.unionByName(confirmed(materialise(pairs), sets, plan))
     found = components(links)

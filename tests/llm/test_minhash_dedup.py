@@ -4,7 +4,7 @@ import duckdb
 import numpy as np
 
 from sigspark.llm.components import components
-from sigspark.llm.minhash_dedup import OP10_SQL, Plan, near_duplicates, odd_sketches, permutations, min_samples, shingle_set, WordHashes
+from sigspark.llm.minhash_dedup import OP10_SQL, Plan, near_duplicates, odd_sketches, permutations, min_samples, shingle_set, WordHashes, pairs_by_rare_shingles, rare_shingles, tokens_that_meet
 
 
 def sets_of(rows, width=5):
@@ -107,3 +107,19 @@ def test_boilerplate_in_large_buckets(make_docs):
             rows.append((1000 + i, " ".join(common + own)))
     assert got(near_duplicates(make_docs(rows), Plan(most_together=16))) == brute(rows)
     assert got(near_duplicates(make_docs(rows))) == brute(rows)
+
+
+def test_family_just_below_the_threshold(spark, make_docs):
+    """Texts that share 84 of 104 words: no pair links, and none is even met. With 92 shared, some do."""
+    rnd = random.Random(3)
+    for shared, size in ((84, 104), (91, 104)):
+        common = [f"c{k}" for k in range(shared)]
+        rows = [(i, " ".join(common + [f"o{i}x{k}" for k in range(size - shared + (rnd.randrange(5) if shared > 84 else 0))])) for i in range(120)]
+        assert got(near_duplicates(make_docs(rows), Plan(most_together=16))) == brute(rows)
+        words = WordHashes()
+        sets = spark.createDataFrame([(i, len(s := shingle_set(t.encode(), 5, words)), i, s.view(np.int64).tolist()) for i, t in rows], "id long, n_shingles long, component long, shingles array<long>")
+        rare = rare_shingles(sets, Plan())
+        met = {(r.a, r.b) for salted in (7, 1000) for r in pairs_by_rare_shingles(rare, tokens_that_meet(rare, salted), Plan()).collect()}
+        own = {r.id: set(r.shingles) for r in sets.collect()}
+        linked = {(i, j) for i in own for j in own if i < j and 100 * len(own[i] & own[j]) >= 75 * len(own[i] | own[j])}
+        assert linked <= met and (shared > 84 or not met)
