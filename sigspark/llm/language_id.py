@@ -61,15 +61,19 @@ def prepared(text: str) -> bytes:
 
 
 class Presence:
-    """Looks up the distinct n-grams of texts in a model's n-grams, by direct tables."""
+    """Looks up the distinct n-grams of texts in a model's n-grams, by direct tables: of 16 bits where these number all n-grams.
+
+    Distinct n-grams of one and two bytes are told by stamps, longer ones by sorting, as stamps would be another large table a worker.
+    """
 
     def __init__(self, widths: tuple[int, ...], grams: list[np.ndarray]):
         self.widths, self.tables, self.stamps, start = widths, [], [], 0
+        kind = np.int16 if sum(map(len, grams)) < 1 << 15 else np.int32
         for width, codes in zip(widths, grams, strict=True):
-            table = np.full(1 << (8 * width), -1, np.int32)
+            table = np.full(1 << (8 * width), -1, kind)
             table[codes] = np.arange(start, start + len(codes))
             self.tables.append(table)
-            self.stamps.append(np.zeros(1 << (8 * width), np.int32))
+            self.stamps.append(np.zeros(1 << (8 * width), np.int32) if width < 3 else None)
             start += len(codes)
 
     def __call__(self, text: bytes) -> tuple[list[np.ndarray], int]:
@@ -77,9 +81,13 @@ class Presence:
         found, distinct = [], 0
         for width, table, stamp in zip(self.widths, self.tables, self.stamps, strict=True):
             code = codes_of(text, width)
-            order = np.arange(len(code), dtype=np.int32)
-            stamp[code] = order  # the last writer of each n-gram stands for it
-            distinct += int(np.count_nonzero(stamp[code] == order))
+            if stamp is None:
+                code = np.unique(code)
+                distinct += len(code)
+            else:
+                order = np.arange(len(code), dtype=np.int32)
+                stamp[code] = order  # the last writer of each n-gram stands for it
+                distinct += int(np.count_nonzero(stamp[code] == order))
             known = table[code]
             found.append(known[known >= 0])
         return found, distinct
