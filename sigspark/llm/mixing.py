@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, numbered, read_table, scoped
+from .common import materialise, numbered, read_table, scoped, scratch
 
 GRID = 32
 #: Blocks whose totals are summed up in one task.
@@ -90,6 +90,48 @@ def budgets(sources: DataFrame, settings: Settings) -> DataFrame:
     )
 
 
+@dataclass(frozen=True)
+class Plan:
+    """``rows``: (doc_id, source, tokens, own), each with a number of its own. ``sources``: (source, passes, rest, blocks). ``starts``:
+    (source, block, start, size), the tokens before a block in its source's partial pass, and those in it."""
+
+    rows: DataFrame
+    sources: DataFrame
+    starts: DataFrame
+
+
+def block_of(epoch: Column | str, settings: Settings) -> Column:
+    return F.pmod(F.xxhash64("own", F.lit(settings.seed), epoch), F.col("blocks"))
+
+
+def key_of(epoch: Column | str, settings: Settings) -> Column:
+    """Orders a block's documents."""
+    return F.xxhash64(epoch, F.lit(settings.seed), "own")
+
+
+def planned(docs: DataFrame, settings: Settings, tokens: Column | None) -> Plan:
+    measure = word_count(F.col("text")) if tokens is None else tokens
+    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("source"), F.lit("")).alias("source"), measure.alias("tokens"))
+    narrow = materialise(narrow)
+    rows, ids = narrow.agg(F.count(F.lit(1)), F.count_distinct("doc_id")).first()
+    narrow = narrow.withColumn("own", F.col("doc_id")) if rows == ids else numbered(narrow, "doc_id", "source", "tokens", name="own")
+    sources = materialise(narrow.groupBy("source").agg(F.count(F.lit(1)).alias("docs"), F.sum("tokens").alias("tokens")))
+    plan = materialise(budgets(sources, settings).select("source", "passes", "rest", "blocks"))
+    last = narrow.join(plan.filter("rest > 0"), "source").withColumn("block", block_of("passes", settings))
+    totals = last.groupBy("source", "block").agg(F.sum("tokens").alias("size"))
+    # Blocks are placed in two levels, so that no task has all blocks of a source.
+    totals = totals.withColumn("run", F.floor(F.col("block") / RUN))
+    upto = lambda w: F.sum("size").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("size")
+    runs = totals.groupBy("source", "run").agg(F.sum("size").alias("size")).withColumn("before_run", upto(Window.partitionBy("source").orderBy("run")))
+    within = totals.withColumn("in_run", upto(Window.partitionBy("source", "run").orderBy("block")))
+    starts = within.join(runs.drop("size"), ["source", "run"]).select("source", "block", (F.col("before_run") + F.col("in_run")).alias("start"), "size")
+    return Plan(narrow, plan, starts)
+
+
+def before_in(order: Window) -> Column:
+    return F.sum("tokens").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("tokens")
+
+
 @scoped
 def mix(docs: DataFrame, settings: Settings = Settings(), tokens: Column | None = None) -> DataFrame:
     """One row per drawn copy of a document: doc_id, source, tokens, epoch, block, place.
@@ -103,45 +145,43 @@ def mix(docs: DataFrame, settings: Settings = Settings(), tokens: Column | None
     Sources are as many as they are: their table is never collected, and a hot source is dealt out by
     its blocks. Only totals of runs of blocks are ranked within a source.
     """
-    measure = word_count(F.col("text")) if tokens is None else tokens
-    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("source"), F.lit("")).alias("source"), measure.alias("tokens"))
-    narrow = materialise(narrow)
-    rows, ids = narrow.agg(F.count(F.lit(1)), F.count_distinct("doc_id")).first()
-    narrow = narrow.withColumn("own", F.col("doc_id")) if rows == ids else numbered(narrow, "doc_id", "source", "tokens", name="own")
-    sources = materialise(narrow.groupBy("source").agg(F.count(F.lit(1)).alias("docs"), F.sum("tokens").alias("tokens")))
-    plan = materialise(budgets(sources, settings).select("source", "passes", "rest", "blocks"))
+    p = planned(docs, settings, tokens)
     drawn = (
-        narrow.join(plan, "source")
+        p.rows.join(p.sources, "source")
         .withColumn("epoch", F.explode(F.expr("sequence(0, if(rest > 0, passes, passes - 1))")))
         .filter("epoch >= 0 and (epoch < passes or rest > 0)")
-        .withColumn("block", F.pmod(F.xxhash64("own", F.lit(settings.seed), "epoch"), F.col("blocks")))
-        .withColumn("key", F.xxhash64("epoch", F.lit(settings.seed), "own"))
+        .withColumn("block", block_of("epoch", settings))
+        .withColumn("key", key_of("epoch", settings))
     )
     inside = Window.partitionBy("source", "epoch", "block").orderBy("key", "own")
-    placed = drawn.withColumn("place", F.row_number().over(inside).cast("long")).withColumn(
-        "before", F.sum("tokens").over(inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("tokens")
-    )
-    partial = placed.filter("epoch = passes")
-    totals = drawn.filter("epoch = passes").groupBy("source", "block").agg(F.sum("tokens").alias("size"))
-    # Blocks are placed in two levels, so that no task has all blocks of a source.
-    totals = totals.withColumn("run", F.floor(F.col("block") / RUN))
-    upto = lambda w: F.sum("size").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("size")
-    runs = totals.groupBy("source", "run").agg(F.sum("size").alias("size")).withColumn("before_run", upto(Window.partitionBy("source").orderBy("run")))
-    within = totals.withColumn("in_run", upto(Window.partitionBy("source", "run").orderBy("block")))
-    starts = within.join(runs.drop("size"), ["source", "run"]).select("source", "block", (F.col("before_run") + F.col("in_run")).alias("start"))
+    placed = drawn.withColumn("place", F.row_number().over(inside).cast("long")).withColumn("before", before_in(inside))
     wanted = ["doc_id", "source", "tokens", "epoch", "block", "place"]
-    return placed.filter("epoch < passes").select(*wanted).unionByName(
-        partial.join(starts, ["source", "block"]).filter("start + before < rest").select(*wanted)
-    )
+    partial = placed.filter("epoch = passes").join(p.starts, ["source", "block"]).filter("start + before < rest")
+    return placed.filter("epoch < passes").select(*wanted).unionByName(partial.select(*wanted))
 
 
 def repeated(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """``docs`` with each row as often as the mixture draws it; rows that repeat an id, or have none, are drawn one by one."""
+    """``docs`` with each row as often as ``mix`` draws it; rows that repeat an id, or have none, are drawn one by one.
+
+    A row knows how often from its source's passes and its block, which comes before the end of the partial pass or behind it;
+    only rows of the block that the pass ends in, one a source, are listed. So texts meet two small tables, and aren't dealt out anew
+    as long as Spark finds these small enough to send.
+    """
     rows, ids = docs.agg(F.count(F.lit(1)), F.count_distinct("doc_id")).first()
     named = docs.withColumn(DRAWN, F.col("doc_id")) if rows == ids else materialise(docs.withColumn(DRAWN, F.monotonically_increasing_id()))
-    copies = mix(named.select(F.col(DRAWN).alias("doc_id"), "source", "text"), settings).groupBy(F.col("doc_id").alias(DRAWN)).agg(F.count(F.lit(1)).cast("int").alias(DRAWN + "_times"))
-    both = named.join(copies, DRAWN)
-    return both.withColumn(DRAWN + "_copy", F.explode(F.sequence(F.lit(1), F.col(DRAWN + "_times")))).select(*docs.columns)
+    with scratch(docs.sparkSession) as keep:
+        p = planned(named.select(F.col(DRAWN).alias("doc_id"), "source", "text"), settings, None)
+        whole = p.sources.join(p.starts, "source").filter("start + size <= rest").groupBy("source").agg(F.max("block").alias("last"))
+        plan = keep(p.sources.join(whole, "source", "left").select("source", "passes", "rest", "blocks", "last"))
+        cut = p.sources.join(p.starts, "source").filter("start < rest and start + size > rest")
+        near = p.rows.join(cut, "source").filter(block_of("passes", settings) == F.col("block"))
+        inside = Window.partitionBy("source").orderBy(key_of("passes", settings), "own")
+        listed = keep(near.withColumn("before", before_in(inside)).filter("start + before < rest").select("own"))
+    own = named.select(F.col(DRAWN).cast("long").alias("own"), F.coalesce(F.col("source"), F.lit("")).alias(DRAWN + "_source"), F.struct(*docs.columns).alias("row"))
+    both = own.join(plan.withColumnRenamed("source", DRAWN + "_source"), DRAWN + "_source").join(listed.withColumn("listed", F.lit(1)), "own", "left")
+    extra = F.when(F.col("rest") > 0, F.coalesce((block_of("passes", settings) <= F.col("last")).cast("int"), F.lit(0)) + F.coalesce("listed", F.lit(0))).otherwise(0)
+    times = both.withColumn("times", (F.col("passes") + extra).cast("int")).filter("times > 0")
+    return times.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("times")))).select("row.*")
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

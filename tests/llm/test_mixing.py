@@ -120,3 +120,11 @@ def test_null_ids_are_dealt_out(spark, make_docs):
     out = mix(make_docs(rows), Settings(block_docs=100)).collect()
     assert len(out) == 1800 and Counter(r.doc_id for r in out)[None] == 600
     assert max(Counter((r.epoch, r.block) for r in out).values()) < 200
+
+
+def test_rows_come_as_often_as_they_are_drawn(make_docs):
+    """By the plan of blocks, and by counting the draws; budgets whose partial pass ends in, before and behind blocks."""
+    rows = [(i, "a b c " * (i % 5 + 1), "en", ["big", "small", None, "tiny"][0 if i % 9 else i % 4]) for i in range(700)]
+    for settings in (Settings(block_docs=20), Settings(block_docs=1000), Settings(entropy=1.0, block_docs=7), Settings(budget=900, block_docs=10), Settings(budget=40_000, most_repeats=5.0, block_docs=50)):
+        want = Counter(r.doc_id for r in mix(make_docs(rows), settings).collect())
+        assert Counter(r.doc_id for r in repeated(make_docs(rows), settings).collect()) == want
