@@ -149,6 +149,10 @@ def hash_uniform(*parts: Column) -> Column:
     return (F.pmod(F.xxhash64(*parts), F.lit(2**40)) + 1) / F.lit(float(2**40))
 
 
+#: No ``hash_normal`` is further from 0: its first hash has 40 bits.
+FURTHEST = math.sqrt(80 * math.log(2))
+
+
 def hash_normal(*parts: Column) -> Column:
     """A standard normal number by Box-Muller from two hashes."""
     return F.sqrt(-2 * F.log(hash_uniform(*parts, F.lit(1)))) * F.cos(hash_uniform(*parts, F.lit(2)) * (2 * math.pi))

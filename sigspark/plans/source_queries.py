@@ -173,11 +173,12 @@ def arr1_coerced(spark, sf):
 
 
 def arr19_augmented(spark, sf):
-    """Originals stay, and copies are near them: within six deviations."""
-    rows = win.augmented(captures(spark, sf).select("capture_id", "iq"), 2, 5, 0.005)
+    """Originals stay in all samples, and copies are near them: within the furthest number that can be drawn."""
+    noise = 0.005
+    rows = win.augmented(captures(spark, sf).select("capture_id", "iq"), 2, 5, noise)
     own = rows.filter("copy = 0").select("capture_id", F.col("iq").alias("own"))
     away = F.array_max(F.zip_with("iq", "own", lambda a, b: F.greatest(F.abs(a.i - b.i), F.abs(a.q - b.q))))
-    return rows.join(own, "capture_id").select("capture_id", "copy", (F.round(F.get("iq", F.lit(0)).i, 6) == F.round(F.get("own", F.lit(0)).i, 6)).alias("same"), (away <= 0.03).alias("near"))
+    return rows.join(own, "capture_id").select("capture_id", "copy", (F.col("iq") == F.col("own")).alias("same"), (away <= noise * win.FURTHEST + 1e-9).alias("near"))
 
 
 def arr20_progressive(spark, sf):

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from sigspark.functions import features as ft
 from sigspark.functions import spectral as sp
 from sigspark.operators import windows as win
+from sigspark.plans import QUERIES
 from sigspark.sources import frames as src
 from sigspark.sources import tables as tab
 from sigspark.streaming import live
@@ -153,6 +154,14 @@ def test_augmentation(spark):
     assert win.progressively_augmented(df, 10, 10, 5).count() == 1
 
 
+def test_augmented_copies_differ_and_are_near(spark, tmp_path):
+    """The first sample of a copy of 2941 rounds to the original's; one of 36864414 is 6.2 deviations away."""
+    rows = [(k, [0.0] * 64, 1) for k in (2941, 36_864_414)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    out = sorted(map(tuple, QUERIES["arr19_augmented"](spark, str(tmp_path)).collect()))
+    assert out == [(k, c, c == 0, True) for k, _, _ in rows for c in range(3)]
+
+
 def test_text_sources_and_cache(spark, tmp_path):
     (tmp_path / "a.csv").write_text("i,q\n1,2\n3.5,-4\n")
     assert [(r.i, r.q) for r in tab.read_numeric_text(spark, str(tmp_path / "a.csv")).orderBy("line_no").collect()] == [(1, 2), (3.5, -4)]
