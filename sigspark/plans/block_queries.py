@@ -45,7 +45,7 @@ def samples_of(rows):
 
 
 def src2_ranges(spark, sf):
-    """Single-precision files, read in ranges of two blocks a task."""
+    """Single-precision files, read in ranges of two blocks at least."""
     return samples_of(rng.read_blocks(spark, written(spark, sf, ".c64"), block=100, rangeBytes=1600, pattern="*.c64"))
 
 

@@ -11,7 +11,7 @@ import fnmatch
 import math
 import time
 from collections.abc import Iterable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +30,7 @@ ARROW = {"path": pa.string(), "samples": pa.int64(), "block": pa.int64(), "first
 
 @dataclass(frozen=True)
 class Layout:
-    """How files are cut: ``block`` samples a block, ``before`` and ``after`` samples of halo, ``range_bytes`` a task."""
+    """How files are cut: ``block`` samples a block, ``before`` and ``after`` samples of halo, ``range_bytes`` a task (more, if there were too many)."""
 
     folder: str
     pattern: str
@@ -59,34 +59,42 @@ class Layout:
         names = [(f.path[len(top.rstrip("/")) + 1 :], f) for f in found if f.is_file]
         return sorted((n, f.path, f.size // self.width) for n, f in names if fnmatch.fnmatch(f.base_name, self.pattern) and f.base_name[0] not in "._")
 
-    def samples(self, file: pa.NativeFile, start: int, end: int) -> pa.Array:
+    def samples(self, file: pa.NativeFile, start: int, end: int) -> np.ndarray:
+        """Their parts, as two columns."""
         kind, full = KINDS[self.kind]
         file.seek(start * self.width)
-        raw = np.frombuffer(file.read((end - start) * self.width), kind).astype(np.float64) / full
-        return pa.StructArray.from_arrays([pa.array(raw[0::2].copy()), pa.array(raw[1::2].copy())], names=["i", "q"])
+        return np.frombuffer(file.read((end - start) * self.width), kind).astype(np.float64).reshape(-1, 2) / full
 
     def blocks(self, n: int) -> int:
         return -(-n // self.block)
 
 
+#: (name, path, samples, low, high, round, seq): blocks ``low`` to ``high`` of a file; block k is number ``seq`` + k of a replay.
+Part = tuple[str, str, int, int, int, int, int]
+#: So many tasks at most are made by ranges under a task's full bytes.
+TASKS, FULL = 256, 64 << 20
+#: Samples, and rows, that are read and given on together, but for a longer block.
+SAMPLES, ROWS = 1 << 18, 10_000
+
+
 @dataclass
 class Range(InputPartition):
-    """Blocks ``low`` to ``high`` of files: (name, path, samples, low, high) each."""
-
-    parts: list[tuple[str, str, int, int, int]]
+    parts: list[Part]
 
-    def __init__(self, parts: list[tuple[str, str, int, int, int]]):
+    def __init__(self, parts: list[Part]):
         self.parts = parts
 
 
-def dealt(layout: Layout, parts: Iterable[tuple[str, str, int, int, int]]) -> list[Range]:
-    """Ranges of about ``range_bytes``: long stretches of blocks are cut, short ones share a task."""
-    most = max(1, layout.range_bytes // (layout.block * layout.width))
+def dealt(layout: Layout, parts: Iterable[Part], blocks: int) -> list[Range]:
+    """Ranges of about ``range_bytes``: long stretches of blocks are cut, short ones share a task. Where the ``blocks`` of all parts
+    would make over TASKS of them, ranges are longer, up to FULL."""
+    each = layout.block * layout.width
+    most = max(1, layout.range_bytes // each, min(FULL // each, -(-blocks // TASKS)))
     out, held, room = [], [], most
-    for name, path, n, low, high in parts:
+    for name, path, n, low, high, turn, seq in parts:
         while low < high:
             take = min(high - low, room)
-            held.append((name, path, n, low, low + take))
+            held.append((name, path, n, low, low + take, turn, seq))
             low, room = low + take, room - take
             if not room:
                 out.append(Range(held))
@@ -94,22 +102,50 @@ def dealt(layout: Layout, parts: Iterable[tuple[str, str, int, int, int]]) -> li
     return [*out, Range(held)] if held else out
 
 
-def rows_of(layout: Layout, wanted: list[str], partition: Range) -> Iterator[pa.RecordBatch]:
-    """A batch for each block, of the wanted columns only; without samples among them no file is opened."""
-    system = opened(layout.folder)[0]
-    for name, path, n, low, high in partition.parts:
+def blocks_of(layout: Layout, wanted: list[str], partition: Range) -> Iterator[tuple[dict, np.ndarray | None]]:
+    """Cells and samples of each block; blocks that lie together are read together, and without samples among the columns no file is opened."""
+    system, step = opened(layout.folder)[0], max(1, SAMPLES // layout.block)
+    for name, path, n, low, high, turn, seq in partition.parts:
         file = system.open_input_file(path) if "iq" in wanted else None
-        for block in range(low, high):
-            first = max(0, block * layout.block - layout.before)
-            own = min(n, (block + 1) * layout.block)
-            end = min(n, own + layout.after)
-            cells = {"path": name, "samples": n, "block": block, "first": first, "own": own - block * layout.block}
-            columns = [pa.ListArray.from_arrays(pa.array([0, end - first], pa.int32()), layout.samples(file, first, end)) if c == "iq" else pa.array([cells[c]], ARROW[c]) for c in wanted]
-            yield pa.RecordBatch.from_arrays(columns, names=wanted)
+        for stretch in range(low, high, step):
+            upper = min(high, stretch + step)
+            start = max(0, stretch * layout.block - layout.before)
+            read = None if file is None else layout.samples(file, start, min(n, min(n, upper * layout.block) + layout.after))
+            for block in range(stretch, upper):
+                first = max(0, block * layout.block - layout.before)
+                own = min(n, (block + 1) * layout.block)
+                cells = {"path": name, "samples": n, "block": block, "first": first, "own": own - block * layout.block, "round": turn, "seq": seq + block}
+                yield cells, None if read is None else read[first - start : min(n, own + layout.after) - start]
         if file is not None:
             file.close()
 
 
+def rows_of(layout: Layout, wanted: list[str], partition: Range) -> Iterator[pa.RecordBatch]:
+    """Batches of several blocks, of the wanted columns only."""
+
+    def batch() -> pa.RecordBatch:
+        columns = []
+        for c in wanted:
+            if c == "iq":
+                ends = np.cumsum([0, *(len(x) for _, x in held)], dtype=np.int32)
+                i, q = np.concatenate([x for _, x in held]).T
+                columns.append(pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays([pa.array(i.copy()), pa.array(q.copy())], names=["i", "q"])))
+            else:
+                columns.append(pa.array([cells[c] for cells, _ in held], ARROW[c]))
+        return pa.RecordBatch.from_arrays(columns, names=wanted)
+
+    held, size = [], 0
+    for cells, x in blocks_of(layout, wanted, partition):
+        more = 0 if x is None else len(x)
+        if held and (size + more > SAMPLES or len(held) == ROWS):
+            yield batch()
+            held, size = [], 0
+        held.append((cells, x))
+        size += more
+    if held:
+        yield batch()
+
+
 class RangeReader(DataSourceReader):
     """Filters on path and block choose files and ranges; other columns' filters stay with Spark."""
 
@@ -145,7 +181,8 @@ class RangeReader(DataSourceReader):
         return low, high
 
     def partitions(self) -> list[Range]:
-        return dealt(self.layout, ((name, path, n, *self.stretch(self.layout.blocks(n))) for name, path, n in self.layout.files() if self.fits(name))) or [Range([])]
+        parts = [(name, path, n, *self.stretch(self.layout.blocks(n)), 0, 0) for name, path, n in self.layout.files() if self.fits(name)]
+        return dealt(self.layout, parts, sum(max(0, p[4] - p[3]) for p in parts)) or [Range([])]
 
     def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
         yield from rows_of(self.layout, self.wanted, partition)
@@ -167,14 +204,16 @@ class GrowingReader(DataSourceStreamReader):
 
     def partitions(self, start: dict, end: dict) -> list[Range]:
         files = {name: (path, n) for name, path, n in self.layout.files()}
-        return dealt(self.layout, ((name, *files[name], start.get(name, 0), high) for name, high in sorted(end.items())))
+        parts = [(name, *files[name], start.get(name, 0), high, 0, 0) for name, high in sorted(end.items())]
+        return dealt(self.layout, parts, sum(max(0, p[4] - p[3]) for p in parts))
 
     def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
         yield from rows_of(self.layout, self.wanted, partition)
 
 
 class IqRanges(DataSource):
-    """Options: path (folder or its URI), pattern, format (cs8, cs16, cf32, int16), block, before, after, rangeBytes. Incomplete
+    """Options: path (folder or its URI), pattern, format (cs8, cs16, cf32, int16), block, before, after, rangeBytes (of a task; over
+    256 tasks would take more, up to 64 MB each). Incomplete
     last samples of a file are dropped; an empty file has no row. ``samples`` is the file's length, ``first`` the index of
     the first sample in iq (of the halo, if there is one), ``own`` how many samples the block has without its halo."""
 
@@ -192,15 +231,6 @@ class IqRanges(DataSource):
         return GrowingReader(Layout.of(self.options), schema.names)
 
 
-@dataclass
-class Chunks(InputPartition):
-    low: int
-    high: int
-
-    def __init__(self, low: int, high: int):
-        self.low, self.high = low, high
-
-
 class ReplayReader(DataSourceStreamReader):
     """Chunks of the folder's files, one file after the other, ``rounds`` times, numbered through from 0.
 
@@ -209,7 +239,7 @@ class ReplayReader(DataSourceStreamReader):
     """
 
     def __init__(self, layout: Layout, options: dict, wanted: list[str]):
-        self.layout, self.wanted = layout, wanted
+        self.layout, self.wanted = replace(layout, before=0, after=0), wanted
         self.rounds = int(options["rounds"]) if "rounds" in options else None
         self.rate, self.started = float(options.get("rate", 0)), float(options.get("started", 0))
         if self.rounds is None and not self.rate:
@@ -229,25 +259,23 @@ class ReplayReader(DataSourceStreamReader):
         due = math.floor((time.time() - self.started) * self.rate) if self.rate else most
         return {"chunk": max(0, int(min(most, due))) if whole else 0}
 
-    def partitions(self, start: dict, end: dict) -> list[Chunks]:
-        most = max(1, self.layout.range_bytes // (self.layout.block * self.layout.width))
-        return [Chunks(low, min(end["chunk"], low + most)) for low in range(start["chunk"], end["chunk"], most)]
+    def partitions(self, start: dict, end: dict) -> list[Range]:
+        low, high = start["chunk"], end["chunk"]
+        return dealt(self.layout, self.parts(low, high), high - low) if low < high else []
 
-    def read(self, partition: Chunks) -> Iterator[pa.RecordBatch]:
-        system = opened(self.layout.folder)[0]
+    def parts(self, low: int, high: int) -> Iterator[Part]:
+        """Of the files, what has numbers from ``low`` to below ``high``."""
         files, starts = self.starts()
-        file, at_hand = None, None
-        for seq in range(partition.low, partition.high):
-            turn, at = divmod(seq, int(starts[-1]))
-            k = int(np.searchsorted(starts, at, side="right")) - 1
-            name, path, n = files[k]
-            if at_hand != path:
-                file, at_hand = system.open_input_file(path), path
-            first = (at - int(starts[k])) * self.layout.block
-            end = min(n, first + self.layout.block)
-            cells = {"path": name, "round": turn, "seq": seq, "first": first}
-            columns = [pa.ListArray.from_arrays(pa.array([0, end - first], pa.int32()), self.layout.samples(file, first, end)) if c == "iq" else pa.array([cells[c]], ARROW[c]) for c in self.wanted]
-            yield pa.RecordBatch.from_arrays(columns, names=self.wanted)
+        whole = int(starts[-1])
+        for turn in range(low // whole, -(-high // whole)):
+            for (name, path, n), before, behind in zip(files, starts[:-1].tolist(), starts[1:].tolist(), strict=True):
+                seq = turn * whole + before
+                first, last = max(0, low - seq), min(behind - before, high - seq)
+                if first < last:
+                    yield name, path, n, first, last, turn, seq
+
+    def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
+        yield from rows_of(self.layout, self.wanted, partition)
 
 
 class IqReplay(DataSource):

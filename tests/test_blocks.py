@@ -158,3 +158,22 @@ def test_written_captures(spark, captures, signals, tmp_path):
     assert rng.write_captures(blocks, str(tmp_path / "iq"), "name", "block") == len(LENGTHS)
     for k, x in signals.items():
         assert (np.frombuffer((tmp_path / "iq" / f"{k}.c64").read_bytes(), "<c8") == x).all()
+
+
+@pytest.fixture(scope="module")
+def small_ranges(tmp_path_factory):
+    """Two files of 1,000 blocks of 64 samples, each block a range."""
+    top = tmp_path_factory.mktemp("small")
+    x = np.arange(2 * 64_000, dtype="<i2").reshape(-1, 2)
+    for name in ("a.iq", "b.iq"):
+        (top / name).write_bytes(x.tobytes())
+    return str(top), {"path": str(top), "format": "int16", "block": 64, "rangebytes": 256}, x[:, 0] + 1j * x[:, 1]
+
+
+def test_small_ranges_share_tasks(spark, small_ranges):
+    folder, _, x = small_ranges
+    rows = rng.read_blocks(spark, folder, format="int16", block=64, rangeBytes=256)
+    assert rows.rdd.getNumPartitions() <= 256
+    out = sorted(rows.collect(), key=lambda r: (r.path, r.block))
+    assert [(r.path, r.block, r.first, r.own) for r in out] == [(name, b, 64 * b, 64) for name in ("a.iq", "b.iq") for b in range(1000)]
+    assert all((values(r.iq) == x[r.first : r.first + 64]).all() for r in out)
