@@ -177,3 +177,15 @@ def test_small_ranges_share_tasks(spark, small_ranges):
     out = sorted(rows.collect(), key=lambda r: (r.path, r.block))
     assert [(r.path, r.block, r.first, r.own) for r in out] == [(name, b, 64 * b, 64) for name in ("a.iq", "b.iq") for b in range(1000)]
     assert all((values(r.iq) == x[r.first : r.first + 64]).all() for r in out)
+
+
+def test_batches_hold_several_blocks(small_ranges):
+    """With halos, over the borders of what is read together too."""
+    _, options, x = small_ranges
+    layout = rng.Layout.of({**options, "rangebytes": 1 << 20, "before": 5, "after": 9, "block": 3000})
+    reader = rng.RangeReader(layout, ["path", "block", "first", "iq"])
+    batches = [b for part in reader.partitions() for b in reader.read(part)]
+    assert len(batches) <= 2 and sum(b.num_rows for b in batches) == 44
+    for path, block, first, iq in zip(*(sum((b.column(c).to_pylist() for b in batches), []) for c in range(4)), strict=True):
+        assert path in ("a.iq", "b.iq") and first == max(0, 3000 * block - 5)
+        assert [complex(s["i"], s["q"]) for s in iq] == x[first : 3000 * (block + 1) + 9].tolist()
