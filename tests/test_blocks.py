@@ -189,3 +189,17 @@ def test_batches_hold_several_blocks(small_ranges):
     for path, block, first, iq in zip(*(sum((b.column(c).to_pylist() for b in batches), []) for c in range(4)), strict=True):
         assert path in ("a.iq", "b.iq") and first == max(0, 3000 * block - 5)
         assert [complex(s["i"], s["q"]) for s in iq] == x[first : 3000 * (block + 1) + 9].tolist()
+
+
+def test_small_ranges_of_streams_share_tasks(small_ranges, monkeypatch):
+    """All blocks once and in order, after some were read too; a task of a replay gets its files and doesn't list the folder."""
+    _, options, _ = small_ranges
+    growing = rng.GrowingReader(rng.Layout.of(options), ["path", "block"])
+    replay = rng.ReplayReader(rng.Layout.of(options), {"rounds": "3"}, ["path", "round", "seq", "first"])
+    cut, end = {"a.iq": 10}, growing.latestOffset()
+    tasks, rounds = growing.partitions(cut, end), replay.partitions({"chunk": 1500}, replay.latestOffset())
+    assert len(tasks) <= 256 and len(rounds) <= 256
+    monkeypatch.setattr(rng.Layout, "files", None)
+    rows = lambda reader, parts: [tuple(r.values()) for p in parts for b in reader.read(p) for r in b.to_pylist()]
+    assert rows(growing, tasks) == [(f, b) for f in ("a.iq", "b.iq") for b in range(1000) if b >= cut.get(f, 0)]
+    assert rows(replay, rounds) == [("ab"[n // 1000 % 2] + ".iq", n // 2000, n, 64 * (n % 1000)) for n in range(1500, 6000)]
