@@ -94,12 +94,12 @@ def burst_starts_over_blocks(halo: DataFrame, size: int, window: int, smooth: in
     """(key, start): a window around the first largest smoothed power of the whole capture, inside it; 0 for short ones.
 
     ``halo``: (key, block, first, own, samples, iq) with at least smooth // 2 samples in front and (smooth - 1) // 2 behind.
-    Each block gives its largest smoothed power and where that is; of a capture only these meet.
+    Each block gives its largest smoothed power and where that is; of a capture only these meet. ``halo`` is read once.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            iq, firsts, blocks, own, widths = (batch.column(c) for c in range(1, 6))
+            iq, firsts, blocks, own, widths, samples = (batch.column(c) for c in range(1, 7))
             found = []
             for row in range(batch.num_rows):
                 first, begin, k = firsts[row].as_py(), blocks[row].as_py() * size, widths[row].as_py()
@@ -108,14 +108,12 @@ def burst_starts_over_blocks(halo: DataFrame, size: int, window: int, smooth: in
                 power = sp.smoothed((np.abs(i + 1j * q) ** 2 / 2)[None], k)[0, begin - first : begin - first + own[row].as_py()]
                 at = int(power.argmax())
                 found.append((float(power[at]), begin + at))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([f for f, _ in found], pa.float64()), pa.array([n for _, n in found], pa.int64())], names=[key, "power", "at"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), samples, pa.array([f for f, _ in found], pa.float64()), pa.array([n for _, n in found], pa.int64())], names=[key, "samples", "power", "at"])
 
-    rows = halo.filter("own > 0").select(key, "iq", "first", "block", "own", smoothing(F.col("samples"), smooth).alias("width"))
+    rows = halo.filter("own > 0").select(key, "iq", "first", "block", "own", smoothing(F.col("samples"), smooth).alias("width"), F.col("samples").cast("long"))
     kind = dict(halo.dtypes)[key]
-    best = rows.mapInArrow(run, f"{key} {kind}, power double, at long").groupBy(key).agg(F.max(F.struct("power", (-F.col("at")).alias("back"))).alias("best"))
-    return best.join(halo.groupBy(key).agg(F.max("samples").alias("samples")), key).select(
-        key, F.greatest(F.lit(0), F.least(-F.col("best.back") - window // 2, F.col("samples") - window)).cast("int").alias("start")
-    )
+    best = rows.mapInArrow(run, f"{key} {kind}, samples long, power double, at long").groupBy(key).agg(F.max(F.struct("power", (-F.col("at")).alias("back"))).alias("best"), F.max("samples").alias("samples"))
+    return best.select(key, F.greatest(F.lit(0), F.least(-F.col("best.back") - window // 2, F.col("samples") - window)).cast("int").alias("start"))
 
 
 def spectrogram_over_blocks(blocks: DataFrame, size: int, nfft: int, hop: int, bins: int, key: str = "capture_id", limit: float = 6.0) -> DataFrame:

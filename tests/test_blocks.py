@@ -203,3 +203,9 @@ def test_small_ranges_of_streams_share_tasks(small_ranges, monkeypatch):
     rows = lambda reader, parts: [tuple(r.values()) for p in parts for b in reader.read(p) for r in b.to_pylist()]
     assert rows(growing, tasks) == [(f, b) for f in ("a.iq", "b.iq") for b in range(1000) if b >= cut.get(f, 0)]
     assert rows(replay, rounds) == [("ab"[n // 1000 % 2] + ".iq", n // 2000, n, 64 * (n % 1000)) for n in range(1500, 6000)]
+
+
+def test_bursts_read_their_blocks_once(spark, small_ranges):
+    halo = rng.read_blocks(spark, small_ranges[0], block=70, before=8, after=7).withColumnRenamed("path", "capture_id")
+    bursts = blk.burst_starts_over_blocks(halo, 70, 100, 16)
+    assert bursts._jdf.queryExecution().optimizedPlan().toString().count("iq_ranges") == 1
