@@ -66,6 +66,10 @@ def unpacked(payload: bytes) -> tuple[np.ndarray, np.ndarray]:
     return both[: len(both) // 2], both[len(both) // 2 :]
 
 
+def whole(x: float | None) -> int | None:
+    return None if x is None or x != x else int(x)
+
+
 class InOrder:
     """Chunks of a stream by number. They are given out in order; late and repeated ones are dropped. When over ``most`` wait for a
     missing one, that is given up."""
@@ -76,11 +80,11 @@ class InOrder:
         self.held = handle.getMapState("held", "seq long", f"{SAMPLES}, power_db double, ts long")
 
     def ready(self, rows: Iterator[pd.DataFrame], names: list[str]) -> Iterator[tuple]:
-        """(seq, i, q, power_db, ts) in order."""
+        """(seq, i, q, power_db, ts) in order; ``ts`` in microseconds."""
         expected, late, held = self.at.get() or (0, 0, 0)
         new: dict[int, tuple] = {}
         for part in rows:
-            columns = [part[c].to_numpy() if c in part else [None] * len(part) for c in names]
+            columns = [part[c].tolist() if c in part else [None] * len(part) for c in names]
             for seq, *row in zip(part["seq"].tolist(), *columns, strict=True):
                 if seq < expected or seq in new or (held and self.held.containsKey((seq,))):
                     late += 1
@@ -89,7 +93,7 @@ class InOrder:
         while new or held:
             if expected in new:
                 i, q, db, ts = new.pop(expected)
-                yield expected, np.asarray(i, float), np.asarray(q, float), db, None if ts is None else int(pd.Timestamp(ts).value // 1000)
+                yield expected, np.asarray(i, float), np.asarray(q, float), db, whole(ts)
             elif held and self.held.containsKey((expected,)):
                 payload, db, ts = self.held.getValue((expected,))
                 self.held.removeKey((expected,))
@@ -102,7 +106,7 @@ class InOrder:
                 continue
             expected += 1
         for seq, (i, q, db, ts) in new.items():
-            self.held.updateValue((seq,), (packed(i, q), None if db is None else float(db), None if ts is None else int(pd.Timestamp(ts).value // 1000)))
+            self.held.updateValue((seq,), (packed(i, q), None if db is None else float(db), whole(ts)))
         self.at.update((expected, late, held + len(new)))
 
     def expected(self) -> int:
@@ -122,7 +126,7 @@ class Rechunker(StatefulProcessor):
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         out, rest = self.count.get() or (0, 0)
-        parts = [(i, q) for _, i, q, _, _ in self.order.ready(rows, ["i", "q", "power_db", "ts"])]
+        parts = [(i, q) for _, i, q, _, _ in self.order.ready(rows, ["i", "q", "power_db", "us"])]
         total = rest + sum(len(i) for i, _ in parts)
         if total < self.size:
             if parts:
@@ -232,7 +236,8 @@ class Capturer(StatefulProcessor):
         """The capture, when it is full, or padded with zeros when the stream ends."""
         if self.cap_seq != NONE and (ended or self.cap_size >= self.t.window):
             parts = [*(unpacked(p) for (p,) in self.parts.get()), *self.new_parts] if self.stored else self.new_parts
-            i, q = (np.pad(np.concatenate([p[c] for p in parts])[: self.t.window], (0, max(0, self.t.window - self.cap_size))) for c in (0, 1))
+            short = [np.zeros(self.t.window - self.cap_size)] if self.cap_size < self.t.window else []
+            i, q = (np.concatenate([*(p[c] for p in parts), *short])[: self.t.window] for c in (0, 1))
             yield self.event("capture", self.cap_seq, self.cap_db, self.cap_ts, i, q)
             if self.stored:
                 self.parts.clear()
@@ -281,20 +286,21 @@ class Capturer(StatefulProcessor):
         if self.floor is not None:
             self.ring.push((i, q))
 
-    def frame(self, key: tuple, rows: list[tuple]) -> pd.DataFrame:
-        out = pd.DataFrame([(key[0], *r) for r in rows], columns=["stream_id", "seq", "kind", "floor", "trigger", "power_db", "i", "q", "ts"])
-        return out.assign(ts=pd.to_datetime(out["ts"], unit="us")) if self.timed else out.drop(columns="ts")
+    def frame(self, key: tuple, out: list[tuple]) -> Iterator[pd.DataFrame]:
+        """One row for all events of a call, none without events: frames are dear, and there is one for each key."""
+        if out:
+            yield pd.DataFrame({"stream_id": [key[0]], "events": [[dict(zip(EVENT, e, strict=True)) for e in out]]})
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         self.load()
-        ready = (c for c in self.order.ready(rows, ["i", "q", "power_db", "ts"]) if c[0] >= self.discard)
+        ready = (c for c in self.order.ready(rows, ["i", "q", "power_db", "us"]) if c[0] >= self.discard)
         out = [e for c in ready for e in self.take(*c)]
         if self.t.idle is not None and not self.timed:
             for timer in list(self.handle.listTimers()):
                 self.handle.deleteTimer(timer)
             self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.t.idle)
         self.save()
-        yield self.frame(key, out)
+        yield from self.frame(key, out)
 
     def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         self.load()
@@ -305,13 +311,14 @@ class Capturer(StatefulProcessor):
         else:
             out = list(self.finished(seq + 1, None, ended=True))
         self.save()
-        yield self.frame(key, out)
+        yield from self.frame(key, out)
 
     def close(self) -> None:
         pass
 
 
-EVENTS = "stream_id long, seq long, kind string, floor double, trigger double, power_db double, i array<double>, q array<double>"
+EVENT = {"seq": "long", "kind": "string", "floor": "double", "trigger": "double", "power_db": "double", "i": "array<double>", "q": "array<double>", "ts": "long"}
+EVENTS = f"stream_id long, events array<struct<{', '.join(f'{c}: {kind}' for c, kind in EVENT.items())}>>"
 
 
 def with_state(chunks: DataFrame, processor: StatefulProcessor, schema: str, mode: str) -> DataFrame:
@@ -342,16 +349,17 @@ def triggered(chunks: DataFrame, t: Trigger = Trigger(), late: str = "10 seconds
     timed = "ts" in chunks.columns
     if not timed and (t.timeout is not None or t.rest):
         raise ValueError("a timeout or a cool-down in seconds needs the column ts")
-    rows = chunks.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late) if timed else chunks
+    rows = chunks.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).withColumn("us", F.unix_micros("ts")) if timed else chunks
     mode = "EventTime" if timed else "None" if t.idle is None else "ProcessingTime"
-    return with_state(rows, Capturer(t, timed), EVENTS + (", ts timestamp" if timed else ""), mode)
+    events = with_state(rows, Capturer(t, timed), EVENTS, mode).select("stream_id", F.inline("events"))
+    return events.withColumn("ts", F.timestamp_micros("ts")) if timed else events.drop("ts")
 
 
 def fixed_captures(chunks: DataFrame, samples: int, discard: int = 0, most_held: int = 1000) -> DataFrame:
     """One capture of each stream, ``samples`` long, from behind the first ``discard`` chunks; padded with zeros when the stream ends before."""
-    whole = Trigger(floor_chunks=1, absolute_db=-math.inf, pretrigger=0, window=samples, one_shot=True, most_held=most_held)
+    first = Trigger(floor_chunks=1, absolute_db=-math.inf, pretrigger=0, window=samples, one_shot=True, most_held=most_held)
     rows = chunks.select("stream_id", "seq", "i", "q", "power_db")
-    return with_state(rows, Fixed(whole, False, discard), EVENTS, "None").select("stream_id", "seq", "i", "q")
+    return with_state(rows, Fixed(first, False, discard), EVENTS, "None").select("stream_id", F.inline("events")).select("stream_id", "seq", "i", "q")
 
 
 class Fixed(Capturer):

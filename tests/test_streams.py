@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from sigspark.streaming import live
 from sigspark.streaming.run import drained, recorded
+from sigspark.streaming.stateful import Capturer
 
 START = datetime(2024, 1, 1)
 
@@ -33,6 +34,27 @@ def test_silent_stream_times_out(spark):
     assert [e[1:] for e in out if e[0] == 2] == [(3.0, "floor")] + [(s, "timeout") for s in (7.0, 12.0, 17.0, 22.0, 27.0)]
 
 
+def test_timeouts_in_any_time_zone(spark):
+    """Events come by true time, not by the clock of the session, against which the watermark stood before."""
+    t = live.Trigger(floor_chunks=2, above_db=10, pretrigger=0, window=1, timeout=4.0, rest=1.0)
+    rows = [chunk(1, n, n) for n in range(4)] + [chunk(2, n, 3 * n) for n in range(11)]
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "Asia/Tokyo")
+    try:
+        out = events(spark, rows, t)
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+    assert [e[1] for e in out if e[0] == 1 and e[2] == "timeout"] == [5.0, 10.0, 15.0, 20.0, 25.0]
+
+
+def test_a_call_gives_one_frame_of_one_row_or_none():
+    capturer = Capturer(live.Trigger(), False)
+    event = (7, "timeout", -20.0, -12.0, None, None, None, None)
+    assert list(capturer.frame((1,), [])) == []
+    (out,) = capturer.frame((1,), [event, event])
+    assert len(out) == 1 and [e["seq"] for e in out.events[0]] == [7, 7]
+
+
 def test_cooldown_in_seconds_at_any_chunk_length(spark):
     t = live.Trigger(floor_chunks=2, above_db=10, pretrigger=0, window=1, rest=1.0)
     for step in (0.25, 0.5, 1.0):
