@@ -24,14 +24,13 @@ def captures(spark: SparkSession, sf_dir: str) -> DataFrame:
     """capture_id, filepath, target_raw, snr, class_name, iq (array of complex samples)."""
     emb = table(spark, sf_dir, "embeddings")
     snr = (F.pmod("vec_id", F.lit(20)) * 2 - 20).cast("int")
-    flat = F.transform("embedding", lambda x: x.cast("double"))
+    part = lambda n: F.element_at("embedding", n.cast("int")).cast("double")  # noqa: E731 (a cast of the whole vector would be made again for each sample)
     return emb.select(
         F.col("vec_id").alias("capture_id"),
         F.concat(F.lit("IQdata_sample"), "vec_id", F.lit("_target"), "label", F.lit("_snr"), snr, F.lit(".pt")).alias("filepath"),
         F.col("label").alias("target_raw"), snr.alias("snr"),
         F.when(F.col("label") == NOISE_LABEL, NOISE).otherwise(F.concat(F.lit("class_"), "label")).alias("class_name"),
-        F.transform(F.sequence(F.lit(0), F.expr("size(embedding) div 2 - 1")), lambda k: F.struct(
-            F.element_at(flat, (2 * k + 1).cast("int")).alias("i"), F.element_at(flat, (2 * k + 2).cast("int")).alias("q"))).alias("iq"),
+        F.transform(F.sequence(F.lit(0), F.expr("size(embedding) div 2 - 1")), lambda k: F.struct(part(2 * k + 1).alias("i"), part(2 * k + 2).alias("q"))).alias("iq"),
     )
 
 

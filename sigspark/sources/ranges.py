@@ -320,8 +320,21 @@ def replayed_chunks(spark: SparkSession, folder: str, **options: object) -> Data
     return registered(spark).readStream.format("iq_replay").options(path=folder, **options).load()
 
 
+def stretches(batch: pa.RecordBatch) -> Iterator[tuple[str, int, int]]:
+    """(file, first row, end) of rows that follow each other in a file, of SAMPLES together at most, or a row."""
+    names, sizes = batch.column(0).to_pylist(), batch.column(2).value_lengths().to_pylist()
+    start, held = 0, 0
+    for row, (name, size) in enumerate(zip(names, sizes, strict=True)):
+        if row > start and (name != names[start] or held + (size or 0) > SAMPLES):
+            yield names[start], start, row
+            start, held = row, 0
+        held += size or 0
+    if names:
+        yield names[start], start, len(names)
+
+
 def write_captures(blocks: DataFrame, folder: str, file: str, order: str, kind: str = "cf32") -> int:
-    """Writes (file, order, iq) rows as one binary file per name in ``file``; a task appends its files' blocks as they come and holds one at a time.
+    """Writes (file, order, iq) rows as one binary file per name in ``file``; a task appends its files' blocks as they come, those that follow each other in a batch together (up to SAMPLES, or one block).
 
     Returns how many files there are. A file appears under its name when it is whole; a repeated task writes it anew.
     """
@@ -339,12 +352,11 @@ def write_captures(blocks: DataFrame, folder: str, file: str, order: str, kind:
                 written.append(name)
 
         for batch in batches:
-            for row in range(batch.num_rows):
-                own = batch.column(0)[row].as_py()
+            for own, start, end in stretches(batch):
                 if own != name:
                     close()
                     name, out = own, system.open_output_stream(f"{top}/.{own}.part")
-                samples = batch.column(2).slice(row, 1).flatten()
+                samples = batch.column(2).slice(start, end - start).flatten()
                 pairs = np.stack([samples.field(c).to_numpy(zero_copy_only=False) for c in (0, 1)], 1) * full
                 out.write((np.rint(pairs) if number != "<f4" else pairs).astype(number).tobytes())
         close()

@@ -1,11 +1,13 @@
 """Captures longer than a row, as blocks and as byte ranges of files, against whole arrays."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from sigspark.functions import features as ft
 from sigspark.operators import blocks as blk
+from sigspark.plans import tables
 from sigspark.sources import ranges as rng
 from sigspark.streaming.run import drained
 
@@ -160,6 +162,25 @@ def test_written_captures(spark, captures, signals, tmp_path):
         assert (np.frombuffer((tmp_path / "iq" / f"{k}.c64").read_bytes(), "<c8") == x).all()
 
 
+def test_blocks_of_a_file_are_written_together():
+    """What follows in a batch is one write, but for a new file, or over SAMPLES."""
+    rows = [("a", [(1.0, 2.0)] * 3), ("a", None), ("a", [(1.0, 2.0)] * 5), ("b", []), ("b", [(0.0, 1.0)] * 2)]
+    batch = pa.RecordBatch.from_pydict({"name": [n for n, _ in rows], "order": list(range(5)), "iq": pa.array([x and [{"i": i, "q": q} for i, q in x] for _, x in rows], pa.list_(rng.SAMPLE))})
+    assert list(rng.stretches(batch)) == [("a", 0, 3), ("b", 3, 5)]
+    long = pa.RecordBatch.from_pydict({"name": ["a"] * 5, "order": list(range(5)), "iq": pa.array([[{"i": 0.0, "q": 0.0}] * (rng.SAMPLES // 2)] * 5, pa.list_(rng.SAMPLE))})
+    assert list(rng.stretches(long)) == [("a", 0, 2), ("a", 2, 4), ("a", 4, 5)]
+    assert list(rng.stretches(batch.slice(0, 0))) == []
+
+
+def test_samples_of_a_vector_are_taken_once(spark, tmp_path):
+    """No cast of the whole vector for each of its samples."""
+    rows = [(1, [0.5, 1.5, 2.5, 3.5], 4), (2, [1.0, None, 3.0], 1)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    out = tables.captures(spark, str(tmp_path)).select("capture_id", "iq")
+    assert {r.capture_id: [tuple(s) for s in r.iq] for r in out.collect()} == {1: [(0.5, 1.5), (2.5, 3.5)], 2: [(1.0, None)]}
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("transform(") == 1
+
+
 @pytest.fixture(scope="module")
 def small_ranges(tmp_path_factory):
     """Two files of 1,000 blocks of 64 samples, each block a range."""
