@@ -443,10 +443,11 @@ SELECT o.capture_id, o.k::INT, CASE WHEN len(f.starts) < 4 AND len(list_filter(f
 SELECT capture_id, (v - 1)::INT AS view_idx, starts[v] AS start FROM (SELECT capture_id, starts, unnest(range(1, len(starts) + 1)) AS v FROM fold WHERE k = 32)"""
 
 
-def live_chunks(spark, sf):
+def live_chunks(spark, sf, *more):
+    """Chunks of a sample each, with ``more`` columns of theirs."""
     rows = chunks(spark, sf)
     level = F.sqrt(F.pow(F.lit(10.0), F.col("power_db") / 10) / 2)
-    return rows.select("stream_id", "seq", F.array(level).alias("i"), F.array(level).alias("q"), "power_db")
+    return rows.select("stream_id", "seq", F.array(level).alias("i"), F.array(level).alias("q"), "power_db", *more)
 
 
 TRIGGER = live.Trigger(floor_chunks=20, above_db=4.0, pretrigger=2, window=5, cooldown=3)

@@ -10,14 +10,14 @@ from ..streaming import live
 from ..streaming.run import drained, recorded
 from .catalogue_queries import rounded
 from .kernel_queries import live_chunks
-from .tables import chunks, predictions, with_tables
+from .tables import predictions, with_tables
 
 CHUNKS, PRED = (with_tables(t).replace("WITH ", "WITH RECURSIVE ", 1) for t in ("chunks", "predictions"))
 DAY = 86_400.0
 
 
 def timed_chunks(spark, sf):
-    return live_chunks(spark, sf).join(chunks(spark, sf).select("stream_id", "seq", "ts"), ["stream_id", "seq"])
+    return live_chunks(spark, sf, "ts")
 
 
 def plain(name: str):

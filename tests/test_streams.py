@@ -7,6 +7,7 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
+from sigspark.plans.stream_queries import timed_chunks
 from sigspark.streaming import live
 from sigspark.streaming.run import drained, recorded
 from sigspark.streaming.stateful import Capturer
@@ -55,6 +56,12 @@ def test_a_call_gives_one_frame_of_one_row_or_none():
     assert len(out) == 1 and [e["seq"] for e in out.events[0]] == [7, 7]
 
 
+def test_timed_chunks_are_numbered_once(spark):
+    """Their times come with them, not by a join of the table with itself."""
+    plan = timed_chunks(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Window [") == 1 and "Join" not in plan
+
+
 def test_cooldown_in_seconds_at_any_chunk_length(spark):
     t = live.Trigger(floor_chunks=2, above_db=10, pretrigger=0, window=1, rest=1.0)
     for step in (0.25, 0.5, 1.0):
