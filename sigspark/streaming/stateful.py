@@ -1,18 +1,23 @@
 """Stateful stream operators on keyed lists, maps and timers: exact chunks, energy-triggered and fixed captures.
 
-State is kept in pieces: numbers in one value, chunks that wait for missing ones in a map, a ring of the last chunks in a map of
-slots, what is being captured in a list. A batch writes what is new, whatever is held. Samples are kept as bytes.
+State is kept in pieces: numbers in one value, chunks that wait for missing ones in a map, a ring of the last chunks and what is
+being captured in lists. A batch writes what is new, whatever is held. Samples are kept as bytes.
+
+Calls of the state's handle and rows are dear, bytes aren't: chunks without event time come to a stream's state packed, many to a row.
 """
 
 from __future__ import annotations
 
 import math
+from collections import deque
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, TimerValues
@@ -70,30 +75,86 @@ def whole(x: float | None) -> int | None:
     return None if x is None or x != x else int(x)
 
 
+def packed_chunks(chunks: DataFrame, most: int = 1 << 14) -> DataFrame:
+    """The chunks of a stream that lie in a batch as rows of ``most`` bytes or one chunk: their numbers, sizes, samples (all of i, then
+    of q) and powers, each as bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            batch = batch.take(pa.array(np.argsort(batch.column("stream_id").dictionary_encode("encode").indices.to_numpy(), kind="stable")))
+            ids, seq, i, q = (batch.column(c) for c in ("stream_id", "seq", "i", "q"))
+            if seq.null_count or i.null_count or q.null_count:
+                raise ValueError("a chunk needs a number and samples; without samples, empty arrays")
+            stream, seq = ids.dictionary_encode("encode").indices.to_numpy(), seq.to_numpy(zero_copy_only=False).astype("<i8")
+            sizes = np.stack([pc.list_value_length(x).to_numpy(zero_copy_only=False).astype("<i8") for x in (i, q)])
+            ends = np.concatenate([np.zeros((2, 1), int), sizes.cumsum(axis=1)], axis=1)
+            i, q = (x.flatten().to_numpy(zero_copy_only=False).astype("<f8") for x in (i, q))
+            powers = batch.column("power_db").to_numpy(zero_copy_only=False).astype("<f8") if "power_db" in batch.schema.names else None
+            size = 8 * sizes.sum(axis=0) + 32
+            first = np.append(True, stream[1:] != stream[:-1])
+            upto = size.cumsum()
+            piece = (upto - 1 - np.maximum.accumulate(np.where(first, upto - size, 0))) // most
+            at = np.flatnonzero(first | np.append(True, piece[1:] != piece[:-1]))
+            cuts = list(zip(at.tolist(), [*at[1:].tolist(), len(seq)], strict=True))
+            columns = [
+                [seq[a:b].tobytes() for a, b in cuts], [sizes[:, a:b].tobytes() for a, b in cuts],
+                [i[ends[0, a] : ends[0, b]].tobytes() + q[ends[1, a] : ends[1, b]].tobytes() for a, b in cuts],
+                [None if powers is None else powers[a:b].tobytes() for a, b in cuts],
+            ]
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(at)), *(pa.array(c, pa.binary()) for c in columns)], names=["stream_id", *PACKED])
+
+    rows = chunks.select(*[c for c in ("stream_id", "seq", "i", "q", "power_db") if c in chunks.columns])
+    return rows.mapInArrow(run, ", ".join([f"stream_id {dict(rows.dtypes)['stream_id']}", *(f"{c} binary" for c in PACKED)]))
+
+
+PACKED = ("seqs", "sizes", "samples", "powers")
+
+
+def chunks_in(rows: Iterator[Row]) -> Iterator[tuple]:
+    """(seq, i, q, power_db, ts) of packed chunks; they have no times."""
+    for r in rows:
+        seqs, samples = np.frombuffer(r.seqs, "<i8").tolist(), np.frombuffer(r.samples, "<f8")
+        powers = np.frombuffer(r.powers, "<f8").tolist() if r.powers is not None else [None] * len(seqs)
+        ends = [0, *np.frombuffer(r.sizes, "<i8").cumsum().tolist()]
+        n = len(seqs)
+        for k, (seq, db) in enumerate(zip(seqs, powers, strict=True)):
+            yield seq, samples[ends[k] : ends[k + 1]], samples[ends[n + k] : ends[n + k + 1]], db, None
+
+
+def timed_chunks_in(rows: Iterator[pd.DataFrame]) -> Iterator[tuple]:
+    """(seq, i, q, power_db, ts) of frames; ``ts`` in microseconds."""
+    for part in rows:
+        for seq, i, q, db, ts in zip(*(part[c].tolist() for c in ("seq", "i", "q", "power_db", "us")), strict=True):
+            yield seq, np.asarray(i, float), np.asarray(q, float), db, whole(ts)
+
+
 class InOrder:
     """Chunks of a stream by number. They are given out in order; late and repeated ones are dropped. When over ``most`` wait for a
-    missing one, that is given up."""
+    missing one, that is given up. Its numbers are kept by the processor, with its own."""
+
+    NUMBERS = "expected long, late long, held long"
 
     def __init__(self, handle: StatefulProcessorHandle, most: int):
         self.most = most
-        self.at = handle.getValueState("order", "expected long, late long, held long")
         self.held = handle.getMapState("held", "seq long", f"{SAMPLES}, power_db double, ts long")
 
-    def ready(self, rows: Iterator[pd.DataFrame], names: list[str]) -> Iterator[tuple]:
-        """(seq, i, q, power_db, ts) in order; ``ts`` in microseconds."""
-        expected, late, held = self.at.get() or (0, 0, 0)
+    def load(self, expected: int, late: int, held: int) -> None:
+        self.numbers = (expected, late, held)
+
+    def ready(self, chunks: Iterator[tuple]) -> Iterator[tuple]:
+        """(seq, i, q, power_db, ts) in order; ``numbers`` holds for what was taken when all are."""
+        expected, late, held = self.numbers
         new: dict[int, tuple] = {}
-        for part in rows:
-            columns = [part[c].tolist() if c in part else [None] * len(part) for c in names]
-            for seq, *row in zip(part["seq"].tolist(), *columns, strict=True):
-                if seq < expected or seq in new or (held and self.held.containsKey((seq,))):
-                    late += 1
-                else:
-                    new[seq] = tuple(row)
+        for seq, *chunk in chunks:
+            if seq < expected or seq in new or (held and self.held.containsKey((seq,))):
+                late += 1
+            else:
+                new[seq] = chunk
         while new or held:
             if expected in new:
-                i, q, db, ts = new.pop(expected)
-                yield expected, np.asarray(i, float), np.asarray(q, float), db, whole(ts)
+                yield expected, *new.pop(expected)
             elif held and self.held.containsKey((expected,)):
                 payload, db, ts = self.held.getValue((expected,))
                 self.held.removeKey((expected,))
@@ -106,11 +167,8 @@ class InOrder:
                 continue
             expected += 1
         for seq, (i, q, db, ts) in new.items():
-            self.held.updateValue((seq,), (packed(i, q), None if db is None else float(db), whole(ts)))
-        self.at.update((expected, late, held + len(new)))
-
-    def expected(self) -> int:
-        return (self.at.get() or (0, 0, 0))[0]
+            self.held.updateValue((seq,), (packed(i, q), None if db is None else float(db), ts))
+        self.numbers = (expected, late, held + len(new))
 
 
 class Rechunker(StatefulProcessor):
@@ -121,17 +179,18 @@ class Rechunker(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.order = InOrder(handle, self.most_held)
-        self.count = handle.getValueState("count", "out long, rest long")
+        self.count = handle.getValueState("count", f"out long, rest long, {InOrder.NUMBERS}")
         self.rest = handle.getListState("rest", SAMPLES)
 
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        out, rest = self.count.get() or (0, 0)
-        parts = [(i, q) for _, i, q, _, _ in self.order.ready(rows, ["i", "q", "power_db", "us"])]
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: TimerValues) -> Iterator[Row]:  # noqa: N802, N803
+        out, rest, *numbers = self.count.get() or (0, 0, 0, 0, 0)
+        self.order.load(*numbers)
+        parts = [(i, q) for _, i, q, _, _ in self.order.ready(chunks_in(rows))]
         total = rest + sum(len(i) for i, _ in parts)
         if total < self.size:
             if parts:
                 self.rest.appendList([(packed(i, q),) for i, q in parts])
-                self.count.update((out, total))
+            self.count.update((out, total, *self.order.numbers))
             return
         parts = [*(unpacked(p) for (p,) in self.rest.get()), *parts] if rest else parts
         i, q = (np.concatenate([p[c] for p in parts]) for c in (0, 1))
@@ -140,42 +199,47 @@ class Rechunker(StatefulProcessor):
             self.rest.put([(packed(i[n * self.size :], q[n * self.size :]),)])
         elif rest:
             self.rest.clear()
-        self.count.update((out + n, total - n * self.size))
+        self.count.update((out + n, total - n * self.size, *self.order.numbers))
         i, q = (x[: n * self.size].reshape(n, self.size) for x in (i, q))
-        yield pd.DataFrame({"stream_id": key[0], "seq": np.arange(out, out + n), "i": list(i), "q": list(q), "power_db": [power_of(a, b) for a, b in zip(i, q, strict=True)]})
+        for k in range(n):
+            yield Row(stream_id=key[0], seq=out + k, i=i[k], q=q[k], power_db=power_of(i[k], q[k]))
 
     def close(self) -> None:
         pass
 
 
 class Ring:
-    """The last ``most`` chunks, in as many slots; a batch writes those that it changes."""
+    """The last ``most`` chunks, at the end of a list. A batch appends what is new; when the list is twice as long as the ring, or nothing
+    in it counts any more, it is written anew."""
 
     def __init__(self, handle: StatefulProcessorHandle, most: int):
-        self.most, self.slots = most, handle.getMapState("ring", "slot long", SAMPLES)
+        self.most, self.kept = most, handle.getListState("ring", SAMPLES)
 
-    def load(self, pushed: int, size: int) -> None:
-        """``pushed``: chunks so far, of which the last ``size`` count."""
-        self.pushed, self.size, self.new = pushed, size, {}
+    def load(self, listed: int, size: int) -> None:
+        """``listed``: chunks in the list, of which with those to come the last ``size`` count."""
+        self.listed, self.size, self.new = listed, size, deque(maxlen=self.most)
 
     def push(self, chunk: tuple[np.ndarray, np.ndarray]) -> None:
         if self.most:
-            self.new[self.pushed % self.most] = chunk
-            self.pushed, self.size = self.pushed + 1, min(self.most, self.size + 1)
+            self.new.append(chunk)
+            self.size = min(self.most, self.size + 1)
 
     def chunks(self) -> list[tuple[np.ndarray, np.ndarray]]:
-        slots = [n % self.most for n in range(self.pushed - self.size, self.pushed)]
-        return [self.new[s] if s in self.new else unpacked(self.slots.getValue((s,))[0]) for s in slots]
+        old = self.size - len(self.new)
+        return [*([unpacked(p) for (p,) in self.kept.get()][-old:] if old else []), *self.new]
 
     def save(self) -> None:
-        for slot, chunk in self.new.items():
-            self.slots.updateValue((slot,), (packed(*chunk),))
+        if self.new:
+            fits = len(self.new) < self.size and self.listed + len(self.new) <= 2 * self.most
+            rows = [(packed(*c),) for c in (self.new if fits else self.chunks())]
+            self.kept.appendList(rows) if fits else self.kept.put(rows)
+            self.listed = len(rows) + (self.listed if fits else 0)
 
 
 class Capturer(StatefulProcessor):
     """A stream's trigger: the floor's readings, a ring of chunks, the capture that is being filled, and a timer for the wait's end."""
 
-    VALUE = "floor double, readings long, cap_seq long, cap_db double, cap_size long, cap_ts long, quiet long, quiet_ts long, wait_ts long, waited long, done boolean, pushed long, ringed long, timer long, last_ts long"
+    VALUE = "floor double, readings long, cap_seq long, cap_db double, cap_size long, cap_ts long, quiet long, quiet_ts long, wait_ts long, waited long, done boolean, listed long, ringed long, timer long, last_ts long, " + InOrder.NUMBERS
 
     def __init__(self, t: Trigger, timed: bool, discard: int = 0):
         self.t, self.timed, self.discard = t, timed, discard
@@ -189,9 +253,10 @@ class Capturer(StatefulProcessor):
         self.ring = Ring(handle, self.t.pretrigger)
 
     def load(self) -> None:
-        v = self.value.get() or (None, 0, NONE, 0.0, 0, None, NONE, None, None, 0, False, 0, 0, None, None)
-        self.floor, self.known, self.cap_seq, self.cap_db, self.cap_size, self.cap_ts, self.quiet, self.quiet_ts, self.wait_ts, self.waited, self.done, pushed, ringed, self.timer, self.last_ts = v
-        self.ring.load(pushed, ringed)
+        v = self.value.get() or (None, 0, NONE, 0.0, 0, None, NONE, None, None, 0, False, 0, 0, None, None, 0, 0, 0)
+        self.floor, self.known, self.cap_seq, self.cap_db, self.cap_size, self.cap_ts, self.quiet, self.quiet_ts, self.wait_ts, self.waited, self.done, listed, ringed, self.timer, self.last_ts, *numbers = v
+        self.ring.load(listed, ringed)
+        self.order.load(*numbers)
         self.new_readings: list[float] = []
         self.new_parts: list[tuple] = []
         self.stored = self.cap_seq != NONE
@@ -210,7 +275,7 @@ class Capturer(StatefulProcessor):
                 self.handle.deleteTimer(self.timer)
             if timer is not None:
                 self.handle.registerTimer(timer)
-        self.value.update((self.floor, self.known, self.cap_seq, self.cap_db, self.cap_size, self.cap_ts, self.quiet, self.quiet_ts, self.wait_ts, self.waited, self.done, self.ring.pushed, self.ring.size, timer, self.last_ts))
+        self.value.update((self.floor, self.known, self.cap_seq, self.cap_db, self.cap_size, self.cap_ts, self.quiet, self.quiet_ts, self.wait_ts, self.waited, self.done, self.ring.listed, self.ring.size, timer, self.last_ts, *self.order.numbers))
 
     def due(self) -> int | None:
         """When waiting ends, in microseconds of event time; None while nothing is waited for."""
@@ -230,7 +295,7 @@ class Capturer(StatefulProcessor):
         if self.t.recalibrate:
             self.floor, self.known, self.new_readings = None, 0, []
             self.readings.clear()
-            self.ring.load(0, 0)
+            self.ring.load(self.ring.listed, 0)
 
     def finished(self, seq: int, ts: int | None, ended: bool = False) -> Iterator[tuple]:
         """The capture, when it is full, or padded with zeros when the stream ends."""
@@ -291,27 +356,34 @@ class Capturer(StatefulProcessor):
         if out:
             yield pd.DataFrame({"stream_id": [key[0]], "events": [[dict(zip(EVENT, e, strict=True)) for e in out]]})
 
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+    def given(self, key: tuple, out: list[tuple]) -> Iterator[pd.DataFrame | Row]:
+        """The events as the mode takes them: timed chunks come and go in frames, others in rows."""
+        if self.timed:
+            yield from self.frame(key, out)
+        elif out:
+            yield Row(stream_id=key[0], events=[dict(zip(EVENT, e, strict=True)) for e in out])
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame | Row], timerValues: TimerValues) -> Iterator[pd.DataFrame | Row]:  # noqa: N802, N803
         self.load()
-        ready = (c for c in self.order.ready(rows, ["i", "q", "power_db", "us"]) if c[0] >= self.discard)
+        ready = (c for c in self.order.ready(timed_chunks_in(rows) if self.timed else chunks_in(rows)) if c[0] >= self.discard)
         out = [e for c in ready for e in self.take(*c)]
         if self.t.idle is not None and not self.timed:
             for timer in list(self.handle.listTimers()):
                 self.handle.deleteTimer(timer)
             self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.t.idle)
         self.save()
-        yield from self.frame(key, out)
+        yield from self.given(key, out)
 
-    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame | Row]:  # noqa: N802, N803
         self.load()
-        seq = self.order.expected() - 1
+        seq = self.order.numbers[0] - 1
         if self.timed:
             self.timer = None  # it is gone
             out = list(self.timed_out(seq, timerValues.getCurrentWatermarkInMs() * 1000, included=True))
         else:
             out = list(self.finished(seq + 1, None, ended=True))
         self.save()
-        yield from self.frame(key, out)
+        yield from self.given(key, out)
 
     def close(self) -> None:
         pass
@@ -325,7 +397,9 @@ def with_state(chunks: DataFrame, processor: StatefulProcessor, schema: str, mod
     """Keyed by stream; the session keeps the state of queries that start from now on in RocksDB, which lists and maps need."""
     for key, value in STATE.items():
         chunks.sparkSession.conf.set(key, value)
-    return chunks.groupBy("stream_id").transformWithStateInPandas(processor, schema, "append", mode)
+    if mode == "EventTime":  # in frames, and not packed, as each chunk's own time decides whether it is too late
+        return chunks.groupBy("stream_id").transformWithStateInPandas(processor, schema, "append", mode)
+    return packed_chunks(chunks).groupBy("stream_id").transformWithState(processor, schema, "append", mode)
 
 
 def rechunked(frames: DataFrame, size: int, most_held: int = 1000) -> DataFrame:

@@ -1,16 +1,20 @@
 """Streams that go by event time, stop and go on, and what their state writes."""
 
+import math
+import random
 import time
+from collections import Counter, deque
 from datetime import datetime, timedelta
 from pathlib import Path
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from sigspark.plans.stream_queries import timed_chunks
 from sigspark.streaming import live
 from sigspark.streaming.run import drained, recorded
-from sigspark.streaming.stateful import Capturer
+from sigspark.streaming.stateful import Capturer, Ring, chunks_in, packed_chunks
 
 START = datetime(2024, 1, 1)
 
@@ -163,3 +167,94 @@ def test_summary_on_a_stream_equals_the_batch(spark):
     want = event_summary(df.withColumn("start", F.date_trunc("hour", "ts")).filter(F.col("start") <= F.lit(last)), "start", "condition")
     cells = lambda d: sorted(tuple(round(v, 9) if isinstance(v, float) else v for v in (r[c] for c in sorted(d.columns))) for r in d.collect())
     assert cells(out) == cells(want)
+
+
+class State:
+    """A handle whose states live in Python, with how often they are called and how many rows they are given."""
+
+    def __init__(self):
+        self.calls, self.rows = Counter(), 0
+
+    def state(self, name, value):
+        return Kept(self, name, value)
+
+    def getValueState(self, name, schema):  # noqa: N802
+        return self.state(name, None)
+
+    def getListState(self, name, schema):  # noqa: N802
+        return self.state(name, [])
+
+    def getMapState(self, name, key, value):  # noqa: N802
+        return self.state(name, {})
+
+
+class Kept:
+    def __init__(self, top, name, value):
+        self.top, self.name, self.value = top, name, value
+
+    def told(self, rows=0):
+        self.top.calls[self.name] += 1
+        self.top.rows += rows
+
+    def get(self):
+        self.told()
+        return self.value
+
+    def update(self, value):
+        self.told(1)
+        self.value = value
+
+    put = lambda self, rows: (self.told(len(rows)), setattr(self, "value", rows))
+    appendList = lambda self, rows: (self.told(len(rows)), setattr(self, "value", self.value + rows))  # noqa: E731, N815
+
+    def updateValue(self, key, value):  # noqa: N802
+        self.told(1)
+        self.value[key] = value
+
+
+CHUNKS = "stream_id long, seq long, i array<double>, q array<double>, power_db double"
+
+
+def test_chunks_come_packed_and_whole(spark):
+    """A stream's chunks of a batch are few rows, and none is lost or changed: empty ones, large ones, and ones with no power too."""
+    rows = [(s, n, [s + 0.5 * n] * (n % 3), [-1.0 * n] * (n % 3), None if n == 5 else float(n)) for n in range(300) for s in (3, 1, 2)]
+    rows += [(4, n, [float(n)] * 3000, [0.0] * 3000, 1.0) for n in range(2)]
+    packed = packed_chunks(spark.createDataFrame(rows, CHUNKS).coalesce(1)).collect()
+    assert len(packed) < 20 and sum(r.stream_id == 4 for r in packed) == 2
+    out = [(r.stream_id, seq, i.tolist(), q.tolist(), None if math.isnan(db) else db) for r in packed for seq, i, q, db, _ in chunks_in([r])]
+    assert sorted(out, key=lambda r: r[:2]) == sorted(rows, key=lambda r: r[:2])
+    with pytest.raises(Exception, match="needs a number and samples"):
+        packed_chunks(spark.createDataFrame([(1, 0, None, [0.0], 0.0)], CHUNKS)).collect()
+
+
+def test_a_call_needs_few_calls_of_the_state(spark):
+    """Seventy chunks of a stream at once: its numbers are read and written once, and its ring is written once."""
+    rows = [(1, n, [1.0], [1.0], 30.0 if n in (25, 40) else 0.0) for n in range(70)]
+    state, capturer = State(), Capturer(live.Trigger(floor_chunks=20, above_db=4.0, pretrigger=2, window=5, cooldown=3), False)
+    capturer.init(state)
+    (out,) = capturer.handleInputRows((1,), iter(packed_chunks(spark.createDataFrame(rows, CHUNKS).coalesce(1)).collect()), None)
+    assert [(e["kind"], e["seq"]) for e in out.events] == [("floor", 19), ("capture", 25), ("capture", 40)]
+    assert state.calls == {"capture_value": 2, "ring": 1}
+
+
+def test_ring_over_batches_of_any_size():
+    """It holds the last chunks, across batches and resets, and writes about twice what is new at most."""
+    draw = random.Random(7)
+    for most in (1, 2, 5):
+        state, held, pushed, listed, size = State(), deque(maxlen=most), 0, 0, 0
+        ring = Ring(state, most)
+        for batch in range(200):
+            ring.load(listed, size)
+            if draw.random() < 0.1:
+                held.clear()
+                ring.load(ring.listed, 0)
+            for n in range(draw.randrange(4)):
+                x = np.array([batch, n], float)
+                ring.push((x, -x))
+                held.append((x, -x))
+                pushed += 1
+            assert [(i.tolist(), q.tolist()) for i, q in ring.chunks()] == [(i.tolist(), q.tolist()) for i, q in held]
+            ring.save()
+            listed, size = ring.listed, ring.size
+            assert len(ring.kept.value) == listed <= 2 * most
+        assert state.rows <= 2 * pushed
